@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.functions.draws import draw_outside_range, u01
-from reckoner.operators.ranks import dense_id, limit_at_group, running_total
+from reckoner.operators.ranks import dense_id, running_totals_dense
 
 KINDS = ("match", "invoice_driven", "payment_driven")
 
@@ -17,9 +17,11 @@ def members(matches: DataFrame, ids: str, id_col: str) -> DataFrame:
 
 
 def indexed_members(long: DataFrame, id_col: str, index: str) -> DataFrame:
-    """Members numbered over the whole table in the order (match, id). The members of a match take
-    one unbroken range of numbers, so 'not in this match' is a range test and never a list."""
-    return dense_id(long.select("match_id", id_col), ["match_id", id_col], index)
+    """Members (with any further columns) numbered over the whole table in the order (match, id).
+
+    The members of a match take one unbroken range of numbers, so 'not in this match' is a range
+    test and never a list. The numbered rows are a written table: later steps read it."""
+    return dense_id(long, ["match_id", id_col], index)
 
 
 def member_ranges(indexed: DataFrame, index: str, prefix: str) -> DataFrame:
@@ -28,90 +30,91 @@ def member_ranges(indexed: DataFrame, index: str, prefix: str) -> DataFrame:
         F.min(index).alias(f"{prefix}_start"), F.count(F.lit(1)).alias(f"{prefix}_size"))
 
 
-def draw_partner(rows: DataFrame, candidates: DataFrame, index: str, id_col: str, prefix: str,
-                 seed: int, tag: str, key: str) -> DataFrame:
-    """Attach a uniform ``id_col`` from outside the row's range, by an equi join on the drawn number.
-
-    A row whose match holds every candidate has no partner and drops out."""
-    n = candidates.agg(F.count(F.lit(1))).scalar()
-    start, size = F.col(f"{prefix}_start"), F.col(f"{prefix}_size")
-    drawn = (rows.withColumn("_n", n).where(size < F.col("_n"))
-             .withColumn(index, draw_outside_range(F.col("_n"), start, size, u01(seed, tag, key))).drop("_n"))
-    return drawn.join(candidates.select(index, id_col), index).drop(index)
-
-
 class PairPlan:
     """The three kinds of pairs of a set of matches.
 
-    ``info`` has one row per match (match_id and carried columns), ``invoice_members`` and
-    ``payment_members`` one row per member. Both are numbered once and shared by all kinds."""
+    ``info`` has one row per match (match_id and carried columns); the members come from
+    ``indexed_members`` with the numbers ``_inv_index`` and ``_pay_index``. Each member row lists the
+    numbers of its partners, and one equi join on the number fetches them."""
 
-    def __init__(self, info: DataFrame, invoice_members: DataFrame, payment_members: DataFrame,
-                 seed: int = 0, limit: int | None = None) -> None:
+    def __init__(self, info: DataFrame, invoices: DataFrame, payments: DataFrame, seed: int = 0,
+                 limit: int | None = None) -> None:
         self.seed = seed
-        self.invoices = indexed_members(invoice_members, "invoice_id", "_inv_index")
-        self.payments = indexed_members(payment_members, "payment_id", "_pay_index")
+        self.invoices = invoices.select("match_id", "invoice_id", "_inv_index")
+        self.payments = payments.select("match_id", "payment_id", "_pay_index")
+        self.carried = [c for c in info.columns if c != "match_id"]
         inv = member_ranges(self.invoices, "_inv_index", "inv")
         pay = member_ranges(self.payments, "_pay_index", "pay")
-        per_match = info.join(inv, "match_id").join(pay, "match_id")
         i, p = F.col("inv_size"), F.col("pay_size")
-        per_match = per_match.withColumn("pairs", i + i * p + p)
+        per_match = (info.join(inv, "match_id").join(pay, "match_id").withColumn("pairs", i + i * p + p))
+        # the first invoice numbers of the matches are in match order and start ranges of 0..n-1
+        n = self.invoices.agg(F.count(F.lit(1))).scalar()
+        self.matches = running_totals_dense(per_match, "inv_start", ["pairs"], n).drop("_slice")
         if limit is not None:
-            per_match = limit_at_group(per_match, ["match_id"], "pairs", limit)
-        self.matches = per_match
-
-    def with_offsets(self) -> PairPlan:
-        self.matches = running_total(self.matches, ["match_id"], "pairs", "pair_offset")
-        return self
-
-    def _invoice_rows(self) -> DataFrame:
-        return (self.invoices.join(self.matches, "match_id")
-                .withColumn("_i", F.col("_inv_index") - F.col("inv_start")).drop("_inv_index"))
-
-    def _payment_rows(self) -> DataFrame:
-        return (self.payments.join(self.matches, "match_id")
-                .withColumn("_p", F.col("_pay_index") - F.col("pay_start")).drop("_pay_index"))
-
-    def positives(self) -> DataFrame:
-        """Every (invoice, payment) of a match. One side of a match is a single row in all match
-        categories, so the join keeps the size of the other side."""
-        rows = self._invoice_rows().join(self.payments, "match_id")
-        p = F.col("_pay_index") - F.col("pay_start")
-        slot = F.col("_i") * (F.lit(1) + F.col("pay_size")) + F.lit(1) + p
-        return self._finish(rows.withColumn("_slot", slot), "match")
-
-    def negatives_by_invoice(self) -> DataFrame:
-        rows = draw_partner(self._invoice_rows(), self.payments, "_pay_index", "payment_id", "pay",
-                            self.seed, "neg_inv", "invoice_id")
-        slot = F.col("_i") * (F.lit(1) + F.col("pay_size"))
-        return self._finish(rows.withColumn("_slot", slot), "invoice_driven")
-
-    def negatives_by_payment(self) -> DataFrame:
-        rows = draw_partner(self._payment_rows(), self.invoices, "_inv_index", "invoice_id", "inv",
-                            self.seed, "neg_pay", "payment_id")
-        slot = F.col("inv_size") * (F.lit(1) + F.col("pay_size")) + F.col("_p")
-        return self._finish(rows.withColumn("_slot", slot), "payment_driven")
-
-    def _finish(self, rows: DataFrame, kind: str) -> DataFrame:
-        hit = kind == "match"
-        own: Column = F.col("match_id") if hit else F.lit(None).cast("bigint")
-        work = {"inv_start", "inv_size", "pay_start", "pay_size", "pairs", "pair_offset"}
-        carried = [c for c in self.matches.columns if c not in work | {"match_id"}]
-        pair_id = [(F.col("pair_offset") + F.col("_slot")).alias("pair_id")] if "pair_offset" in self.matches.columns \
-            else []
-        return rows.select(
-            *pair_id, own.alias("match_id"), F.col("match_id").alias("drawn_for"), F.lit(hit).alias("rows_match"),
-            F.lit(kind).alias("kind"), *carried, "invoice_id", "payment_id")
-
-    def all(self) -> DataFrame:
-        return self.positives().unionByName(self.negatives_by_invoice()).unionByName(self.negatives_by_payment())
+            self.matches = self.matches.where(F.col("pairs_before") < limit)
+
+    def rows(self, *kinds: str) -> DataFrame:
+        """Pairs of the given kinds (all without arguments). Positives are listed by the side with
+        more members, which has one partner each in every match category; a partner shared by a
+        third of all rows is a skewed join key, which AQE splits."""
+        wanted = kinds or KINDS
+        n_pay = self.payments.agg(F.count(F.lit(1))).scalar()
+        n_inv = self.invoices.agg(F.count(F.lit(1))).scalar()
+        i_n, p_n, i0, p0 = (F.col(c) for c in ("inv_size", "pay_size", "inv_start", "pay_start"))
+        i, p = F.col("_inv_index") - i0, F.col("_pay_index") - p0
+        none = F.array().cast("array<struct<kind:string,slot:bigint,at:bigint>>")
+
+        def partner(kind: str, slot: Column, at: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), slot.cast("bigint").alias("slot"), at.cast("bigint").alias("at"))
+
+        def listed(kind: str, when: Column, entries: Column) -> Column:
+            return F.when(when, entries).otherwise(none) if kind in wanted else none
+
+        def up_to(n: Column) -> Column:
+            return F.sequence(F.lit(0).cast("bigint"), n - F.lit(1))
+
+        by_invoice = F.concat(
+            listed("invoice_driven", p_n < F.col("_n"), F.array(partner(
+                "invoice_driven", i * (p_n + 1),
+                draw_outside_range(F.col("_n"), p0, p_n, u01(self.seed, "neg_inv", "invoice_id"))))),
+            listed("match", p_n <= i_n, F.transform(
+                up_to(p_n), lambda k: partner("match", i * (p_n + 1) + F.lit(1) + k, p0 + k))))
+        by_payment = F.concat(
+            listed("payment_driven", i_n < F.col("_n"), F.array(partner(
+                "payment_driven", i_n * (p_n + 1) + p,
+                draw_outside_range(F.col("_n"), i0, i_n, u01(self.seed, "neg_pay", "payment_id"))))),
+            listed("match", p_n > i_n, F.transform(
+                up_to(i_n), lambda k: partner("match", k * (p_n + 1) + F.lit(1) + p, i0 + k))))
+        sides = []
+        if "invoice_driven" in wanted or "match" in wanted:
+            rows = self.invoices.join(self.matches, "match_id").withColumn("_n", n_pay)
+            rows = self._slim(rows, "invoice_id", by_invoice)
+            sides.append(rows.join(self.payments.select(F.col("_pay_index").alias("at"), "payment_id"), "at"))
+        if "payment_driven" in wanted or "match" in wanted:
+            rows = self.payments.join(self.matches, "match_id").withColumn("_n", n_inv)
+            rows = self._slim(rows, "payment_id", by_payment)
+            sides.append(rows.join(self.invoices.select(F.col("_inv_index").alias("at"), "invoice_id"), "at"))
+        out = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        hit = F.col("kind") == "match"
+        return out.select("pair_id", F.when(hit, F.col("drawn_for")).alias("match_id"), "drawn_for",
+                          hit.alias("rows_match"), "kind", *self.carried, "invoice_id", "payment_id")
+
+    def _slim(self, rows: DataFrame, id_col: str, partners: Column) -> DataFrame:
+        exploded = rows.select(F.col("match_id").alias("drawn_for"), *self.carried, id_col, "pairs_before",
+                               F.explode(partners).alias("_p"))
+        return exploded.select("drawn_for", *self.carried, id_col, (F.col("pairs_before") + F.col("_p.slot"))
+                               .alias("pair_id"), F.col("_p.kind").alias("kind"), F.col("_p.at").alias("at"))
 
 
 def build_pairs(info: DataFrame, invoice_members: DataFrame, payment_members: DataFrame,
                 seed: int = 0, limit: int | None = None) -> DataFrame:
     """Pair table with a dense ``pair_id``: per match, each invoice's negative before its positives,
-    then one negative per payment. ``limit`` ends between matches, partners are drawn from all rows."""
-    return PairPlan(info, invoice_members, payment_members, seed, limit).with_offsets().all()
+    then one negative per payment. ``limit`` ends between matches, partners are drawn from all rows.
+
+    A match that holds every payment (invoice) has no outside partner: it gets no such negative."""
+    invoices = indexed_members(invoice_members.select("match_id", "invoice_id"), "invoice_id", "_inv_index")
+    payments = indexed_members(payment_members.select("match_id", "payment_id"), "payment_id", "_pay_index")
+    return PairPlan(info, invoices, payments, seed, limit).rows()
 
 
 def attach_invoice(pairs: DataFrame, invoices: DataFrame, name: str = "source") -> DataFrame:

@@ -57,11 +57,13 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "
             .drop("_slice", "_row", "_before"))
 
 
-def running_totals_dense(df: DataFrame, id_col: str, values: Sequence[str], n: int) -> DataFrame:
-    """Running totals ``<value>_before`` where ``id_col`` is already dense in 0..n-1: slices are equal
-    id ranges, so nothing is sampled or written. Keeps ``_slice`` for later grouping on it."""
-    width = max(1, -(-n // 4096))  # at most 4,096 slices for any n
-    sliced = df.withColumn("_slice", F.floor(F.col(id_col) / F.lit(width)))
+def running_totals_dense(df: DataFrame, id_col: str, values: Sequence[str], n: Column | int) -> DataFrame:
+    """Running totals ``<value>_before`` in the order of unique numbers ``id_col`` that fill 0..n-1, or
+    that start ranges filling it: slices are equal ranges of numbers, so nothing is sampled or
+    written. Keeps ``_slice`` for later grouping on it."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    width = F.greatest(F.lit(1).cast("bigint"), F.ceil(n / F.lit(4096.0)))  # at most 4,096 slices for any n
+    sliced = df.withColumn("_slice", F.floor(F.col(id_col) / width))
     within = Window.partitionBy("_slice").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.groupBy("_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

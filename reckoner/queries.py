@@ -239,15 +239,13 @@ def first_per_key(spark, sf):
 
 # ---------------------------------------------------------------- matches and pairs
 
-def match_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(invoices, invoice members, payment members, match info) of the order tables."""
-    inv, im, pm = bridge.invoices(spark, sf), bridge.invoice_members(spark, sf), bridge.payment_members(spark, sf)
-    return inv, im, pm, bridge.match_info(inv, im, pm)
+def pair_plan(spark: SparkSession, sf: str, limit: int | None = None) -> pairs.PairPlan:
+    return plan_of(bridge.matching(spark, sf), limit)
 
 
-def pair_plan(spark: SparkSession, sf: str, limit: int | None = None) -> pairs.PairPlan:
-    _, im, pm, info = match_tables(spark, sf)
-    return pairs.PairPlan(info.select("match_id", "match_category", "perturbation_categories"), im, pm, SEED, limit)
+def plan_of(m: bridge.Matching, limit: int | None = None) -> pairs.PairPlan:
+    info = m.info.select("match_id", "match_category", "perturbation_categories")
+    return pairs.PairPlan(info, m.invoice_members, m.payment_members, SEED, limit)
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -256,15 +254,17 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query
 def match_categories(spark, sf):
-    _, _, _, info = match_tables(spark, sf)
-    return _shown(info.select("match_id", "match_category", "n_invoices", "n_payments", "total_amount",
-                              "last_document_date", "perturbation_categories"))
+    return _shown(bridge.matching(spark, sf).info.select(
+        "match_id", "match_category", "n_invoices", "n_payments", "total_amount", "last_document_date",
+        "perturbation_categories"))
 
 
 @query
 def group_totals(spark, sf):
-    inv, im, _, _ = match_tables(spark, sf)
-    return joined.group_totals(im.join(inv, "invoice_id"), "match_id", "inv_amount", "inv_document_date")
+    members, inv = bridge.invoice_members(spark, sf), bridge.invoices(spark, sf)
+    dated = inv.select("invoice_id", "inv_amount", F.to_date("inv_document_date", "yyyyMMdd").alias("day"))
+    out = joined.group_totals(members.join(dated, "invoice_id"), "match_id", "inv_amount", "day")
+    return out.withColumn("last_date", money.format_day(F.col("last_date")))
 
 
 @query
@@ -277,52 +277,51 @@ def match_members(spark, sf):
 
 @query
 def split_payments(spark, sf):
-    _, _, pm, info = match_tables(spark, sf)
-    out = joined.split_group_total(pm.join(info.select("match_id", "total_amount"), "match_id"),
+    m = bridge.matching(spark, sf)
+    out = joined.split_group_total(m.payment_members.join(m.info.select("match_id", "total_amount"), "match_id"),
                                    "match_id", "total_amount", "weight", "payment_id", "part_amount")
     return out.select("match_id", "payment_id", "total_amount", "part_amount")
 
 
 @query
 def payment_rows(spark, sf):
-    _, _, pm, info = match_tables(spark, sf)
-    return bridge.payments(info, pm)
+    return bridge.matching(spark, sf).payments
 
 
 @query
 def positive_pairs(spark, sf):
-    return _shown(pair_plan(spark, sf).positives())
+    return _shown(pair_plan(spark, sf).rows("match").drop("pair_id"))
 
 
 @query
 def negatives_by_invoice(spark, sf):
-    return _shown(pair_plan(spark, sf).negatives_by_invoice())
+    return _shown(pair_plan(spark, sf).rows("invoice_driven").drop("pair_id"))
 
 
 @query
 def negatives_by_payment(spark, sf):
-    return _shown(pair_plan(spark, sf).negatives_by_payment())
+    return _shown(pair_plan(spark, sf).rows("payment_driven").drop("pair_id"))
 
 
 @query
 def labelled_pairs(spark, sf):
-    return _shown(pair_plan(spark, sf).with_offsets().all())
+    return _shown(pair_plan(spark, sf).rows())
 
 
 @query
 def labelled_pairs_limited(spark, sf):
-    return _shown(pair_plan(spark, sf, 2000).with_offsets().all())
+    return _shown(pair_plan(spark, sf, 2000).rows())
 
 
 @query
 def pair_counts(spark, sf):
-    return confusion.pair_counts(pair_plan(spark, sf).all())
+    return confusion.pair_counts(pair_plan(spark, sf).rows())
 
 
 @query
 def attach_rows(spark, sf):
-    inv, _, pm, info = match_tables(spark, sf)
-    both = pairs.attach_payment(pairs.attach_invoice(pair_plan(spark, sf).positives(), inv), bridge.payments(info, pm))
+    m = bridge.matching(spark, sf)
+    both = pairs.attach_payment(pairs.attach_invoice(plan_of(m).rows("match"), m.invoices), m.payments)
     return both.select("match_id", "invoice_id", "payment_id", F.col("source.inv_billing_number").alias("billing"),
                        F.col("source.inv_amount").alias("inv_amount"), F.col("target.pay_memo_line").alias("memo"),
                        F.col("target.pay_amount").alias("pay_amount"))
@@ -342,13 +341,12 @@ def view_opaque(spark, sf):
 
 @query
 def view_payments_opaque(spark, sf):
-    _, _, pm, info = match_tables(spark, sf)
-    return views.single_table_view(bridge.payments(info, pm), "payment", "opaque")
+    return views.single_table_view(bridge.matching(spark, sf).payments, "payment", "opaque")
 
 
 def _member_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     side = "payment" if name == "FEBEP" else "invoice"
-    df = bridge.payments(*reversed(match_tables(spark, sf)[2:])) if side == "payment" else bridge.invoices(spark, sf)
+    df = bridge.matching(spark, sf).payments if side == "payment" else bridge.invoices(spark, sf)
     table, key = views.split_tables(df, side)[name], [a.opaque for a in views.member_tables(side)[name][1]]
     out = views.dedupe_by_key(table, key, f"{side}_id", 20)
     return out.withColumn(f"{side}_id", F.array_join(f"{side}_id", ","))
@@ -530,7 +528,7 @@ def memo_lines(spark, sf):
 @query
 def id_lists(spark, sf):
     """Billing numbers of each advice or order in one text."""
-    inv, im, _, _ = match_tables(spark, sf)
+    inv, im = bridge.invoices(spark, sf), bridge.invoice_members(spark, sf)
     ids = im.join(inv.select("invoice_id", "inv_billing_number"), "invoice_id")
     lists = joined.with_sorted_members(ids, ["match_id"], "invoice_id", ["inv_billing_number"], "ids")
     numbers = F.transform("ids", lambda x: x["inv_billing_number"])
@@ -595,10 +593,8 @@ def few_shot_requests(spark, sf):
 
 def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled pairs with their invoice and payment rows."""
-    inv, im, pm, info = match_tables(spark, sf)
-    info_small = info.select("match_id", "match_category", "perturbation_categories")
-    all_pairs = pairs.build_pairs(info_small, im, pm, SEED)
-    return pairs.attach_payment(pairs.attach_invoice(all_pairs, inv), bridge.payments(info, pm))
+    m = bridge.matching(spark, sf)
+    return pairs.attach_payment(pairs.attach_invoice(plan_of(m).rows(), m.invoices), m.payments)
 
 
 @query
@@ -734,14 +730,16 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 @query
 def csv_round_trip(spark, sf):
-    inv = bridge.invoices(spark, sf)
-    _, _, pm, info = match_tables(spark, sf)
-    m = info.select("match_id", "match_category", "perturbation_categories", F.array("match_id").alias("invoice_ids"),
-                    F.array("match_id").alias("payment_ids"))
+    """The one-table views under descriptive names, through CSV and back by explicit schemas."""
+    m = bridge.matching(spark, sf)
+    lists = m.info.select("match_id", "match_category", "perturbation_categories",
+                          F.array("match_id").alias("invoice_ids"), F.array("match_id").alias("payment_ids"))
+    shown = {"invoices": views.single_table_view(m.invoices, "invoice", "descriptive"),
+             "payments": views.single_table_view(m.payments, "payment", "descriptive"),
+             "matches": views.match_view(lists)}
     base = _folder(spark, "csv")
-    tables.write_views(views.schema_views(inv, bridge.payments(info, pm), m), base, "multi", "csv")
-    read = tables.read_tables(spark, base, "multi", "descriptive", "csv")["invoices"]
-    return read
+    tables.write_views({("descriptive", t): df for t, df in shown.items()}, base, "multi", "csv")
+    return tables.read_tables(spark, base, "multi", "descriptive", "csv")["invoices"]
 
 
 @query

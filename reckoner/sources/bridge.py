@@ -7,13 +7,17 @@ one payment per line number.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reckoner.functions.draws import beta, u01, uint, weighted, weighted_subset
 from reckoner.functions.money import MONEY, money, small_deduction
 from reckoner.functions.text import break_identifier
 from reckoner.operators.joined import split_group_total
+from reckoner.operators.pairs import indexed_members
 from reckoner.schema import MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATIONS
+from reckoner.session import written_table
 
 SEED = 11
 CURRENCIES = ("USD", "EUR", "JPY", "GBP", "CNY")
@@ -88,9 +92,9 @@ def invoice_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advised.unionByName(direct)
 
 
-def payment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(match_id, payment_id, line, weight): line numbers of an order, or line 0 for an advice."""
-    owners = invoice_members(spark, sf_dir)
+def payment_members(spark: SparkSession, sf_dir: str, owners: DataFrame) -> DataFrame:
+    """(match_id, payment_id, line, weight): line numbers of an order, or line 0 for an advice;
+    ``owners`` are the invoice members."""
     lines = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
              .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).cast("decimal(25,2)").alias("weight")))
     per_line = (lines.join(owners.where(~F.col("by_advice")), F.col("l_orderkey") == F.col("match_id"))
@@ -101,14 +105,40 @@ def payment_members(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("match_id", (F.col("match_id") * F.lit(10) + F.col("line")).alias("payment_id"), "line", "weight"))
 
 
+@dataclass(frozen=True)
+class Matching:
+    """Invoices, numbered members and match rows; members and matches are written tables, so that the
+    many steps that use them do not scan and group the order tables again."""
+    invoices: DataFrame
+    invoice_members: DataFrame
+    payment_members: DataFrame
+    info: DataFrame
+
+    @property
+    def payments(self) -> DataFrame:
+        return payments(self.info, self.payment_members.drop("_pay_index"))
+
+
+def matching(spark: SparkSession, sf_dir: str) -> Matching:
+    inv = invoices(spark, sf_dir)
+    im = indexed_members(invoice_members(spark, sf_dir), "invoice_id", "_inv_index")
+    pm = indexed_members(payment_members(spark, sf_dir, im), "payment_id", "_pay_index")
+    return Matching(inv, im, pm, written_table(match_info(inv, im, pm), "matches"))
+
+
 def match_info(inv: DataFrame, inv_members: DataFrame, pay_members: DataFrame) -> DataFrame:
     """One row per match: category, planted errors, totals and the fields its payments carry over."""
-    facts = (inv_members.join(inv, "invoice_id").groupBy("match_id").agg(
-        F.count(F.lit(1)).alias("n_invoices"),
-        F.sum("inv_amount").cast(MONEY).alias("total_amount"),
-        F.max("inv_document_date").alias("last_document_date"),
-        *[F.min(c).alias(c) for c in ("inv_customer_id", "inv_customer_name", "inv_currency_code",
-                                      "inv_country_key", "inv_billing_number", "inv_assignment_number")]))
+    sums = (inv_members.select("match_id", "invoice_id")
+            .join(inv.select("invoice_id", "inv_amount", F.to_date("inv_document_date", "yyyyMMdd").alias("_day")),
+                  "invoice_id")
+            .groupBy("match_id").agg(
+                F.count(F.lit(1)).alias("n_invoices"), F.sum("inv_amount").cast(MONEY).alias("total_amount"),
+                F.date_format(F.max("_day"), "yyyyMMdd").alias("last_document_date")))
+    # a match bears the id of its first invoice, whose fields it carries; its text columns are joined
+    # to the sums, because a minimum over text would sort instead of hash
+    head = inv.select(F.col("invoice_id").alias("match_id"), "inv_customer_id", "inv_customer_name",
+                      "inv_currency_code", "inv_country_key", "inv_billing_number", "inv_assignment_number")
+    facts = sums.join(head, "match_id")
     paid = pay_members.groupBy("match_id").agg(F.count(F.lit(1)).alias("n_payments"))
     n_errors = uint(1, len(PERTURBATIONS), u01(SEED, "n_errors", "match_id"))
     errors = weighted_subset(PERTURBATIONS, [1.0] * 4, n_errors, SEED, "errors", "match_id")
