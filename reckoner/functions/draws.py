@@ -69,9 +69,12 @@ def exp_drop_length(m: Column, denom: int, u: Column) -> Column:
 
 
 def beta(a: int, b: int, seed: int, tag: str, *key: Column | str) -> Column:
-    """Beta(a, b) for whole a and b: the a-th smallest of a + b - 1 uniforms."""
-    draws = F.array(*[u01(seed, f"{tag}{i}", *key) for i in range(a + b - 1)])
-    return F.sort_array(draws)[a - 1]
+    """Beta(a, b) for whole a and b: the a-th smallest of n = a + b - 1 uniforms. The smallest of n is
+    1 - (1-u)^(1/n), the next is the smallest of the n - 1 above it: a draws instead of n."""
+    above, n = F.lit(1.0), a + b - 1
+    for i in range(a):
+        above = above * F.pow(F.lit(1.0) - u01(seed, f"{tag}{i}", *key), F.lit(1.0 / (n - i)))
+    return F.lit(1.0) - above
 
 
 def skew_quantile(p: Column, b: Column | float) -> Column:
@@ -88,15 +91,16 @@ def sap_number(digits: int | Column, u: Column) -> Column:
     return (base.cast("bigint") + offset).cast("string")
 
 
+MERSENNE = 2**61 - 1  # a prime, hence coprime to every smaller n
+
+
 def permuted(index: Column, n: int | Column, seed: int) -> Column:
-    """Bijection of 0..n-1: ``(index * a + shift) mod n`` with a prime ``a`` above any n in use, in
-    DECIMAL so that the product cannot overflow."""
-    prime = 2_305_843_009_213_693_951  # the Mersenne prime 2^61 - 1: coprime to every smaller n
-    a = F.lit(prime).cast("decimal(20,0)")
+    """Bijection of 0..n-1: ``(index * a + shift) mod n`` with a prime ``a`` above any n in use."""
+    if isinstance(n, int) and n < 2**31:  # the product fits BIGINT
+        return F.pmod(index.cast("bigint") * F.lit(MERSENNE % n) + F.lit(seed % n), F.lit(n))
     n = (n if isinstance(n, Column) else F.lit(n)).cast("decimal(17,0)")
-    i = index.cast("decimal(17,0)")
-    # a itself is reduced first: (prime mod n) * i stays below 10^34
-    return ((i * (a % n).cast("decimal(17,0)") + F.lit(seed).cast("decimal(17,0)")) % n).cast("bigint")
+    a = (F.lit(MERSENNE).cast("decimal(20,0)") % n).cast("decimal(17,0)")
+    return ((index.cast("decimal(17,0)") * a + F.lit(seed).cast("decimal(17,0)")) % n).cast("bigint")
 
 
 def unique_value(rank: Column, n: int | Column, digits: int) -> Column:

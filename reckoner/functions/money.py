@@ -29,15 +29,16 @@ def fx_rate(currency: Column) -> Column:
 
 
 def to_currency(usd: Column, currency: Column) -> Column:
-    return money(usd.cast("double") * fx_rate(currency).cast("double"))
+    """Exact product in DECIMAL, so that a half cent rounds the same way everywhere."""
+    return money(usd.cast("decimal(18,6)") * fx_rate(currency))
 
 
 def small_deduction(amount: Column, currency: Column, share: Column,
-                    max_usd: float = 0.1, max_fraction: float = 0.1) -> Column:
+                    max_usd: float = 0.1, max_fraction: str = "0.1") -> Column:
     """``amount`` less a deduction of at most ``max_usd`` dollars and of at most ``max_fraction``."""
-    in_currency = share * F.lit(max_usd) * fx_rate(currency).cast("double")
-    deduction = F.least(amount.cast("double") * F.lit(max_fraction), in_currency)
-    return money(amount - money(deduction))
+    in_currency = money(share * F.lit(max_usd) * fx_rate(currency).cast("double"))
+    deduction = F.least(money(amount * F.lit(max_fraction).cast("decimal(4,3)")), in_currency)
+    return money(amount - deduction)
 
 
 def split_amount(total: Column, weights: Column) -> Column:

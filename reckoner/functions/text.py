@@ -28,34 +28,19 @@ def break_identifier(c: Column | str, seed: int, tag: str, *key: Column | str) -
     branch, where = u01(seed, tag + ".branch", *key), u01(seed, tag + ".at", *key)
     extra = u01(seed, tag + ".extra", *key)
 
-    def head(i: Column) -> Column:
-        return F.substr(s, F.lit(1), i.cast("int"))
-
-    def tail(i: Column) -> Column:  # all but the first i characters
-        return F.substr(s, (i + F.lit(1)).cast("int"))
-
-    at_blank = uint(1, n - 1, where)
-    at_char = below(n, where)
-    at_digit = below(n + 1, where)
-    at_swap = below(n - 1, where)
-    blank = F.concat(head(at_blank), F.lit(" "), tail(at_blank))
-    lost = F.concat(head(at_char), tail(at_char + F.lit(1)))
-    digit = F.concat(head(at_digit), below(10, extra).cast("string"), tail(at_digit))
-    swapped = F.concat(
-        head(at_swap), F.substr(s, (at_swap + 2).cast("int"), F.lit(1)),
-        F.substr(s, (at_swap + 1).cast("int"), F.lit(1)), tail(at_swap + F.lit(2)))
-    cut = exp_drop_length(n - 1, 4, where)
-    ends = F.when(extra < F.lit(0.5), head(n - cut)).otherwise(tail(cut))
-    return (
-        F.when((branch < F.lit(0.2)) & (n >= 2), blank)
-        .when(branch < F.lit(0.2), s)
-        .when((branch < F.lit(0.4)) & (n >= 5), lost)
-        .when(branch < F.lit(0.4), s)
-        .when(branch < F.lit(0.6), digit)
-        .when((branch < F.lit(0.8)) & (n >= 2), swapped)
-        .when((branch >= F.lit(0.8)) & (n >= 5), ends)
-        .otherwise(s)
-    )
+    def replaced(by: Column, at: Column, length: int) -> Column:  # at counts from 0; each position is used once
+        return F.overlay(s, by, (at + F.lit(1)).cast("int"), F.lit(length))
+
+    blank = replaced(F.lit(" "), uint(1, n - 1, where), 0)
+    lost = replaced(F.lit(""), below(n, where), 1)
+    digit = replaced(below(10, extra).cast("string"), below(n + 1, where), 0)
+    at = below(n - 1, where)
+    swapped = replaced(F.reverse(F.substr(s, (at + F.lit(1)).cast("int"), F.lit(2))), at, 2)
+    cut = exp_drop_length(n - 1, 4, where).cast("int")
+    ends = F.when(extra < F.lit(0.5), F.substr(s, F.lit(1), n - cut)).otherwise(F.substr(s, cut + F.lit(1)))
+    low = F.when(branch < F.lit(0.2), F.when(n >= 2, blank).otherwise(s)).otherwise(F.when(n >= 5, lost).otherwise(s))
+    high = F.when(branch < F.lit(0.8), F.when(n >= 2, swapped).otherwise(s)).otherwise(F.when(n >= 5, ends).otherwise(s))
+    return F.when(branch < F.lit(0.4), low).when(branch < F.lit(0.6), digit).otherwise(high)
 
 
 def break_name(c: Column | str, seed: int, tag: str, *key: Column | str) -> Column:
@@ -177,7 +162,8 @@ def csv_cell(c: Column) -> Column:
     """Minimal CSV quoting; NULL is empty."""
     s = F.coalesce(c.cast("string"), F.lit(""))
     quoted = F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(s.rlike('[",\n\r]'), quoted).otherwise(s)
+    special = s.contains('"') | s.contains(",") | s.contains("\n") | s.contains("\r")
+    return F.when(special, quoted).otherwise(s)
 
 
 def _csv_name(name: str) -> str:

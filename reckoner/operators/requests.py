@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,24 +36,43 @@ class RequestConfig:
     example: Sequence = field(default=EXAMPLE_TEMPLATE)
 
 
-def pair_texts(pairs: DataFrame, source: str = "source", target: str = "target",
+def _rendered(fields: Mapping[str, Column], kinds: Mapping[str, str], markdown: bool) -> Column:
+    if not markdown:
+        return text.linearize_csv(fields)
+    numeric = [n for n, k in kinds.items() if k in ("integer", "long", "double", "decimal")]
+    return text.linearize_markdown(fields, numeric)
+
+
+def pair_texts(pairs: DataFrame, source: str | Sequence[str] = "source", target: str = "target",
                markdown: bool = False) -> DataFrame:
     """Linearise the source and target struct of each pair; several source structs make member tables."""
     sources = [source] if isinstance(source, str) else list(source)
 
     def render(struct: str) -> Column:
-        fields = {n: F.col(struct)[n] for n in pairs.schema[struct].dataType.names}
-        if markdown:
-            kinds = {f.name: f.dataType.typeName() for f in pairs.schema[struct].dataType.fields}
-            numeric = [n for n, k in kinds.items() if k in ("integer", "long", "double", "decimal")]
-            return text.linearize_markdown(fields, numeric)
-        return text.linearize_csv(fields)
+        inner = pairs.schema[struct].dataType
+        return _rendered({n: F.col(struct)[n] for n in inner.names},
+                         {f.name: f.dataType.typeName() for f in inner.fields}, markdown)
 
     first = text.linearize_multi([render(s) for s in sources]) if len(sources) > 1 else render(sources[0])
     return pairs.select("pair_id", "rows_match", first.alias("first_table_row"),
                         render(target).alias("second_table_row"))
 
 
+def row_texts(df: DataFrame, id_col: str, name: str, markdown: bool = False) -> DataFrame:
+    """(id, text) of a table: a row that many pairs share is linearised once."""
+    shown = [f for f in df.schema.fields if f.name != id_col]
+    return df.select(id_col, _rendered({f.name: F.col(f"`{f.name}`") for f in shown},
+                                       {f.name: f.dataType.typeName() for f in shown}, markdown).alias(name))
+
+
+def attach_texts(pairs: DataFrame, invoices: DataFrame, payments: DataFrame, markdown: bool = False) -> DataFrame:
+    """``pair_texts`` of (pair_id, rows_match, invoice_id, payment_id) from the two tables."""
+    return (pairs.select("pair_id", "rows_match", "invoice_id", "payment_id")
+            .join(row_texts(invoices, "invoice_id", "first_table_row", markdown), "invoice_id")
+            .join(row_texts(payments, "payment_id", "second_table_row", markdown), "payment_id")
+            .select("pair_id", "rows_match", "first_table_row", "second_table_row"))
+
+
 def attach_examples(texts: DataFrame, k: int, seed: int) -> DataFrame:
     """Give each row k other rows of either label, in keyed random order, as an array ``examples``.
 

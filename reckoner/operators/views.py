@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from reckoner.operators.ranks import first_per_key
+from reckoner.operators.ranks import first_per_key, with_part
 from reckoner.schema import SCHEMA_MODES, attributes, check_mode, member_tables
 
 
@@ -48,16 +48,11 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], id_col: str, chunk: int =
     A key with more than ``chunk`` ids takes several rows (``part`` 0, 1, ...), each with a share of
     its ids, so that a key holding a third of the table never ends up in one list."""
     rest = [c for c in df.columns if c not in keys and c != id_col]
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(F.lit(0).alias("_"), *rest), F.col(id_col)).alias("_first"))
-    spread = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 13), 16, 10).cast("bigint")
-    part = F.when(F.col("_n") <= chunk, F.lit(0)).otherwise(
-        F.pmod(spread, F.ceil(F.col("_n") / F.lit(float(chunk)))).cast("int"))
-    sizes = per_key.select(*keys, "_n")
-    lists = (df.select(*keys, id_col).join(sizes, list(keys)).withColumn("part", part)
+    lists = (with_part(df.select(*keys, id_col), keys, id_col, chunk)
              .groupBy(*keys, "part").agg(F.sort_array(F.collect_list(id_col)).alias(id_col)))
-    first = per_key.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
-    return lists.join(first, list(keys)).select(id_col, *[c for c in df.columns if c != id_col], "part")
+    if rest:
+        lists = lists.join(first_per_key(df, keys, id_col).drop(id_col), list(keys))
+    return lists.select(id_col, *[c for c in df.columns if c != id_col], "part")
 
 
 def normalise(df: DataFrame, side: str, chunk: int = 10_000) -> dict[str, DataFrame]:

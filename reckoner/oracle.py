@@ -41,7 +41,9 @@ def uint(lo: str | int, hi: str | int, draw: str) -> str:
 
 
 def beta(a: int, b: int, tag: str, *keys: str, seed: int = SEED) -> str:
-    return f"list_sort([{', '.join(u(f'{tag}{i}', *keys, seed=seed) for i in range(a + b - 1))}])[{a}]"
+    n = a + b - 1
+    steps = " * ".join(f"pow(1.0::DOUBLE - {u(f'{tag}{i}', *keys, seed=seed)}, {1.0 / (n - i)!r}::DOUBLE)" for i in range(a))
+    return f"(1.0::DOUBLE - {steps})"
 
 
 def weighted(values: list, weights: list[float], draw: str) -> str:
@@ -83,12 +85,13 @@ def skip(r: str, taken: str) -> str:
     return f"list_reduce(list_sort({taken}), lambda a, x: case when a >= x then a + 1 else a end, {r})"
 
 
-FX = ("case {} when 'USD' then 1 when 'EUR' then 0.9076 when 'JPY' then 142.4026 when 'GBP' then 0.7654 "
-      "when 'CNY' then 7.1187 end::DOUBLE")
+FX = ("(case {} when 'USD' then 1 when 'EUR' then 0.9076 when 'JPY' then 142.4026 when 'GBP' then 0.7654 "
+      "when 'CNY' then 7.1187 end)::DECIMAL(12,4)")
 
 
 def deducted(amount: str, currency: str, share: str) -> str:
-    less = f"least(({amount})::DOUBLE * 0.1::DOUBLE, {share} * 0.1::DOUBLE * {FX.format(currency)})::DECIMAL(15,2)"
+    less = (f"least((({amount}) * 0.1::DECIMAL(4,3))::DECIMAL(15,2), "
+            f"({share} * 0.1::DOUBLE * {FX.format(currency)}::DOUBLE)::DECIMAL(15,2))")
     return f"(({amount}) - {less})::DECIMAL(15,2)"
 
 
@@ -584,7 +587,7 @@ FROM orders GROUP BY ALL"""
     chosen = subset(ERRORS, [4, 3, 2, 1], uint(1, 4, u("size", "o_orderkey")), "set", "o_orderkey")
     q["perturbation_sets"] = f"SELECT o_orderkey, array_to_string(list_sort({chosen}), ',') AS errors FROM orders"
     q["beta_amounts"] = f"SELECT o_orderkey, floor({beta(2, 10, 'amount', 'o_orderkey')} * 1000000)::BIGINT AS usd FROM orders"
-    q["fx_amounts"] = (f"{i} SELECT invoice_id, (inv_amount::DOUBLE * {FX.format('inv_currency_code')})::DECIMAL(15,2) "
+    q["fx_amounts"] = (f"{i} SELECT invoice_id, (inv_amount::DECIMAL(18,6) * ({FX.format('inv_currency_code')}))::DECIMAL(15,2) "
                        "AS converted FROM inv")
     q["unique_numbers"] = _unique()
     q["sap_numbers"] = f"SELECT o_orderkey, {uint(5, 15, u('digits', 'o_orderkey'))}::INT AS digits FROM orders"

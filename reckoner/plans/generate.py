@@ -323,7 +323,8 @@ def build_payments(invoices: DataFrame, context: Context,
     """Payment rows of the invoice rows of ``build_invoices``."""
     weights = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("num_payments")),
                           lambda i: context.u("part", "match_id", i))
-    parts = money.split_amount(F.col("total_amount"), weights)
+    parts = F.when(F.col("num_payments") == 1, F.array("total_amount")).otherwise(
+        money.split_amount(F.col("total_amount"), weights))
     slots = (_carried(invoices).select("*", F.posexplode(parts).alias("pay_slot", "_amount"))
              .withColumn("payment_id", F.col("num_payments_before") + F.col("pay_slot")))
     return fill(slots, fillers, context)

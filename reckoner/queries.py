@@ -13,7 +13,7 @@ from reckoner.functions.draws import u01
 from reckoner.operators import audit, bootstrap, confusion, decide, joined, pairs, perturb, ranks, requests, views
 from reckoner.plans import evaluate, generate, reports
 from reckoner.schema import MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATIONS
-from reckoner.session import shared_folder
+from reckoner.session import configure, shared_folder
 from reckoner.sources import bridge, tables
 
 SEED = 7
@@ -23,7 +23,10 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return f(configure(spark), sf)
+
+    QUERIES[f.__name__] = run
     return f
 
 
@@ -353,7 +356,9 @@ def _member_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 for _t in ("BKPF", "BSEG", "KNA-1", "FEBEP"):
-    QUERIES["normalise_" + _t.replace("-1", "").lower()] = partial(_member_table, name=_t)
+    _f = partial(_member_table, name=_t)
+    _f.__name__ = "normalise_" + _t.replace("-1", "").lower()
+    query(_f)
 
 
 @query
@@ -601,7 +606,8 @@ def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
 def pair_requests(spark, sf):
     """Requests of all labelled pairs, one example of each label."""
     cfg = requests.RequestConfig(model=MODELS[1], num_examples=1, draw_seed=SEED)
-    out = requests.build_requests(requests.pair_texts(pair_rows(spark, sf)), cfg)
+    m = bridge.matching(spark, sf)
+    out = requests.build_requests(requests.attach_texts(plan_of(m).rows(), m.invoices, m.payments), cfg)
     return out.select("pair_id", F.size("messages").alias("n_messages"), F.sha2(messages_text(), 256).alias("chat_digest"))
 
 
@@ -724,7 +730,6 @@ def generated_payments(spark, sf):
 # ---------------------------------------------------------------- files
 
 def _folder(spark: SparkSession, name: str) -> str:
-
     return f"{shared_folder(spark)}/reckoner/{name}-{uuid.uuid4().hex}"
 
 

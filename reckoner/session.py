@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Runtime settings the jobs count on: adaptive plans, and skewed join keys split even where that
+    costs a further shuffle of aggregated rows."""
+    for name in ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{name}", "true")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -78,14 +78,16 @@ def invoice_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     year = F.year("o_orderdate").alias("year")
     paid = o.where(_advice_group()).select("o_orderkey", "o_custkey", year)
-    sizes = paid.groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("_n"))
+    # only customer-years for more than one advice are joined; the others stay in slot 0
+    large = (paid.groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > ADVICE_SIZE))
     slots = F.ceil(F.col("_n") / F.lit(float(ADVICE_SIZE)))
-    placed = paid.join(sizes, ["o_custkey", "year"]).withColumn(
-        "_slot", F.floor(u01(SEED, "slot", "o_orderkey") * slots))
+    placed = paid.join(large, ["o_custkey", "year"], "left").withColumn(
+        "_slot", F.coalesce(F.floor(u01(SEED, "slot", "o_orderkey") * slots), F.lit(0)))
     heads = placed.groupBy("o_custkey", "year", "_slot").agg(F.min("o_orderkey").alias("match_id"))
     advised = placed.join(heads, ["o_custkey", "year", "_slot"]).select(
         "match_id", F.col("o_orderkey").alias("invoice_id"), F.lit(True).alias("by_advice"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()  # counted down before the shuffle
     direct = (o.where(~_advice_group()).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
               .select(F.col("o_orderkey").alias("match_id"), F.col("o_orderkey").alias("invoice_id"),
                       F.lit(False).alias("by_advice")))
