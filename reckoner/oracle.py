@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from math import log
 
+from reckoner.functions.money import USD_TO_CURRENCY
+from reckoner.plans import generate
+
 SEED, BRIDGE_SEED = 7, 11
 MODELS = "['gpt-3.5-turbo-1106', 'gpt-4o-mini-2024-07-18', 'gpt-4o-2024-08-06']"
 ERRORS = ["small_deduction", "perturbed_business_partner", "perturbed_billing_number", "perturbed_assignment_number"]
@@ -473,16 +477,137 @@ SELECT o_orderkey, rank, 1000000000 + rank + floor(-expm1_(n, rank) * 999999999)
         "-expm1_(n, rank)", "(1.0::DOUBLE - exp(ln(1.0::DOUBLE - rank::DOUBLE / n) / 100000.0::DOUBLE))")
 
 
-def _plan() -> str:
-    """Match plan of the generator in mode multi with one match per order."""
+def _plan(mode: str) -> str:
+    """Match plan of the generator with one match per order."""
     cats, w = ["one_pay_one_inv", "multi_pay_one_inv", "one_pay_multi_inv"], [0.6, 0.2, 0.2]
-    errors = subset(ERRORS, [0.25] * 4, uint(1, 4, u("multi.errors", "m")), "multi.error", "m")
-    return f"""k AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS m FROM orders),
-c AS (SELECT m, {weighted(cats, w, u('multi.category', 'm'))} AS cat,
-  case when {u('multi.dirty', 'm')} < 0.75::DOUBLE then {errors} else []::VARCHAR[] end AS e FROM k),
-s AS (SELECT *, case when cat = 'multi_pay_one_inv' then 2 + floor({beta(1, 5, 'multi.payments', 'm')} * 3)::BIGINT else 1 end AS np,
-  case when cat = 'one_pay_multi_inv' then 2 + floor({beta(2, 5, 'multi.invoices', 'm')} * 8)::BIGINT else 1 end AS ni FROM c),
-b AS (SELECT *, sum(np) OVER (ORDER BY m) - np AS pb, sum(ni) OVER (ORDER BY m) - ni AS ib FROM s)"""
+    if mode == "single":
+        errors = "[" + weighted(ERRORS, [0.25] * 4, u("single.error", "m")) + "]"
+    else:
+        errors = subset(ERRORS, [0.25] * 4, uint(1, 4, u("multi.errors", "m")), "multi.error", "m")
+    return f"""k AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS m, count(*) OVER () * 10 AS n FROM orders),
+c AS (SELECT m, n, {weighted(cats, w, u(mode + '.category', 'm'))} AS cat,
+  case when {u(mode + '.dirty', 'm')} < 0.75::DOUBLE then {errors} else []::VARCHAR[] end AS e FROM k),
+s AS (SELECT *, case when cat = 'multi_pay_one_inv' then 2 + floor({beta(1, 5, mode + '.payments', 'm')} * 3)::BIGINT else 1 end AS np,
+  case when cat = 'one_pay_multi_inv' then 2 + floor({beta(2, 5, mode + '.invoices', 'm')} * 8)::BIGINT else 1 end AS ni FROM c),
+b AS (SELECT *, (sum(np) OVER (ORDER BY m) - np)::BIGINT AS pb, (sum(ni) OVER (ORDER BY m) - ni)::BIGINT AS ib FROM s)"""
+
+
+def _texts(values: Iterable[str]) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+def _permuted(i: str, n: str, shift: int) -> str:
+    return f"((({i}) * (2305843009213693951::HUGEINT % {n})::BIGINT + {SEED + shift} % {n}) % {n})"
+
+
+def _minus_expm1(y: str) -> str:
+    """1 - exp(y), by its series where y is small."""
+    return (f"(case when abs({y}) < 0.001::DOUBLE then -({y} + {y} * {y} / 2 + {y} * {y} * {y} / 6 + {y} * {y} * {y} * {y} / 24) "
+            f"else 1.0::DOUBLE - exp({y}) end)")
+
+
+def _unique_value(rank: str, n: str, digits: int) -> str:
+    y = f"(ln(1.0::DOUBLE - ({rank})::DOUBLE / {n}) / {float(10 ** (digits - 5))!r}::DOUBLE)"
+    return f"({10 ** (digits - 1)} + ({rank}) + floor({_minus_expm1(y)} * {float(10 ** (digits - 1) - 1)!r}::DOUBLE)::BIGINT)"
+
+
+def _chars(alphabet: str, length: str | int, tag: str, *keys: str) -> str:
+    at = below(len(alphabet), u(tag, "x", *keys))
+    return f"array_to_string(list_transform(range(1, {length} + 1), lambda x: substr('{alphabet}', {at} + 1, 1)), '')"
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _generated(mode: str) -> str:
+    """Customers, invoices and payments of the generator, seed 7, 50 customers."""
+    def pick(values: Iterable[str], tag: str) -> str:
+        values = list(values)
+        return f"{_texts(values)}[{below(len(values), u(tag, 'c'))} + 1]"
+
+    step = 26**3 * 10**7 // 50
+    spot = f"({_permuted('c', '50', 1)} * {step} + {below(step, u('customer_id', 'c'))})"
+    letter = lambda div: f"substr('{LETTERS}', ({spot} // {div}) % 26 + 1, 1)"
+    tail = f"case when {u('tail', 'c')} < 0.5::DOUBLE then {pick(generate.MEMO_TAILS, 'tail_word')} else '' end"
+    countries = " ".join(f"when '{k}' then {_texts(v)}[{below(len(v), u('country', 'c'))} + 1]"
+                         for k, v in generate.COUNTRIES.items())
+    part = lambda v, i: f"{_texts(v)}[{i} + 1]"
+    first, second, form = (part(generate.NAME_FIRST, "c % 20"), part(generate.NAME_SECOND, "(c // 20) % 10"),
+                           part(generate.NAME_FORM, "(c // 200) % 6"))
+    rates = "(case cur " + " ".join(f"when '{k}' then {v}" for k, v in USD_TO_CURRENCY.items()) + " end)::DECIMAL(12,4)"
+    companies, items = [f"{j}000" for j in range(1, 10)], [f"00{j}" for j in range(1, 10)]
+    jan = "make_date(yr, 1, 1)"
+    day = f"({jan} + {below(f'(make_date(yr + 1, 1, 1) - {jan})', u(mode + '.document', 'sn'))}::INT)"
+    spread = 10**14 // 450
+    company_no = "(cust * 9 + left(company, 1)::BIGINT - 1)"
+    account = f"lpad(({_permuted(company_no, '450', 2)} * {spread} + {below(spread, u('account', 'cust', 'company'))})::VARCHAR, 14, '0')"
+    n1 = uint(3, 15, u(mode + ".noise1_len", "pid"))
+    y = "(ln(1.0::DOUBLE - nu) / pow(10.0::DOUBLE, n1 - 5))"
+    noise_1 = f"(pow(10.0::DOUBLE, n1 - 1)::BIGINT + floor({_minus_expm1(y)} * (pow(10.0::DOUBLE, n1 - 1) - 1))::BIGINT)::VARCHAR"
+    has = lambda x: f"list_contains(e, '{x}')"
+    show = lambda t: f"{u(f'{mode}.{t}', 'pid')} < 0.2::DOUBLE"
+    share = beta(3, 5, mode + ".deduction", "pid")
+    less = f"least((amt * 0.1::DECIMAL(4,3))::DECIMAL(15,2), ({share} * 0.1::DOUBLE * {rates}::DOUBLE)::DECIMAL(15,2))"
+    return f"""{_plan(mode)},
+cust AS (
+  SELECT c AS cust, {letter(26**2 * 10**7)} || {letter(26 * 10**7)} || {letter(10**7)} || lpad(({spot} % 10000000)::VARCHAR, 7, '0') AS cid,
+    {first} || ' ' || {second} || ' ' || {form} AS cname, upper(left({first}, 3)) || '-' || upper(left({second}, 4)) AS stmt,
+    {weighted(list(generate.CURRENCY_WEIGHTS), list(generate.CURRENCY_WEIGHTS.values()), u('currency', 'c'))} AS cur,
+    {pick(generate.MEMO_PREFIXES, 'memo_prefix')} AS mp, {u('memo_order', 'c')} < 0.5::DOUBLE AS bf,
+    {u('memo_noise', 'c')} < 0.2::DOUBLE AS mn, case when {u('memo_tail', 'c')} < 0.2::DOUBLE then {tail} || ' ' end AS mt,
+    {pick(generate.ID_PREFIXES, 'id_prefix')} AS ip, {pick(generate.ID_SEPARATORS, 'id_separator')} AS isep
+  FROM range(0, 50) AS t(c)),
+cust2 AS (SELECT *, case cur {countries.replace('(c)::VARCHAR', '(cust)::VARCHAR')} end AS land FROM cust),
+slots AS (
+  SELECT b.*, {below(50, u(mode + '.customer', 'm'))} AS cust, {weighted(companies, [1.0 / 2**j for j in range(9)], u(mode + '.company', 'm'))}
+    AS company, {uint(2000, 2024, u(mode + '.year', 'm'))} AS yr, unnest(range(0, ni)) AS slot FROM b),
+numbered AS (SELECT s.*, c.* EXCLUDE (cust), m * 10 + slot AS sn FROM slots s JOIN cust2 c ON s.cust = c.cust),
+ginv AS (
+  SELECT *, ib + slot AS iid, {_unique_value(_permuted('sn', 'n', 5), 'n', 10)}::VARCHAR AS doc,
+    {weighted(items, [1.0 / 10**j for j in range(9)], u(mode + '.item', 'sn'))} AS item,
+    'INV' || {_unique_value(_permuted('sn', 'n', 3), 'n', 15)}::VARCHAR AS asg,
+    (({beta(2, 10, mode + '.amount', 'sn')} * 1000000)::DECIMAL(24,6) * {rates})::DECIMAL(15,2) AS amount, {day} AS d0,
+    lpad({uint(1, 30, u('terms', 'cust', 'company'))}::VARCHAR, 4, '0') AS terms FROM numbered),
+ginv2 AS (
+  SELECT *, strftime(case when month(d0) = 2 and day(d0) = 29 then d0 - 1 else d0 end, '%Y%m%d') AS d,
+    case when {u(mode + '.billing_kind', 'sn')} < 0.2::DOUBLE then (5000000000 + {_permuted('sn', 'n', 4)} * (5000000000 // n)
+      + floor({u(mode + '.billing', 'sn')} * (5000000000 // n))::BIGINT)::VARCHAR else right(asg, 10) end AS bill FROM ginv),
+carried AS (
+  SELECT m, any_value(cat) AS cat, any_value(e) AS e, any_value(np) AS np, any_value(pb) AS pb, any_value(cust) AS cust,
+    any_value(company) AS company, any_value(cname) AS cname, any_value(stmt) AS stmt, any_value(cur) AS cur, any_value(land) AS land,
+    any_value(mp) AS mp, any_value(bf) AS bf, any_value(mn) AS mn, any_value(mt) AS mt, any_value(ip) AS ip, any_value(isep) AS isep,
+    sum(amount)::DECIMAL(15,2) AS total, max(d) AS last_d, list({{'s': slot, 'b': bill}} ORDER BY slot) AS ids,
+    arg_min(bill, slot) AS b0, arg_min(asg, slot) AS a0 FROM ginv2 GROUP BY m),
+parts AS (
+  SELECT *, unnest(range(0, np)) AS j, list_transform(range(1, np + 1), lambda x: {u(mode + '.part', 'm', 'x')}) AS w,
+    (total * 100)::BIGINT AS cents FROM carried),
+floors AS (
+  SELECT *, list_transform(w[1:np - 1], lambda x: floor(cents::DOUBLE * x / list_reduce(w, lambda p, q: p + q, 0.0::DOUBLE))::BIGINT) AS f
+  FROM parts),
+split AS (
+  SELECT *, pb + j AS pid, ((case when j < np - 1 then f[j + 1] else cents - coalesce(list_sum(f), 0) end)::DECIMAL(18,0) / 100)::DECIMAL(15,2)
+    AS amt FROM floors),
+noisy AS (
+  SELECT *, {n1} AS n1, {u(mode + '.noise1', 'pid')} AS nu, {has(ERRORS[2])} AS pb_, {has(ERRORS[3])} AS pa_,
+    {has(ERRORS[2])} or {show('show_billing')} AS sb, {has(ERRORS[3])} or {show('show_assignment')} AS sa,
+    {u(mode + '.show_one', 'pid')} < 0.5::DOUBLE AS byb FROM split),
+shown AS (
+  SELECT *, {noise_1} AS noise1,
+    case when cat = 'one_pay_multi_inv' then substr(list_reduce(list_transform(ids, lambda x, k: isep || replace(ip, '{{{{idx}}}}', (k - 1)::VARCHAR) ||
+        case when pb_ then {broken('x.b', mode + '.billing_of', 'pid', 'x.s')} else x.b end), lambda p, q: p || q), length(isep) + 1)
+      when pb_ then {broken('b0', mode + '.billing', 'pid')} when sb or (not sb and not sa and byb) then b0 else '' end AS tb,
+    case when cat = 'one_pay_multi_inv' then '' when pa_ then {broken('a0', mode + '.assignment', 'pid')}
+      when sa or (not sb and not sa and not byb) then a0 else '' end AS ta FROM noisy),
+gpay AS (
+  SELECT pid AS payment_id, case when {has(ERRORS[1])} then stmt else cname end AS pay_business_partner,
+    land || {_chars('0123456789', 2, 'account_check', 'cust', 'company')} || {_chars(LETTERS, 4, 'account_bank', 'cust', 'company')}
+      || {account} AS pay_account_number,
+    mp || case when bf then tb else ta end || ' ' || case when mn then noise1 || ' ' else '' end || case when bf then ta else tb end
+      || case when mt is not null then mt || {_chars('abcdefghijklmnopqrstuvwxyz0123456789', uint(3, 15, u(mode + '.noise2_len', 'pid')), mode + '.noise2', 'pid')}
+         else '' end AS pay_memo_line,
+    case when {has(ERRORS[0])} then (amt - {less})::DECIMAL(15,2) else amt end AS pay_amount, cur AS pay_currency,
+    {posted("strptime(last_d, '%Y%m%d')", 'floor(' + beta(2, 5, mode + '.posting', 'pid') + ' * 60)')} AS pay_posting_date
+  FROM shown)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -587,7 +712,7 @@ FROM orders GROUP BY ALL"""
     chosen = subset(ERRORS, [4, 3, 2, 1], uint(1, 4, u("size", "o_orderkey")), "set", "o_orderkey")
     q["perturbation_sets"] = f"SELECT o_orderkey, array_to_string(list_sort({chosen}), ',') AS errors FROM orders"
     q["beta_amounts"] = f"SELECT o_orderkey, floor({beta(2, 10, 'amount', 'o_orderkey')} * 1000000)::BIGINT AS usd FROM orders"
-    q["fx_amounts"] = (f"{i} SELECT invoice_id, (inv_amount::DECIMAL(18,6) * ({FX.format('inv_currency_code')}))::DECIMAL(15,2) "
+    q["fx_amounts"] = (f"{i} SELECT invoice_id, (inv_amount::DECIMAL(24,6) * ({FX.format('inv_currency_code')}))::DECIMAL(15,2) "
                        "AS converted FROM inv")
     q["unique_numbers"] = _unique()
     q["sap_numbers"] = f"SELECT o_orderkey, {uint(5, 15, u('digits', 'o_orderkey'))}::INT AS digits FROM orders"
@@ -653,12 +778,19 @@ FROM resp r JOIN prices p ON r.model = p.model GROUP BY r.model"""
     q["rule_match_by_error"] = (
         f"WITH {RULED}, e AS (SELECT truth, prediction, unnest(case when len(errors) = 0 then ['clean'] else errors end) AS label "
         f"FROM decided), c AS (SELECT label, {COUNTS} FROM e GROUP BY label) SELECT *, {dec(F1, 'f1')} FROM c")
-    q["generated_matches"] = f"""WITH {_plan()} SELECT m AS match_id, cat AS match_category,
+    q["generated_matches"] = f"""WITH {_plan('multi')} SELECT m AS match_id, cat AS match_category,
   array_to_string(list_sort(e), ',') AS perturbation_categories,
   array_to_string(range(ib::BIGINT, (ib + ni)::BIGINT), ',') AS invoice_ids,
   array_to_string(range(pb::BIGINT, (pb + np)::BIGINT), ',') AS payment_ids,
   array_to_string(list_sort(case when cat = 'one_pay_multi_inv' then list_filter(e, lambda x: x <> 'perturbed_assignment_number')
     else e end), ',') AS effective_perturbations FROM b"""
+    due = posted("strptime(d, '%Y%m%d')", "floor(" + beta(2, 5, "single.due", "sn") + " * 60)")
+    q["generated_invoices"] = f"""WITH {_generated('single')} SELECT iid AS invoice_id, '001' AS inv_client, company AS inv_company_code,
+  yr::INT AS inv_fiscal_year, doc AS inv_document_number, item AS inv_line_item_number, asg AS inv_assignment_number,
+  bill AS inv_billing_number, cid AS inv_customer_id, cname AS inv_customer_name, cur AS inv_currency_code,
+  land AS inv_country_key, amount AS inv_amount, d AS inv_document_date, {due} AS inv_due_date, terms AS inv_terms_of_payment
+FROM ginv2"""
+    q["generated_payments"] = f"WITH {_generated('multi')} SELECT * FROM gpay"
     q["csv_round_trip"] = q["view_descriptive"]
     q["csv_round_trip_documents"] = "SELECT doc_id, text, lang FROM documents"
     q["json_round_trip"] = f"""WITH {RESPONSES} SELECT pair_id, model, response_text,
