@@ -28,7 +28,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "16g")
-             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):

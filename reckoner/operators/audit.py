@@ -29,8 +29,9 @@ def with_model(df: DataFrame, models: DataFrame, max_models: int = 1000) -> Data
     if models.limit(max_models + 1).count() > max_models:
         raise ValueError(f"model catalogue has more than {max_models} rows")
     joined = df.join(F.broadcast(models), "model", "left")
-    unknown = F.raise_error(F.concat(F.lit("unknown model "), F.col("model"))).cast("int")
-    return joined.withColumn("max_context", F.coalesce("max_context", unknown))
+    unknown = F.raise_error(F.concat(F.lit("unknown model "), F.col("model")))
+    needed = ("cost_per_1k_input_tokens", "cost_per_1k_output_tokens", "max_context")
+    return joined.withColumns({c: F.coalesce(c, unknown.cast(models.schema[c].dataType)) for c in needed})
 
 
 def with_hash(requests: DataFrame) -> DataFrame:

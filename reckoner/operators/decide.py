@@ -60,10 +60,14 @@ def rule_scorer(weights: Mapping[str, float] = RULE_WEIGHTS, threshold: float =
 
 
 def attach_response(pairs: DataFrame, responses: DataFrame) -> DataFrame:
-    """Join responses by pair id; a pair without a response row raises."""
+    """Join responses by pair id; a pair without a response row raises.
+
+    The check sits in the ``choices`` column that every later step reads: as a filter it could be
+    optimised away by a later test for NULL."""
     found = pairs.join(responses.withColumn("_found", F.lit(True)), "pair_id", "left")
-    missing = F.raise_error(F.concat(F.lit("no response for pair "), F.col("pair_id").cast("string"))).cast("boolean")
-    return found.where(F.coalesce("_found", missing)).drop("_found")
+    missing = F.raise_error(F.concat(F.lit("no response for pair "), F.col("pair_id").cast("string")))
+    checked = F.when(F.col("_found"), F.col("choices")).otherwise(missing.cast(responses.schema["choices"].dataType))
+    return found.withColumn("choices", checked).drop("_found")
 
 
 def with_parsed(df: DataFrame, strip_punctuation: bool = False) -> DataFrame:

@@ -99,6 +99,8 @@ def customers_dim(spark: SparkSession, cfg: GenConfig, names: DataFrame | None =
     n, s = cfg.num_customers, cfg.seed
     ids = spark.range(n).withColumnRenamed("id", "customer")
     named = company_names(ids) if names is None else listed_names(names).where(F.col("customer") < n)
+    if names is not None and named.count() < n:
+        raise ValueError(f"too few names for {n} customers")
     key = "customer"
     space = 26**3 * 10**7
     step = space // n

@@ -12,7 +12,8 @@ def session(partitions: int = 8) -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
              .config("spark.sql.shuffle.partitions", str(partitions))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
