@@ -649,6 +649,8 @@ SELECT o_orderpriority, printf('%.2f ± %.2f', m, se) AS cell FROM s"""
     q["report_error_categories"] = _error_report()
     q["runs_from_names"] = (f"{s} SELECT doc_id, concat_ws('_', 'exp', model, schema_mode, perturbation_mode) AS name, model, "
                             "schema_mode, perturbation_mode FROM scored")
+    q["results_from_maps"] = (f"{s} SELECT model, 'match_category' AS grouping, match_category AS key, {COUNTS} FROM scored "
+                              "GROUP BY model, match_category")
     q["dense_ids"] = """SELECT l_orderkey, l_linenumber, sum(l_quantity)::BIGINT AS quantity,
   row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS line_id FROM lineitem GROUP BY l_orderkey, l_linenumber"""
     sizes = "WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) "
@@ -720,6 +722,9 @@ FROM orders GROUP BY ALL"""
     taken = "list_sort(list_distinct([o_custkey, (o_custkey * 7) % 100]))"
     drawn = skip(below(f"(SELECT count(*) FROM customer) - len({taken})", u("outside", "o_orderkey")), taken)
     q["draws_outside_list"] = f"SELECT o_orderkey, {drawn} AS other_customer FROM orders"
+    words = "['one', 'two', 'three', 'four', o_orderpriority]"
+    q["shuffled_lists"] = (f"SELECT o_orderkey, array_to_string(list_transform(list_sort(list_transform({words}, lambda w, x: "
+                           "{'k': " + u("shuffle", "x - 1", "o_orderkey") + ", 'w': w})), lambda s: s.w), ',') AS words FROM orders")
     at = below(36, u("chars", "x", "c_custkey"))
     q["random_texts"] = (f"SELECT c_custkey, array_to_string(list_transform(range(1, {uint(3, 15, u('len', 'c_custkey'))} + 1), "
                          f"lambda x: substr('abcdefghijklmnopqrstuvwxyz0123456789', {at} + 1, 1)), '') AS noise FROM customer")
@@ -790,6 +795,11 @@ FROM resp r JOIN prices p ON r.model = p.model GROUP BY r.model"""
   bill AS inv_billing_number, cid AS inv_customer_id, cname AS inv_customer_name, cur AS inv_currency_code,
   land AS inv_country_key, amount AS inv_amount, d AS inv_document_date, {due} AS inv_due_date, terms AS inv_terms_of_payment
 FROM ginv2"""
+    renamed = dict(zip(["doc", "item", "asg", "bill", "cid", "cname", "cur", "amount", "d"],
+                       ["BELNR", "BZUEI", "ZUONR", "VBELN", "KUNNR", "NAME1", "WAERS", "WRBTR", "BLDAT"]))
+    q["schema_views"] = (f"WITH {_generated('single')} SELECT iid AS invoice_id, '001' AS \"MANDT\", company AS \"BURKS\", "
+                         f"yr::INT AS \"GJAHR\", " + ", ".join(f'{k} AS "{v}"' for k, v in renamed.items())
+                         + f', {due} AS "ZFBDT" FROM ginv2')
     q["generated_payments"] = f"WITH {_generated('multi')} SELECT * FROM gpay"
     q["csv_round_trip"] = q["view_descriptive"]
     q["csv_round_trip_documents"] = "SELECT doc_id, text, lang FROM documents"

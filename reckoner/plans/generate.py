@@ -6,8 +6,8 @@ the one that numbers invoices and payments; totals per match are grouped inside
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -51,19 +51,31 @@ NAME_FORM = ("Inc", "LLC", "Group", "Ltd", "and Sons", "PLC")
 
 @dataclass(frozen=True)
 class GenConfig:
-    """Sizes and laws of a dataset."""
+    """Sizes and laws of a dataset; ``*_beta`` are the (alpha, beta) of Beta laws in whole numbers."""
     seed: int = 0
     num_customers: int = 50
     perturbation_probability: float = 0.75
+    category_weights: Mapping[str, float] = field(default_factory=lambda: dict(CATEGORY_WEIGHTS))
+    perturbation_weights: Mapping[str, float] = field(default_factory=lambda: dict(PERTURBATION_WEIGHTS))
+    currency_weights: Mapping[str, float] = field(default_factory=lambda: dict(CURRENCY_WEIGHTS))
     max_num_payments: int = 5
+    payments_beta: tuple[int, int] = (1, 5)
     max_num_invoices: int = 10
+    invoices_beta: tuple[int, int] = (2, 5)
     min_year: int = 2000
     max_year: int = 2024
     max_amount: int = 1_000_000
+    amount_beta: tuple[int, int] = (2, 10)
     max_days: int = 60
+    days_beta: tuple[int, int] = (2, 5)
     max_terms: int = 30
+    company_drop: int = 2
+    item_drop: int = 10
     not_from_assignment_number: float = 0.2
-    name_mode: str = "listed"  # payments of a renamed partner show the listed statement name, or a broken name
+    max_deduction_usd: float = 0.1
+    max_deduction_fraction: str = "0.1"
+    deduction_beta: tuple[int, int] = (3, 5)
+    name_mode: str = "listed"  # or "broken": what the payments of a renamed partner show
 
 
 # ---------------------------------------------------------------- dimensions
@@ -109,7 +121,7 @@ def customers_dim(spark: SparkSession, cfg: GenConfig, names: DataFrame | None =
                                   (F.pmod(F.floor(spot / F.lit(div)), F.lit(26)) + F.lit(1)).cast("int"), F.lit(1))
     customer_id = F.concat(letter(26**2 * 10**7), letter(26 * 10**7), letter(10**7),
                            F.lpad(F.pmod(spot, F.lit(10**7)).cast("string"), 7, "0"))
-    currency = draws.weighted(list(CURRENCY_WEIGHTS), list(CURRENCY_WEIGHTS.values()), u01(s, "currency", key))
+    currency = draws.weighted(list(cfg.currency_weights), list(cfg.currency_weights.values()), u01(s, "currency", key))
     by_currency = F.create_map(*[x for k, v in COUNTRIES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     country_names = F.create_map(*[F.lit(x) for kv in COUNTRY_NAMES.items() for x in kv])
     tail = F.when(u01(s, "tail", key) < F.lit(0.5), draws.pick(MEMO_TAILS, u01(s, "tail_word", key))).otherwise(F.lit(""))
@@ -147,16 +159,16 @@ def plan_matches(keys: DataFrame, cfg: GenConfig, mode: str) -> DataFrame:
     """Category, planted errors and group sizes of each ``match_id``."""
     check_mode(mode, PERTURBATION_MODES, "perturbation mode")
     s, key = cfg.seed, "match_id"
-    category = draws.weighted(list(CATEGORY_WEIGHTS), list(CATEGORY_WEIGHTS.values()), u01(s, mode + ".category", key))
-    names, weights = list(PERTURBATION_WEIGHTS), list(PERTURBATION_WEIGHTS.values())
+    category = draws.weighted(list(cfg.category_weights), list(cfg.category_weights.values()), u01(s, mode + ".category", key))
+    names, weights = list(cfg.perturbation_weights), list(cfg.perturbation_weights.values())
     if mode == "single":
         errors = F.array(draws.weighted(names, weights, u01(s, "single.error", key)))
     else:
         size = uint(1, len(names), u01(s, "multi.errors", key))
         errors = draws.weighted_subset(names, weights, size, s, "multi.error", key)
     dirty = u01(s, mode + ".dirty", key) < F.lit(cfg.perturbation_probability)
-    payments = F.lit(2) + F.floor(beta(1, 5, s, mode + ".payments", key) * F.lit(cfg.max_num_payments - 2))
-    invoices = F.lit(2) + F.floor(beta(2, 5, s, mode + ".invoices", key) * F.lit(cfg.max_num_invoices - 2))
+    payments = F.lit(2) + F.floor(beta(*cfg.payments_beta, s, mode + ".payments", key) * F.lit(cfg.max_num_payments - 2))
+    invoices = F.lit(2) + F.floor(beta(*cfg.invoices_beta, s, mode + ".invoices", key) * F.lit(cfg.max_num_invoices - 2))
     planned = keys.select(key).withColumn("match_category", category)
     return planned.withColumns({
         "perturbation_categories": F.when(dirty, errors).otherwise(F.array().cast("array<string>")),
@@ -210,18 +222,20 @@ Filler = tuple[str, Callable[[Context], Column]]
 # this list to generate further columns.
 INVOICE_FILLERS: list[Filler] = [
     ("inv_client", lambda c: F.lit("001")),
-    ("inv_company_code", lambda c: draws.exp_drop([f"{i}000" for i in range(1, 10)], 2, c.u("company", "match_id"))),
+    ("inv_company_code", lambda c: draws.exp_drop([f"{i}000" for i in range(1, 10)], c.cfg.company_drop,
+                                                     c.u("company", "match_id"))),
     ("inv_fiscal_year", lambda c: uint(c.cfg.min_year, c.cfg.max_year, c.u("year", "match_id")).cast("int")),
     ("inv_document_number", lambda c: draws.unique_value(c.unique_rank(5), c.n_slots, 10).cast("string")),
-    ("inv_line_item_number", lambda c: draws.exp_drop([f"00{i}" for i in range(1, 10)], 10, c.u("item", "_slot_number"))),
+    ("inv_line_item_number", lambda c: draws.exp_drop([f"00{i}" for i in range(1, 10)], c.cfg.item_drop,
+                                                         c.u("item", "_slot_number"))),
     ("inv_assignment_number", _assignment),
     ("inv_billing_number", _billing),
     ("inv_amount", lambda c: money.to_currency(
-        c.beta(2, 10, "amount", "_slot_number") * F.lit(c.cfg.max_amount), F.col("inv_currency_code"))),
+        c.beta(*c.cfg.amount_beta, "amount", "_slot_number") * F.lit(c.cfg.max_amount), F.col("inv_currency_code"))),
     ("inv_document_date", lambda c: money.format_day(
         money.day_in_year(F.col("inv_fiscal_year"), c.u("document", "_slot_number")))),
     ("inv_due_date", lambda c: money.add_days(F.col("inv_document_date"), F.floor(
-        c.beta(2, 5, "due", "_slot_number") * F.lit(c.cfg.max_days)))),
+        c.beta(*c.cfg.days_beta, "due", "_slot_number") * F.lit(c.cfg.max_days)))),
     ("inv_terms_of_payment", lambda c: F.lpad(uint(1, c.cfg.max_terms, u01(
         c.cfg.seed, "terms", "customer", "inv_company_code")).cast("string"), 4, "0")),
 ]
@@ -300,6 +314,7 @@ def memo_line(c: Context) -> Column:
 
 def _partner(c: Context) -> Column:
     name = F.col("inv_customer_name")
+    check_mode(c.cfg.name_mode, ("listed", "broken"), "name mode")
     if c.cfg.name_mode == "listed":
         missing = F.raise_error(F.concat(F.lit("no statement name for "), name)).cast("string")
         other = F.coalesce(F.col("bank_statement"), missing)
@@ -313,10 +328,11 @@ PAYMENT_FILLERS: list[Filler] = [
     ("pay_account_number", lambda c: account_number(c.cfg)),
     ("pay_memo_line", memo_line),
     ("pay_amount", lambda c: F.when(has("small_deduction"), money.small_deduction(
-        F.col("_amount"), F.col("inv_currency_code"), c.beta(3, 5, "deduction", "payment_id"))).otherwise(F.col("_amount"))),
+        F.col("_amount"), F.col("inv_currency_code"), c.beta(*c.cfg.deduction_beta, "deduction", "payment_id"),
+        c.cfg.max_deduction_usd, c.cfg.max_deduction_fraction)).otherwise(F.col("_amount"))),
     ("pay_currency", lambda c: F.col("inv_currency_code")),
     ("pay_posting_date", lambda c: money.add_days(F.col("last_document_date"), F.floor(
-        c.beta(2, 5, "posting", "payment_id") * F.lit(c.cfg.max_days)))),
+        c.beta(*c.cfg.days_beta, "posting", "payment_id") * F.lit(c.cfg.max_days)))),
 ]
 
 

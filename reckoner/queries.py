@@ -207,6 +207,15 @@ def runs_from_names(spark, sf):
     return tables.runs_from_names(named)
 
 
+@query
+def results_from_maps(spark, sf):
+    """Counts per category written as one JSON map per model, and read back as rows."""
+    counts = confusion.confusion_by(scored(spark, sf), ["model", "match_category"])
+    entry = F.struct("match_category", F.struct(*confusion.COUNTS))
+    maps = counts.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("result"))
+    return tables.results_from_maps(maps, "result", "match_category")
+
+
 # ---------------------------------------------------------------- numbering
 
 @query
@@ -470,6 +479,13 @@ def sampled_without_replacement(spark, sf):
         draws.sample_k(97, 5, own, SEED, "sample", "o_orderkey"), ",").alias("drawn"))
 
 
+@query
+def shuffled_lists(spark, sf):
+    o = bridge.table(spark, sf, "orders")
+    words = F.array(*[F.lit(w) for w in ("one", "two", "three", "four")], F.col("o_orderpriority"))
+    return o.select("o_orderkey", F.array_join(draws.shuffled(words, SEED, "shuffle", "o_orderkey"), ",").alias("words"))
+
+
 @query
 def draws_outside_list(spark, sf):
     """A customer from outside a short list of customers, per order."""
@@ -727,6 +743,13 @@ def generated_payments(spark, sf):
     return generated(spark, sf, "multi")["payments"]
 
 
+@query
+def schema_views(spark, sf):
+    """Opaque invoices of the generated dataset, out of all its views."""
+    t = generated(spark, sf, "single")
+    return views.schema_views(t["invoices"], t["payments"], t["matches"])["opaque", "invoices"]
+
+
 # ---------------------------------------------------------------- files
 
 def _folder(spark: SparkSession, name: str) -> str:
