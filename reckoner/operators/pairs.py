@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.functions.draws import draw_outside_range, u01
 from reckoner.operators.ranks import dense_id, running_totals_dense
+from reckoner.session import written_table
 
 KINDS = ("match", "invoice_driven", "payment_driven")
 
@@ -49,9 +50,11 @@ class PairPlan:
         per_match = (info.join(inv, "match_id").join(pay, "match_id").withColumn("pairs", i + i * p + p))
         # the first invoice numbers of the matches are in match order and start ranges of 0..n-1
         n = self.invoices.agg(F.count(F.lit(1))).scalar()
-        self.matches = running_totals_dense(per_match, "inv_start", ["pairs"], n).drop("_slice")
+        matches = running_totals_dense(per_match, "inv_start", ["pairs"], n).drop("_slice")
         if limit is not None:
-            self.matches = self.matches.where(F.col("pairs_before") < limit)
+            matches = matches.where(F.col("pairs_before") < limit)
+        # one slim row per match, read by both sides of ``rows``: written instead of computed twice
+        self.matches = written_table(matches, "match-ranges")
 
     def rows(self, *kinds: str) -> DataFrame:
         """Pairs of the given kinds (all without arguments). Positives are listed by the side with
