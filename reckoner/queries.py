@@ -24,7 +24,8 @@ QUERIES: dict[str, Query] = {}
 
 def query(f: Query) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return f(configure(spark), sf)
+        configure(spark).conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold plain UTC times
+        return f(spark, sf)
 
     QUERIES[f.__name__] = run
     return f
