@@ -1,3 +1,71 @@
-"""SQL for the queries of this package that SQL can express, written for DuckDB over the same tables."""
+"""SQL for the queries of this package that SQL can express, written for DuckDB over the same tables.
 
-SQL: dict[str, str] = {}
+The statements state the result plainly (every template against every block, one ordering per source) and share only
+constants with the operators.
+"""
+
+from __future__ import annotations
+
+from reckoner.llm import licenses, mixing
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def texts(values) -> str:
+    return "[" + ", ".join(map(text, values)) + "]"
+
+
+def _templates() -> str:
+    rows = ", ".join(f"({i}, {text(t.label)}, {'true' if t.phrase else 'false'}, {texts(t.words)}, {texts(sorted(set(t.words)))}, "
+                     f"{licenses.needed(t, licenses.THRESHOLD)})" for i, t in enumerate((*licenses.PHRASES, *licenses.NOTICES)))
+    return f"SELECT * FROM (VALUES {rows}) AS t(number, label, phrase, seq, bag, need)"
+
+
+LICENSES = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+t AS ({_templates()}),
+starts AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+places AS (SELECT r, label, i, 1.0::DOUBLE AS share FROM starts, t WHERE phrase AND w[i + 1] = seq[1] AND w[i + 1:i + len(seq)] = seq),
+blocks AS (SELECT r, w[{licenses.STRIDE} * k + 1:{licenses.STRIDE} * k + {licenses.WIDTH}] AS b
+           FROM (SELECT r, w, unnest(range((len(w) + {licenses.STRIDE - 1}) // {licenses.STRIDE})) AS k FROM d)),
+notices AS (SELECT r, label, len(list_intersect(bag, b)) AS n, len(bag) AS m, need FROM blocks, t WHERE NOT phrase),
+hits AS (SELECT r, label, i, share FROM places
+         UNION ALL SELECT r, label, NULL, n::DOUBLE / m FROM notices WHERE n >= need),
+found AS (SELECT r, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, max(share) AS score,
+                 list_sort(list_distinct(list(label) FILTER (WHERE i IS NOT NULL))) AS base,
+                 list_sort(list_distinct(list(label))) AS every
+          FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+       coalesce(array_to_string(every, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)"""
+
+MIX = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, {mixing.MAX_REPEAT}.0::DOUBLE * sum(size) AS most,
+             [{', '.join(f'{w}::DOUBLE' for w in mixing.WEIGHTS)}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1] AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER up AS k, sum(source_size) OVER () - coalesce(sum(most) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS due,
+             sum(w) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+      FROM s WINDOW up AS (ORDER BY most / w, source)),
+cut AS (SELECT k AS first, due, rest FROM o WHERE due * w / rest <= most ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN first IS NULL OR k < first THEN most ELSE cut.due * w / cut.rest END AS target FROM o LEFT JOIN cut ON true),
+e AS (SELECT r, doc_id, d.source, size, source_size, target,
+             CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS f,
+             ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', 'mix', doc_id)), 1, 13))::BIGINT::DOUBLE / {float(2**52)!r} AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ranked AS (SELECT *, floor(f)::BIGINT AS whole, CASE WHEN f > floor(f) THEN u / (1 - u) / ((f - floor(f)) / (1 - (f - floor(f)))) END AS q FROM e),
+summed AS (SELECT *, coalesce(sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q, doc_id, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                  sum(whole * size) OVER (PARTITION BY source) AS sure FROM ranked)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (whole + CASE WHEN q IS NOT NULL AND size > 0 AND before + size / 2 <= target - sure THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM summed"""
+
+SQL: dict[str, str] = {"op2_license_scan": LICENSES, "op3_source_mix": MIX}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, packing
+from reckoner.llm import binary, licenses, mixing, packing
 from reckoner.llm.common import table
 from reckoner.session import shared_folder
 
@@ -26,6 +26,17 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.labelled(table(spark, sf, "documents"))
+
+
+@query
+def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query
 def op10_token_binary(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/reckoner/binary-{uuid.uuid4().hex}"
