@@ -6,7 +6,7 @@ constants with the operators.
 
 from __future__ import annotations
 
-from reckoner.llm import licenses, mixing
+from reckoner.llm import licenses, lines, mixing
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -68,4 +68,30 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (whole + CASE WHEN q IS NOT NULL AND size > 0 AND before + size / 2 <= target - sure THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM summed"""
 
-SQL: dict[str, str] = {"op2_license_scan": LICENSES, "op3_source_mix": MIX}
+WORD = "'[^\\x20\\x09-\\x0D]+'"
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, source IS NULL AS none, coalesce(text, '') AS x, text IS NULL AS empty,
+                  regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+grams AS (SELECT r, i, w[i + 1:i + 3] AS g FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM d)),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams), (SELECT unnest([0, 1, 2]) AS k)
+             WHERE c > 1 GROUP BY r),
+cut AS (SELECT r, host, none, x, line, len(regexp_extract_all(line, {WORD})) AS n,
+               trim(translate(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), '{UPPER}123456789', '{UPPER.lower()}000000000'), ' ') AS norm
+        FROM (SELECT r, host, none, x, unnest(string_split(x, chr(10))) AS line FROM d)),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM cut WHERE n > 0 GROUP BY r),
+common AS (SELECT host, none, norm FROM cut WHERE n > 0 GROUP BY host, none, norm
+           HAVING count(DISTINCT x) > {lines.LINE_DOCS}
+              AND count(DISTINCT x) > {lines.LINE_SHARE}::DOUBLE * (SELECT count(DISTINCT (y.x, y.empty)) FROM d y WHERE y.host = cut.host AND y.none = cut.none)),
+removed AS (SELECT r, sum(n) AS n FROM cut JOIN common USING (host, none, norm) WHERE cut.n > 0 GROUP BY r),
+c AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+             coalesce(repeated.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS removed_words
+      FROM d LEFT JOIN dups USING (r) LEFT JOIN repeated USING (r) LEFT JOIN removed USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       (n_words < {lines.MIN_WORDS} OR 100 * n_repeat_words > {lines.MAX_REPEATED} * n_words) AS base_failed, removed_words::BIGINT AS removed_words,
+       NOT (n_words < {lines.MIN_WORDS} OR 100 * n_repeat_words > {lines.MAX_REPEATED} * n_words)
+         AND n_words - removed_words >= {lines.DEPLETED}::DOUBLE * n_words AS kept
+FROM c"""
+
+SQL: dict[str, str] = {"op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}

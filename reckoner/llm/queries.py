@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, licenses, mixing, packing
+from reckoner.llm import binary, html, licenses, lines, mixing, packing
 from reckoner.llm.common import table
 from reckoner.session import shared_folder
 
@@ -42,3 +42,13 @@ def op10_token_binary(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/reckoner/binary-{uuid.uuid4().hex}"
     binary.write(table(spark, sf, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), "spaces")
     return binary.read(spark, folder)
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.judge(table(spark, sf, "documents"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract(table(spark, sf, "pages"))
