@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reckoner.session import shared_folder, written_table
@@ -11,6 +13,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from the folder it is installed in. On a cluster without it, ship it with ``--py-files``."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -29,6 +39,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def digest_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has no more): those with the smallest digests of ``key``, found by a share of the
+    digest's range. Nothing is sorted, and the same rows come each time."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(key), F.lit(2**30)) < F.lit(int(share * 2**30)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to ``spark.checkpoint.dir`` with its lineage cut; Spark removes the copy when
     it is no longer referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
@@ -38,4 +55,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-__all__ = ["SPACE", "table", "lower_ascii", "words", "partitions", "checkpointed", "written_table"]
+__all__ = ["SPACE", "on_workers", "table", "lower_ascii", "words", "partitions", "digest_sample", "checkpointed", "written_table"]

@@ -18,7 +18,9 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SAMPLE = 2_000  # pages with a marked article that the weights are fitted on, at most
+from reckoner.llm.common import digest_sample
+
+SAMPLE = 2_000  # pages with a marked article that the weights are fitted on, about, at most
 #: Element names of HTML by their role.
 RAW = "script style noscript template iframe svg object canvas textarea select option datalist math audio video head title".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +41,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(
 #: Prior counts (inside, outside) of token kinds; learned counts are added to them.
 PRIOR = {"word": (60, 20), "word in a": (2, 40), "word aside": (1, 400), "p": (10, 2), "a": (4, 30), "li": (4, 20), "ul": (1, 8), "div": (4, 20),
          "h": (4, 4), "table": (2, 6), "inline": (8, 8), "other": (3, 6)}
-PRIOR_WEIGHT = 20.0
+PRIOR_TOKENS, TRUST = 1_000, 0.5  # tokens after which learned counts weigh half of what they may; the most they may
 KINDS = {**dict.fromkeys("p br blockquote pre".split(), "p"), "a": "a", "li": "li", **dict.fromkeys("ul ol nav menu footer aside form".split(), "ul"),
          **dict.fromkeys("div section".split(), "div"), **dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "h"),
          **dict.fromkeys("table tr td th tbody thead".split(), "table"), **dict.fromkeys("b i em strong span u code sub sup small q cite mark".split(), "inline")}
@@ -142,14 +144,19 @@ def learn(page: Page) -> tuple[Counter, Counter]:
 
 
 def weights(inside: dict[str, float], outside: dict[str, float]) -> dict[str, float]:
-    """Log-likelihood ratios of token kinds: shares of the learned counts, averaged with the prior's."""
-    total = [max(1, sum(x.values())) for x in (inside, outside)]
-    prior = [sum(v[i] for v in PRIOR.values()) for i in (0, 1)]
-    mass = [min(1.0, t / 1000) * 200 for t in total]
-    share = lambda x, i, k: (PRIOR[k][i] / prior[i] * PRIOR_WEIGHT * 10 + x.get(k, 0) / total[i] * mass[i]) / (PRIOR_WEIGHT * 10 + mass[i])
-    out = {k: math.log(share(inside, 0, k) / share(outside, 1, k)) for k in PRIOR}
-    # a word is worth something and a tag costs something, whatever the pages say
-    return {k: max(v, 0.2) if k == "word" else min(v, -0.05) if k != "word in a" and not k.startswith("word") else min(v, -0.1) for k, v in out.items()}
+    """Log-likelihood ratios of token kinds, from learned shares averaged with those of the prior."""
+    def share(counts: dict[str, float], side: int, kind: str) -> float:
+        prior = PRIOR[kind][side] / sum(v[side] for v in PRIOR.values())
+        seen = sum(counts.values())
+        trust = seen / (seen + PRIOR_TOKENS)  # of what the pages say
+        return (1 - TRUST * trust) * prior + TRUST * trust * counts.get(kind, 0) / max(1, seen)
+
+    out = {}
+    for kind in PRIOR:
+        ratio = math.log(share(inside, 0, kind) / share(outside, 1, kind))
+        # a word of running text is worth something; a link, a side text and a tag cost something, whatever the pages say
+        out[kind] = max(ratio, 0.2) if kind == "word" else min(ratio, -0.1 if kind.startswith("word") else -0.05)
+    return out
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -194,7 +201,7 @@ def main_text(source: str | None, weight: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from the first ``sample`` pages, in the order of a digest, that mark an article; without such pages, those of the prior."""
+    """Weights from about ``sample`` pages, chosen by a digest, that mark an article; without such pages, those of the prior."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = Counter(), Counter()
         for frame in frames:
@@ -204,7 +211,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
         yield pd.DataFrame([(k, i, n) for i, t in enumerate(total) for k, n in t.items()], columns=["kind", "side", "n"])
 
     marked = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    some = marked.orderBy(F.xxhash64("html"), "html").limit(sample)
+    some = digest_sample(marked, F.col("html"), sample)
     rows = some.mapInPandas(count, "kind string, side int, n long").groupBy("kind", "side").agg(F.sum("n").alias("n")).collect()
     return weights(*[{r["kind"]: r["n"] for r in rows if r["side"] == i} for i in (0, 1)])
 

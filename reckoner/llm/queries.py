@@ -8,15 +8,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, html, licenses, lines, mixing, packing
-from reckoner.llm.common import table
+from reckoner.llm import binary, html, licenses, lines, mixing, packing, toxicity
+from reckoner.llm.common import on_workers, table
 from reckoner.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__] = lambda spark, sf: f(on_workers(spark), sf)
     return f
 
 
@@ -52,3 +52,8 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(table(spark, sf, "pages"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
