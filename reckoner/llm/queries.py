@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, html, licenses, lines, mixing, packing, toxicity
+from reckoner.llm import binary, html, licenses, lines, mixing, packing, perplexity, toxicity
 from reckoner.llm.common import on_workers, table
 from reckoner.session import shared_folder
 
@@ -57,3 +57,8 @@ def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
