@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, html, licenses, lines, mixing, packing, perplexity, simhash, toxicity
+from reckoner.llm import binary, html, licenses, lines, mixing, packing, perplexity, simhash, toxicity, vectors
 from reckoner.llm.common import on_workers, table
 from reckoner.session import shared_folder
 
@@ -68,3 +68,8 @@ def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.grouped(table(spark, sf, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.linked(table(spark, sf, "embeddings"))
