@@ -35,6 +35,11 @@ def words(text: Column, separators: str = SPACE) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one named ``row``, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,4 +60,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-__all__ = ["SPACE", "on_workers", "table", "lower_ascii", "words", "partitions", "digest_sample", "checkpointed", "written_table"]
+__all__ = ["SPACE", "on_workers", "table", "lower_ascii", "words", "whole_row", "partitions", "digest_sample", "checkpointed", "written_table"]

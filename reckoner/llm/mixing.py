@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reckoner.functions.draws import u01
-from reckoner.llm.common import words, written_table
+from reckoner.llm.common import whole_row, words, written_table
 from reckoner.operators.ranks import dense_id
 
 WEIGHTS = (5, 2, 1)
@@ -94,11 +94,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = M
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with all its columns, each row as often as the mix takes it. Rows with the same doc_id and text are
     told apart by their number only."""
-    per_row = (mix(docs, **options).groupBy("doc_id", "_digest")
+    per_row = (mix(docs, **options).groupBy(F.col("doc_id").alias("_doc"), "_digest")
                .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
-    left = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    left = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
     number = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))
-    joined = left.join(per_row, F.col("_id").eqNullSafe(per_row["doc_id"]) & (F.col("_text") == per_row["_digest"])).drop(per_row["doc_id"])
     times = F.floor(F.col("_copies") / F.col("_rows")) + (number <= F.col("_copies") % F.col("_rows")).cast("long")
-    return (joined.withColumn("_times", times.cast("int")).where(F.col("_times") > 0)
-            .withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    return (left.join(per_row, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_digest")))
+            .withColumn("_times", times.cast("int")).where(F.col("_times") > 0)
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*"))

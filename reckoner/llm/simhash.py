@@ -19,9 +19,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reckoner.llm.common import partitions, written_table
+from reckoner.llm.common import partitions, whole_row, written_table
 from reckoner.llm.components import components
 from reckoner.llm.lines import split_words
 
@@ -167,9 +167,8 @@ def grouped(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row per group: that of its least doc_id (the first by text, if the id is repeated). All columns stay."""
-    from pyspark.sql.window import Window
-
     keep = grouped(docs, **options).select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return rows.withColumn("_number", number).where("_number = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    rows = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("_id").orderBy("_text", "row.text"))
+    return rows.withColumn("_number", number).where("_number = 1").select("row.*")

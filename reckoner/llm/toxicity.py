@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reckoner.llm.common import checkpointed, digest_sample
 
@@ -206,19 +206,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     return grammar
 
 
-def scored(docs: DataFrame, grammar: Grammar, name: str = "toxicity") -> DataFrame:
-    """``docs`` with the score (0 to 1) of each whole text; NULL text is empty."""
-    import pyspark.sql.types as T
-
+def scorer(grammar: Grammar):
+    """A function from a text column to the score (0 to 1) of each whole text; NULL text is empty."""
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield series.map(grammar.score, na_action=None).astype("float64")
+            yield pd.Series([grammar.score(x) for x in series], dtype="float64")
 
-    return docs.withColumn(name, F.pandas_udf(run, T.DoubleType())(F.col("text").cast("string")))
+    return F.pandas_udf(run, T.DoubleType())
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) per document; doc_id NULL is not held out. Repeated rows get the same score."""
-    score = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels), "score")
-    return score.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+    score = scorer(fit(docs, labels))(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score")).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                         (F.col("score") >= threshold).cast("int").alias("predicted"))
