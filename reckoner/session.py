@@ -31,11 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written_table(df: DataFrame, name: str) -> DataFrame:
+def written_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what was drawn from partition
     boundaries stays fixed when an executor is lost and its tasks run again."""
     path = f"{shared_folder(df.sparkSession)}/reckoner/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
