@@ -95,15 +95,19 @@ def sap_number(digits: int | Column, u: Column) -> Column:
     return (base.cast("bigint") + offset).cast("string")
 
 
-MERSENNE = 2**61 - 1  # a prime, hence coprime to every smaller n
+# Primes, hence coprime to every smaller n; the first whose remainder is no short step is the multiplier.
+PRIMES = (2**61 - 1, 10**15 + 37, 10**14 + 31, 10**13 + 37, 10**12 + 39)
 
 
 def permuted(index: Column, n: int | Column, seed: int) -> Column:
-    """Bijection of 0..n-1: ``(index * a + shift) mod n`` with a prime ``a`` above any n in use."""
+    """Bijection of 0..n-1: ``(index * a + shift) mod n``. ``a`` is the remainder of the first prime that lies between n/5 and
+    4n/5, so that consecutive ranks are far apart."""
     if isinstance(n, int) and n < 2**31:  # the product fits BIGINT
-        return F.pmod(index.cast("bigint") * F.lit(MERSENNE % n) + F.lit(seed % n), F.lit(n))
+        a = next((p % n for p in PRIMES if n <= 5 * (p % n) <= 4 * n), PRIMES[-1] % n)
+        return F.pmod(index.cast("bigint") * F.lit(a) + F.lit(seed % n), F.lit(n))
     n = (n if isinstance(n, Column) else F.lit(n)).cast("decimal(17,0)")
-    a = (F.lit(MERSENNE).cast("decimal(20,0)") % n).cast("decimal(17,0)")
+    rest = [(F.lit(p).cast("decimal(20,0)") % n).cast("decimal(17,0)") for p in PRIMES]
+    a = F.coalesce(*[F.when((r * 5 >= n) & (r * 5 <= n * 4), r) for r in rest], rest[-1])
     return ((index.cast("decimal(17,0)") * a + F.lit(seed).cast("decimal(17,0)")) % n).cast("bigint")
 
 

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.functions.draws import u01
 from reckoner.operators.confusion import COUNTS, confusion_aggs, f1
+from reckoner.operators.keyed import with_key_values
 
 
 def bootstrap_f1(counts: DataFrame, keys: Sequence[str], rounds: int = 1000, seed: int = 0) -> DataFrame:
@@ -40,13 +41,21 @@ def _f1_spread(counts: np.ndarray, rounds: int, seed: int) -> float:
     return float(scores.std(ddof=1))
 
 
+def delta_f1_se(tp: Column, fp: Column, fn: Column) -> Column:
+    """What the bootstrap estimates, in closed form by the delta method: the multinomial counts enter F1 through
+    tp and fp + fn only, and their weighted slopes add up to zero."""
+    missed, under = (fp + fn).cast("double"), (F.lit(2) * tp + fp + fn).cast("double")
+    root = F.sqrt(tp.cast("double") * missed * (tp.cast("double") + missed))
+    return F.when(under > 0, F.lit(2.0) * root / (under * under)).otherwise(F.lit(0.0))
+
+
 def bootstrap_f1_rows(df: DataFrame, key: str, rounds: int, seed: int, row_key: str,
                       prediction: str = "prediction", truth: str = "truth") -> DataFrame:
     """The same row by row, keyed so that another engine can repeat it: in each round each row draws
     an outcome of its group in proportion to the group's counts. Draws are counted per task."""
     counts = df.groupBy(key).agg(*confusion_aggs(prediction, truth))
     total = sum((F.col(c) for c in COUNTS), F.lit(0))
-    drawn = (df.select(key, row_key).join(counts, key)
+    drawn = (with_key_values(df.select(key, row_key), counts, [key])
              .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
              .withColumn("_at", F.floor(u01(seed, "boot", "round", row_key) * total)))
     upto_tp, upto_fp = F.col("TP"), F.col("TP") + F.col("FP")

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reckoner.operators.keyed import with_key_values
+
 COUNTS = ("TP", "FP", "TN", "FN")
 
 
@@ -98,7 +100,7 @@ def assert_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bad = F.raise_error(F.concat(F.lit("expected one row per key, found "), F.col("_n").cast("string")))
     checked = counted.withColumn("_n", F.when(F.col("_n") == 1, F.col("_n")).otherwise(bad.cast("bigint")))
-    return df.join(checked, list(keys)).where(F.col("_n") == 1).drop("_n")
+    return with_key_values(df, checked, keys).where(F.col("_n") == 1).drop("_n")
 
 
 def error_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

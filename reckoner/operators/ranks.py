@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reckoner.operators.keyed import with_key_values
 from reckoner.session import written_table
 
 SLICE_SHIFT = 33  # monotonically_increasing_id: partition number above, row number below
@@ -94,7 +95,7 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
     so that a group with a third of all rows is numbered by many tasks."""
     whole = dense_id(df, [*group, *order], "_index")
     starts = whole.groupBy(*group).agg(F.min("_index").alias("_start"))
-    return (whole.join(starts, list(group)).withColumn(name, F.col("_index") - F.col("_start"))
+    return (with_key_values(whole, starts, group).withColumn(name, F.col("_index") - F.col("_start"))
             .drop("_index", "_start"))
 
 
@@ -107,7 +108,7 @@ def with_part(df: DataFrame, group: Sequence[str], member: str, chunk: int) -> D
     large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
     spread = F.conv(F.substring(F.md5(F.col(member).cast("string")), 1, 13), 16, 10).cast("bigint")
     part = F.pmod(spread, F.ceil(F.col("_n") / F.lit(float(chunk)))).cast("int")
-    return df.join(large, list(group), "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("_n")
+    return with_key_values(df, large, group, "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("_n")
 
 
 def member_chunks(df: DataFrame, group: Sequence[str], member: str, chunk: int = 10_000,

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from reckoner.operators.keyed import with_key_values
 from reckoner.operators.ranks import first_per_key, with_part
 from reckoner.schema import SCHEMA_MODES, attributes, check_mode, member_tables
 
@@ -51,7 +52,7 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str], id_col: str, chunk: int =
     lists = (with_part(df.select(*keys, id_col), keys, id_col, chunk)
              .groupBy(*keys, "part").agg(F.sort_array(F.collect_list(id_col)).alias(id_col)))
     if rest:
-        lists = lists.join(first_per_key(df, keys, id_col).drop(id_col), list(keys))
+        lists = with_key_values(lists, first_per_key(df, keys, id_col).drop(id_col), keys)
     return lists.select(id_col, *[c for c in df.columns if c != id_col], "part")
 
 

@@ -415,6 +415,23 @@ def _sampled() -> str:
             f"SELECT o_orderkey, array_to_string(t[2:], ',') AS drawn FROM {prev}")
 
 
+#: Standard error of F1 by the delta method.
+CLOSED_SE = ('CASE WHEN 2*"TP" + "FP" + "FN" = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * sqrt("TP"::DOUBLE * ("FP" + "FN")::DOUBLE * ("TP"::DOUBLE + ("FP" + "FN")::DOUBLE)) '
+             '/ ((2*"TP" + "FP" + "FN")::DOUBLE * (2*"TP" + "FP" + "FN")::DOUBLE) END')
+
+
+def _difficulty_cells() -> str:
+    cells = [("initial data", "schema_mode = 'opaque' AND grouping = 'clean' AND key = 'one_pay_one_inv'"),
+             ("+ errors", "schema_mode = 'opaque' AND grouping = 'dirty' AND key = 'one_pay_one_inv'"),
+             ("+ multi-matches", "schema_mode = 'opaque' AND grouping = 'dirty' AND key <> 'one_pay_one_inv'"),
+             ("+ multiple tables", "schema_mode = 'multi-table' AND grouping = 'dirty' AND key <> 'one_pay_one_inv'")]
+    each = " UNION ALL ".join(f"SELECT model, '{n}' AS scenario, {SUMS} FROM results WHERE perturbation_mode = 'multi' AND {w} GROUP BY model" for n, w in cells)
+    text = "printf('%.2f ± %.2f', round(f::DECIMAL(20,12), 2)::DOUBLE, round(se::DECIMAL(20,12), 2)::DOUBLE)"
+    wide = ", ".join(f"max(CASE WHEN scenario = '{n}' THEN {text} END) AS \"{n}\"" for n, _ in cells)
+    return (f"WITH {SCORED}, {GROUPS}, c AS ({each}), s AS (SELECT model, scenario, {F1} AS f, {CLOSED_SE} AS se FROM c) "
+            f"SELECT model, {wide} FROM s GROUP BY model")
+
+
 def _difficulty() -> str:
     cells = [("initial_data", "schema_mode = 'opaque' and grouping = 'clean' and key = 'one_pay_one_inv'"),
              ("errors", "schema_mode = 'opaque' and grouping = 'dirty' and key = 'one_pay_one_inv'"),
@@ -472,7 +489,7 @@ SELECT invoice_id,
 
 def _unique() -> str:
     return f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
-r AS (SELECT *, ((i::HUGEINT * (2305843009213693951::HUGEINT % n) + {SEED}) % n)::BIGINT AS rank FROM o)
+r AS (SELECT *, ((i::HUGEINT * {_step("n")} + {SEED}) % n)::BIGINT AS rank FROM o)
 SELECT o_orderkey, rank, 1000000000 + rank + floor(-expm1_(n, rank) * 999999999)::BIGINT AS number FROM r""".replace(
         "-expm1_(n, rank)", "(1.0::DOUBLE - exp(ln(1.0::DOUBLE - rank::DOUBLE / n) / 100000.0::DOUBLE))")
 
@@ -496,8 +513,14 @@ def _texts(values: Iterable[str]) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
+def _step(n: str) -> str:
+    """The multiplier of a permutation of n numbers: the first remainder between n/5 and 4n/5."""
+    rest = [f"({p}::HUGEINT % {n})" for p in (2305843009213693951, 1000000000000037, 100000000000031, 10000000000037, 1000000000039)]
+    return "(CASE " + " ".join(f"WHEN {r} * 5 BETWEEN {n} AND 4 * {n} THEN {r}" for r in rest) + f" ELSE {rest[-1]} END)"
+
+
 def _permuted(i: str, n: str, shift: int) -> str:
-    return f"((({i}) * (2305843009213693951::HUGEINT % {n})::BIGINT + {SEED + shift} % {n}) % {n})"
+    return f"((({i}) * {_step(n)}::BIGINT + {SEED + shift} % {n}) % {n})"
 
 
 def _minus_expm1(y: str) -> str:
@@ -639,6 +662,9 @@ FROM answers GROUP BY model"""
     q["failed_responses"] = f"WITH {RESPONSES} SELECT count(*) filter (where failed) AS failed FROM answers"
     q["bootstrap_f1_rows"] = _bootstrap()
     q["report_difficulty_scores"] = _difficulty()
+    q["report_difficulty"] = _difficulty_cells()
+    q["bootstrap_f1"] = (f'WITH {SCORED}, c AS (SELECT lang, {COUNTS} FROM scored GROUP BY lang) '
+                         f'SELECT lang, "TP", "FP", "TN", "FN", ({CLOSED_SE})::DECIMAL(18,8) AS closed_form_se, true AS near FROM c')
     q["report_cells"] = """WITH s AS (SELECT o_orderpriority, sum(o_totalprice::DECIMAL(15,2))::DOUBLE / count(*) / 1e5::DOUBLE AS m,
   (max(o_totalprice::DECIMAL(15,2)) - min(o_totalprice::DECIMAL(15,2)))::DOUBLE / 1e6::DOUBLE AS se FROM orders GROUP BY 1)
 SELECT o_orderpriority, printf('%.2f ± %.2f', m, se) AS cell FROM s"""

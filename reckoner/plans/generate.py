@@ -252,9 +252,7 @@ def build_invoices(plan: DataFrame, customers: DataFrame, context: Context,
     """Invoice rows of a numbered plan; slots of a match share customer, company and year."""
     cfg = context.cfg
     placed = plan.withColumn("customer", draws.below(cfg.num_customers, context.u("customer", "match_id")))
-    # the number of customers is a parameter: beyond the bound the join shuffles
-    dim = F.broadcast(customers) if cfg.num_customers <= 100_000 else customers
-    slots = (placed.join(dim, "customer")
+    slots = (placed.join(customers, "customer")
              .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_invoices") - F.lit(1))))
              .withColumn("_slot_number", F.col("match_id") * F.lit(cfg.max_num_invoices) + F.col("slot"))
              .withColumn("invoice_id", F.col("num_invoices_before") + F.col("slot")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.functions.text import mean_se
-from reckoner.operators.bootstrap import bootstrap_f1
+from reckoner.operators.bootstrap import bootstrap_f1, delta_f1_se
 from reckoner.operators.confusion import COUNTS, assert_one, merge_groups, with_scores
 from reckoner.schema import MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATIONS
 
@@ -34,7 +34,7 @@ def order_models(df: DataFrame, models: Sequence[str] = MODEL_ORDER) -> DataFram
 
 
 def difficulty_counts(results: DataFrame) -> DataFrame:
-    """Confusion counts per model and scenario, from clean 1:1 to many tables."""
+    """Confusion counts per model and scenario, from clean 1:1 to many tables. A run that is there twice raises."""
     multi_runs = select_runs(results, perturbation_mode="multi")
     opaque = F.col("schema_mode") == "opaque"
     several = F.col("key").isin(*MULTI) & (F.col("grouping") == "dirty")
@@ -43,13 +43,18 @@ def difficulty_counts(results: DataFrame) -> DataFrame:
         .when(opaque & (F.col("grouping") == "dirty") & (F.col("key") == ONE_ONE), SCENARIOS[1])
         .when(opaque & several, SCENARIOS[2])
         .when((F.col("schema_mode") == "multi-table") & several, SCENARIOS[3]))
-    return (multi_runs.withColumn("scenario", scenario).where(F.col("scenario").isNotNull())
+    one = assert_one(multi_runs, ["model", "schema_mode", "grouping", "key"])
+    return (one.withColumn("scenario", scenario).where(F.col("scenario").isNotNull())
             .groupBy("model", "scenario").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
-def report_difficulty(results: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """Model by scenario, cells ``F1 ± standard error``."""
-    cells = with_scores(bootstrap_f1(difficulty_counts(results), ["model", "scenario"], rounds, seed))
+def report_difficulty(results: DataFrame, rounds: int | None = 1000, seed: int = 0) -> DataFrame:
+    """Model by scenario, cells ``F1 ± standard error``: by bootstrapping, or without ``rounds`` in closed form."""
+    counts = difficulty_counts(results)
+    if rounds is None:
+        cells = with_scores(counts.withColumn("f1_se", delta_f1_se(F.col("TP"), F.col("FP"), F.col("FN"))))
+    else:
+        cells = with_scores(bootstrap_f1(counts, ["model", "scenario"], rounds, seed))
     cells = cells.select("model", "scenario", mean_se(F.col("f1"), F.col("f1_se")).alias("cell"))
     return order_models(cells.groupBy("model").pivot("scenario", list(SCENARIOS)).agg(F.first("cell")))
 

@@ -153,8 +153,13 @@ def failed_responses(spark, sf):
 
 @query
 def bootstrap_f1(spark, sf):
+    """Counts, and whether the bootstrap error is within 15 per cent of the one in closed form (groups of 200 rows and more)."""
     counts = confusion.confusion_by(scored(spark, sf), ["lang"])
-    return bootstrap.bootstrap_f1(counts, ["lang"], 1000, SEED)
+    out = bootstrap.bootstrap_f1(counts, ["lang"], 1000, SEED)
+    closed = bootstrap.delta_f1_se(F.col("TP"), F.col("FP"), F.col("FN"))
+    return out.select("lang", *confusion.COUNTS, closed.cast("decimal(18,8)").alias("closed_form_se"),
+                      ((sum((F.col(c) for c in confusion.COUNTS), F.lit(0)) < 200) |
+                       (F.abs(F.col("f1_se") - closed) <= F.lit(0.15) * closed)).alias("near"))
 
 
 @query
@@ -167,7 +172,8 @@ def bootstrap_f1_rows(spark, sf):
 
 @query
 def report_difficulty(spark, sf):
-    return reports.report_difficulty(evaluate.evaluate(scored(spark, sf)), 1000, SEED)
+    """Cells with the error in closed form: the same text in another engine. The bootstrap is held against it in ``bootstrap_f1``."""
+    return reports.report_difficulty(evaluate.evaluate(scored(spark, sf)), None)
 
 
 @query

@@ -1,11 +1,11 @@
-"""Session helpers: shared storage for cut lineage, and checked broadcasts."""
+"""Session helpers: shared storage for cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,11 +38,3 @@ def written_table(df: DataFrame, name: str, compression: str | None = None) -> D
     writer = df.write.option("compression", compression) if compression else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a dimension after counting that it has at most ``max_rows`` rows; a larger one is
-    returned without a hint, so that the join shuffles (and AQE may split a hot key)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
