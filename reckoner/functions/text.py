@@ -231,9 +231,14 @@ def mean_se(value: Column, se: Column) -> Column:
 
 # ---------------------------------------------------------------- requests
 
-def request_json(df_columns: Sequence[str] = ("model", "max_tokens", "temperature", "messages", "seed")) -> Column:
-    """A request as JSON with a fixed order of fields; missing values are written as null."""
-    return F.to_json(F.struct(*df_columns), {"ignoreNullFields": "false"})
+REQUEST_FIELDS = {"model": "string", "max_tokens": "int", "temperature": "double", "messages": MESSAGES, "seed": "bigint",
+                  "n": "int", "best_of": "int", "max_completion_tokens": "int"}
+
+
+def request_json(columns: Sequence[str]) -> Column:
+    """A request as JSON with all fields in a fixed order; missing values, and fields that are not among ``columns``, are written as null."""
+    fields = [(F.col(c) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def request_hash(text: Column) -> Column:

@@ -22,26 +22,23 @@ def model_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(MODEL_CATALOGUE), MODEL_COLUMNS)
 
 
-def with_model(df: DataFrame, models: DataFrame, max_models: int = 1000) -> DataFrame:
-    """Attach prices and limits of each row's model; an unknown model raises.
-
-    The catalogue has one row per model and is broadcast after a check of that bound."""
-    if models.limit(max_models + 1).count() > max_models:
-        raise ValueError(f"model catalogue has more than {max_models} rows")
-    joined = df.join(F.broadcast(models), "model", "left")
+def with_model(df: DataFrame, models: DataFrame) -> DataFrame:
+    """Attach prices and limits of each row's model; an unknown model raises. The catalogue has one row per model."""
+    joined = df.join(models, "model", "left")
     unknown = F.raise_error(F.concat(F.lit("unknown model "), F.col("model")))
     needed = ("cost_per_1k_input_tokens", "cost_per_1k_output_tokens", "max_context")
     return joined.withColumns({c: F.coalesce(c, unknown.cast(models.schema[c].dataType)) for c in needed})
 
 
 def with_hash(requests: DataFrame) -> DataFrame:
-    json = text.request_json()
+    json = text.request_json(requests.columns)
     return requests.withColumns({"request_json": json, "hash": text.request_hash(json)})
 
 
 def lookup_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Attach the cached response (NULL if none). A hash hit counts only if the request text is equal."""
-    hits = cache.select("hash", F.col("request").alias("_cached"), F.col("response").alias("cached_response"))
+    """Attach the cached response (NULL if none). A hash hit counts only if the request text is equal; a request that is cached
+    twice meets one answer, the least in text order."""
+    hits = cache.groupBy("hash", F.col("request").alias("_cached")).agg(F.min("response").alias("cached_response"))
     same = (requests["hash"] == hits["hash"]) & (requests["request_json"] == hits["_cached"])
     return requests.join(hits, same, "left").drop(hits["hash"]).drop("_cached")
 

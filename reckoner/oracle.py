@@ -358,35 +358,43 @@ chats AS (SELECT t.pair_id, 'user> Do the two table entries refer to the same re
 
 
 CHATS = f"""chat_turns AS (
-  SELECT conv_id, (turn // 4)::INT AS part,
-    '[' || string_agg('{{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(text)::VARCHAR || '}}', ','
-      ORDER BY turn, role, text) || ']' AS messages,
+  SELECT conv_id, '[' || string_agg('{{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(text)::VARCHAR || '}}', ','
+      ORDER BY turn, role, text) || ']' AS messages, count(*) AS size,
     sum(ceil(length(text) / 4.0::DOUBLE)::BIGINT + 5)::BIGINT AS input_tokens
-  FROM conversations GROUP BY conv_id, (turn // 4)::INT),
+  FROM conversations GROUP BY conv_id),
 chats AS (
-  SELECT *, {MODELS}[(conv_id + part) % 3 + 1] AS model,
-    case (conv_id + part) % 3 when 1 then 100 when 2 then 20000 end AS max_tokens,
-    case when conv_id % 5 <> 0 then 321164097 end AS seed FROM chat_turns),
+  SELECT *, list_append({MODELS}, 'small-context-model')[conv_id % 4 + 1] AS model,
+    case conv_id % 3 when 1 then 100 when 2 then 20000 end AS max_tokens,
+    case when conv_id % 7 = 3 then '0.7' else '0.0' end AS temperature,
+    case when conv_id % 4 = 0 then 2 end AS n, case when conv_id % 8 = 0 then 3 end AS best_of,
+    case when conv_id % 6 = 1 then 50 end AS completion,
+    case when conv_id % 5 <> 0 then 20231 end AS seed FROM chat_turns),
 reqs AS (
   SELECT *, '{{"model":"' || model || '","max_tokens":' || coalesce(max_tokens::VARCHAR, 'null')
-      || ',"temperature":0.0,"messages":' || messages || ',"seed":' || coalesce(seed::VARCHAR, 'null') || '}}' AS body
+      || ',"temperature":' || temperature || ',"messages":' || messages || ',"seed":' || coalesce(seed::VARCHAR, 'null')
+      || ',"n":' || coalesce(n::VARCHAR, 'null') || ',"best_of":' || coalesce(best_of::VARCHAR, 'null')
+      || ',"max_completion_tokens":' || coalesce(completion::VARCHAR, 'null') || '}}' AS body
   FROM chats),
 hashed AS (SELECT *, sha256(body) AS hash FROM reqs),
 cache AS (SELECT hash, body || case when conv_id % 7 = 0 then ' ' else '' end AS request FROM hashed
-  WHERE {u('cached', 'conv_id', 'part')} < 0.5::DOUBLE),
+  WHERE {u('cached', 'conv_id')} < 0.5::DOUBLE),
 prices AS (SELECT * FROM (VALUES ('gpt-3.5-turbo-1106', 0.0010::DOUBLE, 0.0020::DOUBLE, 16385, 4096),
   ('gpt-4o-2024-08-06', 0.00250::DOUBLE, 0.01000::DOUBLE, 128000, 16384),
-  ('gpt-4o-mini-2024-07-18', 0.000150::DOUBLE, 0.000600::DOUBLE, 128000, 16384)) AS t(model, pin, pout, ctx, most)),
+  ('gpt-4o-mini-2024-07-18', 0.000150::DOUBLE, 0.000600::DOUBLE, 128000, 16384),
+  ('small-context-model', 0.0005::DOUBLE, 0.001::DOUBLE, 64, 32)) AS t(model, pin, pout, ctx, most)),
 audit AS (
-  SELECT h.*, c.hash IS NOT NULL AS cached, ctx, most, input_tokens AS max_input_usage,
-    coalesce(max_tokens, least(most, greatest(0, ctx - input_tokens)))::BIGINT AS max_output_usage, pin, pout
+  SELECT h.*, c.hash IS NOT NULL AS cached, ctx, most, coalesce(completion, max_tokens) AS lim,
+    coalesce(best_of, n, 1) * input_tokens AS max_input_usage,
+    coalesce(best_of, n, 1) * coalesce(completion, max_tokens, least(most, greatest(0, ctx - input_tokens)))::BIGINT AS max_output_usage, pin, pout
   FROM hashed h LEFT JOIN cache c ON h.hash = c.hash AND h.body = c.request JOIN prices p ON h.model = p.model),
 audited AS (
   SELECT *, array_to_string(list_filter([
       case when input_tokens > ctx then 'input_exceeds_context' end,
-      case when max_tokens > most then 'limit_exceeds_model' end,
-      case when input_tokens + max_tokens > ctx then 'total_exceeds_context' end,
-      case when seed IS NULL then 'no_seed' end], lambda x: x is not null), ',') AS issues,
+      case when completion IS NOT NULL AND max_tokens IS NOT NULL then 'two_output_limits' end,
+      case when lim > most then 'limit_exceeds_model' end,
+      case when input_tokens + lim > ctx then 'total_exceeds_context' end,
+      case when seed IS NULL then 'no_seed' end,
+      case when temperature <> '0.0' then 'temperature_not_zero' end], lambda x: x is not null), ',') AS issues,
     max_input_usage * pin / 1000.0::DOUBLE + max_output_usage * pout / 1000.0::DOUBLE AS max_cost FROM audit)"""
 
 
@@ -786,16 +794,24 @@ SELECT match_id, string_agg('REF ' || k::VARCHAR || ': ' || inv_billing_number,
     q["linearize_member_tables"] = f"{i} SELECT invoice_id AS pair_id, " + " || '   ' || ".join(parts) + " AS first_table_row FROM inv"
     limits = "case when rows_match then 101 else 101 end::INT AS max_tokens"
     q["few_shot_requests"] = f"""WITH {FEW}, {few_shot(2)} SELECT pair_id, 'gpt-3.5-turbo-1106' AS model, {limits},
-  0.0::DOUBLE AS temperature, 321164097::BIGINT AS seed, 10::INT AS n_messages, chat FROM chats"""
+  0.0::DOUBLE AS temperature, 20231::BIGINT AS seed, 10::INT AS n_messages, chat FROM chats"""
     q["pair_requests"] = f"""WITH {ROWS}, {PAIR_TEXTS}, {few_shot(1)} SELECT pair_id::BIGINT AS pair_id, 6::INT AS n_messages,
   sha256(chat) AS chat_digest FROM chats"""
-    q["chat_messages"] = """SELECT conv_id, (turn // 1000)::INT AS part, count(*)::INT AS n_messages,
-  string_agg(role || '> ' || text, chr(10) ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id, (turn // 1000)::INT"""
+    q["chat_messages"] = """SELECT conv_id, count(*)::INT AS n_messages,
+  string_agg(role || '> ' || text, chr(10) ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id"""
+    q["execute_requests"] = f"""WITH {CHATS} SELECT conv_id AS pair_id, model, cached,
+  case when cached then 'stop' when conv_id % 9 <> 0 then case when completion = 50 then 'length' else 'stop' end end AS finish_reason,
+  case when cached then 'No' when conv_id % 9 <> 0 then case when size % 2 = 0 then 'Yes' else 'No' end end AS answer,
+  case when cached then size + 1 when conv_id % 9 <> 0 then size + 2 end AS total_tokens FROM audited"""
+    q["executed_cache"] = f"WITH {CHATS} SELECT count(*) AS added, 0::BIGINT AS again FROM audited WHERE NOT cached AND conv_id % 9 <> 0"
+    q["cache_cost"] = f"""WITH {CHATS} SELECT model, count(*) AS responses, sum(size + 1)::BIGINT AS total_tokens,
+  sum(size * pin / 1000.0::DOUBLE + pout / 1000.0::DOUBLE)::DECIMAL(18,8) AS cost
+  FROM hashed JOIN cache USING (hash) JOIN prices USING (model) GROUP BY model"""
     q["chat_templates"] = """SELECT doc_id, 'system> Language ' || lang || chr(10) || 'assistant> ' || source || chr(10) || 'user> '
   || text AS chat FROM documents"""
-    q["request_audit"] = f"""WITH {CHATS} SELECT conv_id, part, hash, cached, input_tokens, max_input_usage, max_output_usage, issues,
+    q["request_audit"] = f"""WITH {CHATS} SELECT conv_id, hash, cached, input_tokens, max_input_usage, max_output_usage, issues,
   max_cost::DECIMAL(18,8) AS max_cost FROM audited"""
-    q["cache_misses"] = f"WITH {CHATS} SELECT conv_id, part, hash FROM audited WHERE NOT cached"
+    q["cache_misses"] = f"WITH {CHATS} SELECT conv_id, hash FROM audited WHERE NOT cached"
     q["max_cost"] = (f"WITH {CHATS} SELECT count(*) AS requests, sum(max_cost)::DECIMAL(18,6) AS max_cost FROM audited "
                      "WHERE NOT cached")
     q["actual_cost"] = f"""WITH {RESPONSES}, {CHATS[CHATS.index('prices AS'):CHATS.index('audit AS')].rstrip().rstrip(',')}

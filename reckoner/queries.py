@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reckoner.functions import draws, money, text
 from reckoner.functions.draws import u01
 from reckoner.operators import audit, bootstrap, confusion, decide, joined, pairs, perturb, ranks, requests, views
-from reckoner.plans import evaluate, generate, reports
+from reckoner.plans import evaluate, execute, generate, reports
 from reckoner.schema import MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATIONS
 from reckoner.session import configure, shared_folder
 from reckoner.sources import bridge, tables
 
 SEED = 7
+REQUEST_SEED = 20_231
 MODELS = ("gpt-3.5-turbo-1106", "gpt-4o-mini-2024-07-18", "gpt-4o-2024-08-06")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -634,31 +635,83 @@ def pair_requests(spark, sf):
     return out.select("pair_id", F.size("messages").alias("n_messages"), F.sha2(messages_text(), 256).alias("chat_digest"))
 
 
+CHAT_MODELS = (*MODELS, "small-context-model")
+
+
+def chat_catalogue(spark: SparkSession) -> DataFrame:
+    """The models of the catalogue, and one whose context is so small that dialogues exceed it."""
+    small = spark.createDataFrame([(CHAT_MODELS[-1], "chat", 0.0005, 0.001, 64, 32)], audit.MODEL_COLUMNS)
+    return audit.model_catalogue(spark).union(small)
+
+
 def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """A request per stretch of a dialogue."""
+    """A request per dialogue."""
     turns = bridge.table(spark, sf, "conversations")
-    chats = requests.chat_from_turns(turns, "conv_id", "turn", "role", "text", 4)
-    rank = (F.col("conv_id") + F.col("part")) % 3
+    chats = requests.chat_from_turns(turns, "conv_id", "turn", "role", "text")
+    every = lambda n, value, rest=0: F.when(F.col("conv_id") % n == rest, F.lit(value))
     return chats.select(
-        "conv_id", "part", F.element_at(F.array(*[F.lit(m) for m in MODELS]), (rank + 1).cast("int")).alias("model"),
-        F.when(rank != 0, F.when(rank == 1, 100).otherwise(20000)).cast("int").alias("max_tokens"),
-        F.lit(0.0).alias("temperature"), "messages",
-        F.when(F.col("conv_id") % 5 != 0, F.lit(321164097)).cast("bigint").alias("seed"))
+        "conv_id", F.col("conv_id").alias("pair_id"),
+        F.element_at(F.array(*[F.lit(m) for m in CHAT_MODELS]), (F.col("conv_id") % 4 + 1).cast("int")).alias("model"),
+        every(3, 100, 1).otherwise(every(3, 20000, 2)).cast("int").alias("max_tokens"),
+        F.coalesce(every(7, 0.7, 3), F.lit(0.0)).alias("temperature"), "messages",
+        F.when(F.col("conv_id") % 5 != 0, F.lit(REQUEST_SEED)).cast("bigint").alias("seed"),
+        every(4, 2).cast("int").alias("n"), every(8, 3).cast("int").alias("best_of"),
+        every(6, 50, 1).cast("int").alias("max_completion_tokens"))
 
 
 def chat_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers already held for about half of the chat requests; one in seven under a stale text."""
-    known = audit.with_hash(chat_requests(spark, sf)).where(u01(SEED, "cached", "conv_id", "part") < F.lit(0.5))
+    """Answers already held for about half of the chat requests, each row twice; one in seven under a stale text."""
+    known = audit.with_hash(chat_requests(spark, sf)).where(u01(SEED, "cached", "conv_id") < F.lit(0.5))
     stale = F.col("conv_id") % 7 == 0
-    return known.select("hash", F.when(stale, F.concat("request_json", F.lit(" "))).otherwise(F.col("request_json"))
-                        .alias("request"), F.lit('{"choices":[]}').alias("response"))
+    response = F.concat(F.lit('{"choices":[{"finish_reason":"stop","message":{"content":"No"}}],"usage":{"prompt_tokens":'), F.size("messages").cast("string"),
+                        F.lit(',"completion_tokens":1,"total_tokens":'), (F.size("messages") + 1).cast("string"), F.lit("}}"))
+    rows = known.select("hash", F.when(stale, F.concat("request_json", F.lit(" "))).otherwise(F.col("request_json"))
+                        .alias("request"), response.alias("response"))
+    return rows.union(rows)
+
+
+def chat_scorer(misses: DataFrame) -> DataFrame:
+    """Stands in for a model: fails for one dialogue in nine, else answers by the number of messages, cut off where the limit is 50."""
+    size = F.size("messages")
+    choice = F.struct(F.when(F.col("max_completion_tokens") == 50, "length").otherwise("stop").alias("finish_reason"),
+                      F.struct(F.when(size % 2 == 0, "Yes").otherwise("No").alias("content")).alias("message"))
+    usage = F.struct(size.cast("bigint").alias("prompt_tokens"), F.lit(2).cast("bigint").alias("completion_tokens"), (size + 2).cast("bigint").alias("total_tokens"))
+    return misses.select("pair_id", "model", F.when(F.col("conv_id") % 9 != 0, F.array(choice)).alias("choices"), usage.alias("usage"))
+
+
+@query
+def execute_requests(spark, sf):
+    """Answers of all chat requests, from the cache or the scorer."""
+    out, _ = execute.execute(chat_requests(spark, sf), chat_cache(spark, sf), chat_scorer)
+    first = F.get(F.col("choices"), F.lit(0))
+    return out.select("pair_id", "model", "cached", first["finish_reason"].alias("finish_reason"), first["message"]["content"].alias("answer"),
+                      F.when(F.col("choices").isNotNull(), F.col("usage.total_tokens")).alias("total_tokens"))
+
+
+@query
+def executed_cache(spark, sf):
+    """What a run adds to the cache: a second run on top of it adds nothing."""
+    chats, cache = chat_requests(spark, sf), chat_cache(spark, sf)
+    _, added = execute.execute(chats, cache, chat_scorer)
+    _, again = execute.execute(chats, cache.union(added), chat_scorer)
+    return added.agg(F.count(F.lit(1)).alias("added")).join(again.agg(F.count(F.lit(1)).alias("again")), F.lit(True))
+
+
+@query
+def cache_cost(spark, sf):
+    """Cost of a whole cache, each request once."""
+    chats = audit.with_hash(chat_requests(spark, sf))
+    cache = chat_cache(spark, sf).dropDuplicates(["hash", "request"])
+    priced = audit.cached_responses(cache).drop("model").join(chats.select("hash", "model"), "hash")
+    out = audit.actual_cost(priced, chat_catalogue(spark))
+    return out.select("model", "responses", "total_tokens", F.col("cost").cast("decimal(18,8)").alias("cost"))
 
 
 @query
 def chat_messages(spark, sf):
     turns = bridge.table(spark, sf, "conversations")
     chats = requests.chat_from_turns(turns, "conv_id", "turn", "role", "text")
-    return chats.select("conv_id", "part", F.size("messages").alias("n_messages"), messages_text().alias("chat"))
+    return chats.select("conv_id", F.size("messages").alias("n_messages"), messages_text().alias("chat"))
 
 
 @query
@@ -673,20 +726,20 @@ def chat_templates(spark, sf):
 
 @query
 def request_audit(spark, sf):
-    out = audit.audit_requests(chat_requests(spark, sf), chat_cache(spark, sf), audit.model_catalogue(spark))
-    return out.select("conv_id", "part", "hash", "cached", "input_tokens", "max_input_usage", "max_output_usage",
+    out = audit.audit_requests(chat_requests(spark, sf), chat_cache(spark, sf), chat_catalogue(spark))
+    return out.select("conv_id", "hash", "cached", "input_tokens", "max_input_usage", "max_output_usage",
                       F.array_join("issues", ",").alias("issues"), F.col("max_cost").cast("decimal(18,8)").alias("max_cost"))
 
 
 @query
 def cache_misses(spark, sf):
     out = audit.cache_misses(audit.with_hash(chat_requests(spark, sf)), chat_cache(spark, sf))
-    return out.select("conv_id", "part", "hash")
+    return out.select("conv_id", "hash")
 
 
 @query
 def max_cost(spark, sf):
-    out = audit.audit_requests(chat_requests(spark, sf), chat_cache(spark, sf), audit.model_catalogue(spark))
+    out = audit.audit_requests(chat_requests(spark, sf), chat_cache(spark, sf), chat_catalogue(spark))
     return audit.total_max_cost(out).select("requests", F.col("max_cost").cast("decimal(18,6)").alias("max_cost"))
 
 

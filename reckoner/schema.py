@@ -53,7 +53,7 @@ PERTURBATION_MODES = ("single", "multi")
 MATCHES = ("match_id bigint, match_category string, perturbation_categories array<string>, "
            "invoice_ids array<bigint>, payment_ids array<bigint>")
 REQUESTS = ("pair_id bigint, model string, max_tokens int, temperature double, seed bigint, "
-            "messages array<struct<role:string,content:string>>")
+            "messages array<struct<role:string,content:string>>, n int, best_of int, max_completion_tokens int")
 RESPONSES = ("pair_id bigint, model string, "
              "choices array<struct<finish_reason:string,message:struct<content:string>>>, "
              "usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>")

@@ -18,7 +18,7 @@ def requests_frame(spark, rows):
 
 
 def request(i, model="gpt-4o-2024-08-06", limit=10, seed=1, temperature=0.0, text="abcd" * 10):
-    return (i, model, limit, temperature, seed, [("user", text)])
+    return (i, model, limit, temperature, seed, [("user", text)], None, None, None)
 
 
 def test_audit_codes_bounds_and_cost(spark):
