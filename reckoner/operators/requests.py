@@ -65,6 +65,15 @@ def row_texts(df: DataFrame, id_col: str, name: str, markdown: bool = False) ->
                                        {f.name: f.dataType.typeName() for f in shown}, markdown).alias(name))
 
 
+def source_texts(rows: DataFrame, id_col: str, structs: Sequence[str], name: str, markdown: bool = False) -> DataFrame:
+    """(id, text) of rows that carry their member tables as structs."""
+    def render(struct: str) -> Column:
+        inner = rows.schema[struct].dataType
+        return _rendered({n: F.col(struct)[n] for n in inner.names}, {f.name: f.dataType.typeName() for f in inner.fields}, markdown)
+
+    return rows.select(id_col, text.linearize_multi([render(s) for s in structs]).alias(name))
+
+
 def attach_texts(pairs: DataFrame, invoices: DataFrame, payments: DataFrame, markdown: bool = False) -> DataFrame:
     """``pair_texts`` of (pair_id, rows_match, invoice_id, payment_id) from the two tables."""
     return (pairs.select("pair_id", "rows_match", "invoice_id", "payment_id")
@@ -73,18 +82,13 @@ def attach_texts(pairs: DataFrame, invoices: DataFrame, payments: DataFrame, mar
             .select("pair_id", "rows_match", "first_table_row", "second_table_row"))
 
 
-def attach_examples(texts: DataFrame, k: int, seed: int) -> DataFrame:
-    """Give each row k other rows of either label, in keyed random order, as an array ``examples``.
+def drawn_examples(pool: DataFrame, k: int, seed: int) -> DataFrame:
+    """(pair_id, o, _at): for each row the numbers of k other rows of either label, and their keyed random order ``o``.
 
-    The rows are numbered once by (label, pair_id): a label is a range of numbers, draws are numbers
-    in it, and the drawn rows come by an equi join on the number, k times 2 rows per request."""
-    pool = dense_id(texts, ["rows_match", "pair_id"], "_at")
-    if k == 0:
-        return pool.withColumn("examples", F.array().cast(
-            "array<struct<first_table_row:string,second_table_row:string,ground_truth:string>>")).drop("_at")
+    ``pool`` has the rows numbered by (label, pair_id) as ``_at``: a label is a range of numbers, and draws are numbers in it."""
     sizes = pool.agg(F.struct(F.count_if(~F.col("rows_match")).alias("no"),
                               F.count_if(F.col("rows_match")).alias("yes")))
-    rows = pool.withColumn("_n", sizes.scalar())
+    rows = pool.select("pair_id", "rows_match", "_at").withColumn("_n", sizes.scalar())
     nothing = F.array().cast("array<bigint>")
 
     def draws(label: bool) -> Column:
@@ -98,9 +102,20 @@ def attach_examples(texts: DataFrame, k: int, seed: int) -> DataFrame:
 
     both = F.concat(draws(False), draws(True))
     order = F.transform(both, lambda x, i: F.struct(u01(seed, "order", i, "pair_id").alias("o"), x.alias("x")))
-    drawn = rows.select("pair_id", F.explode(order).alias("_d")).select("pair_id", "_d.o", F.col("_d.x").alias("_at"))
+    return rows.select("pair_id", F.explode(order).alias("_d")).select("pair_id", "_d.o", F.col("_d.x").alias("_at"))
+
+
+EXAMPLES = "array<struct<first_table_row:string,second_table_row:string,ground_truth:string>>"
+
+
+def attach_examples(texts: DataFrame, k: int, seed: int) -> DataFrame:
+    """Give each row k other rows of either label, in keyed random order, as an array ``examples``. The drawn rows come by an equi join on
+    the number, k times 2 rows per request. For rows whose texts are many times as large as their ids, see ``pair_requests``."""
+    if k == 0:
+        return texts.withColumn("examples", F.array().cast(EXAMPLES))
+    pool = dense_id(texts, ["rows_match", "pair_id"], "_at")
     example = F.struct("first_table_row", "second_table_row", text.yes_no(F.col("rows_match")).alias("ground_truth"))
-    lists = (drawn.join(pool.select("_at", example.alias("example")), "_at")
+    lists = (drawn_examples(pool, k, seed).join(pool.select("_at", example.alias("example")), "_at")
              .groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("o", "example"))).alias("_e")))
     return (pool.drop("_at").join(lists, "pair_id")
             .withColumn("examples", F.transform("_e", lambda s: s["example"])).drop("_e"))
@@ -128,6 +143,27 @@ def build_requests(texts: DataFrame, cfg: RequestConfig) -> DataFrame:
     return chat_requests(attach_examples(texts, cfg.num_examples, cfg.draw_seed), cfg)
 
 
+def pair_requests(pairs: DataFrame, sources: DataFrame, targets: DataFrame, cfg: RequestConfig) -> DataFrame:
+    """Requests of (pair_id, rows_match, invoice_id, payment_id) from the row texts (invoice_id, first_table_row) and (payment_id, second_table_row).
+
+    Only ids are numbered, drawn and written; texts are attached last, to the pair and its examples in one join per side."""
+    slim = pairs.select("rows_match", "pair_id", "invoice_id", "payment_id")
+    own = slim.select("pair_id", F.lit(None).cast("double").alias("o"), "rows_match", "invoice_id", "payment_id")
+    if cfg.num_examples:
+        pool = dense_id(slim, ["rows_match", "pair_id"], "_at")
+        shown = drawn_examples(pool, cfg.num_examples, cfg.draw_seed).join(pool.drop("pair_id"), "_at")
+        own = own.unionByName(shown.select("pair_id", "o", "rows_match", "invoice_id", "payment_id"))
+    told = own.join(sources, "invoice_id").join(targets, "payment_id")
+    entry = F.struct("o", "first_table_row", "second_table_row", text.yes_no(F.col("rows_match")).alias("ground_truth"), "rows_match")
+    rows = told.groupBy("pair_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))  # 2 k examples and the pair, which has no order
+    is_own = lambda e: e["o"].isNull()
+    texts = rows.withColumn("_own", F.filter("_all", is_own)[0]).select(
+        "pair_id", "_own.rows_match", "_own.first_table_row", "_own.second_table_row",
+        F.transform(F.filter("_all", lambda e: ~is_own(e)), lambda e: F.struct(
+            e["first_table_row"].alias("first_table_row"), e["second_table_row"].alias("second_table_row"), e["ground_truth"].alias("ground_truth"))).alias("examples"))
+    return chat_requests(texts, cfg)
+
+
 def chat_from_turns(turns: DataFrame, key: str, turn: str, role: str, content: str) -> DataFrame:
     """Turns of a dialogue to one ordered message list: a request holds its whole dialogue, so a row is as long as that is."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"),

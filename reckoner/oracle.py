@@ -324,11 +324,26 @@ FEW = f"""texts AS (
     'lang,source,n_chars' || chr(10) || {csv_line('lang', 'source', 'n_chars')} AS a,
     'text' || chr(10) || {csv_line('text')} AS b
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
-PAIR_TEXTS = f"""texts AS (
-  SELECT pair_id, rows_match,
-    '{",".join("inv_" + c for c in _INV_SHOWN)}' || chr(10) || {csv_line(*["inv_" + c for c in _INV_SHOWN])} AS a,
-    '{",".join("pay_" + c for c in _PAY_SHOWN)}' || chr(10) || {csv_line(*["pay_" + c for c in _PAY_SHOWN])} AS b
-  FROM rows)"""
+def named_row(side: str, columns: list[str], names: dict[str, str]) -> str:
+    """SQL text of a row under the given column names."""
+    return f"'{','.join(names[c] for c in columns)}' || chr(10) || " + csv_line(*[f"{side}_{c}" for c in columns])
+
+
+def pair_texts(source: str, target: str) -> str:
+    return f"texts AS (SELECT pair_id, rows_match, {source} AS a, {target} AS b FROM rows)"
+
+
+PAIR_TEXTS = pair_texts(named_row("inv", _INV_SHOWN, {c: "inv_" + c for c in _INV_SHOWN}), named_row("pay", _PAY_SHOWN, {c: "pay_" + c for c in _PAY_SHOWN}))
+PAY_DESCRIPTIVE = dict(zip(_PAY_SHOWN, ["Business Partner", "Account Number", "Memo Line", "Amount", "Currency", "Posting Date"]))
+_IN_VIEW = [c for c in _INV_SHOWN if c not in ("country_key", "terms_of_payment")]
+MEMBERS = (_KEY + ["currency_code", "document_date"],
+           _KEY + ["line_item_number", "assignment_number", "billing_number", "customer_id", "amount", "due_date", "terms_of_payment"],
+           ["client", "customer_id", "customer_name"])
+VIEW_TEXTS = {
+    "descriptive": pair_texts(named_row("inv", _IN_VIEW, DESCRIPTIVE), named_row("pay", _PAY_SHOWN, PAY_DESCRIPTIVE)),
+    "opaque": pair_texts(named_row("inv", _IN_VIEW, OPAQUE), named_row("pay", _PAY_SHOWN, PAY_OPAQUE)),
+    "multi_table": pair_texts(" || '   ' || ".join(named_row("inv", list(m), OPAQUE) for m in MEMBERS), named_row("pay", _PAY_SHOWN, PAY_OPAQUE)),
+}
 
 
 def few_shot(k: int) -> str:
@@ -796,6 +811,9 @@ SELECT match_id, string_agg('REF ' || k::VARCHAR || ': ' || inv_billing_number,
     q["few_shot_requests"] = f"""WITH {FEW}, {few_shot(2)} SELECT pair_id, 'gpt-3.5-turbo-1106' AS model, {limits},
   0.0::DOUBLE AS temperature, 20231::BIGINT AS seed, 10::INT AS n_messages, chat FROM chats"""
     q["pair_requests"] = f"""WITH {ROWS}, {PAIR_TEXTS}, {few_shot(1)} SELECT pair_id::BIGINT AS pair_id, 6::INT AS n_messages,
+  sha256(chat) AS chat_digest FROM chats"""
+    for mode, texts_ in VIEW_TEXTS.items():
+        q[f"pair_requests_{mode}"] = f"""WITH {ROWS}, {texts_}, {few_shot(1)} SELECT pair_id::BIGINT AS pair_id, 6::INT AS n_messages,
   sha256(chat) AS chat_digest FROM chats"""
     q["chat_messages"] = """SELECT conv_id, count(*)::INT AS n_messages,
   string_agg(role || '> ' || text, chr(10) ORDER BY turn, role, text) AS chat FROM conversations GROUP BY conv_id"""

@@ -626,15 +626,34 @@ def pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.attach_payment(pairs.attach_invoice(plan_of(m).rows(), m.invoices), m.payments)
 
 
-@query
-def pair_requests(spark, sf):
-    """Requests of all labelled pairs, one example of each label."""
+def view_texts(m: bridge.Matching, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of the invoices and payments as the view of a schema mode shows them, or as the tables stand (``tables``)."""
+    if mode == "tables":
+        return (requests.row_texts(m.invoices, "invoice_id", "first_table_row"), requests.row_texts(m.payments, "payment_id", "second_table_row"))
+    if mode != "multi-table":
+        return (requests.row_texts(views.single_table_view(m.invoices, "invoice", mode), "invoice_id", "first_table_row"),
+                requests.row_texts(views.single_table_view(m.payments, "payment", mode), "payment_id", "second_table_row"))
+    t = views.normalise(m.invoices, "invoice")
+    sources = views.reassemble_source(m.invoices.select("invoice_id"), t["BKPF"], t["BSEG"], t["KNA-1"])
+    targets = views.join_on_member(m.payments.select("payment_id"), views.normalise(m.payments, "payment")["FEBEP"], "payment_id", "payment_id")
+    return (requests.source_texts(sources, "invoice_id", ["BKPF", "BSEG", "KNA"], "first_table_row"),
+            requests.row_texts(targets, "payment_id", "second_table_row"))
+
+
+def _pair_requests(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    """Requests of all labelled pairs as a view shows their rows, one example of each label."""
     cfg = requests.RequestConfig(model=MODELS[1], num_examples=1, draw_seed=SEED)
     m = bridge.matching(spark, sf)
-    out = requests.build_requests(requests.attach_texts(plan_of(m).rows(), m.invoices, m.payments), cfg)
+    out = requests.pair_requests(plan_of(m).rows(), *view_texts(m, mode), cfg)
     return out.select("pair_id", F.size("messages").alias("n_messages"), F.sha2(messages_text(), 256).alias("chat_digest"))
 
 
+for _t in ("tables", "descriptive", "opaque", "multi-table"):
+    _f = partial(_pair_requests, mode=_t)
+    _f.__name__ = "pair_requests" + ("" if _t == "tables" else "_" + _t.replace("-", "_"))
+    query(_f)
+
+
 CHAT_MODELS = (*MODELS, "small-context-model")
 
 
