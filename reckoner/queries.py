@@ -855,7 +855,7 @@ def csv_round_trip_documents(spark, sf):
     path = _folder(spark, "csv")
     d = bridge.table(spark, sf, "documents").select("doc_id", "text", "lang")
     d.write.options(**tables.CSV_WRITE).csv(path)
-    return spark.read.schema("doc_id bigint, text string, lang string").options(**tables.CSV).csv(path)
+    return spark.read.schema("doc_id bigint, text string, lang string").options(**tables.CSV_LINES).csv(path)
 
 
 @query

@@ -31,10 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Remove the intermediate tables this application has written to the shared folder; DataFrames that read them end with it. Returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def written_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what was drawn from partition
     boundaries stays fixed when an executor is lost and its tasks run again."""
     path = f"{shared_folder(df.sparkSession)}/reckoner/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression) if compression else df.write
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -55,3 +55,16 @@ def test_a_run_that_is_there_twice_raises(spark):
     assert report_difficulty(results.limit(1), None).first()["+ errors"] == "0.75 ± 0.17"
     with pytest.raises(Exception, match="expected one row"):
         report_difficulty(results, None).collect()
+
+
+def test_cleanup_removes_written_tables(spark):
+    from pathlib import Path
+
+    from reckoner import session
+
+    df = session.written_table(spark.range(5), "some")
+    path = Path(df.inputFiles()[0].removeprefix("file://")).parent
+    others = session._WRITTEN[spark.sparkContext.applicationId]
+    session._WRITTEN[spark.sparkContext.applicationId] = [p for p in others if Path(p).name == path.name]
+    assert path.exists() and session.cleanup(spark) == 1 and not path.exists()
+    session._WRITTEN[spark.sparkContext.applicationId] = [p for p in others if Path(p).name != path.name]
