@@ -49,8 +49,7 @@ class PairPlan:
         i, p = F.col("inv_size"), F.col("pay_size")
         per_match = (info.join(inv, "match_id").join(pay, "match_id").withColumn("pairs", i + i * p + p))
         # the first invoice numbers of the matches are in match order and start ranges of 0..n-1
-        n = self.invoices.agg(F.count(F.lit(1))).scalar()
-        matches = running_totals_dense(per_match, "inv_start", ["pairs"], n).drop("_slice")
+        matches = running_totals_dense(per_match, "inv_start", ["pairs"]).drop("_slice")
         if limit is not None:
             matches = matches.where(F.col("pairs_before") < limit)
         # one slim row per match, read by both sides of ``rows``: written instead of computed twice

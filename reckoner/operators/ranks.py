@@ -58,22 +58,28 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "
             .drop("_slice", "_row", "_before"))
 
 
-def running_totals_dense(df: DataFrame, id_col: str, values: Sequence[str], n: Column | int) -> DataFrame:
-    """Running totals ``<value>_before`` in the order of unique numbers ``id_col`` that fill 0..n-1, or
-    that start ranges filling it: slices are equal ranges of numbers, so nothing is sampled or
-    written. Keeps ``_slice`` for later grouping on it."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    width = F.greatest(F.lit(1).cast("bigint"), F.ceil(n / F.lit(4096.0)))  # at most 4,096 slices for any n
-    sliced = df.withColumn("_slice", F.floor(F.col(id_col) / width))
-    within = Window.partitionBy("_slice").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = sliced.groupBy("_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    totals = totals.select("_slice", *[
-        F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_b_{v}") for v in values])
-    out = sliced.join(F.broadcast(totals), "_slice")
+SLICE_ROWS, GROUP_SLICES = 10_000, 10_000  # numbers in a slice, and slices in a group
+
+
+def running_totals_dense(df: DataFrame, id_col: str, values: Sequence[str]) -> DataFrame:
+    """Running totals ``<value>_before`` in the order of unique numbers ``id_col`` that fill 0..n-1, or that start ranges filling it: slices
+    are ranges of SLICE_ROWS numbers, so nothing is sampled or written. Slices add up in groups, and groups in one window with a
+    row per hundred million numbers. Keeps ``_slice`` for later grouping on it."""
+    sliced = df.withColumn("_slice", F.floor(F.col(id_col) / F.lit(SLICE_ROWS)))
+    totals = sliced.groupBy("_slice").agg(*[F.sum(v).alias(f"_t_{v}") for v in values]).withColumn(
+        "_group", F.floor(F.col("_slice") / F.lit(GROUP_SLICES)))
+
+    def before(order: str, total: str, *within: str) -> Column:
+        window = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(total).over(window), F.lit(0))
+
+    groups = totals.groupBy("_group").agg(*[F.sum(f"_t_{v}").alias(f"_t_{v}") for v in values]).select(
+        "_group", *[before("_group", f"_t_{v}").alias(f"_g_{v}") for v in values])
+    totals = totals.select("_slice", "_group", *[before("_slice", f"_t_{v}", "_group").alias(f"_s_{v}") for v in values]).join(
+        groups, "_group").select("_slice", *[(F.col(f"_s_{v}") + F.col(f"_g_{v}")).alias(f"_b_{v}") for v in values])
+    out = sliced.join(totals, "_slice")
     for v in values:
-        out = out.withColumn(
-            f"{v}_before", (F.col(f"_b_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0))).cast("bigint"))
+        out = out.withColumn(f"{v}_before", (F.col(f"_b_{v}") + before(id_col, v, "_slice")).cast("bigint"))
     return out.drop(*[f"_b_{v}" for v in values])
 
 

@@ -353,7 +353,7 @@ def generate(keys: DataFrame, n: int, cfg: GenConfig, mode: str, names: DataFram
              payment_fillers: Sequence[Filler] = tuple(PAYMENT_FILLERS)) -> dict[str, DataFrame]:
     """Tables of one perturbation mode for the dense match ids 0..n-1 in ``keys``."""
     context = Context(cfg, mode, n * cfg.max_num_invoices)
-    plan = running_totals_dense(plan_matches(keys, cfg, mode), "match_id", ["num_invoices", "num_payments"], n)
+    plan = running_totals_dense(plan_matches(keys, cfg, mode), "match_id", ["num_invoices", "num_payments"])
     customers = customers_dim(keys.sparkSession, cfg, names)
     wide_invoices = build_invoices(plan, customers, context, invoice_fillers)
     wide_payments = build_payments(wide_invoices, context, payment_fillers)
