@@ -47,9 +47,11 @@ class PairPlan:
         inv = member_ranges(self.invoices, "_inv_index", "inv")
         pay = member_ranges(self.payments, "_pay_index", "pay")
         i, p = F.col("inv_size"), F.col("pay_size")
-        per_match = (info.join(inv, "match_id").join(pay, "match_id").withColumn("pairs", i + i * p + p))
-        # the first invoice numbers of the matches are in match order and start ranges of 0..n-1
-        matches = running_totals_dense(per_match, "inv_start", ["pairs"]).drop("_slice")
+        sizes = ("inv_start", "inv_size", "pay_start", "pay_size")
+        # a match with an empty side has no positives, and negatives for the members of its other side
+        per_match = (info.join(inv, "match_id", "left").join(pay, "match_id", "left")
+                     .withColumns({c: F.coalesce(c, F.lit(0)) for c in sizes}).withColumn("pairs", i + i * p + p))
+        matches = running_totals_dense(dense_id(per_match, ["match_id"], "_match"), "_match", ["pairs"]).drop("_slice", "_match")
         if limit is not None:
             matches = matches.where(F.col("pairs_before") < limit)
         # one slim row per match, read by both sides of ``rows``: written instead of computed twice
@@ -73,7 +75,7 @@ class PairPlan:
             return F.when(when, entries).otherwise(none) if kind in wanted else none
 
         def up_to(n: Column) -> Column:
-            return F.sequence(F.lit(0).cast("bigint"), n - F.lit(1))
+            return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - F.lit(1))).otherwise(F.array().cast("array<bigint>"))
 
         by_invoice = F.concat(
             listed("invoice_driven", p_n < F.col("_n"), F.array(partner(

@@ -68,3 +68,17 @@ def test_cleanup_removes_written_tables(spark):
     session._WRITTEN[spark.sparkContext.applicationId] = [p for p in others if Path(p).name == path.name]
     assert path.exists() and session.cleanup(spark) == 1 and not path.exists()
     session._WRITTEN[spark.sparkContext.applicationId] = [p for p in others if Path(p).name != path.name]
+
+
+def test_matches_with_an_empty_side_keep_their_negatives(spark):
+    from reckoner.operators import pairs
+
+    info = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "match_id long, match_category string")
+    inv = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "match_id long, invoice_id long")
+    pay = spark.createDataFrame([(2, 200), (3, 300), (3, 301)], "match_id long, payment_id long")
+    rows = pairs.build_pairs(info, inv, pay).orderBy("pair_id").collect()
+    assert [(r.pair_id, r.drawn_for, r.kind) for r in rows] == [
+        (0, 1, "invoice_driven"), (1, 1, "invoice_driven"), (2, 2, "invoice_driven"), (3, 2, "match"), (4, 2, "payment_driven"),
+        (5, 3, "payment_driven"), (6, 3, "payment_driven")]
+    assert [(r.invoice_id, r.payment_id) for r in rows if r.kind == "match"] == [(20, 200)]
+    assert all(r.payment_id not in (200,) for r in rows if r.kind == "invoice_driven" and r.drawn_for == 2)
