@@ -208,7 +208,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
             for source in frame["html"]:
                 for t, new in zip(total, learn(parse(source))):
                     t.update(new)
-        yield pd.DataFrame([(k, i, n) for i, t in enumerate(total) for k, n in t.items()], columns=["kind", "side", "n"])
+        rows = [(k, i, n) for i, t in enumerate(total) for k, n in t.items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=["kind", "side", "n"])
 
     marked = pages.select("html").where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     some = digest_sample(marked, F.col("html"), sample)

@@ -135,7 +135,8 @@ def _count(rows: DataFrame, wanted: set[str] | None = None) -> Counter:
             for text in frame["text"]:
                 found = features(text)
                 n.update(found if wanted is None else found & wanted)
-        yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
+        if n:  # a frame without rows has no text column
+            yield pd.DataFrame({"feature": list(n.keys()), "n": list(n.values())})
 
     total = rows.select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     return Counter({r["feature"]: r["n"] for r in (total if wanted is not None else total.where(F.col("n") >= MIN_DOCS)).collect()})
