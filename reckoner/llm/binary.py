@@ -134,7 +134,7 @@ def token_table(docs: DataFrame, path: str, units: str) -> DataFrame:
                .withColumn("at", F.monotonically_increasing_id())
                .select(F.shiftright("at", 33).cast("int").alias("part"),
                        F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("row"), "doc_id", "text"))
-    return written_table(ordered.mapInPandas(ids_of, "part int, row long, doc_id long, wide boolean, ids binary"), "token-ids")
+    return written_table(ordered.mapInPandas(ids_of, "part int, row long, doc_id long, wide boolean, ids binary"), "token-ids", "zstd")
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
@@ -146,8 +146,8 @@ def id_counts(token_ids: DataFrame) -> DataFrame:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype="int64")
         for frame in frames:
-            for raw, wide in zip(frame["ids"], frame["wide"]):
-                some = np.bincount(_ids(raw, wide), minlength=len(total))
+            for wide in (False, True):
+                some = np.bincount(_ids(b"".join(frame["ids"][frame["wide"] == wide]), wide), minlength=len(total))
                 some[:len(total)] += total
                 total = some
         found = np.flatnonzero(total)

@@ -2,8 +2,9 @@
 
 Two kinds of pre-tokenizer can be cut into independent units. Where white space is dropped (``"words"``),
 no token crosses it. Where it is kept (``"spaces"``), a run of white space and the word after it
-are a unit: the split pattern never looks beyond the next character after the run. In both cases the
-ids of a text are the ids of its units in a row, so a worker keeps the ids of the units it has met.
+are a unit: the split pattern never looks beyond the next character after the run. Both kinds part letters
+and digits from other characters, so a full stop or comma right after one of them starts a unit as well. The
+ids of a text are the ids of its units in a row, and a worker keeps the ids of the units it has met.
 """
 
 from __future__ import annotations
@@ -13,13 +14,31 @@ import re
 from array import array
 from collections.abc import Callable, Sequence
 
-KEPT_UNITS = 1_000_000  # distinct units whose ids a worker keeps; others are encoded anew each time
+KEPT_UNITS = 700_000  # distinct units whose ids a worker keeps; others are encoded anew each time
 #: Characters that Python counts as white space and Unicode's White_Space property does not (fixed value).
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-UNITS: dict[str, Callable[[str], list[str]]] = {"words": str.split, "spaces": re.compile(r"\s*\S+|\s+").findall}
+#: A stop or comma that belongs to the characters before it, and white space in a run or against the mark.
+JOINED, MARK = re.compile(r"[\W_][.,]|\A[.,]"), "\x1f"
+JOINED_OR_RUN = re.compile(r"\s\s|[\W_][.,]|\A[.,]")
+RUNS = re.compile(r"\s*\S+|\s+").findall
 _OPEN: dict[tuple[str, str], Encoder] = {}
 
 
+def cut_words(text: str) -> list[str]:
+    return text.split() if JOINED.search(text) else text.replace(".", " .").replace(",", " ,").split()
+
+
+def cut_spaces(text: str) -> list[str]:
+    if JOINED_OR_RUN.search(text):
+        return RUNS(text)
+    for c in " \n.,":
+        text = text.replace(c, MARK + c)
+    return text.split(MARK)
+
+
+UNITS: dict[str, Callable[[str], list[str]]] = {"words": cut_words, "spaces": cut_spaces}
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers. ``units`` names the way texts are cut ("" for none)."""
 
