@@ -40,6 +40,14 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def least_rows(rows: DataFrame, key: str, *others: Column) -> DataFrame:
+    """(key, row, others) with one ``row`` per ``key``: that with the least (doc_id, digest of the text, text), a NULL doc_id last. ``others`` are aggregates.
+    Every task sends one row per key that it has met."""
+    doc, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
+    order = F.struct(doc.isNull().alias("none"), doc.alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return rows.groupBy(key).agg(F.min_by("row", order).alias("row"), *others)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,4 +68,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-__all__ = ["SPACE", "on_workers", "table", "lower_ascii", "words", "whole_row", "partitions", "digest_sample", "checkpointed", "written_table"]
+__all__ = ["SPACE", "on_workers", "table", "lower_ascii", "words", "whole_row", "least_rows", "partitions", "digest_sample", "checkpointed", "written_table"]

@@ -19,9 +19,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from reckoner.llm.common import partitions, whole_row, written_table
+from reckoner.llm.common import least_rows, partitions, whole_row, written_table
 from reckoner.llm.components import components
 from reckoner.llm.lines import split_words
 
@@ -154,21 +154,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 
 def grouped(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) per document: component_id is the least doc_id among all documents reachable by links. Equal fingerprints, those of empty
-    texts (0) too, are linked. Repeated rows stay; a NULL doc_id never is a component_id unless nothing else is reachable."""
+    """(doc_id, fp, component_id, root) per document: component_id is the least doc_id among all documents reachable by links, root their least
+    fingerprint. Equal fingerprints, those of empty texts (0) too, are linked. Repeated rows stay; a NULL doc_id never is a component_id unless nothing else
+    is reachable."""
     fps = written_table(fingerprints(docs), "fingerprints")
     distinct = written_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), radius, bucket))
     tied = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = tied.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = tied.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row per group: that of its least doc_id (the first by text, if the id is repeated). All columns stay."""
-    keep = grouped(docs, **options).select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
-    rows = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("_id").orderBy("_text", "row.text"))
-    return rows.withColumn("_number", number).where("_number = 1").select("row.*")
+    """``docs`` with one row per group: that of its least doc_id (see least_rows). Groups are told apart by their root fingerprint, as ids may be NULL
+    or repeated. All columns stay."""
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield pd.Series(np.array([fingerprint(t) for t in series], dtype="uint64").view("int64"))
+
+    fp = F.pandas_udf(run, "long")
+    rows = least_rows(docs.select(whole_row(docs), fp(F.col("text").cast("string")).alias("fp")), "fp")
+    roots = grouped(docs, **options).select("fp", "root").distinct()
+    return least_rows(rows.join(roots, "fp"), "root").select("row.*")

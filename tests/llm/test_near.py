@@ -59,6 +59,16 @@ def test_simhash_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "6", "7"]
 
 
+REPEATED = [(None, "alpha beta gamma delta epsilon"), (None, "one fine day in the green valley"), (None, None), (7, "red apples fall from old trees"),
+            (7, "blue ships sail over calm seas"), (3, "red apples fall from old trees"), (7, "blue ships sail over calm seas")]
+ONCE = sorted([REPEATED[0], REPEATED[1], REPEATED[2], REPEATED[4], REPEATED[5]], key=repr)
+
+
+def test_groups_of_rows_without_or_with_the_same_id_keep_a_row_each(spark):
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicated(df).collect()), key=repr) == ONCE
+
+
 @pytest.mark.parametrize("bucket", [2, 128])
 def test_links_of_dense_groups_in_small_and_large_buckets(spark, bucket):
     random.seed(5)
