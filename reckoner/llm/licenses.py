@@ -4,7 +4,8 @@ Blocks are windows of words that overlap by half, so that any passage of STRIDE
 templates are ordered by their document frequency in the whole corpus, the rarest first. A block that holds a share of at least
 ``threshold`` of a template's words must hold one of the first |T| - needed + 1 of them (prefix filter), at least as many template words as are needed (length
 filter), and enough of both orders must be left at the common word (positional filter). What passes is
-compared exactly. Phrases are templates with threshold 1 whose words must also stand in a row.
+compared exactly. Phrases are templates with threshold 1 whose words must also stand in a row. Templates of fewer than LONG words have threshold 1,
+too: the word a share would let go is the one that tells licenses apart.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from reckoner.llm.common import lower_ascii, words
 
 STRIDE, WIDTH = 32, 64
 THRESHOLD = 0.8
+LONG = 10  # words from which a share of a template is enough
 #: Characters between words (fixed value of the data contract).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,15 +40,17 @@ class Template:
 PHRASES = (Template("cc-by", "cc by", True), Template("gpl", "general public license", True), Template("reserved", "all rights reserved", True))
 #: The usual notices of well-known licenses, as words.
 NOTICES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0"),
+    Template("apache-2.0", "under the apache license 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
+    Template("cc-by-nc", "licensed under cc by nc"),
+    Template("cc-by-nc", "cc by nc 4 0"),
+    Template("cc-by-sa", "licensed under cc by sa"),
+    Template("cc-by-sa", "cc by sa 4 0"),
     Template("cc0", "the author has waived all copyright and related or neighboring rights to this work"),
     Template("gpl-notice", "this work is licensed under the gnu general public license version 3"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("lgpl", "gnu lesser general public license"),
-    Template("mit", "released under the mit license"),
+    Template("lgpl", "lesser general public license"),
+    Template("mit", "under the mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -56,7 +60,7 @@ NOTICES = (
 def needed(template: Template, threshold: float) -> int:
     """Words of the template that a block must hold."""
     n = len(set(template.words))
-    return n if template.phrase else math.ceil(threshold * n - 1e-9)
+    return n if template.phrase or n < LONG else math.ceil(threshold * n - 1e-9)
 
 
 def _array(values: Sequence[str]) -> Column:

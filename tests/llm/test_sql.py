@@ -66,3 +66,11 @@ def test_mix_comes_near_its_targets_and_repeats_rows(docs):
         assert g["copies"].max() <= mixing.MAX_REPEAT and g["target"].iloc[0] <= 3 * g["source_size"].iloc[0]
     assert abs(rows.groupby("_source")["target"].first().sum() - rows["size"].sum()) < 1e-3
     assert mixing.mixed(docs).count() == rows["copies"].sum()
+
+
+def test_notices_of_one_license_are_not_those_of_another(spark):
+    texts = ["This work is licensed under the GNU General Public License version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.",
+             "Released under the Zlib license.", "Released under the MIT license.", "Licensed under the Apache License, Version 2.0.",
+             "Under the GNU Lesser General Public License.", "This file is licensed under the GNU General Public License, version 2.0."]
+    rows = licenses.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(rows)] == ["gpl,gpl-notice", "cc-by,cc-by-nc", "cc-by,cc-by-sa", "", "mit", "apache-2.0", "gpl,lgpl", "gpl,gpl-notice"]
