@@ -22,7 +22,9 @@ from reckoner.llm.common import digest_sample
 
 SAMPLE = 2_000  # pages with a marked article that the weights are fitted on, about, at most
 #: Element names of HTML by their role.
-RAW = "script style noscript template iframe svg object canvas textarea select option datalist math audio video head title".split()
+RAW = "script style textarea title".split()  # no markup up to the end tag
+EMBEDDED = set("noscript template iframe svg object canvas select option datalist math audio video".split())
+OF_HEAD = set("base basefont bgsound html link meta noscript template".split())  # what does not end an open head
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
              "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -61,6 +63,7 @@ class Page:
     parents: list[int] = field(default_factory=lambda: [0])
     aside: list[bool] = field(default_factory=lambda: [False])
     inside: list[bool] = field(default_factory=lambda: [False])  # an article or main element, or within one
+    hidden: list[bool] = field(default_factory=lambda: [False])  # a head or embedded element, or within one: has no tokens
     first: list[int] = field(default_factory=lambda: [0])
     last: list[int] = field(default_factory=lambda: [0])
 
@@ -79,26 +82,50 @@ def _is_side(tag: str, attrs: str, within_article: bool) -> bool:
     return False
 
 
+def _closed(tokens: list[re.Match]) -> set[int]:
+    """Starts of the embedded elements that have an end tag."""
+    out, opened = set(), {}
+    for m in tokens:
+        tag = (m["tag"] or "").lower()
+        if tag in EMBEDDED:
+            if not m["end"]:
+                opened.setdefault(tag, []).append(m.start())
+            elif opened.get(tag):
+                out.add(opened[tag].pop())
+    return out
+
+
 def parse(source: str) -> Page:
-    """The tokens of ``source``. Elements end with their end tag, or with that of an element around them."""
+    """The tokens of ``source``. Elements end with their end tag, or with that of an element around them. A head also ends where something
+    else than its own elements begins; an embedded element without an end tag is empty."""
     page, stack, at = Page(), [0], 0
+    tokens = list(TOKEN.finditer(source))
+    closed = _closed(tokens)
+
+    def end_head() -> None:
+        if page.names[stack[-1]] == "head":
+            page.last[stack.pop()] = len(page.kinds)
 
     def text(piece: str) -> None:
         piece = html.unescape(piece)
         n = len(piece.split())
+        if n:
+            end_head()
         if n or piece:
             top = stack[-1]
             kind = "word aside" if page.aside[top] else "word in a" if any(page.names[e] == "a" for e in stack) else "word"
             add(kind, n, top, piece, "")
 
     def add(kind: str, n: int, owner: int, piece: str | None, tag: str) -> None:
+        if page.hidden[owner]:
+            return
         page.kinds.append(kind)
         page.counts.append(n)
         page.owner.append(owner)
         page.texts.append(piece)
         page.tags.append(tag)
 
-    for m in TOKEN.finditer(source):
+    for m in tokens:
         if m.start() > at:
             text(source[at:m.start()])
         at = m.end()
@@ -106,14 +133,20 @@ def parse(source: str) -> Page:
             continue
         tag = m["tag"].lower()
         kind = KINDS.get(tag, "other")
+        if page.names[stack[-1]] == "option" and not (m["end"] and tag == "option"):  # holds text only, ends at the next tag
+            page.last[stack.pop()] = len(page.kinds)
         if m["end"]:
-            add(kind, 1, stack[-1], None, tag)
             depth = next((i for i in range(len(stack) - 1, 0, -1) if page.names[stack[i]] == tag), None)
+            add(kind, 1, stack[depth] if depth and page.hidden[stack[-1]] else stack[-1], None, tag)
             if depth:
                 for e in stack[depth:]:
                     page.last[e] = len(page.kinds)
                 del stack[depth:]
             continue
+        if tag in EMBEDDED and tag != "option" and m.start() not in closed:
+            continue
+        if tag not in OF_HEAD:
+            end_head()
         top = stack[-1]
         if tag == "p" and page.names[top] == "p":  # an open paragraph ends where the next begins
             page.last[top] = len(page.kinds)
@@ -124,6 +157,7 @@ def parse(source: str) -> Page:
             page.parents.append(top)
             page.aside.append(page.aside[top] or _is_side(tag, m["attrs"], page.inside[top]))
             page.inside.append(page.inside[top] or tag in CONTENT)
+            page.hidden.append(page.hidden[top] or tag in EMBEDDED or tag == "head")
             page.first.append(len(page.kinds))
             page.last.append(0)
             stack.append(len(page.names) - 1)

@@ -133,6 +133,23 @@ PAGES = {
 }
 
 
+OPEN = {"select": "<select><option>x", "video": "<video src=v>", "object": "<object data=o>", "svg": "<svg width=1>", "closed select": "<select><option>x<option>y</select>",
+        "closed video": "<video><p>no video here</p></video>", "second closed": "<svg><svg><text>z</text></svg>"}
+ARTICLE = "<body><article><p>One two three four five six.</p>%s<p>Seven eight nine ten eleven.</p></article></body>"
+
+
+@pytest.mark.parametrize("name", OPEN)
+def test_extraction_goes_on_after_an_open_element(name):
+    assert html.main_text(ARTICLE % OPEN[name], html.weights({}, {})) == "One two three four five six.\nSeven eight nine ten eleven."
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title>", "<head><title>t</title><meta name=x><script>a</script><noscript><link></noscript></head>", "<head>"])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_extraction_without_an_end_of_the_head(head, body):
+    page = f"<html>{head}{body}<article><p>One two three four five six.</p></article>"
+    assert html.main_text(page, html.weights({}, {})) == "One two three four five six."
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_extraction_of_made_pages(name):
     assert html.main_text(PAGES[name][0], html.weights({}, {})) == PAGES[name][1]
