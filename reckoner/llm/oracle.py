@@ -94,4 +94,45 @@ SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS wo
          AND n_words - removed_words >= {lines.DEPLETED}::DOUBLE * n_words AS kept
 FROM c"""
 
-SQL: dict[str, str] = {"op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}
+#: CRC-32 of a column of digits, bit by bit (the polynomial is a fixed value of the checksum).
+CRC = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
+       "lambda s, c: list_reduce(list_concat([xor(s, c)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)")
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT *, sha256(head || {FIELD.format('text')}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {CRC.format('doc_id::VARCHAR')} % 5 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END AS later
+  FROM (SELECT doc_id, source, text, concat({', '.join(FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))}) AS head FROM documents)),
+leaves AS (
+  SELECT doc_id, source, leaf, sha256(head || {FIELD.format('later')}) AS tampered,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n FROM d),
+nodes(level, tree, pos, n, digest) AS (
+  SELECT 0, tree, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY level, tree, pos // 16, n),
+tops(level, pos, n, digest) AS (
+  SELECT 0, tree, (SELECT count(DISTINCT tree) FROM leaves), digest FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 16, n),
+up AS (  -- (leaf, level from 0 on through both trees): the siblings to the left and to the right
+  SELECT l.tree, l.pos, s.level, string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos < l.pos // (16 ** s.level)::BIGINT) AS lefts,
+         string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos > l.pos // (16 ** s.level)::BIGINT) AS rights
+  FROM leaves l JOIN nodes s ON s.tree = l.tree AND s.n > 1 AND s.pos // 16 = l.pos // (16 ** (s.level + 1))::BIGINT GROUP BY l.tree, l.pos, s.level
+  UNION ALL
+  SELECT l.tree, l.pos, 100 + s.level, string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos < l.tree // (16 ** s.level)::BIGINT),
+         string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos > l.tree // (16 ** s.level)::BIGINT)
+  FROM leaves l JOIN tops s ON s.n > 1 AND s.pos // 16 = l.tree // (16 ** (s.level + 1))::BIGINT GROUP BY l.tree, l.pos, s.level),
+paths AS (
+  SELECT tree, pos, list(coalesce(lefts, '') ORDER BY level) AS lefts, list(coalesce(rights, '') ORDER BY level) AS rights,
+         string_agg(coalesce(lefts, '') || coalesce(rights, ''), '' ORDER BY level) AS every FROM up GROUP BY tree, pos),
+folded(tree, pos, step, digest) AS (
+  SELECT tree, pos, 0, tampered FROM leaves
+  UNION ALL
+  SELECT tree, pos, step + 1, sha256(lefts[step + 1] || digest || rights[step + 1]) FROM folded JOIN paths USING (tree, pos) WHERE step < len(lefts)),
+ends AS (SELECT tree, pos, arg_max(digest, step) AS digest FROM folded GROUP BY tree, pos)
+SELECT doc_id, leaf, (SELECT digest FROM nodes r WHERE r.n = 1 AND r.tree = l.tree) AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root,
+       sha256(coalesce(every, '')) AS proof_sha256, e.digest AS folded_root, e.digest = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN ends e USING (tree, pos) LEFT JOIN paths USING (tree, pos)"""
+
+SQL: dict[str, str] = {"op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, html, licenses, lines, mixing, packing, perplexity, simhash, toxicity, vectors
+from reckoner.llm import binary, html, licenses, lines, merkle, mixing, packing, perplexity, simhash, toxicity, vectors
 from reckoner.llm.common import on_workers, table
 from reckoner.session import shared_folder
 
@@ -73,3 +73,8 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.linked(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audited(table(spark, sf, "documents"))
