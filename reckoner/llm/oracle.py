@@ -135,4 +135,19 @@ SELECT doc_id, leaf, (SELECT digest FROM nodes r WHERE r.n = 1 AND r.tree = l.tr
        sha256(coalesce(every, '')) AS proof_sha256, e.digest AS folded_root, e.digest = (SELECT digest FROM tops WHERE n = 1) AS verified
 FROM leaves l JOIN ends e USING (tree, pos) LEFT JOIN paths USING (tree, pos)"""
 
-SQL: dict[str, str] = {"op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}
+HARD = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, b.r AS b, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+      FROM e a JOIN e b ON a.r != b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id NULLS LAST, s.b)::INTEGER AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+SQL: dict[str, str] = {"op11_hard_negatives": HARD, "op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}
