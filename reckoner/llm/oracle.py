@@ -6,7 +6,7 @@ constants with the operators.
 
 from __future__ import annotations
 
-from reckoner.llm import licenses, lines, mixing
+from reckoner.llm import licenses, lines, mixing, spots
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -150,4 +150,33 @@ SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.
 FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
 QUALIFY rank <= 10"""
 
-SQL: dict[str, str] = {"op11_hard_negatives": HARD, "op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}
+def _likeness(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+_SPOTS_WORD = "regexp_extract_all(translate({0}, '" + UPPER + "', '" + UPPER.lower() + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_MD5 = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+SPOTS = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS r, doc_id, lang, coalesce(text, '') AS x FROM documents),
+langs AS (SELECT lang FROM d GROUP BY lang HAVING count(*) * {spots.LANGUAGES} >= (SELECT count(*) FROM d)),
+used AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_distinct({_SPOTS_WORD.format('x')})) AS w FROM d) GROUP BY lang, w),
+anchors AS (SELECT DISTINCT w FROM (SELECT lang, w FROM used u WHERE EXISTS (SELECT 1 FROM langs l WHERE l.lang IS NOT DISTINCT FROM u.lang)
+                                    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {spots.ANCHORS})),
+e AS (SELECT d.*, y.x AS y, d.x[:length(d.x) - length(d.x) // 3] || y.x[:length(d.x) // 3] AS z
+      FROM d JOIN d y ON y.r = d.r % (SELECT count(*) FROM d) + 1),
+every AS (SELECT DISTINCT t FROM (SELECT x AS t FROM e UNION ALL SELECT z FROM e)),
+parted AS (SELECT t, i, w, w IN (SELECT w FROM anchors) AS a FROM (SELECT t, unnest(u) AS w, generate_subscripts(u, 1) AS i FROM (SELECT t, {_SPOTS_WORD.format('t')} AS u FROM every))),
+content AS (SELECT t, i, w, row_number() OVER (PARTITION BY t ORDER BY i) AS c FROM parted WHERE NOT a),
+spots AS (SELECT t, w, c FROM (
+            SELECT t, w, a, coalesce(count(*) FILTER (WHERE NOT a) OVER (PARTITION BY t ORDER BY i), 0) AS c FROM parted) WHERE a),
+chains AS (SELECT DISTINCT s.t, (({_MD5.format('s.w')})::HUGEINT * {spots.MIX[0]} + ({_MD5.format('p.w')})::HUGEINT * {spots.MIX[1]}
+                                 + ({_MD5.format('q.w')})::HUGEINT * {spots.MIX[2]}) % 18446744073709551616 // 4294967296 AS sig
+           FROM spots s JOIN content p ON p.t = s.t AND p.c = s.c + 1 JOIN content q ON q.t = s.t AND q.c = s.c + 2),
+prints AS (SELECT t, coalesce(list(sig ORDER BY sig) FILTER (WHERE sig IS NOT NULL), [({_MD5.format('t')})::HUGEINT]) AS sigs FROM every LEFT JOIN chains USING (t) GROUP BY t),
+texts AS (SELECT t, sigs, base64(unhex(array_to_string(list_transform(sigs, lambda s: printf('%08x', s::BIGINT)), ''))) AS print FROM prints)
+SELECT doc_id, length(x)::BIGINT AS n_chars, sha256(z) AS edited_sha256, own.print AS fingerprint, ed.print AS edited_fingerprint,
+       {_likeness('own.sigs', 'ed.sigs')} AS near_edited, {_likeness('own.sigs', 'nx.sigs')} AS near_next,
+       {_likeness('own.sigs', 'ed.sigs')} >= {spots.THRESHOLD}::DOUBLE AS similar_edited, {_likeness('own.sigs', 'nx.sigs')} >= {spots.THRESHOLD}::DOUBLE AS similar_next
+FROM e JOIN texts own ON own.t = e.x JOIN texts ed ON ed.t = e.z JOIN texts nx ON nx.t = e.y"""
+
+SQL: dict[str, str] = {"op12_fingerprints": SPOTS, "op11_hard_negatives": HARD, "op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reckoner.llm import binary, cover, html, licenses, lines, merkle, mixing, packing, perplexity, simhash, toxicity, vectors
+from reckoner.llm import binary, cover, html, licenses, lines, merkle, mixing, packing, perplexity, simhash, spots, toxicity, vectors
 from reckoner.llm.common import on_workers, table
 from reckoner.session import shared_folder
 
@@ -83,3 +83,8 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return cover.hard_negatives(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return spots.fingerprinted(table(spark, sf, "documents"))
