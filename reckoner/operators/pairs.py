@@ -3,6 +3,8 @@ partner from outside its match."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.functions.draws import draw_outside_range, u01
@@ -17,30 +19,36 @@ def members(matches: DataFrame, ids: str, id_col: str) -> DataFrame:
     return matches.select("match_id", F.explode(ids).alias(id_col))
 
 
-def indexed_members(long: DataFrame, id_col: str, index: str) -> DataFrame:
-    """Members (with any further columns) numbered over the whole table in the order (match, id).
+def indexed_members(long: DataFrame, id_col: str, index: str, every: DataFrame | None = None) -> DataFrame:
+    """Members (with any further columns) numbered in the order (match, id). Given ``every`` id there is, ids without a match are numbered after all members, with a NULL
+    match_id: they are partners that may be drawn.
 
     The members of a match take one unbroken range of numbers, so 'not in this match' is a range
     test and never a list. The numbered rows are a written table: later steps read it."""
-    return dense_id(long, ["match_id", id_col], index)
+    rows = long if every is None else every.select(id_col).join(long, id_col, "left").select(*long.columns)
+    return dense_id(rows.withColumn("_free", F.col("match_id").isNull()), ["_free", "match_id", id_col], index).drop("_free")
 
 
 def member_ranges(indexed: DataFrame, index: str, prefix: str) -> DataFrame:
     """First number and size of each match's range."""
-    return indexed.groupBy("match_id").agg(
+    return indexed.where(F.col("match_id").isNotNull()).groupBy("match_id").agg(
         F.min(index).alias(f"{prefix}_start"), F.count(F.lit(1)).alias(f"{prefix}_size"))
 
 
+TILE = 256  # members of a match on each side of a tile
+
+
 class PairPlan:
     """The three kinds of pairs of a set of matches.
 
     ``info`` has one row per match (match_id and carried columns); the members come from
-    ``indexed_members`` with the numbers ``_inv_index`` and ``_pay_index``. Each member row lists the
-    numbers of its partners, and one equi join on the number fetches them."""
+    ``indexed_members`` with the numbers ``_inv_index`` and ``_pay_index``. A negative has the number of its partner, and one equi join
+    on the number fetches it. The positives of a match are cut into tiles of TILE by TILE members: a member goes once to each
+    tile of its row or column, and an equi join on the tile makes its pairs, so that a match of many by many is spread over tasks."""
 
     def __init__(self, info: DataFrame, invoices: DataFrame, payments: DataFrame, seed: int = 0,
-                 limit: int | None = None) -> None:
-        self.seed = seed
+                 limit: int | None = None, tile: int = TILE) -> None:
+        self.seed, self.tile = seed, tile
         self.invoices = invoices.select("match_id", "invoice_id", "_inv_index")
         self.payments = payments.select("match_id", "payment_id", "_pay_index")
         self.carried = [c for c in info.columns if c != "match_id"]
@@ -58,67 +66,58 @@ class PairPlan:
         self.matches = written_table(matches, "match-ranges")
 
     def rows(self, *kinds: str) -> DataFrame:
-        """Pairs of the given kinds (all without arguments). Positives are listed by the side with
-        more members, which has one partner each in every match category; a partner shared by a
-        third of all rows is a skewed join key, which AQE splits."""
-        wanted = kinds or KINDS
-        n_pay = self.payments.agg(F.count(F.lit(1))).scalar()
-        n_inv = self.invoices.agg(F.count(F.lit(1))).scalar()
-        i_n, p_n, i0, p0 = (F.col(c) for c in ("inv_size", "pay_size", "inv_start", "pay_start"))
-        i, p = F.col("_inv_index") - i0, F.col("_pay_index") - p0
-        none = F.array().cast("array<struct<kind:string,slot:bigint,at:bigint>>")
-
-        def partner(kind: str, slot: Column, at: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), slot.cast("bigint").alias("slot"), at.cast("bigint").alias("at"))
-
-        def listed(kind: str, when: Column, entries: Column) -> Column:
-            return F.when(when, entries).otherwise(none) if kind in wanted else none
-
-        def up_to(n: Column) -> Column:
-            return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - F.lit(1))).otherwise(F.array().cast("array<bigint>"))
-
-        by_invoice = F.concat(
-            listed("invoice_driven", p_n < F.col("_n"), F.array(partner(
-                "invoice_driven", i * (p_n + 1),
-                draw_outside_range(F.col("_n"), p0, p_n, u01(self.seed, "neg_inv", "invoice_id"))))),
-            listed("match", p_n <= i_n, F.transform(
-                up_to(p_n), lambda k: partner("match", i * (p_n + 1) + F.lit(1) + k, p0 + k))))
-        by_payment = F.concat(
-            listed("payment_driven", i_n < F.col("_n"), F.array(partner(
-                "payment_driven", i_n * (p_n + 1) + p,
-                draw_outside_range(F.col("_n"), i0, i_n, u01(self.seed, "neg_pay", "payment_id"))))),
-            listed("match", p_n > i_n, F.transform(
-                up_to(i_n), lambda k: partner("match", k * (p_n + 1) + F.lit(1) + p, i0 + k))))
-        sides = []
-        if "invoice_driven" in wanted or "match" in wanted:
-            rows = self.invoices.join(self.matches, "match_id").withColumn("_n", n_pay)
-            rows = self._slim(rows, "invoice_id", by_invoice)
-            sides.append(rows.join(self.payments.select(F.col("_pay_index").alias("at"), "payment_id"), "at"))
-        if "payment_driven" in wanted or "match" in wanted:
-            rows = self.payments.join(self.matches, "match_id").withColumn("_n", n_inv)
-            rows = self._slim(rows, "payment_id", by_payment)
-            sides.append(rows.join(self.invoices.select(F.col("_inv_index").alias("at"), "invoice_id"), "at"))
-        out = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        """Pairs of the given kinds (all without arguments)."""
+        made = {"match": self._positives, "invoice_driven": self._by_invoice, "payment_driven": self._by_payment}
+        parts = [made[k]() for k in KINDS if k in (kinds or KINDS)]
+        out = reduce(DataFrame.union, parts)
         hit = F.col("kind") == "match"
         return out.select("pair_id", F.when(hit, F.col("drawn_for")).alias("match_id"), "drawn_for",
                           hit.alias("rows_match"), "kind", *self.carried, "invoice_id", "payment_id")
 
-    def _slim(self, rows: DataFrame, id_col: str, partners: Column) -> DataFrame:
-        exploded = rows.select(F.col("match_id").alias("drawn_for"), *self.carried, id_col, "pairs_before",
-                               F.explode(partners).alias("_p"))
-        return exploded.select("drawn_for", *self.carried, id_col, (F.col("pairs_before") + F.col("_p.slot"))
-                               .alias("pair_id"), F.col("_p.kind").alias("kind"), F.col("_p.at").alias("at"))
+    def _made(self, rows: DataFrame, kind: str, slot: Column) -> DataFrame:
+        return rows.select((F.col("pairs_before") + slot).cast("bigint").alias("pair_id"), F.col("match_id").alias("drawn_for"), F.lit(kind).alias("kind"),
+                           *self.carried, "invoice_id", "payment_id")
+
+    def _positives(self) -> DataFrame:
+        """Tiles (i, j) of a match: invoices of block i with payments of block j."""
+        sizes = self.matches.where("inv_size > 0 and pay_size > 0")
+        block = lambda c: F.floor(c / F.lit(self.tile)).cast("int")
+        blocks = lambda size: F.explode(F.sequence(F.lit(0), block(F.col(size) - F.lit(1))))
+        i, j = F.col("_inv_index") - F.col("inv_start"), F.col("_pay_index") - F.col("pay_start")
+        # the side that is one block more often than not carries the columns of the match
+        left = (self.invoices.join(sizes.select("match_id", "inv_start", "pay_size"), "match_id")
+                .select("match_id", "invoice_id", i.alias("_i"), block(i).alias("_tile_i"), blocks("pay_size").alias("_tile_j")))
+        right = (self.payments.join(sizes, "match_id")
+                 .select("match_id", "payment_id", j.alias("_j"), block(j).alias("_tile_j"), "pay_size", "pairs_before", *self.carried, blocks("inv_size").alias("_tile_i")))
+        return self._made(left.join(right, ["match_id", "_tile_i", "_tile_j"]), "match", F.col("_i") * (F.col("pay_size") + F.lit(1)) + F.lit(1) + F.col("_j"))
+
+    def _by_invoice(self) -> DataFrame:
+        n = self.payments.agg(F.count(F.lit(1))).scalar()
+        rows = self.invoices.join(self.matches, "match_id").withColumn("_n", n).where(F.col("pay_size") < F.col("_n"))
+        drawn = draw_outside_range(F.col("_n"), F.col("pay_start"), F.col("pay_size"), u01(self.seed, "neg_inv", "invoice_id"))
+        slot = (F.col("_inv_index") - F.col("inv_start")) * (F.col("pay_size") + F.lit(1))
+        rows = rows.select("match_id", "invoice_id", *self.carried, "pairs_before", slot.alias("_slot"), drawn.cast("bigint").alias("_pay_index"))
+        return self._made(rows.join(self.payments.select("_pay_index", "payment_id"), "_pay_index"), "invoice_driven", F.col("_slot"))
+
+    def _by_payment(self) -> DataFrame:
+        n = self.invoices.agg(F.count(F.lit(1))).scalar()
+        rows = self.payments.join(self.matches, "match_id").withColumn("_n", n).where(F.col("inv_size") < F.col("_n"))
+        drawn = draw_outside_range(F.col("_n"), F.col("inv_start"), F.col("inv_size"), u01(self.seed, "neg_pay", "payment_id"))
+        slot = F.col("inv_size") * (F.col("pay_size") + F.lit(1)) + F.col("_pay_index") - F.col("pay_start")
+        rows = rows.select("match_id", "payment_id", *self.carried, "pairs_before", slot.alias("_slot"), drawn.cast("bigint").alias("_inv_index"))
+        return self._made(rows.join(self.invoices.select("_inv_index", "invoice_id"), "_inv_index"), "payment_driven", F.col("_slot"))
 
 
 def build_pairs(info: DataFrame, invoice_members: DataFrame, payment_members: DataFrame,
-                seed: int = 0, limit: int | None = None) -> DataFrame:
+                seed: int = 0, limit: int | None = None, invoices: DataFrame | None = None, payments: DataFrame | None = None) -> DataFrame:
     """Pair table with a dense ``pair_id``: per match, each invoice's negative before its positives,
-    then one negative per payment. ``limit`` ends between matches, partners are drawn from all rows.
+    then one negative per payment. ``limit`` ends between matches. Partners are drawn from all rows: pass the tables ``invoices`` and ``payments`` to
+    draw from those that belong to no match as well.
 
     A match that holds every payment (invoice) has no outside partner: it gets no such negative."""
-    invoices = indexed_members(invoice_members.select("match_id", "invoice_id"), "invoice_id", "_inv_index")
-    payments = indexed_members(payment_members.select("match_id", "payment_id"), "payment_id", "_pay_index")
-    return PairPlan(info, invoices, payments, seed, limit).rows()
+    inv = indexed_members(invoice_members.select("match_id", "invoice_id"), "invoice_id", "_inv_index", invoices)
+    pay = indexed_members(payment_members.select("match_id", "payment_id"), "payment_id", "_pay_index", payments)
+    return PairPlan(info, inv, pay, seed, limit).rows()
 
 
 def attach_invoice(pairs: DataFrame, invoices: DataFrame, name: str = "source") -> DataFrame:

@@ -103,23 +103,3 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
     starts = whole.groupBy(*group).agg(F.min("_index").alias("_start"))
     return (with_key_values(whole, starts, group).withColumn(name, F.col("_index") - F.col("_start"))
             .drop("_index", "_start"))
-
-
-def with_part(df: DataFrame, group: Sequence[str], member: str, chunk: int) -> DataFrame:
-    """Add ``part``: 0, or for groups with more than ``chunk`` rows a number that spreads their members
-    by digest, about ``chunk`` or fewer to a part.
-
-    Only the large groups are joined, so that as a rule the small table is broadcast by Spark and the
-    rows are shuffled once, on (group, part), by whatever groups them next."""
-    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
-    spread = F.conv(F.substring(F.md5(F.col(member).cast("string")), 1, 13), 16, 10).cast("bigint")
-    part = F.pmod(spread, F.ceil(F.col("_n") / F.lit(float(chunk)))).cast("int")
-    return with_key_values(df, large, group, "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("_n")
-
-
-def member_chunks(df: DataFrame, group: Sequence[str], member: str, chunk: int = 10_000,
-                  name: str = "members") -> DataFrame:
-    """Sorted member list per group. A group with more than ``chunk`` members is spread over several
-    rows (``part`` 0, 1, ...), so no list grows without bound and none is cut."""
-    return (with_part(df.select(*group, member), group, member, chunk)
-            .groupBy(*group, "part").agg(F.sort_array(F.collect_list(member)).alias(name)))

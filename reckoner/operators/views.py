@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.operators.keyed import with_key_values
-from reckoner.operators.ranks import first_per_key, with_part
+from reckoner.operators.ranks import first_per_key
 from reckoner.schema import SCHEMA_MODES, attributes, check_mode, member_tables
+from reckoner.session import bucketed_table
 
 
 def project_view(df: DataFrame, side: str) -> DataFrame:
@@ -43,72 +45,121 @@ def split_tables(df: DataFrame, side: str) -> dict[str, DataFrame]:
     }
 
 
-def dedupe_by_key(df: DataFrame, keys: Sequence[str], id_col: str, chunk: int = 10_000) -> DataFrame:
-    """Merge rows by primary key: attributes of the row with the lowest id and the sorted list of ids.
+SLOT = 100_000  # ids that share one copy of a member row
 
-    A key with more than ``chunk`` ids takes several rows (``part`` 0, 1, ...), each with a share of
-    its ids, so that a key holding a third of the table never ends up in one list."""
+
+def dedupe_by_key(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """One row per primary key, whatever the number of its ids: ``id_col`` is the lowest one, the attributes are those of its row, ``n_ids`` counts them. The ids
+    themselves are rows of ``member_ids``. Only minima and counts are aggregated."""
     rest = [c for c in df.columns if c not in keys and c != id_col]
-    lists = (with_part(df.select(*keys, id_col), keys, id_col, chunk)
-             .groupBy(*keys, "part").agg(F.sort_array(F.collect_list(id_col)).alias(id_col)))
+    least = [F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_ids")]
     if rest:
-        lists = with_key_values(lists, first_per_key(df, keys, id_col).drop(id_col), keys)
-    return lists.select(id_col, *[c for c in df.columns if c != id_col], "part")
+        least.append(F.min_by(F.struct(*rest), id_col).alias("_first"))
+    out = df.groupBy(*keys).agg(*least)
+    return out.select(id_col, *[F.col("_first")[c].alias(c) if c in rest else F.col(c) for c in df.columns if c != id_col], "n_ids")
+
+
+def member_ids(df: DataFrame, keys: Sequence[str], id_col: str, name: str = "head") -> DataFrame:
+    """The (key, id) relation in long form: ``df`` with ``name``, the id that the merged row of its key bears, and ``n_ids``. NULL is a key like any other."""
+    heads = df.groupBy(*keys).agg(F.min(id_col).alias(name), F.count(F.lit(1)).alias("n_ids"))
+    return with_key_values(df, heads, keys)
+
+
+def _slots(n_ids: Column) -> Column:
+    return F.ceil(n_ids / F.lit(float(SLOT))).cast("int")
+
+
+@dataclass(frozen=True)
+class Members:
+    """The member tables of a side: ``rows`` with one row per primary key, and ``links`` with one row per id that names, for each table, the id its merged row bears
+    (column of the table's name) and the copy to read (``<table>_slot``).
+
+    A key with many ids counts as one copy of its row per SLOT ids, so that the ids of a key with a third of all rows meet their row in many tasks."""
+    side: str
+    rows: dict[str, DataFrame]
+    links: DataFrame
+    stored: dict[str, DataFrame]
+
+    @property
+    def id_col(self) -> str:
+        return f"{self.side}_id"
+
+    def written(self) -> "Members":
+        """Links bucketed by id, copies of rows bucketed by key: written once, joined any number of times without another shuffle of them."""
+        return Members(self.side, self.rows, bucketed_table(self.links, f"{self.side}_links", self.id_col), {
+            t: bucketed_table(df, "member_" + t.replace("-", "_"), "_head", "_slot") for t, df in self.stored.items()})
+
+    def attached(self, rows: DataFrame, tables: Sequence[str]) -> DataFrame:
+        """``rows`` (with the id) and the row of each member table as a struct ``_<table>``. Ids without links drop out."""
+        named = [c for t in tables for c in (t, f"{t}_slot")]
+        out = rows.join(self.links.select(self.id_col, *[F.col(f"`{c}`") for c in named]), self.id_col)
+        for t in tables:
+            shown = [c for c in self.stored[t].columns if c not in ("_head", "_slot", self.id_col, "n_ids")]
+            copies = self.stored[t].select("_head", "_slot", F.struct(*[F.col(f"`{c}`") for c in shown]).alias(f"_{t}"))
+            out = out.join(copies, (F.col(f"`{t}`") == copies["_head"]) & (F.col(f"`{t}_slot`") == copies["_slot"])).drop("_head", "_slot", t, f"{t}_slot")
+        return out
 
 
-def normalise(df: DataFrame, side: str, chunk: int = 10_000) -> dict[str, DataFrame]:
+def normalise(df: DataFrame, side: str) -> dict[str, DataFrame]:
     """Member tables with one row per primary key."""
     tables = split_tables(df, side)
-    return {
-        table: dedupe_by_key(tables[table], [a.opaque for a in key], f"{side}_id", chunk)
-        for table, (_, key) in member_tables(side).items()
-    }
+    return {table: dedupe_by_key(tables[table], [a.opaque for a in key], f"{side}_id") for table, (_, key) in member_tables(side).items()}
+
 
+def members(df: DataFrame, side: str) -> Members:
+    """Member tables and the links of ids to them. Tables with the same primary key share the aggregation that finds the ids of their rows."""
+    id_col, rows = f"{side}_id", normalise(df, side)
+    keys = {table: tuple(a.opaque for a in key) for table, (_, key) in member_tables(side).items()}
+    names = {a.name: a.opaque for a in attributes(side) if any(a.opaque in k for k in keys.values())}
+    out, done = df.select(id_col, *[F.col(n).alias(o) for n, o in names.items()]), {}
+    for table, key in keys.items():
+        if key not in done:
+            done[key] = table
+            out = member_ids(out, key, id_col, table)
+            out = out.withColumn(f"{table}_slot", F.pmod(F.xxhash64(id_col), _slots(F.col("n_ids"))).cast("int")).drop("n_ids")
+    linked = [F.col(f"`{done[keys[t]]}{end}`").alias(f"{t}{end}") for t in keys for end in ("", "_slot")]
+    copies = {t: r.withColumn("_head", F.col(id_col)).withColumn("_slot", F.explode(F.sequence(F.lit(0), _slots(F.col("n_ids")) - F.lit(1)))) for t, r in rows.items()}
+    return Members(side, rows, out.select(id_col, *linked), copies)
 
-def join_on_member(rows: DataFrame, table: DataFrame, ids: str, id_col: str) -> DataFrame:
-    """Equi join of ``rows`` with a table whose rows belong to a list of ids."""
-    long = table.withColumn("_member", F.explode(ids)).drop(ids, *(["part"] if "part" in table.columns else []))
-    return rows.join(long.withColumnRenamed("_member", id_col), id_col)
 
+def join_on_member(rows: DataFrame, side: Members, table: str) -> DataFrame:
+    """``rows`` (with the id) and the columns of the member row they belong to."""
+    out = side.attached(rows, [table])
+    return out.select(*rows.columns, f"`_{table}`.*")
 
-def reassemble_source(rows: DataFrame, bkpf: DataFrame, bseg: DataFrame, kna: DataFrame) -> DataFrame:
+
+def reassemble_source(rows: DataFrame, side: Members) -> DataFrame:
     """Attach header, item and customer of each invoice in ``rows`` (column ``invoice_id``) as structs."""
-    def packed(table: DataFrame, name: str) -> DataFrame:
-        shown = [c for c in table.columns if c not in ("invoice_id", "part")]
-        return table.select("invoice_id", F.struct(*shown).alias(name))
-
-    customers = first_per_key(kna.select("MANDT", "KUNNR", "NAME1", F.col("part").alias("_part")),
-                              ["MANDT", "KUNNR"], "_part").drop("_part")
-    customers = customers.select(
-        F.col("MANDT").alias("_client"), F.col("KUNNR").alias("_customer"),
-        F.struct("MANDT", "KUNNR", "NAME1").alias("KNA"))
-    out = join_on_member(rows, packed(bkpf, "BKPF"), "invoice_id", "invoice_id")
-    out = join_on_member(out, packed(bseg, "BSEG"), "invoice_id", "invoice_id")
-    out = out.withColumns({"_client": F.col("BSEG.MANDT"), "_customer": F.col("BSEG.KUNNR")})
-    return out.join(customers, ["_client", "_customer"]).drop("_client", "_customer")
-
-
-def all_customers(rows: DataFrame, kna: DataFrame, max_customers: int = 1000) -> DataFrame:
-    """Option for small customer tables: attach the whole table, sorted, to every row as one array.
-
-    The array is a scalar subquery; a table of more than ``max_customers`` rows raises."""
-    one_each = first_per_key(kna.select("MANDT", "KUNNR", "NAME1", "part"), ["MANDT", "KUNNR"], "part")
-    if one_each.limit(max_customers + 1).count() > max_customers:
-        raise ValueError(f"more than {max_customers} customers, use reassemble_source")
-    table = one_each.agg(F.sort_array(F.collect_list(F.struct("MANDT", "KUNNR", "NAME1"))))
-    return rows.withColumn("KNA", table.scalar())
-
-
-def schema_views(invoices: DataFrame, payments: DataFrame, matches: DataFrame,
-                 chunk: int = 10_000) -> dict[tuple[str, str], DataFrame]:
-    """Every view of one perturbation mode by (schema mode, table name)."""
+    out = side.attached(rows, ["BKPF", "BSEG", "KNA-1"])
+    return out.withColumnsRenamed({"_BKPF": "BKPF", "_BSEG": "BSEG"}).withColumn("KNA", F.struct(*[F.col("`_KNA-1`")[c].alias(c) for c in ("MANDT", "KUNNR", "NAME1")])).drop("_KNA-1")
+
+
+CUSTOMERS = 1000  # customers in a block
+
+
+def all_customers(rows: DataFrame, kna: DataFrame, block: int = CUSTOMERS) -> DataFrame:
+    """Option: the whole customer table for every row, in blocks of about ``block`` customers. A row comes once per block (``block``, from 0), with the block's customers in
+    order as an array ``KNA``; the customers of all blocks of a row are the whole table. The blocks are dealt by digest, and each (row, block) is one equi join partner."""
+    one_each = first_per_key(kna.select("MANDT", "KUNNR", "NAME1", "invoice_id"), ["MANDT", "KUNNR"], "invoice_id")
+    n = one_each.agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int"))
+    dealt = one_each.withColumn("_n", n.scalar()).withColumn("block", F.pmod(F.xxhash64("MANDT", "KUNNR"), F.col("_n")).cast("int"))
+    blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("MANDT", "KUNNR", "NAME1"))).alias("KNA"))
+    every = rows.withColumn("_n", n.scalar()).where("_n > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_n") - F.lit(1)))).drop("_n")
+    return every.join(blocks, "block")
+
+
+def schema_views(invoices: DataFrame, payments: DataFrame, matches: DataFrame) -> dict[tuple[str, str], DataFrame]:
+    """Every view of one perturbation mode by (schema mode, table name). The multi-table view has a table ``<side>s_links`` besides: for each id, the id that its row of each
+    member table bears."""
     views: dict[tuple[str, str], DataFrame] = {}
     for mode in SCHEMA_MODES[:2]:
         views[mode, "invoices"] = single_table_view(invoices, "invoice", mode)
         views[mode, "payments"] = single_table_view(payments, "payment", mode)
     for side, df in (("invoice", invoices), ("payment", payments)):
-        for table, rows in normalise(df, side, chunk).items():
+        parts = members(df, side)
+        for table, rows in parts.rows.items():
             views["multi-table", f"{side}s_{table}"] = rows
+        views["multi-table", f"{side}s_links"] = parts.links.select(f"{side}_id", *[F.col(f"`{t}`") for t in parts.rows])
     for mode in SCHEMA_MODES:
         views[mode, "matches"] = match_view(matches)
     return views

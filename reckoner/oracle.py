@@ -159,18 +159,15 @@ INVOICES = f"""inv AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 ADVICE = u("advice", "o_custkey", "year(o_orderdate)", seed=BRIDGE_SEED) + " < 0.2::DOUBLE"
-MEMBERS = f"""paid AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y,
-    count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS n FROM orders WHERE {ADVICE}),
-placed AS (SELECT *, floor({u('slot', 'o_orderkey', seed=BRIDGE_SEED)} * ceil(n / 8.0::DOUBLE)) AS slot FROM paid),
+MEMBERS = f"""paid AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS y FROM orders WHERE {ADVICE}),
 im AS (
-  SELECT min(o_orderkey) OVER (PARTITION BY o_custkey, y, slot) AS match_id, o_orderkey AS invoice_id, true AS by_advice
-  FROM placed
+  SELECT min(o_orderkey) OVER (PARTITION BY o_custkey, y) AS match_id, o_orderkey AS invoice_id, true AS by_advice FROM paid
   UNION ALL SELECT o_orderkey, o_orderkey, false FROM orders
   WHERE NOT ({ADVICE}) AND o_orderkey IN (SELECT l_orderkey FROM lineitem)),
-pm AS (
-  SELECT match_id, match_id * 10 + l_linenumber AS payment_id, sum(l_extendedprice::DECIMAL(15,2)) AS weight
+pm AS (SELECT *, row_number() OVER (ORDER BY match_id, line) - 1 AS payment_id FROM (
+  SELECT match_id, l_linenumber AS line, sum(l_extendedprice::DECIMAL(15,2)) AS weight
   FROM lineitem JOIN im ON l_orderkey = match_id WHERE NOT by_advice GROUP BY match_id, l_linenumber
-  UNION ALL SELECT DISTINCT match_id, match_id * 10, 1 FROM im WHERE by_advice),
+  UNION ALL SELECT DISTINCT match_id, 0, 1 FROM im WHERE by_advice)),
 paid_n AS (SELECT match_id, count(*) AS n_payments FROM pm GROUP BY match_id)"""
 
 INFO = f"""facts AS (
@@ -216,7 +213,8 @@ pay AS (
       AS pay_posting_date
   FROM ids)"""
 
-PAIRS = f"""ii AS (SELECT match_id, invoice_id, row_number() OVER (ORDER BY match_id, invoice_id) - 1 AS x FROM im),
+PAIRS = f"""ii AS (SELECT match_id, o_orderkey AS invoice_id, row_number() OVER (ORDER BY match_id IS NULL, match_id, o_orderkey) - 1 AS x
+  FROM orders LEFT JOIN im ON invoice_id = o_orderkey),
 pi AS (SELECT match_id, payment_id, row_number() OVER (ORDER BY match_id, payment_id) - 1 AS x FROM pm),
 ir AS (SELECT match_id, min(x) AS i0, count(*) AS i_n FROM ii GROUP BY match_id),
 pr AS (SELECT match_id, min(x) AS p0, count(*) AS p_n FROM pi GROUP BY match_id),
@@ -292,23 +290,11 @@ def view(names: dict[str, str]) -> str:
     return ", ".join(f'inv_{a} AS "{n}"' for a, n in names.items() if a not in hidden)
 
 
-def spread(id_: str, n: str, chunk: int) -> str:
-    return (f"(case when {n} <= {chunk} then 0 else ('0x'||substr(md5({id_}::VARCHAR), 1, 13))::BIGINT "
-            f"% ceil({n} / {chunk}.0::DOUBLE)::BIGINT end)::INT")
-
-
-def normalised(source: str, id_: str, key: list[tuple[str, str]], rest: list[tuple[str, str]], chunk: int = 20) -> str:
+def normalised(source: str, id_: str, key: list[tuple[str, str]], rest: list[tuple[str, str]]) -> str:
     ks = ", ".join(c for c, _ in key)
-    cols = ", ".join(f'first({c} ORDER BY k_rank) AS "{n}"' for c, n in rest)
-    outer = (", " + ", ".join(f'f."{n}"' for _, n in rest)) if rest else ""
-    picked = ", ".join(f'{c} AS "{n}"' for c, n in key)
-    on = " AND ".join(f'l."{n}" = f."{n}"' for _, n in key)
-    return f"""numbered AS (SELECT *, count(*) OVER (PARTITION BY {ks}) AS k_n,
-    row_number() OVER (PARTITION BY {ks} ORDER BY {id_}) AS k_rank FROM {source}),
-  lists AS (SELECT {picked}, {spread(id_, 'k_n', chunk)} AS part,
-    array_to_string(list_sort(list({id_})), ',') AS {id_} FROM numbered GROUP BY {ks}, part),
-  firsts AS (SELECT {picked}{', ' + ', '.join(f'{c} AS "{n}"' for c, n in rest) if rest else ''} FROM numbered WHERE k_rank = 1)
-  SELECT l.*{outer} FROM lists l JOIN firsts f ON {on}"""
+    shown = ", ".join(f'{c} AS "{n}"' for c, n in [*key, *rest])
+    return f"""numbered AS (SELECT *, count(*) OVER (PARTITION BY {ks}) AS n_ids, row_number() OVER (PARTITION BY {ks} ORDER BY {id_}) AS k_rank FROM {source})
+  SELECT {id_}, {shown}, n_ids FROM numbered WHERE k_rank = 1"""
 
 
 def member(names: dict[str, str], prefix: str, cols: list[str]) -> list[tuple[str, str]]:
@@ -714,9 +700,16 @@ SELECT o_orderpriority, printf('%.2f ± %.2f', m, se) AS cell FROM s"""
     q["match_categories"] = m + ("SELECT match_id, match_category, n_invoices, n_payments, total_amount, last_document_date, "
                                  "array_to_string(errors, ',') AS perturbation_categories FROM info")
     q["group_totals"] = m + "SELECT match_id, n_invoices AS n, total_amount, last_document_date AS last_date FROM facts"
-    q["match_members"] = f"""WITH n AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-SELECT o_custkey, {spread('o_orderkey', 'n', 20)} AS part, array_to_string(list_sort(list(o_orderkey)), ',') AS members
-FROM n GROUP BY o_custkey, part"""
+    q["match_members"] = m + """SELECT match_id, o_orderkey AS invoice_id, case when match_id is not null then count(*) OVER (PARTITION BY match_id) end AS n,
+  case when match_id is not null then row_number() OVER (PARTITION BY match_id ORDER BY o_orderkey) - 1 end AS pos
+FROM orders LEFT JOIN im ON invoice_id = o_orderkey"""
+    q["positive_pairs_many_to_many"] = """WITH o AS (SELECT min(o_orderkey) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS match_id, year(o_orderdate)::INT AS year, o_orderkey FROM orders),
+p AS (SELECT DISTINCT match_id, l_orderkey * 1000 + l_linenumber AS payment_id FROM lineitem JOIN o ON o_orderkey = l_orderkey),
+mi AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS n_i FROM o),
+mp AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY payment_id) - 1 AS j, count(*) OVER (PARTITION BY match_id) AS n_p FROM p),
+s AS (SELECT match_id, any_value(n_i) AS n_i, coalesce(any_value(n_p), 0) AS n_p FROM mi LEFT JOIN mp USING (match_id) GROUP BY match_id),
+b AS (SELECT *, sum(n_i + n_i * n_p + n_p) OVER (ORDER BY match_id) - (n_i + n_i * n_p + n_p) AS before FROM s)
+SELECT (before + i * (b.n_p + 1) + 1 + j)::BIGINT AS pair_id, match_id, year, o_orderkey AS invoice_id, payment_id FROM mi JOIN mp USING (match_id) JOIN b USING (match_id)"""
     q["split_payments"] = f"{m}, {PAYMENTS} SELECT match_id, payment_id, total_amount, part_amount FROM split"
     q["payment_rows"] = f"{m}, {PAYMENTS} SELECT * FROM pay"
     a = f"WITH {ALL_PAIRS} "
@@ -745,6 +738,11 @@ FROM n GROUP BY o_custkey, part"""
     q["reassemble_source"] = f"""{i} SELECT invoice_id, inv_document_number AS "BELNR", inv_currency_code AS "WAERS",
   inv_document_date AS "BLDAT", inv_billing_number AS "VBELN", inv_amount AS "WRBTR", inv_customer_id AS "KUNNR",
   inv_customer_name AS "NAME1" FROM inv"""
+    key = ", ".join(f"inv_{c}" for c in _KEY)
+    q["members_long"] = (f'{i} SELECT invoice_id, min(invoice_id) OVER (PARTITION BY {key}) AS "BKPF", min(invoice_id) OVER (PARTITION BY {key}) AS "BSEG", '
+                         'min(invoice_id) OVER (PARTITION BY inv_client, inv_customer_id) AS "KNA" FROM inv')
+    q["all_customers"] = (f"{i}, c AS (SELECT DISTINCT inv_client, inv_customer_id FROM inv) SELECT n_nationkey, count(*) AS customers, "
+                          "sum(substr(inv_customer_id, 4, 7)::BIGINT)::BIGINT AS numbers FROM nation CROSS JOIN c GROUP BY n_nationkey")
     q["join_on_member"] = f'{i} SELECT invoice_id, inv_customer_id AS "KUNNR", inv_country_key AS "LAND1" FROM inv'
     q["perturb_identifiers"] = f"""{i} SELECT invoice_id, inv_assignment_number,
   {broken('inv_assignment_number', 'id', 'invoice_id')} AS broken_assignment,
@@ -867,7 +865,6 @@ FROM ginv2"""
   case when failed then null else prompt + completion end AS total_tokens FROM answers"""
     q["parquet_round_trip"] = (f"WITH {ROWS} SELECT pair_id::BIGINT AS pair_id, kind, inv_billing_number AS billing, pay_amount, "
                                "'multi' AS perturbation_mode FROM rows")
-    q["list_columns_as_text"] = f"""WITH n AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-SELECT o_custkey, {spread('o_orderkey', 'n', 20)} AS part, '[' || array_to_string(list_sort(list(o_orderkey)), ',') || ']' AS stored,
-  count(*)::INT AS n FROM n GROUP BY o_custkey, part"""
+    q["list_columns_as_text"] = """SELECT doc_id, '[' || array_to_string(n, ',') || ']' AS stored, len(n)::INT AS n, list_sum(n)::BIGINT AS total
+FROM (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::BIGINT) AS n FROM documents)"""
     return q

@@ -289,10 +289,32 @@ def group_totals(spark, sf):
 
 @query
 def match_members(spark, sf):
-    """Invoice ids per customer in lists of about twenty."""
-    o = bridge.table(spark, sf, "orders")
-    out = ranks.member_chunks(o, ["o_custkey"], "o_orderkey", 20)
-    return out.select("o_custkey", "part", F.array_join("members", ",").alias("members"))
+    """Invoices of each match in order, as rows: no list grows with a match. Open invoices have no match and come last."""
+    m = bridge.matching(spark, sf).invoice_members
+    starts = pairs.member_ranges(m, "_inv_index", "inv")
+    out = m.join(starts, "match_id", "left").select("match_id", "invoice_id", F.col("inv_size").alias("n"), (F.col("_inv_index") - F.col("inv_start")).alias("pos"))
+    return out
+
+
+@query
+def members_long(spark, sf):
+    """The (key, id) relation of the invoices' member tables: each invoice with the invoices whose ids its header, item and customer rows bear."""
+    return views.members(bridge.invoices(spark, sf), "invoice").links.select("invoice_id", "BKPF", "BSEG", F.col("`KNA-1`").alias("KNA"))
+
+
+@query
+def positive_pairs_many_to_many(spark, sf):
+    """Orders of a customer-year, each with every line of all of them: matches of many by many."""
+    o = bridge.table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), "o_orderkey")
+    heads = o.groupBy("o_custkey", "year").agg(F.min("o_orderkey").alias("match_id"))
+    owned = o.join(heads, ["o_custkey", "year"]).select("match_id", "year", F.col("o_orderkey").alias("invoice_id"))
+    lines = bridge.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    paid = lines.join(owned, F.col("l_orderkey") == F.col("invoice_id")).select(
+        "match_id", (F.col("l_orderkey") * F.lit(1000) + F.col("l_linenumber")).alias("payment_id"))
+    info = owned.groupBy("match_id").agg(F.min("year").alias("year"))
+    inv = pairs.indexed_members(owned.select("match_id", "invoice_id"), "invoice_id", "_inv_index")
+    pay = pairs.indexed_members(paid, "payment_id", "_pay_index")
+    return pairs.PairPlan(info, inv, pay, SEED, tile=4).rows("match").select("pair_id", "match_id", "year", "invoice_id", "payment_id")
 
 
 @query
@@ -368,8 +390,7 @@ def _member_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     side = "payment" if name == "FEBEP" else "invoice"
     df = bridge.matching(spark, sf).payments if side == "payment" else bridge.invoices(spark, sf)
     table, key = views.split_tables(df, side)[name], [a.opaque for a in views.member_tables(side)[name][1]]
-    out = views.dedupe_by_key(table, key, f"{side}_id", 20)
-    return out.withColumn(f"{side}_id", F.array_join(f"{side}_id", ","))
+    return views.dedupe_by_key(table, key, f"{side}_id")
 
 
 for _t in ("BKPF", "BSEG", "KNA-1", "FEBEP"):
@@ -380,18 +401,27 @@ for _t in ("BKPF", "BSEG", "KNA-1", "FEBEP"):
 
 @query
 def reassemble_source(spark, sf):
-    t = views.normalise(bridge.invoices(spark, sf), "invoice")
+    side = views.members(bridge.invoices(spark, sf), "invoice").written()
     rows = bridge.table(spark, sf, "orders").select(F.col("o_orderkey").alias("invoice_id"))
-    out = views.reassemble_source(rows, t["BKPF"], t["BSEG"], t["KNA-1"])
-    return out.select("invoice_id", "BKPF.BELNR", "BKPF.WAERS", "BKPF.BLDAT", "BSEG.VBELN", "BSEG.WRBTR",
+    return views.reassemble_source(rows, side).select("invoice_id", "BKPF.BELNR", "BKPF.WAERS", "BKPF.BLDAT", "BSEG.VBELN", "BSEG.WRBTR",
                       "KNA.KUNNR", "KNA.NAME1")
 
 
 @query
 def join_on_member(spark, sf):
-    t = views.normalise(bridge.invoices(spark, sf), "invoice", 20)
+    side = views.members(bridge.invoices(spark, sf), "invoice")
     rows = bridge.table(spark, sf, "orders").select(F.col("o_orderkey").alias("invoice_id"))
-    return views.join_on_member(rows, t["KNA-1"], "invoice_id", "invoice_id").select("invoice_id", "KUNNR", "LAND1")
+    return views.join_on_member(rows, side, "KNA-1").select("invoice_id", "KUNNR", "LAND1")
+
+
+@query
+def all_customers(spark, sf):
+    """The whole customer table for every nation, in blocks."""
+    kna = views.normalise(bridge.invoices(spark, sf), "invoice")["KNA-1"]
+    rows = bridge.table(spark, sf, "nation").select("n_nationkey")
+    shown = views.all_customers(rows, kna).groupBy("n_nationkey").agg(
+        F.sum(F.size("KNA")).alias("customers"), F.sum(F.aggregate("KNA", F.lit(0).cast("bigint"), lambda s, c: s + F.substring(c["KUNNR"], 4, 7).cast("bigint"))).alias("numbers"))
+    return shown
 
 
 # ---------------------------------------------------------------- errors and draws
@@ -589,10 +619,10 @@ def linearize_markdown(spark, sf):
 
 @query
 def linearize_member_tables(spark, sf):
-    t = views.normalise(bridge.invoices(spark, sf), "invoice")
+    side = views.members(bridge.invoices(spark, sf), "invoice")
     rows = bridge.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair_id"),
                                                     F.col("o_orderkey").alias("invoice_id"), F.lit(True).alias("rows_match"))
-    out = views.reassemble_source(rows, t["BKPF"], t["BSEG"], t["KNA-1"]).withColumn("target", F.struct("pair_id"))
+    out = views.reassemble_source(rows, side).withColumn("target", F.struct("pair_id"))
     return requests.pair_texts(out, ["BKPF", "BSEG", "KNA"]).select("pair_id", "first_table_row")
 
 
@@ -633,9 +663,8 @@ def view_texts(m: bridge.Matching, mode: str) -> tuple[DataFrame, DataFrame]:
     if mode != "multi-table":
         return (requests.row_texts(views.single_table_view(m.invoices, "invoice", mode), "invoice_id", "first_table_row"),
                 requests.row_texts(views.single_table_view(m.payments, "payment", mode), "payment_id", "second_table_row"))
-    t = views.normalise(m.invoices, "invoice")
-    sources = views.reassemble_source(m.invoices.select("invoice_id"), t["BKPF"], t["BSEG"], t["KNA-1"])
-    targets = views.join_on_member(m.payments.select("payment_id"), views.normalise(m.payments, "payment")["FEBEP"], "payment_id", "payment_id")
+    sources = views.reassemble_source(m.invoices.select("invoice_id"), views.members(m.invoices, "invoice"))
+    targets = views.join_on_member(m.payments.select("payment_id"), views.members(m.payments, "payment"), "FEBEP").drop("n_ids")
     return (requests.source_texts(sources, "invoice_id", ["BKPF", "BSEG", "KNA"], "first_table_row"),
             requests.row_texts(targets, "payment_id", "second_table_row"))
 
@@ -879,8 +908,9 @@ def parquet_round_trip(spark, sf):
 
 @query
 def list_columns_as_text(spark, sf):
-    o = bridge.table(spark, sf, "orders")
-    lists = ranks.member_chunks(o, ["o_custkey"], "o_orderkey", 20)
-    stored = tables.encode_lists(lists, "members")
-    return tables.decode_ids(stored.withColumn("stored", F.col("members")), "members").select(
-        "o_custkey", "part", "stored", F.size("members").alias("n"))
+    """Lists of whole texts' word lengths, as JSON text and read back."""
+    d = bridge.table(spark, sf, "documents")
+    lists = d.select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("lengths"))
+    stored = tables.encode_lists(lists, "lengths")
+    back = tables.decode_ids(stored.withColumn("stored", F.col("lengths")), "lengths")
+    return back.select("doc_id", "stored", F.size("lengths").alias("n"), F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))

@@ -73,16 +73,17 @@ def member_tables(side: str) -> dict[str, tuple[list[Attribute], list[Attribute]
     }
 
 
-def view_schema(side: str, mode: str, table: str | None = None, lists_as_text: bool = False) -> str:
-    """Schema of one table of a view: ids, then the attributes in catalogue order."""
+def view_schema(side: str, mode: str, table: str | None = None) -> str:
+    """Schema of one table of a view: the id, then the attributes in catalogue order. A member table bears the lowest id of each key and counts its ids; ``links`` has the
+    id that an id's row of each member table bears."""
     check_mode(mode, SCHEMA_MODES, "schema mode")
-    if mode == "multi-table":
-        id_type = "string" if lists_as_text else "array<bigint>"
-        shown = [(a.opaque, a.type) for a in member_tables(side)[table][0]]
+    if table == "links":
+        shown = [(t, "bigint") for t in member_tables(side)]
+    elif mode == "multi-table":
+        shown = [*[(a.opaque, a.type) for a in member_tables(side)[table][0]], ("n_ids", "bigint")]
     else:
-        id_type = "bigint"
         shown = [(getattr(a, mode), a.type) for a in attributes(side) if a.in_view]
-    return ", ".join(f"`{n}` {t}" for n, t in [(f"{side}_id", id_type), *shown])
+    return ", ".join(f"`{n}` {t}" for n, t in [(f"{side}_id", "bigint"), *shown])
 
 
 def check_mode(value: str, allowed: tuple[str, ...], what: str) -> None:

@@ -34,8 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``cleanup`` removes."""
+    path = f"{shared_folder(spark)}/reckoner/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cleanup(spark: SparkSession) -> int:
     """Remove the intermediate tables this application has written to the shared folder; DataFrames that read them end with it. Returns their number."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,8 +58,18 @@ def cleanup(spark: SparkSession) -> int:
 def written_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what was drawn from partition
     boundaries stays fixed when an executor is lost and its tasks run again."""
-    path = f"{shared_folder(df.sparkSession)}/reckoner/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", compression) if compression else df.write
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed_table(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, bucketed and sorted by ``keys``, and read it back: joins on these keys neither shuffle nor sort it again. There are as many
+    buckets as shuffle partitions, one file each."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"reckoner_{name}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)

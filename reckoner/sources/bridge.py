@@ -1,8 +1,7 @@
 """Invoices, payments and matches derived from order, line, customer and nation tables.
 
-An order is an invoice. For about one (customer, year) in five, the year's orders are paid by
-payment advices, one payment for up to some eight invoices; every other order with lines is paid by
-one payment per line number.
+An order is an invoice. For about one (customer, year) in five, the year's orders are paid by one
+payment advice; every other order with lines is paid by one payment per line number. Orders without either are open: invoices of no match.
 """
 
 from __future__ import annotations
@@ -16,13 +15,13 @@ from reckoner.functions.money import MONEY, money, small_deduction
 from reckoner.functions.text import break_identifier
 from reckoner.operators.joined import split_group_total
 from reckoner.operators.pairs import indexed_members
+from reckoner.operators.ranks import dense_id
 from reckoner.schema import MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATIONS
 from reckoner.session import written_table
 
 SEED = 11
 CURRENCIES = ("USD", "EUR", "JPY", "GBP", "CNY")
 ADVICE_SHARE = 0.2
-ADVICE_SIZE = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,20 +72,11 @@ def _advice_group() -> Column:
 def invoice_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(match_id, invoice_id, by_advice): the match of an advice bears its lowest invoice id.
 
-    A customer-year splits into advices of about ``ADVICE_SIZE`` invoices by digest, so its size
-    never bounds what one task holds: all steps are counts, minima and equi joins."""
+    A customer-year is one match, whatever its size: it is found by a minimum and an equi join, which Spark splits where a customer-year is hot."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    year = F.year("o_orderdate").alias("year")
-    paid = o.where(_advice_group()).select("o_orderkey", "o_custkey", year)
-    # only customer-years for more than one advice are joined; the others stay in slot 0
-    large = (paid.groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > ADVICE_SIZE))
-    slots = F.ceil(F.col("_n") / F.lit(float(ADVICE_SIZE)))
-    placed = paid.join(large, ["o_custkey", "year"], "left").withColumn(
-        "_slot", F.coalesce(F.floor(u01(SEED, "slot", "o_orderkey") * slots), F.lit(0)))
-    heads = placed.groupBy("o_custkey", "year", "_slot").agg(F.min("o_orderkey").alias("match_id"))
-    advised = placed.join(heads, ["o_custkey", "year", "_slot"]).select(
-        "match_id", F.col("o_orderkey").alias("invoice_id"), F.lit(True).alias("by_advice"))
+    paid = o.where(_advice_group()).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    heads = paid.groupBy("o_custkey", "year").agg(F.min("o_orderkey").alias("match_id"))
+    advised = paid.join(heads, ["o_custkey", "year"]).select("match_id", F.col("o_orderkey").alias("invoice_id"), F.lit(True).alias("by_advice"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()  # counted down before the shuffle
     direct = (o.where(~_advice_group()).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
               .select(F.col("o_orderkey").alias("match_id"), F.col("o_orderkey").alias("invoice_id"),
@@ -95,21 +85,21 @@ def invoice_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_members(spark: SparkSession, sf_dir: str, owners: DataFrame) -> DataFrame:
-    """(match_id, payment_id, line, weight): line numbers of an order, or line 0 for an advice;
-    ``owners`` are the invoice members."""
+    """(match_id, payment_id, line, weight, _pay_index): line numbers of an order, or line 0 for an advice, numbered in the order (match, line);
+    ``owners`` are the invoice members. Every payment belongs to a match, so a payment's id is its number among the members."""
     lines = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
              .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).cast("decimal(25,2)").alias("weight")))
     per_line = (lines.join(owners.where(~F.col("by_advice")), F.col("l_orderkey") == F.col("match_id"))
                 .select("match_id", F.col("l_linenumber").cast("bigint").alias("line"), "weight"))
     advices = (owners.where("by_advice").select("match_id").distinct()
                .select("match_id", F.lit(0).cast("bigint").alias("line"), F.lit(1).cast("decimal(25,2)").alias("weight")))
-    return (per_line.unionByName(advices)
-            .select("match_id", (F.col("match_id") * F.lit(10) + F.col("line")).alias("payment_id"), "line", "weight"))
+    numbered = dense_id(per_line.unionByName(advices), ["match_id", "line"], "_pay_index")
+    return numbered.select("match_id", F.col("_pay_index").alias("payment_id"), "line", "weight", "_pay_index")
 
 
 @dataclass(frozen=True)
 class Matching:
-    """Invoices, numbered members and match rows; members and matches are written tables, so that the
+    """Invoices, numbered members (open invoices last, without a match) and match rows; members and matches are written tables, so that the
     many steps that use them do not scan and group the order tables again."""
     invoices: DataFrame
     invoice_members: DataFrame
@@ -123,14 +113,15 @@ class Matching:
 
 def matching(spark: SparkSession, sf_dir: str) -> Matching:
     inv = invoices(spark, sf_dir)
-    im = indexed_members(invoice_members(spark, sf_dir), "invoice_id", "_inv_index")
-    pm = indexed_members(payment_members(spark, sf_dir, im), "payment_id", "_pay_index")
+    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("invoice_id"))
+    im = indexed_members(invoice_members(spark, sf_dir), "invoice_id", "_inv_index", every)
+    pm = payment_members(spark, sf_dir, im)
     return Matching(inv, im, pm, written_table(match_info(inv, im, pm), "matches"))
 
 
 def match_info(inv: DataFrame, inv_members: DataFrame, pay_members: DataFrame) -> DataFrame:
     """One row per match: category, planted errors, totals and the fields its payments carry over."""
-    sums = (inv_members.select("match_id", "invoice_id")
+    sums = (inv_members.where(F.col("match_id").isNotNull()).select("match_id", "invoice_id")
             .join(inv.select("invoice_id", "inv_amount", F.to_date("inv_document_date", "yyyyMMdd").alias("_day")),
                   "invoice_id")
             .groupBy("match_id").agg(

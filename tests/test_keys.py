@@ -16,7 +16,8 @@ def df(spark):
 
 def test_null_is_a_key_like_any_other(df):
     assert {(r.id, r.pos) for r in ranks.position_in_group(df, ["k"], ["id"]).collect()} == {(1, 0), (2, 1), (3, 0), (4, 1), (5, 0)}
-    assert {(r.k, tuple(r.id), r.v) for r in views.dedupe_by_key(df, ["k"], "id").collect()} == {("a", (1, 2), 10), (None, (3, 4), 30), ("b", (5,), 50)}
+    assert {(r.k, r.id, r.n_ids, r.v) for r in views.dedupe_by_key(df, ["k"], "id").collect()} == {("a", 1, 2, 10), (None, 3, 2, 30), ("b", 5, 1, 50)}
+    assert {(r.id, r["head"]) for r in views.member_ids(df, ["k"], "id").collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
     assert {(r.k, r.id) for r in ranks.first_per_key(df, ["k"], "id").collect()} == {("a", 1), (None, 3), ("b", 5)}
     one = df.groupBy("k").agg(F.min("id").alias("id"))
     assert confusion.assert_one(one, ["k"]).count() == 3

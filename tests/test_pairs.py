@@ -115,14 +115,88 @@ def test_dense_ids_of_sparse_clustered_keys(spark):
     assert {r.k: r.before for r in ranks.running_total(df, ["k"], "w").collect()} == want
 
 
-def test_large_groups_are_spread_over_rows(spark):
+def test_a_key_of_any_size_is_one_row_and_its_ids_are_rows(spark, monkeypatch):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("g"), "id", F.lit("x").alias("c"))
-    rows = views.dedupe_by_key(df, ["g"], "id", chunk=50).collect()
-    hot = [r for r in rows if r.g == 0]
-    assert sorted(i for r in hot for i in r.id) == list(range(400)) and len(hot) == 8 and max(len(r.id) for r in hot) < 90
-    assert all(r.id == [r.g] and r.part == 0 for r in rows if r.g)
-    whole = views.dedupe_by_key(df, ["g"], "id").collect()
-    assert len(whole) == 601 and next(r for r in whole if r.g == 0).id == list(range(400))
+    rows = {r.g: r for r in views.dedupe_by_key(df, ["g"], "id").collect()}
+    assert len(rows) == 601 and (rows[0].id, rows[0].n_ids) == (0, 400) and all(r.id == g and r.n_ids == 1 for g, r in rows.items() if g)
+    heads = {r.id: r["head"] for r in views.member_ids(df, ["g"], "id").collect()}
+    assert heads == {i: 0 if i < 400 else i for i in range(1000)}
+    # the ids of a large key meet copies of its row: about SLOT of them each
+    monkeypatch.setattr(views, "SLOT", 20)
+    inv = bridge.invoices(spark, FOLDER).withColumn("inv_customer_id", F.when(F.col("invoice_id") % 3 == 0, "hot").otherwise(F.col("inv_customer_id")))
+    side = views.members(inv, "invoice")
+    hot = side.links.join(inv.select("invoice_id", "inv_customer_id"), "invoice_id").where("inv_customer_id = 'hot'")
+    per_copy = [r["count"] for r in hot.groupBy("`KNA-1_slot`").count().collect()]
+    assert sum(per_copy) == 500 and len(per_copy) == 25 and max(per_copy) < 45
+    seen = {r.invoice_id: r.KUNNR for r in views.join_on_member(inv.select("invoice_id"), side, "KNA-1").collect()}
+    assert seen == {r.invoice_id: r.inv_customer_id for r in inv.collect()}
+
+
+def test_written_members_are_not_shuffled_again(spark):
+    side = views.members(bridge.invoices(spark, FOLDER), "invoice").written()
+    rows = bridge.invoices(spark, FOLDER).select("invoice_id").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = views.reassemble_source(rows, side)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scans = [line for line in plan.split("\n") if "FileScan parquet spark_catalog" in line]
+    assert len(scans) == 4 and all("Bucketed: true" in line for line in scans)
+    above = plan.split("\n")
+    for at, line in enumerate(above):  # from each bucketed scan up to its join there is no exchange and no sort
+        if "FileScan parquet spark_catalog" in line:
+            depth = line.index("FileScan")
+            for up in reversed(above[:at]):
+                name = up.lstrip(" :+-")
+                if len(up) - len(name) < depth:
+                    depth = len(up) - len(name)
+                    assert not name.startswith("Exchange"), plan
+                    if "SortMergeJoin" in name or "ShuffledHashJoin" in name:
+                        break
+    assert sorted(views.reassemble_source(rows, side).select("invoice_id").collect()) == sorted(rows.collect())
+
+
+def test_partners_are_drawn_from_rows_of_no_match_too(spark):
+    info, inv_m, pay_m, inv, pay = match_fixture(spark)
+    every_i = spark.createDataFrame([(i,) for _, i in inv] + [(10**6 + k,) for k in range(200)], "invoice_id bigint")
+    every_p = spark.createDataFrame([(p,) for _, p in pay] + [(10**6 + k,) for k in range(200)], "payment_id bigint")
+    rows = pairs.build_pairs(info, inv_m, pay_m, 3, invoices=every_i, payments=every_p).collect()
+    open_p = [r.payment_id for r in rows if r.kind == "invoice_driven" and r.payment_id >= 10**6]
+    open_i = [r.invoice_id for r in rows if r.kind == "payment_driven" and r.invoice_id >= 10**6]
+    assert len(set(open_p)) > 20 and len(set(open_i)) > 20
+    assert Counter(r.invoice_id for r in rows if r.kind == "invoice_driven") == Counter(i for _, i in inv)
+    assert sorted(r.pair_id for r in rows) == list(range(len(rows)))
+    plain = {(r.invoice_id, r.payment_id, r.pair_id) for r in pairs.build_pairs(info, inv_m, pay_m, 3).collect() if r.kind == "match"}
+    assert plain == {(r.invoice_id, r.payment_id, r.pair_id) for r in rows if r.kind == "match"}
+
+
+def test_matches_of_many_by_many_are_spread_in_tiles(spark):
+    sizes = [(1, 600, 500), (2, 1, 1), (3, 7, 0), (4, 0, 5), (5, 16, 16), (6, 17, 1), (7, 1, 300)]
+    info = spark.createDataFrame([(m,) for m, *_ in sizes], "match_id bigint")
+    inv = [(m, m * 10_000 + k) for m, n, _ in sizes for k in range(n)]
+    pay = [(m, m * 10_000 + k) for m, _, n in sizes for k in range(n)]
+    im = pairs.indexed_members(spark.createDataFrame(inv, "match_id bigint, invoice_id bigint"), "invoice_id", "_inv_index")
+    pm = pairs.indexed_members(spark.createDataFrame(pay, "match_id bigint, payment_id bigint"), "payment_id", "_pay_index")
+    rows = pairs.PairPlan(info, im, pm, 3, tile=16).rows("match", "invoice_driven", "payment_driven")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hits = rows.where("kind = 'match'")
+        per_task = [r["count"] for r in hits.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+        found = rows.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(per_task) < 2 * sum(per_task) / 16
+    want, at = set(), 0
+    for m, n_i, n_p in sizes:
+        want |= {(at + i * (n_p + 1) + 1 + j, m * 10_000 + i, m * 10_000 + j) for i in range(n_i) for j in range(n_p)}
+        at += n_i + n_i * n_p + n_p
+    assert {(r.pair_id, r.invoice_id, r.payment_id) for r in found if r.kind == "match"} == want
+    assert sorted(r.pair_id for r in found) == list(range(at))
 
 
 def test_group_totals_split_exactly(spark):
@@ -136,9 +210,8 @@ def test_group_totals_split_exactly(spark):
 
 def test_member_tables_join_back_to_the_opaque_view(spark):
     inv = bridge.invoices(spark, FOLDER)
-    t = views.normalise(inv, "invoice", chunk=5)
     rows = inv.select("invoice_id")
-    back = views.reassemble_source(rows, t["BKPF"], t["BSEG"], t["KNA-1"]).select(
+    back = views.reassemble_source(rows, views.members(inv, "invoice")).select(
         "invoice_id", "BKPF.MANDT", "BKPF.BURKS", "BKPF.GJAHR", "BKPF.BELNR", "BSEG.BZUEI", "BSEG.ZUONR", "BSEG.VBELN",
         "BSEG.KUNNR", "KNA.NAME1", "BKPF.WAERS", "BSEG.WRBTR", "BKPF.BLDAT", "BSEG.ZFBDT")
     opaque = views.single_table_view(inv, "invoice", "opaque")
@@ -146,12 +219,12 @@ def test_member_tables_join_back_to_the_opaque_view(spark):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, opaque.collect()))
 
 
-def test_all_customers_option_checks_the_size(spark):
+def test_all_customers_come_in_blocks(spark):
     t = views.normalise(bridge.invoices(spark, FOLDER), "invoice")
-    got = views.all_customers(spark.range(2), t["KNA-1"]).collect()
-    assert len(got) == 2 and len(got[0].KNA) == 150 and got[0].KNA == got[1].KNA
-    with pytest.raises(ValueError, match="more than 10 customers"):
-        views.all_customers(spark.range(2), t["KNA-1"], 10)
+    got = views.all_customers(spark.range(2), t["KNA-1"], 40).collect()
+    shown = {i: sorted(tuple(c) for r in got if r.id == i for c in r.KNA) for i in (0, 1)}
+    assert len(got) > 4 and max(len(r.KNA) for r in got) < 80 and shown[0] == shown[1] and len(set(shown[0])) == 150
+    assert views.all_customers(spark.range(2), t["KNA-1"].limit(0)).collect() == []
 
 
 def test_first_hit_never_multiplies_and_raises_if_absent(spark):
