@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reckoner.llm.common import digest_sample, partitions, written_table
 
-PIVOTS = 64  # about so many rows are drawn as pivots, whatever the number of rows
-BLOCK = 1024  # rows of a block, about
+PIVOTS = 16  # about so many rows are drawn as pivots, whatever the number of rows
+BLOCK = 2048  # rows of a block, about
 ANCHORS = 1024  # queries that search a block in one group, about
 LARGEST = 2**24
 NOWHERE = -(2**62)
@@ -40,10 +40,18 @@ def _matrix(vectors: Sequence, dim: int) -> np.ndarray:
     return np.array([np.asarray(v, dtype="int64") for v in vectors], dtype="int64").reshape(len(vectors), dim)
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of ``x`` with ``q``."""
-    bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-    return (x.astype("float64") @ q.astype("float64")).astype("int64") if bound < EXACT else x @ q
+class Products:
+    """Exact integer inner products with the rows of ``x``: in double precision where no sum can leave its whole numbers."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.fast, self.most = x, x.astype("float64"), float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+
+    def of(self, q: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """The products of ``q`` with the rows asked for."""
+        if self.most * float(np.abs(q).max(initial=0)) < EXACT:
+            quick = q.astype("float64")
+            return lambda rows: (self.fast[rows] @ quick).astype("int64")
+        return lambda rows: self.x[rows] @ q
 
 
 def angles(score: np.ndarray, size: float, top: float) -> np.ndarray:
@@ -123,7 +131,7 @@ class Tree:
     """A block's points with its cover tree, ready for searches."""
 
     def __init__(self, uid: np.ndarray, ids: list, label: np.ndarray, x: np.ndarray, parent: np.ndarray, level: np.ndarray, top2: int):
-        self.uid, self.ids, self.label, self.x, self.top = uid, ids, label, x, math.sqrt(top2)
+        self.uid, self.ids, self.label, self.products, self.top = uid, ids, label, Products(x), math.sqrt(top2)
         n, points = len(x), lifted(x, top2)
         inner = np.flatnonzero(parent >= 0)
         ranked = inner[np.lexsort((-level[inner], parent[inner]))]  # children by parent, higher levels first
@@ -152,25 +160,32 @@ class Tree:
     def search(self, q: np.ndarray, uid: int, label: int, same: bool, windows: list[Goal]) -> None:
         """Fill ``windows`` from the rows of the same label (but ``uid`` itself) or of other labels."""
         size = math.sqrt(float((q.astype("float64") ** 2).sum()))
-        heap: list[tuple[float, int, int]] = []
+        product, heap = self.products.of(q), []
 
         def meet(nodes: np.ndarray) -> np.ndarray:
-            score = products(self.x[nodes], q)
-            fits = (self.label[nodes] == label) & (self.uid[nodes] != uid) if same else self.label[nodes] != label
-            for w in windows:
-                good = np.flatnonzero(fits & (score >= w.least) & (score <= w.high))
-                if len(good) > 4 * w.k:  # the k-th best score of these is a bound as well
-                    kth = np.partition(score[good], len(good) - w.k)[len(good) - w.k]
-                    good = good[score[good] >= kth]
-                if len(good):
-                    w.add([(-s, self.ids[i] is None, self.ids[i] or 0, int(self.uid[i])) for s, i in zip(score[good].tolist(), nodes[good].tolist())])
+            score = product(nodes)
+            some = np.flatnonzero((score >= min(w.least for w in windows)) & (score <= max(w.high for w in windows)))
+            if len(some):
+                fits = (self.label[nodes[some]] == label) & (self.uid[nodes[some]] != uid) if same else self.label[nodes[some]] != label
+                some = some[fits]
+            if len(some):
+                value = score[some]
+                for w in windows:
+                    good = np.flatnonzero((value >= w.least) & (value <= w.high))
+                    if len(good) > 4 * w.k:  # the k-th best score of these is a bound as well
+                        kth = np.partition(value[good], len(good) - w.k)[len(good) - w.k]
+                        good = good[value[good] >= kth]
+                    if len(good):
+                        w.add([(-s, self.ids[i] is None, self.ids[i] or 0, int(self.uid[i])) for s, i in zip(value[good].tolist(), nodes[some[good]].tolist())])
             return score
 
         def push(cells: np.ndarray, score: np.ndarray) -> None:
             low, high = bounds(score.astype("float64"), self.radius[cells], size, self.top)
-            for c, a, b, s in zip(cells.tolist(), low.tolist(), high.tolist(), score.tolist()):
-                if any(b >= w.least and a <= w.high for w in windows):
-                    heapq.heappush(heap, (-b, c, s))
+            reached = np.zeros(len(cells), dtype=bool)
+            for w in windows:
+                reached |= (high >= w.least) & (low <= w.high)
+            for c, b, s in zip(cells[reached].tolist(), high[reached].tolist(), score[reached].tolist()):
+                heapq.heappush(heap, (-b, c, s))
 
         root = np.array([self.root])
         score = meet(root)
@@ -178,13 +193,14 @@ class Tree:
             push(self.first_cell[root], score)
         while heap:
             b, cell, at = heapq.heappop(heap)
-            if not any(-b >= w.least for w in windows):
+            if -b < min(w.least for w in windows):
                 break
             self.opened += 1
             nodes = self.children[cell]
             score = meet(nodes)
-            below = self.first_cell[nodes] >= 0
-            push(self.first_cell[nodes[below]], score[below])
+            below = self.first_cell[nodes]
+            if (below >= 0).any():
+                push(below[below >= 0], score[below >= 0])
             if cell + 1 < len(self.center) and self.center[cell + 1] == self.center[cell]:
                 push(np.array([cell + 1]), np.array([at]))
 
@@ -255,7 +271,7 @@ def search(forest: Forest, queries: DataFrame, n: int, same: bool, k: int, home:
         sent = queries.select(*KEYS, *columns)
     else:
         cells = {dim: part.sort_values("pivot") for dim, part in forest.cells.groupby("dim")}
-        pivots = forest.pivots
+        pivots = {dim: Products(p) for dim, p in forest.pivots.items()}
 
         def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -266,7 +282,7 @@ def search(forest: Forest, queries: DataFrame, n: int, same: bool, k: int, home:
                     low, high = np.full(len(at), -np.inf), np.full(len(at), np.inf)
                     if at[0] >= 0:
                         size = math.sqrt(float((q.astype("float64") ** 2).sum()))
-                        low, high = bounds(products(pivots[r.dim][at], q).astype("float64"), turn(part["radius"].to_numpy(), top), size, top)
+                        low, high = bounds(pivots[r.dim].of(q)(at).astype("float64"), turn(part["radius"].to_numpy(), top), size, top)
                     meets = np.zeros(len(at), dtype=bool)
                     for a, b, f in zip(r.low, r.high, r.floor):
                         meets |= (high >= max(a, f)) & (low <= b)
