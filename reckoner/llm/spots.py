@@ -6,7 +6,7 @@ sets; where only a decision is wanted, sets are partitioned by length (sets in p
 given up as soon as what is left cannot reach the threshold.
 
 Documents stand in descending order of doc_id (ties by a digest of the text, NULL last). To compare each with the next one, they are dealt into ranges of that order
-by bounds taken from a slim table, and the first document of a range visits the range before it: whole texts are shuffled once and written nowhere.
+by bounds taken from a slim table, and the first document of a range visits the range before it: whole texts are shuffled once, compressed, and written nowhere.
 
 Defined results: a NULL text is an empty text; a text without a chain has one signature, the digest of the whole text, so that equal texts have
 equal fingerprints and empty ones are alike. Rows with the same id and text are rows of their own, side by side. A lone document is its own next one. No rows give no rows.
@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reckoner.llm.common import partitions
@@ -37,7 +38,6 @@ THRESHOLD = 0.8
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # multipliers of a chain's words, in order
 WORDS_KEPT = 400_000  # distinct words whose digests a task keeps
 COUNTED = 200_000  # words after which a task sends its counts
-SLICES = 8  # ranges per shuffle partition
 
 #: A-Z in lower case, everything but letters, digits and bytes of other alphabets to a blank (fixed value of the words).
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -164,27 +164,27 @@ def order_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """(slice, visitor, doc_id, text): ``docs`` in ranges of the order, each range sorted in a partition; ``visitor`` marks the first row of the
-    next range (of the first range, for the last one), at the end of each. Bounds, one per range, reach the driver."""
+    """(slice, visitor, k0, k1, packed): ``docs`` in ranges of the order, one to a partition and sorted in it, texts compressed; ``visitor`` marks the first row of
+    the next range (of the first range, for the last one), at the end of each. Bounds, one per range, reach the driver."""
     keys, n = ["k0", "k1", "k2"], partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("*", *order_key(F.col("doc_id"), F.col("text")))
-    ranged = rows.select(*keys).repartitionByRange(n * SLICES, *keys).withColumn("slice", F.spark_partition_id())
+    rows = rows.select(*order_key(F.col("doc_id"), F.col("text")), "text")
+    ranged = rows.select(*keys).repartitionByRange(n, *keys).withColumn("slice", F.spark_partition_id())
     bounds = sorted({tuple(r.first) for r in ranged.groupBy("slice").agg(F.min(F.struct(*keys)).alias("first")).collect()})
 
-    @F.pandas_udf("array<int>")
-    def slices(k0: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.Series:
-        """The range of a row, and for the first row of a range -1 - the range that it visits."""
-        out = []
-        for key in zip(k0.tolist(), k1.tolist(), k2.tolist()):
-            at = max(0, bisect_right(bounds, key) - 1)
-            out.append([at, -1 - (at - 1) % len(bounds)] if bounds[at] == key else [at])
-        return pd.Series(out)
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each row to its range; the first row of a range visits the one before as well."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for frame in frames:
+            at = [max(0, bisect_right(bounds, key) - 1) for key in zip(*(frame[k].tolist() for k in keys))]
+            out = frame[keys].assign(slice=np.array(at, dtype="int32"), visitor=False, packed=[pack(x.encode()) for x in frame["text"]])
+            yield out
+            first = [bounds[i] == key for i, key in zip(at, zip(*(frame[k].tolist() for k in keys)))]
+            if any(first):
+                yield out[first].assign(slice=(out["slice"][first] - 1) % len(bounds), visitor=True)
 
-    dealt = rows.select("*", F.explode(slices(*keys)).alias("_at"))
-    visitor = F.col("_at") < 0
-    return (dealt.withColumns({"visitor": visitor, "slice": F.when(visitor, F.lit(-1) - F.col("_at")).otherwise(F.col("_at"))}).drop("_at")
-            .repartition(n, "slice").sortWithinPartitions("slice", "visitor", *keys).select("slice", "visitor", "doc_id", "text"))
+    dealt = rows.mapInPandas(deal, "k0 boolean, k1 long, k2 long, slice int, visitor boolean, packed binary")
+    return dealt.repartitionById(max(n, len(bounds)), "slice").sortWithinPartitions("slice", "visitor", *keys).select("slice", "visitor", "k0", "k1", "packed")
 
 
 def edited(text: str, following: str) -> str:
@@ -203,20 +203,21 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signatures, held = Signatures(anchor_words), None  # the row before, which waits for its next one
+        unpack = zstandard.ZstdDecompressor().decompress
         for frame in frames:
-            texts = frame["text"].tolist()
+            texts = [unpack(x).decode() for x in frame["packed"]]
+            ids = [None if none else ~key for none, key in zip(frame["k0"].tolist(), frame["k1"].tolist())]
             for low, high in batches(texts):
-                some = frame.iloc[low:high]
-                rows = list(zip(some["visitor"], some["doc_id"], texts[low:high], signatures.of(texts[low:high])))
+                rows = list(zip(frame["visitor"].tolist()[low:high], ids[low:high], texts[low:high], signatures.of(texts[low:high])))
                 pairs = [(one, two) for one, two in zip([held, *rows], rows) if one is not None and not one[0]]
                 held = rows[-1]
                 changed = [edited(one[2], two[2]) for one, two in pairs]
                 out = []
                 for (one, two), text, e in zip(pairs, changed, signatures.of(changed)):
                     _, doc, own, s = one
-                    out.append((None if pd.isna(doc) else int(doc), len(own), hashlib.sha256(text.encode()).hexdigest(), fingerprint(s), fingerprint(e),
+                    out.append((doc, len(own), hashlib.sha256(text.encode()).hexdigest(), fingerprint(s), fingerprint(e),
                                 likeness(s, e), likeness(s, two[3]), similar(s, e), similar(s, two[3])))
                 names = [c.split()[0] for c in RESULT.split(", ")]
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "n_chars": "int64"})
+                yield pd.DataFrame(out, columns=names).assign(doc_id=pd.array([row[0] for row in out], dtype="Int64"))
 
     return beside_next(docs).mapInPandas(run, RESULT)
