@@ -7,7 +7,7 @@ Every draw is a column expression that runs inside the JVM.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -81,6 +81,60 @@ def beta(a: int, b: int, seed: int, tag: str, *key: Column | str) -> Column:
     return F.lit(1.0) - above
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+TRIES = 6  # candidates of a gamma draw; the law accepts 95 % of them at shape 1 and more above
+SMALL = 16  # trials that a binomial draw counts one by one
+
+
+def gamma(shape: Column, seed: int, tag: str, *key: Column | str) -> Column:
+    """Gamma(shape, 1) for shapes of 1 and more, by Marsaglia and Tsang's rejection. Candidates are drawn one after the other until one is accepted; the chance
+    that none of TRIES is, in which case the mean is taken, is below 2e-8."""
+    def made(d: Column) -> Column:
+        def candidate(t: int) -> Column:
+            draw = lambda part: u01(seed, f"{tag}.{t}{part}", *key)
+            normal = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - draw("a"))) * F.cos(F.lit(2 * math.pi) * draw("b"))
+
+            def accepted(z: Column) -> Column:
+                w = F.lit(1.0) + z / F.sqrt(F.lit(9.0) * d)
+                good = lambda v: (v > 0) & (F.log(F.lit(1.0) - draw("c")) < F.lit(0.5) * z * z + d - d * v + d * F.log(v))
+                return let(w * w * w, lambda v: F.when(good(v), d * v))
+
+            return let(normal, accepted)
+
+        return F.coalesce(*[candidate(t) for t in range(TRIES)], d)
+
+    return let(shape - F.lit(1.0 / 3.0), made)
+
+
+def binomial(n: Column, p: Column, seed: int, tag: str, *key: Column | str) -> Column:
+    """Binomial(n, p), exactly: the median of n uniforms is a beta draw; the half of them on one side of it is below p or above it for certain, the other half is
+    a smaller binomial. After about log2(n / SMALL) steps what is left is counted one by one."""
+    def step(state: Column, level: Column) -> Column:
+        n, p, x = state["n"], state["p"], state["x"]
+        i = F.floor((n + F.lit(1)) / F.lit(2)).cast("bigint")
+
+        def halved(y: Column) -> Column:
+            low = F.struct((n - i).alias("n"), ((p - y) / (F.lit(1.0) - y)).alias("p"), (x + i).alias("x"))
+            return F.when(y <= p, low).otherwise(F.struct((i - F.lit(1)).alias("n"), (p / y).alias("p"), x.alias("x")))
+
+        below_ = gamma(i.cast("double"), seed, f"{tag}.g", level, *key)
+        above = gamma((n + F.lit(1) - i).cast("double"), seed, f"{tag}.h", level, *key)
+        median = let(below_, lambda g: g / (g + above))
+        return F.when((n > SMALL) & (p > 0) & (p < 1), let(median, halved)).otherwise(state)
+
+    def rest(state: Column) -> Column:
+        one_by_one = F.size(F.filter(F.sequence(F.lit(1), F.lit(SMALL)), lambda k: (k <= state["n"]) & (u01(seed, f"{tag}.u", k, *key) < state["p"])))
+        return state["x"] + F.when(state["p"] <= 0, F.lit(0)).when(state["p"] >= 1, state["n"]).otherwise(one_by_one)
+
+    start = F.struct(n.cast("bigint").alias("n"), p.cast("double").alias("p"), F.lit(0).cast("bigint").alias("x"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((n + F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(levels, start, step, rest)
+
+
 def skew_quantile(p: Column, b: Column | float) -> Column:
     """Quantile of Beta(1, b) at ``p``."""
     b = b if isinstance(b, Column) else F.lit(float(b))

@@ -43,6 +43,25 @@ def lookup_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(hits, same, "left").drop(hits["hash"]).drop("_cached")
 
 
+STATES = ("hit", "stale", "miss")
+
+
+def split_by_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """``requests`` (with hash and text) and what the cache knows of them, from one join that reads the cache once: ``state`` is ``hit`` with the ``cached_response``,
+    ``stale`` if the hash is held under another text only, else ``miss``.
+
+    The cache's rows of one hash become one row first, a map of its texts (one, unless texts collide or are stale) to their least responses. A cache
+    written by ``tables.cache_table`` is bucketed by hash: neither step shuffles it."""
+    texts = cache.groupBy("hash", "request").agg(F.min("response").alias("response"))
+    per_hash = texts.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("request", "response"))).alias("_known"))
+    held = F.col("_known").isNotNull()
+    known = F.when(held, F.map_contains_key(F.col("_known"), F.col("request_json"))).otherwise(F.lit(False))
+    return (requests.join(per_hash, "hash", "left")
+            .withColumns({"cached_response": F.when(known, F.element_at("_known", F.col("request_json"))),
+                          "state": F.when(known, STATES[0]).when(held, STATES[1]).otherwise(STATES[2])})
+            .select(*requests.columns, "state", "cached_response"))
+
+
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests that have to be run."""
     same = (requests["hash"] == cache["hash"]) & (requests["request_json"] == cache["request"])
@@ -94,9 +113,9 @@ def validate_requests(bounded: DataFrame) -> DataFrame:
 
 def audit_requests(requests: DataFrame, cache: DataFrame, models: DataFrame) -> DataFrame:
     """Hash, cache state, token bounds, cost bound and issues of each request."""
-    known = lookup_cache(with_hash(requests), cache)
+    known = split_by_cache(with_hash(requests), cache)
     checked = validate_requests(usage_bounds(with_model(known, models)))
-    return checked.withColumns({"cached": F.col("cached_response").isNotNull(), "max_cost": max_cost(checked)})
+    return checked.withColumns({"cached": F.col("state") == STATES[0], "max_cost": max_cost(checked)}).drop("state")
 
 
 def total_max_cost(audited: DataFrame) -> DataFrame:

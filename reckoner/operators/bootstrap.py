@@ -2,43 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reckoner.functions.draws import u01
+from reckoner.functions.draws import binomial, u01
 from reckoner.operators.confusion import COUNTS, confusion_aggs, f1
 from reckoner.operators.keyed import with_key_values
 
 
 def bootstrap_f1(counts: DataFrame, keys: Sequence[str], rounds: int = 1000, seed: int = 0) -> DataFrame:
     """``counts`` with ``f1_se``: drawing n rows with replacement is one multinomial draw over the
-    four counts, so the cost is groups x rounds whatever the number of rows."""
-    seed_text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    key_seed = F.conv(F.substring(F.md5(seed_text), 1, 13), 16, 10).cast("bigint")
-    slim = counts.select(key_seed.alias("_seed"), *keys, *COUNTS)
-    schema = slim.drop("_seed").withColumn("f1_se", F.lit(0.0)).schema
-
-    def standard_error(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            errors = [_f1_spread(row, rounds, s)
-                      for row, s in zip(batch[list(COUNTS)].to_numpy(np.int64), batch["_seed"])]
-            yield batch.drop(columns="_seed").assign(f1_se=errors)
-
-    return slim.mapInPandas(standard_error, schema)
-
-
-def _f1_spread(counts: np.ndarray, rounds: int, seed: int) -> float:
-    n = int(counts.sum())
-    if n == 0:
-        return float("nan")
-    draws = np.random.default_rng(int(seed)).multinomial(n, counts / n, size=rounds).astype(float)
-    tp, fp, _, fn = draws.T
-    under = 2 * tp + fp + fn
-    scores = np.divide(2 * tp, under, out=np.zeros(rounds), where=under > 0)
-    return float(scores.std(ddof=1))
+    four counts, made of three binomial draws, so the cost is groups x rounds whatever the number of rows. Draws are keyed by the group's
+    keys and the round; a group without rows has a NULL error."""
+    total = sum((F.col(c) for c in COUNTS), F.lit(0))
+    key = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys], F.lit(""))
+    slim = counts.select(*keys, *COUNTS, total.alias("_n"), key.alias("_key")).where("_n > 0")
+    out = slim.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    left, weight = F.col("_n"), F.col("_n")  # rows still to be drawn, and their outcomes' counts together
+    for c in COUNTS[:3]:
+        share = F.when(weight > 0, F.col(c) / weight).otherwise(F.lit(0.0))
+        out = out.withColumn(f"_{c}", binomial(left, share, seed, f"boot.{c}", "_round", "_key"))
+        left, weight = left - F.col(f"_{c}"), weight - F.col(c)
+    scored = out.withColumn("_f1", f1(F.col(f"_{COUNTS[0]}"), F.col(f"_{COUNTS[1]}"), left))
+    errors = scored.groupBy(*keys, *COUNTS).agg(F.stddev_samp("_f1").alias("f1_se"))
+    return with_key_values(counts, errors, [*keys, *COUNTS], "left")
 
 
 def delta_f1_se(tp: Column, fp: Column, fn: Column) -> Column:

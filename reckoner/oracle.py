@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from math import log
+from math import log, pi
 
 from reckoner.functions.money import USD_TO_CURRENCY
 from reckoner.plans import generate
@@ -429,6 +429,46 @@ CLOSED_SE = ('CASE WHEN 2*"TP" + "FP" + "FN" = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUB
              '/ ((2*"TP" + "FP" + "FN")::DOUBLE * (2*"TP" + "FP" + "FN")::DOUBLE) END')
 
 
+def _gamma(shape: str, tag: str, *keys: str) -> str:
+    """A gamma draw: the first accepted of six candidates, else the mean."""
+    d = f"({shape}::DOUBLE - {1.0 / 3.0!r}::DOUBLE)"
+    tries = []
+    for t in range(6):
+        z = f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u(f'{tag}.{t}a', *keys)})) * cos({2 * pi!r}::DOUBLE * {u(f'{tag}.{t}b', *keys)}))"
+        w = f"(1.0::DOUBLE + {z} / sqrt(9.0::DOUBLE * {d}))"
+        v = f"({w} * {w} * {w})"
+        tries.append(f"case when {w} > 0 then case when ln(1.0::DOUBLE - {u(f'{tag}.{t}c', *keys)}) < 0.5::DOUBLE * {z} * {z} + {d} - {d} * {v} "
+                     f"+ {d} * ln(greatest({v}, 1e-300::DOUBLE)) then {d} * {v} end end")
+    return f"coalesce({', '.join(tries)}, {d})"
+
+
+def _binomial(name: str, source: str, n: str, p: str, tag: str, *keys: str) -> str:
+    """CTEs ending in ``name`` (source's columns, drawn): a binomial draw per row of ``source``, which has the key columns."""
+    ks = ", ".join(keys)
+    g, h = _gamma("i", tag + ".g", "level", *keys), _gamma("(n + 1 - i)", tag + ".h", "level", *keys)
+    return f"""{name}_r(level, {ks}, n, p, x) AS (
+  SELECT 0, {ks}, ({n})::BIGINT, ({p})::DOUBLE, 0::BIGINT FROM {source}
+  UNION ALL
+  SELECT level + 1, {ks}, case when y <= p then n - i else i - 1 end, case when y <= p then (p - y) / (1.0::DOUBLE - y) else p / y end, case when y <= p then x + i else x end
+  FROM (SELECT *, g / (g + h) AS y FROM (SELECT *, {g} AS g, {h} AS h FROM (SELECT *, (n + 1) // 2 AS i FROM {name}_r WHERE n > 16 AND p > 0 AND p < 1)))),
+{name}_l AS (SELECT {ks}, arg_max(n, level) AS n, arg_max(p, level) AS p, arg_max(x, level) AS x FROM {name}_r GROUP BY {ks}),
+{name} AS (SELECT s.*, x + case when p <= 0 then 0 when p >= 1 then l.n
+    else len(list_filter(range(1, 17), lambda k: k <= l.n and {u(tag + '.u', 'k', *keys)} < p)) end AS drawn
+  FROM {source} s JOIN {name}_l l USING ({ks}))"""
+
+
+def bootstrapped(counts: str, keys: list[str], rounds: int) -> str:
+    """CTEs ending in ``errors`` (keys, se): the bootstrap error of F1 over the counts per group."""
+    key = " || '|' || ".join(f"coalesce({k}::VARCHAR, '')" for k in keys) + " || '|'"
+    a = _binomial("tp", "rounds_", "n", '"TP" / n', "boot.TP", "round_", "key_")
+    b = _binomial("fp", "tp2", "n - d1", 'case when n - "TP" > 0 then "FP" / (n - "TP") else 0 end', "boot.FP", "round_", "key_")
+    c = _binomial("tn", "fp2", "n - d1 - d2", 'case when n - "TP" - "FP" > 0 then "TN" / (n - "TP" - "FP") else 0 end', "boot.TN", "round_", "key_")
+    f = "case when 2 * d1 + d2 + d4 = 0 then 0.0::DOUBLE else (2 * d1)::DOUBLE / (2 * d1 + d2 + d4) end"
+    return f"""rounds_ AS (SELECT *, {key} AS key_, unnest(range(1, {rounds + 1})) AS round_ FROM (SELECT *, "TP" + "FP" + "TN" + "FN" AS n FROM {counts}) WHERE n > 0),
+{a}, tp2 AS (SELECT * EXCLUDE (drawn), drawn AS d1 FROM tp), {b}, fp2 AS (SELECT * EXCLUDE (drawn), drawn AS d2 FROM fp), {c},
+errors AS (SELECT {', '.join(keys)}, stddev_samp({f}) AS se FROM (SELECT *, n - d1 - d2 - drawn AS d4 FROM tn) GROUP BY {', '.join(keys)})"""
+
+
 def _difficulty_cells() -> str:
     cells = [("initial data", "schema_mode = 'opaque' AND grouping = 'clean' AND key = 'one_pay_one_inv'"),
              ("+ errors", "schema_mode = 'opaque' AND grouping = 'dirty' AND key = 'one_pay_one_inv'"),
@@ -437,7 +477,8 @@ def _difficulty_cells() -> str:
     each = " UNION ALL ".join(f"SELECT model, '{n}' AS scenario, {SUMS} FROM results WHERE perturbation_mode = 'multi' AND {w} GROUP BY model" for n, w in cells)
     text = "printf('%.2f ± %.2f', round(f::DECIMAL(20,12), 2)::DOUBLE, round(se::DECIMAL(20,12), 2)::DOUBLE)"
     wide = ", ".join(f"max(CASE WHEN scenario = '{n}' THEN {text} END) AS \"{n}\"" for n, _ in cells)
-    return (f"WITH {SCORED}, {GROUPS}, c AS ({each}), s AS (SELECT model, scenario, {F1} AS f, {CLOSED_SE} AS se FROM c) "
+    return (f"WITH RECURSIVE {SCORED}, {GROUPS}, c AS ({each}), {bootstrapped('c', ['model', 'scenario'], 1000)}, "
+            f"s AS (SELECT model, scenario, {F1} AS f, se FROM c JOIN errors USING (model, scenario)) "
             f"SELECT model, {wide} FROM s GROUP BY model")
 
 
@@ -820,6 +861,12 @@ SELECT match_id, string_agg('REF ' || k::VARCHAR || ': ' || inv_billing_number,
   case when cached then 'No' when conv_id % 9 <> 0 then case when size % 2 = 0 then 'Yes' else 'No' end end AS answer,
   case when cached then size + 1 when conv_id % 9 <> 0 then size + 2 end AS total_tokens FROM audited"""
     q["executed_cache"] = f"WITH {CHATS} SELECT count(*) AS added, 0::BIGINT AS again FROM audited WHERE NOT cached AND conv_id % 9 <> 0"
+    q["cache_states"] = f"""WITH {CHATS}, t AS (SELECT model, case when cached then 'hit' when hash IN (SELECT hash FROM cache) then 'stale' else 'miss' end AS state FROM audited)
+SELECT model, state, count(*) AS n FROM t GROUP BY model, state"""
+    q["execution_counts"] = f"""WITH {CHATS}, t AS (SELECT *, hash IN (SELECT hash FROM cache) AS held FROM audited)
+SELECT unnest(['requests', 'hit', 'stale', 'miss', 'failed', 'cut_off']) AS counter, unnest([count(*), count(*) FILTER (WHERE cached),
+  count(*) FILTER (WHERE held AND NOT cached), count(*) FILTER (WHERE NOT held), count(*) FILTER (WHERE NOT cached AND conv_id % 9 = 0),
+  count(*) FILTER (WHERE NOT cached AND conv_id % 9 <> 0 AND completion = 50)]) AS n FROM t"""
     q["cache_cost"] = f"""WITH {CHATS} SELECT model, count(*) AS responses, sum(size + 1)::BIGINT AS total_tokens,
   sum(size * pin / 1000.0::DOUBLE + pout / 1000.0::DOUBLE)::DECIMAL(18,8) AS cost
   FROM hashed JOIN cache USING (hash) JOIN prices USING (model) GROUP BY model"""

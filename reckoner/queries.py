@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -13,7 +12,7 @@ from reckoner.functions.draws import u01
 from reckoner.operators import audit, bootstrap, confusion, decide, joined, pairs, perturb, ranks, requests, views
 from reckoner.plans import evaluate, execute, generate, reports
 from reckoner.schema import MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATIONS
-from reckoner.session import configure, shared_folder
+from reckoner.session import configure, scratch_path, written_table
 from reckoner.sources import bridge, tables
 
 SEED = 7
@@ -173,8 +172,8 @@ def bootstrap_f1_rows(spark, sf):
 
 @query
 def report_difficulty(spark, sf):
-    """Cells with the error in closed form: the same text in another engine. The bootstrap is held against it in ``bootstrap_f1``."""
-    return reports.report_difficulty(evaluate.evaluate(scored(spark, sf)), None)
+    """Cells ``F1 ± error``, the error by 1,000 bootstrap rounds."""
+    return reports.report_difficulty(evaluate.evaluate(scored(spark, sf)), 1000, SEED)
 
 
 @query
@@ -730,7 +729,7 @@ def chat_scorer(misses: DataFrame) -> DataFrame:
 @query
 def execute_requests(spark, sf):
     """Answers of all chat requests, from the cache or the scorer."""
-    out, _ = execute.execute(chat_requests(spark, sf), chat_cache(spark, sf), chat_scorer)
+    out = execute.execute(chat_requests(spark, sf), tables.cache_table(chat_cache(spark, sf)), chat_scorer).responses
     first = F.get(F.col("choices"), F.lit(0))
     return out.select("pair_id", "model", "cached", first["finish_reason"].alias("finish_reason"), first["message"]["content"].alias("answer"),
                       F.when(F.col("choices").isNotNull(), F.col("usage.total_tokens")).alias("total_tokens"))
@@ -740,9 +739,24 @@ def execute_requests(spark, sf):
 def executed_cache(spark, sf):
     """What a run adds to the cache: a second run on top of it adds nothing."""
     chats, cache = chat_requests(spark, sf), chat_cache(spark, sf)
-    _, added = execute.execute(chats, cache, chat_scorer)
-    _, again = execute.execute(chats, cache.union(added), chat_scorer)
-    return added.agg(F.count(F.lit(1)).alias("added")).join(again.agg(F.count(F.lit(1)).alias("again")), F.lit(True))
+    added = written_table(execute.execute(chats, tables.cache_table(cache), chat_scorer).added, "added")
+    again = execute.execute(chats, tables.cache_table(cache.union(added)), chat_scorer).added
+    return added.agg(F.count(F.lit(1)).alias("added")).withColumn("again", again.agg(F.count(F.lit(1))).scalar())
+
+
+@query
+def cache_states(spark, sf):
+    """Requests by what the cache knows of them, from one join."""
+    split = audit.split_by_cache(audit.with_hash(chat_requests(spark, sf)), chat_cache(spark, sf))
+    return split.groupBy("model", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def execution_counts(spark, sf):
+    """Counts of a run as its own jobs observed them: the response table is not read for them."""
+    run = execute.execute(chat_requests(spark, sf), tables.cache_table(chat_cache(spark, sf)), chat_scorer)
+    rows = list(run.counts.items())
+    return spark.createDataFrame(rows, "counter string, n bigint")
 
 
 @query
@@ -861,7 +875,7 @@ def schema_views(spark, sf):
 # ---------------------------------------------------------------- files
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/reckoner/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 @query

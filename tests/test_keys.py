@@ -1,5 +1,7 @@
 """NULL keys, weights that sum to zero, and permutations."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,28 @@ def test_permutation_is_one_and_no_shift(spark, n):
             assert not any(abs(a - b) == 1 for a, b in zip(out, out[1:]))
 
 
+@pytest.mark.parametrize("n,p", [(1, 0.3), (16, 0.5), (17, 0.5), (40, 0.9), (300, 0.01), (5000, 0.4), (9, 0.0), (30, 1.0), (0, 0.5)])
+def test_binomial_draws_follow_their_law(spark, n, p):
+    rows = 6000
+    drawn = spark.range(rows).select(draws.binomial(F.lit(n), F.lit(p), 3, "law", "id").alias("x"))
+    got = {r.x: r["count"] for r in drawn.groupBy("x").count().collect()}
+    assert all(0 <= x <= n for x in got)
+    if p in (0.0, 1.0) or n == 0:
+        assert got == {round(n * p): rows}
+        return
+    pmf = {x: math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p)) for x in range(n + 1)}
+    cells, mass, seen = [], 0.0, 0  # neighbours put together until at least 20 are expected
+    for x in range(n + 1):
+        mass, seen = mass + pmf[x] * rows, seen + got.get(x, 0)
+        if mass >= 20:
+            cells.append((mass, seen))
+            mass, seen = 0.0, 0
+    cells[-1] = (cells[-1][0] + mass, cells[-1][1] + seen)
+    chi = sum((s - m) ** 2 / m for m, s in cells)
+    df = max(1, len(cells) - 1)
+    assert chi < df + 4.5 * math.sqrt(2 * df) + 6
+
+
 @pytest.mark.parametrize("counts", [(40, 10, 30, 20), (500, 0, 500, 0), (300, 30, 100, 70), (60, 30, 40, 50)])
 def test_closed_form_error_is_what_the_bootstrap_finds(spark, counts):
     row = spark.createDataFrame([("x", *counts)], "k string, TP long, FP long, TN long, FN long")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from reckoner import queries
 from reckoner.operators import audit, decide
+from reckoner.plans import execute
 from reckoner.sources import tables
 from reckoner.streaming import rowwise
+from tests.plans import up_to_join
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,6 +52,36 @@ def test_cache_hits_need_the_same_request(spark, tmp_path):
     assert back.choices[0].message.content == "Yes" and back.usage is None
 
 
+def test_the_cache_is_read_once_and_not_shuffled(spark):
+    chats = audit.with_hash(queries.chat_requests(spark, FOLDER))
+    cache = tables.cache_table(queries.chat_cache(spark, FOLDER))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        split = audit.split_by_cache(chats, cache)
+        above = up_to_join(split, "FileScan parquet spark_catalog")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(above) == 1 and "Exchange" not in above[0] and above[0][-1].endswith("Join"), above
+
+
+def test_a_run_counts_what_it_did_and_a_second_one_adds_nothing(spark):
+    calls = []
+
+    def scorer(misses):
+        calls.append(1)
+        return queries.chat_scorer(misses)
+
+    cache = queries.chat_cache(spark, FOLDER)
+    first = execute.execute(queries.chat_requests(spark, FOLDER), cache, scorer)
+    assert calls == [1] and first.responses.count() == first.counts["requests"] == sum(first.counts[s] for s in audit.STATES)
+    assert first.counts["failed"] == first.responses.where("choices is null").count() > 0
+    assert first.counts["cut_off"] == first.responses.where("not cached and choices[0].finish_reason = 'length'").count()
+    assert first.counts["hit"] == first.responses.where("cached").count() > 0 and first.counts["stale"] > 0
+    again = execute.execute(queries.chat_requests(spark, FOLDER), cache.union(first.added), scorer)
+    assert again.added.count() == 0 and again.counts["miss"] + again.counts["stale"] == first.counts["failed"] == again.counts["failed"]
+
+
 def test_decisions(spark):
     df = spark.createDataFrame([(1, True), (2, False)], "pair_id bigint, rows_match boolean")
 
@@ -99,11 +131,11 @@ def test_arriving_responses_give_the_same_scores(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["labelled_pairs", "rule_match_f1", "few_shot_requests", "normalise_kna", "generated_payments",
-                                  "evaluation_tables", "bootstrap_f1_rows", "request_audit"])
+                                  "evaluation_tables", "bootstrap_f1_rows", "request_audit", "bootstrap_f1", "report_difficulty", "labelled_pairs_limited"])
 def test_plans_have_no_cross_join_and_no_row_udf(spark, name):
     df = queries.QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
         assert bad not in plan
 
 
