@@ -4,98 +4,166 @@ Two kinds of pre-tokenizer can be cut into independent units. Where white space
 no token crosses it. Where it is kept (``"spaces"``), a run of white space and the word after it
 are a unit: the split pattern never looks beyond the next character after the run. Both kinds part letters
 and digits from other characters, so a full stop or comma right after one of them starts a unit as well. The
-ids of a text are the ids of its units in a row, and a worker keeps the ids of the units it has met.
+ids of a text are the ids of its units in a row, and a worker keeps the ids of the units it has met, in a bounded number of bytes. Whole batches are cut
+and their units numbered by Arrow; only units that are new are looked at one by one.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from itertools import chain
 
-KEPT_UNITS = 700_000  # distinct units whose ids a worker keeps; others are encoded anew each time
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+KEPT_BYTES = 100_000_000  # about so much a worker keeps of the units it has met; others are encoded anew in each batch
+UNIT_BYTES = 150  # of a kept unit besides its ids: text, entry, numbers
 #: Characters that Python counts as white space and Unicode's White_Space property does not (fixed value).
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: A stop or comma that belongs to the characters before it, and white space in a run or against the mark.
-JOINED, MARK = re.compile(r"[\W_][.,]|\A[.,]"), "\x1f"
-JOINED_OR_RUN = re.compile(r"\s\s|[\W_][.,]|\A[.,]")
+#: A stop or comma that belongs to the characters before it.
+JOINED, MARK = re.compile(r"(?<![^\W_])[.,]"), "\x1f"
+JOINED_OR_RUN = re.compile(r"\s\s|(?<![^\W_])[.,]")
 RUNS = re.compile(r"\s*\S+|\s+").findall
+#: Bytes that decide without a look at the characters: stops and commas, ASCII letters and digits, ASCII white space (fixed values).
+STOPS, WORD, BLANK = (np.isin(np.arange(256), list(x)) for x in (
+    b".,", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"\t\n\v\f\r "))
+#: How the white space beyond ASCII begins or reads in UTF-8 (fixed values).
+WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _OPEN: dict[tuple[str, str], Encoder] = {}
 
 
-def cut_words(text: str) -> list[str]:
-    return text.split() if JOINED.search(text) else text.replace(".", " .").replace(",", " ,").split()
-
-
-def cut_spaces(text: str) -> list[str]:
-    if JOINED_OR_RUN.search(text):
-        return RUNS(text)
+def irregular(texts: Sequence[str], runs: bool) -> np.ndarray:
+    """Which texts hold a stop or comma that does not follow a letter or digit, or (``runs``) white space after white space. Bytes decide for most texts; those with
+    other characters in such places are searched by pattern."""
+    raw = [x.encode() for x in texts]
+    data = np.frombuffer(b"a" + b"a".join(raw), dtype="uint8")
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    before, here = data[:-1], data[1:]
+    first = np.zeros(len(data), dtype=bool)  # texts begin after the letter that parts them
+    starts = np.concatenate([[0], ends[:-1]]) + 1
+    first[starts[starts < len(data)]] = True
+    stop = STOPS[here]
+    bad = stop & (first[1:] | ~WORD[before] & (before < 128))
+    unsure = stop & (before >= 128)
+    if runs:
+        bad |= BLANK[before] & BLANK[here] & ~first[1:]
+    owner = lambda hits: np.unique(np.searchsorted(ends, np.flatnonzero(hits) + 1, side="left")) if hits.any() else np.zeros(0, dtype="int64")
+    out = np.zeros(len(texts), dtype=bool)
+    out[owner(bad)] = True
+    look = set(owner(unsure).tolist())
+    if runs:
+        look.update(i for i, x in enumerate(raw) if any(w in x for w in WIDE_SPACE))
+    pattern = JOINED_OR_RUN if runs else JOINED
+    for i in look:
+        out[i] = out[i] or pattern.search(texts[i]) is not None
+    return out
+
+
+def cut_words(texts: Sequence[str]) -> pa.ListArray:
+    """The units of each text where white space is dropped."""
+    joined = irregular(texts, False)
+    parted = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), ".", " ."), ",", " ,")
+    if joined.any():
+        parted = pc.if_else(pa.array(joined), pa.array(texts, pa.string()), parted)
+    return pc.utf8_split_whitespace(parted)
+
+
+def cut_spaces(texts: Sequence[str]) -> pa.ListArray:
+    """The units of each text where a run of white space belongs to the word after it."""
+    odd = irregular(texts, True)
+    marked = pa.array(["" if o else x for o, x in zip(odd.tolist(), texts)], pa.string())
     for c in " \n.,":
-        text = text.replace(c, MARK + c)
-    return text.split(MARK)
+        marked = pc.replace_substring(marked, c, MARK + c)
+    cut = pc.split_pattern(marked, MARK)
+    if odd.any():
+        by_hand = pa.array([RUNS(x) if o else None for o, x in zip(odd.tolist(), texts)], pa.list_(pa.string()))
+        cut = pc.coalesce(by_hand, cut)
+    return cut
 
 
-UNITS: dict[str, Callable[[str], list[str]]] = {"words": cut_words, "spaces": cut_spaces}
+UNITS = {"words": cut_words, "spaces": cut_spaces}
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers. ``units`` names the way texts are cut ("" for none)."""
 
-    def __init__(self, path: str, units: str):
+    def __init__(self, path: str, units: str, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = UNITS.get(units)
-        self.known: dict[str, bytes] = {}
+        self.room = kept_bytes
+        self.number: dict[str, int] = {"": 0}  # the units that are kept
+        self.ends = np.zeros(1, dtype="int64")  # of each unit's ids in ``pool``
+        self.pool = np.zeros(0, dtype="<u4")
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _learnt(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each of the distinct ``units``, ends, pool). New units are kept as long as there is room; the arrays that come back hold all."""
+        numbers = list(map(self.number.get, units))
+        new = [u for u, k in zip(units, numbers) if k is None]
+        if not new:
+            return np.array(numbers, dtype="int32"), self.ends, self.pool
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype="int64", count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(sizes.sum()))
+        ends, pool = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)]), np.concatenate([self.pool, flat])
+        given = np.arange(len(self.ends), len(ends), dtype="int32")
+        cost = UNIT_BYTES * len(new) + 4 * len(flat)
+        if cost <= self.room:
+            self.room -= cost
+            self.ends, self.pool = ends, pool
+            self.number.update(zip(new, given.tolist()))
+        out = np.array([-1 if k is None else k for k in numbers], dtype="int32")
+        out[out < 0] = given
+        return out, ends, pool
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         texts = [x or "" for x in texts]
         if self.cut is None:
             return self.whole(texts)
         odd = [i for i, x in enumerate(texts) if ODD_SPACE.search(x)]
-        cut = [[] if i in odd else self.cut(x) for i, x in enumerate(texts)] if odd else list(map(self.cut, texts))
-        known = self.known
-        new = list({u for units in cut for u in units if u not in known})
-        more = dict(zip(new, self.whole(new)))
-        if len(known) + len(more) <= KEPT_UNITS:
-            known.update(more)
-            more = known
-        elif more:
-            more = _Both(known, more)
-        else:
-            more = known
-        out = [b"".join(map(more.__getitem__, units)) for units in cut]
+        plain = [x for i, x in enumerate(texts) if i not in set(odd)] if odd else texts
+        out = self._encode(plain)
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
+            out.insert(i, ids)
         return out
 
-
-class _Both(dict):
-    """Lookup in the kept units, then in those of this batch."""
-
-    def __init__(self, kept: dict[str, bytes], batch: dict[str, bytes]):
-        super().__init__(batch)
-        self.kept = kept
-
-    def __missing__(self, unit: str) -> bytes:
-        return self.kept[unit]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        cut = self.cut(texts)
+        cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
+        coded = cut.flatten().dictionary_encode()
+        numbers, ends, pool = self._learnt(coded.dictionary.to_pylist())
+        unit = numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, dtype="int32")
+        first = np.concatenate([[0], ends[:-1]])
+        sizes = (ends - first).astype("int32")[unit]
+        until = np.cumsum(sizes, dtype="int64")
+        at = np.repeat(first[unit] - (until - sizes), sizes)
+        at += np.arange(len(at))
+        raw = memoryview(pool[at].tobytes())
+        units_until = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype("int64")
+        cuts = (4 * np.concatenate([[0], until])[units_until]).tolist()
+        return [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def encoder(path: str, units: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it lives as long as the worker."""
+    """The worker's encoder for a tokenizer file; it lives as long as the worker, and keeps KEPT_BYTES at most."""
     if (path, units) not in _OPEN:
         _OPEN[path, units] = Encoder(path, units)
     return _OPEN[path, units]
 
 
-def batches(texts: Sequence[str | None], chars: int = 2_000_000):
+def batches(texts: Sequence[str | None], chars: int = 8_000_000):
     """Slices of ``texts`` with about ``chars`` characters, so that memory follows the longest text."""
     start = size = 0
     for i, x in enumerate(texts):

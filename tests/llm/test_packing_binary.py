@@ -34,8 +34,25 @@ def test_units_give_the_ids_of_whole_texts(units):
     random.seed(3)
     texts = ["", " ", ".", "a.b,c", "x)., y", "a  b", "a\n\n b.\tc", "İ ΑΣ ΑΣ. é. 3.14,15", "a\x1cb c\x1fd", "<|endoftext|> hi", "...,,. a_.b", "trail.\n", "a　. b"]
     texts += ["".join(random.choice("ab.,  \n\té'_-3́Σ$") for _ in range(random.randint(1, 40))) for _ in range(3000)]
-    encoder = tokens.Encoder(FILES[units], units)
-    assert encoder.encode(texts) == encoder.whole(texts)
+    texts += ["é.a", "“.a", "x\u2028 y", "a\u00a0\u00a0b.", " .", "\u3000,b", "a" * 50 + "\u0085.", "٣.٤", "_,a", None]
+    encoder, whole = tokens.Encoder(FILES[units], units), tokens.Encoder(FILES[units], units).whole([x or "" for x in texts])
+    assert encoder.encode(texts) == whole
+    assert encoder.encode(texts) == whole  # all units are known by now
+    full = tokens.Encoder(FILES[units], units, 2_000)  # room for a few units
+    assert full.encode(texts) == whole and full.encode(texts[::-1]) == whole[::-1] and len(full.number) < 20
+    assert [encoder.encode([x])[0] for x in texts[:60]] == whole[:60] and encoder.encode([]) == []
+
+
+@pytest.mark.parametrize("units", FILES)
+def test_long_texts_and_many_batches_give_the_same_ids(units):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() + rng.choice(["", "", ".", ",\n"]) for _ in range(n)) for n in (200_000, 3, 0, 50_000, 1)]
+    assert sum(map(len, texts)) > 1_000_000
+    encoder = tokens.Encoder(FILES[units], units, 3_000_000)
+    whole = encoder.whole(texts)
+    assert encoder.encode(texts) == whole
+    assert [x for low, high in tokens.batches(texts, 100_000) for x in encoder.encode(texts[low:high])] == whole
 
 
 @pytest.mark.parametrize("seed", range(6))
