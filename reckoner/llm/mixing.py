@@ -65,23 +65,24 @@ def decide(sizes: DataFrame, per_source: DataFrame, seed: int = SEED) -> DataFra
     rows = (sizes.join(per_source, KEY)
             .withColumn("_whole", F.floor(due)).withColumn("_p", due - F.floor(due))
             .withColumn("_u", u01(seed, "mix", "doc_id")))
+    # a source that is due whole copies only draws no sample: its documents are ranked by nobody
+    certain = rows.where(F.col("_p") == 0).withColumn("copies", F.col("_whole").cast("long"))
+    rows = rows.where(F.col("_p") > 0)
     odds = F.col("_p") / (1 - F.col("_p"))
-    ranked = F.when(F.col("_p") > 0, F.col("_u") / (1 - F.col("_u")) / odds)  # NULL: no sample is drawn
     # scaled by the odds of its source, the rank of a document is uniform again: buckets have equal expected size
     even = F.col("_rank") * odds / (1 + F.col("_rank") * odds)
     buckets = F.ceil(F.sqrt(F.col("n").cast("double")))
-    rows = rows.withColumn("_rank", ranked).withColumn("_bucket", F.coalesce(F.least(F.floor(even * buckets), buckets - 1), F.lit(-1)).cast("long"))
+    rows = rows.withColumn("_rank", F.col("_u") / (1 - F.col("_u")) / odds).withColumn("_bucket", F.least(F.floor(even * buckets), buckets - 1).cast("long"))
     earlier = Window.partitionBy(*KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (rows.groupBy(*KEY, "_bucket").agg(F.sum(F.when(F.col("_rank").isNotNull(), F.col("size"))).alias("_words"),
-                                                F.sum(F.col("_whole") * F.col("size")).alias("_sure"))
-              .select(*KEY, "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_start"),
-                      F.sum("_sure").over(Window.partitionBy(*KEY)).alias("_sure")))
+    starts = (rows.groupBy(*KEY, "_bucket").agg(F.sum("size").alias("_words"))
+              .select(*KEY, "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_start")))
     inside = (Window.partitionBy(*KEY, "_bucket").orderBy("_rank", "doc_id", "_digest", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     before = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    taken = F.col("_rank").isNotNull() & (F.col("size") > 0) & (before + F.col("size") / 2 <= F.col("target") - F.col("_sure"))
-    return (rows.join(starts, [*KEY, "_bucket"]).withColumn("copies", (F.col("_whole") + taken.cast("long")).cast("long"))
-            .select("doc_id", "_digest", *KEY, "size", "source_size", "target", "copies"))
+    taken = (F.col("size") > 0) & (before + F.col("size") / 2 <= F.col("target") - F.col("_whole") * F.col("source_size"))
+    drawn = rows.join(starts, [*KEY, "_bucket"]).withColumn("copies", (F.col("_whole") + taken.cast("long")).cast("long"))
+    columns = ["doc_id", "_digest", *KEY, "size", "source_size", "target", "copies"]
+    return drawn.select(*columns).union(certain.select(*columns))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
@@ -97,8 +98,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     per_row = (mix(docs, **options).groupBy(F.col("doc_id").alias("_doc"), "_digest")
                .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")))
     left = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
-    number = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))
-    times = F.floor(F.col("_copies") / F.col("_rows")) + (number <= F.col("_copies") % F.col("_rows")).cast("long")
-    return (left.join(per_row, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_digest")))
-            .withColumn("_times", times.cast("int")).where(F.col("_times") > 0)
+    found = left.join(per_row, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_digest")))
+    even = F.floor(F.col("_copies") / F.col("_rows"))
+    number = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))  # of repeated rows whose copies cannot be shared out evenly
+    odd = found.where(F.col("_copies") % F.col("_rows") != 0).withColumn("_times", even + (number <= F.col("_copies") % F.col("_rows")).cast("long"))
+    both = found.where(F.col("_copies") % F.col("_rows") == 0).withColumn("_times", even).union(odd)
+    return (both.withColumn("_times", F.col("_times").cast("int")).where(F.col("_times") > 0)
             .select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*"))

@@ -153,27 +153,42 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return small.union(stars)
 
 
+def rooted(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(fp, root) for every different ``fp`` of the written table ``fps``: root is the least fingerprint that links reach from it."""
+    distinct = written_table(fps.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(links(distinct, radius, bucket))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def grouped(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id, root) per document: component_id is the least doc_id among all documents reachable by links, root their least
     fingerprint. Equal fingerprints, those of empty texts (0) too, are linked. Repeated rows stay; a NULL doc_id never is a component_id unless nothing else
     is reachable."""
     fps = written_table(fingerprints(docs), "fingerprints")
-    distinct = written_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius, bucket))
-    tied = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    tied = rooted(fps, radius, bucket).join(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = tied.join(least, "root").select("fp", "component_id", "root")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row per group: that of its least doc_id (see least_rows). Groups are told apart by their root fingerprint, as ids may be NULL
-    or repeated. All columns stay."""
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with one row per group of documents linked within ``radius``: that of its least doc_id (NULL last), ties by a digest of the text. Groups are told apart by
+    their root fingerprint, as ids may be NULL or repeated; of repeated rows one stays. All columns stay. Texts without a word are one group. No rows give no rows.
+
+    Groups and the rows to keep are found on (doc_id, digest, fingerprint); whole rows are shuffled once, to meet what is kept."""
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
-            yield pd.Series(np.array([fingerprint(t) for t in series], dtype="uint64").view("int64"))
-
-    fp = F.pandas_udf(run, "long")
-    rows = least_rows(docs.select(whole_row(docs), fp(F.col("text").cast("string")).alias("fp")), "fp")
-    roots = grouped(docs, **options).select("fp", "root").distinct()
-    return least_rows(rows.join(roots, "fp"), "root").select("row.*")
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in series], dtype="uint64").view("int64"))
+
+    fp, text = F.pandas_udf(run, "long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_digest")]
+    slim = written_table(docs.select(*own, fp(text).alias("fp")), "fingerprints")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")
+    rows = slim.groupBy("fp", "_id", "_digest").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.join(rooted(slim, radius, bucket), "fp").groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"))
+    kept = written_table(first.select(F.col("first.o._id").alias("_kept"), F.col("first.o._digest").alias("_of"), "first.n"), "kept-documents")
+    whole = docs.select(whole_row(docs), *own)
+    found = whole.join(kept, whole["_id"].eqNullSafe(kept["_kept"]) & (whole["_digest"] == kept["_of"]))
+    if kept.where("n > 1").take(1):  # equal rows, of which one stays
+        found = least_rows(found.select(F.struct("_id", "_digest").alias("key"), "row"), "key")
+    return found.select("row.*")

@@ -89,6 +89,16 @@ def test_model_is_kneser_ney(spark):
         assert math.isclose(-float(model[perplexity.grams(t)].sum(dtype="float64")), plain(t), rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_pieces_of_a_long_text_are_scored_as_one(spark, monkeypatch):
+    text = "The cat sat on the mat. éß 99\n" * 40
+    for chunk in (1, 2, 3, 50, 10_000):
+        assert np.concatenate(list(perplexity.pieces(text, chunk))).tolist() == perplexity.grams(text).tolist()
+    monkeypatch.setattr(perplexity, "CHUNK", 100)  # counts are put together many times in a task
+    rows = [(text[:k],) for k in range(0, 900, 7)] + [(None,)]
+    got = {r.gram: r.n for r in perplexity.counts(spark.createDataFrame(rows, "text string")).collect()}
+    assert got == dict(Counter(g for (t,) in rows for g in perplexity.grams(t or "").tolist()))
+
+
 def test_quality_keeps_good_and_rejects_bad_text(spark):
     rows = QUERIES["op4_quality_classifier"](spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reckoner.llm import near, simhash, vectors
+from reckoner.llm import simhash, vectors
 from reckoner.llm.components import components
 from reckoner.llm.queries import QUERIES
 from tests.llm.conftest import ODD, SF
@@ -144,46 +144,36 @@ def test_vector_query_equals_all_pairs(spark):
     assert sorted((tuple(r) for r in QUERIES["op6_embedding_near_dedup"](spark, SF).collect()), key=repr) == expected_vectors(rows)
 
 
-def planted(seed, words, groups, copies):
-    """Random texts, each with copies in which a word in 60 is replaced by a new one: rows (doc_id, text), and the group of each id."""
-    rng, rows = random.Random(seed), []
-    for g in range(groups):
-        base = [f"w{rng.randrange(5000)}" for _ in range(words)]
-        rows.append(" ".join(base))
-        for c in range(copies):
-            other = list(base)
-            for i in rng.sample(range(words), max(1, words // 60)):
-                other[i] = f"new{g}x{c}x{i}"
-            rows.append(" ".join(other))
-    return [(i, t) for i, t in enumerate(rows)], [i // (copies + 1) for i in range(len(rows))]
-
-
-def plain_similarity(a, b):
-    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(a & b) / len(a | b)
-
-
-@pytest.mark.parametrize("words", [100, 300, 1000])
-def test_stage_finds_planted_near_copies(spark, words):
-    rows, _ = planted(words, words, 40, 1)
-    assert all(plain_similarity(rows[i][1], rows[i + 1][1]) >= 0.8 for i in range(0, 80, 2))
+def test_stage_keeps_one_document_per_group_of_the_operator(spark, docs):
     stage = dict(corpus_pipeline.STAGES)["near-dedup"]
-    kept = [r.doc_id for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
-    assert all(i in kept for i in range(0, 80, 2)) and len(kept) <= 41
-
-
-def test_stage_keeps_what_is_below_the_bound_and_finds_a_large_group(spark):
-    rows, _ = planted(3, 120, 1, 300)
-    other = planted(4, 60, 20, 1)[0]
-    far = [(1000 + i, " ".join("x" + w if k % 12 == 0 and i % 2 else w for k, w in enumerate(t.split()))) for i, (_, t) in enumerate(other)]
-    far = [(i, t) for i, t in far if i % 2 == 0 or plain_similarity(t, far[i - 1001][1]) < 0.8]
-    kept = [r.doc_id for r in near.deduplicated(spark.createDataFrame(rows + far, "doc_id long, text string")).collect()]
-    assert len(far) == 40 and sorted(kept) == [0, *(i for i, _ in far)]
+    groups = {}
+    for r in QUERIES["op5_simhash"](spark, SF).collect():
+        groups.setdefault(r.component_id, set()).add(r.doc_id)
+    kept = stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(groups) and any(len(g) > 1 for g in groups.values())
 
 
 def test_stage_of_rows_without_or_with_the_same_id_and_of_odd_rows(spark, odd, none):
+    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
     df = spark.createDataFrame(REPEATED, "doc_id long, text string")
-    assert sorted(map(tuple, near.deduplicated(df).collect()), key=repr) == ONCE
-    kept = near.deduplicated(odd)
+    assert sorted(map(tuple, stage(spark, df, SF).collect()), key=repr) == ONCE
+    kept = stage(spark, odd, SF)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "6", "7"]
-    assert near.deduplicated(none).collect() == []
+    assert stage(spark, none, SF).collect() == []
+
+
+def test_stage_catches_exact_and_very_near_copies(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(800)]
+        near = list(base)
+        near[rng.randrange(800)] = "changed"
+        rows += [(3 * g, " ".join(base), "a"), (3 * g + 1, " ".join(base), "b"), (3 * g + 2, " ".join(near), "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, df, SF).collect())
+    fps = {d: simhash.fingerprint(t) for d, t, _ in rows}
+    within = [g for g in range(60) if (fps[3 * g] ^ fps[3 * g + 2]).bit_count() <= 2]
+    assert kept == sorted([3 * g for g in range(60)] + [3 * g + 2 for g in range(60) if g not in within]) and len(within) > 30

@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
     assert differences(QUERIES[name](spark, SF), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", SQL)
+@pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows_equal_sql(spark, odd, name):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
@@ -33,7 +33,7 @@ def test_odd_rows_equal_sql(spark, odd, name):
     assert differences(OPERATORS[name](odd), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", SQL)
+@pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows(none, name):
     assert OPERATORS[name](none).collect() == []
 
@@ -68,6 +68,20 @@ def test_mix_comes_near_its_targets_and_repeats_rows(docs):
     assert mixing.mixed(docs).count() == rows["copies"].sum()
 
 
+def test_a_source_at_its_limit_goes_through_no_window(spark):
+    rows = [(i, "w " * (5 + i % 7), "a" if i < 60 else "b" if i < 400 else "c") for i in range(600)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    few = [r for r in out.collect() if r._source == "a"]
+    assert {r.copies for r in few} == {mixing.MAX_REPEAT} and few[0].target == mixing.MAX_REPEAT * few[0].source_size
+    assert sum(r.copies * r["size"] for r in few) == few[0].target
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "a b c", "x")] * 7 + [(None, "d e", "x")] * 5 + [(i, "f " * 9, "y") for i in range(2, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixing.mixed(df).count() == mixing.mix(df).agg({"copies": "sum"}).first()[0]
+
+
 def test_notices_of_one_license_are_not_those_of_another(spark):
     texts = ["This work is licensed under the GNU General Public License version 3.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.",
              "Released under the Zlib license.", "Released under the MIT license.", "Licensed under the Apache License, Version 2.0.",
