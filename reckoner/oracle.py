@@ -544,9 +544,11 @@ SELECT o_orderkey, rank, 1000000000 + rank + floor(-expm1_(n, rank) * 999999999)
         "-expm1_(n, rank)", "(1.0::DOUBLE - exp(ln(1.0::DOUBLE - rank::DOUBLE / n) / 100000.0::DOUBLE))")
 
 
-def _plan(mode: str) -> str:
+def _plan(mode: str, many: bool = False) -> str:
     """Match plan of the generator with one match per order."""
-    cats, w = ["one_pay_one_inv", "multi_pay_one_inv", "one_pay_multi_inv"], [0.6, 0.2, 0.2]
+    cats, w = ["one_pay_one_inv", "multi_pay_one_inv", "one_pay_multi_inv", "multi_pay_multi_inv"], [0.6, 0.2, 0.2, 0.25]
+    if not many:
+        cats, w = cats[:3], w[:3]
     if mode == "single":
         errors = "[" + weighted(ERRORS, [0.25] * 4, u("single.error", "m")) + "]"
     else:
@@ -554,8 +556,8 @@ def _plan(mode: str) -> str:
     return f"""k AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS m, count(*) OVER () * 10 AS n FROM orders),
 c AS (SELECT m, n, {weighted(cats, w, u(mode + '.category', 'm'))} AS cat,
   case when {u(mode + '.dirty', 'm')} < 0.75::DOUBLE then {errors} else []::VARCHAR[] end AS e FROM k),
-s AS (SELECT *, case when cat = 'multi_pay_one_inv' then 2 + floor({beta(1, 5, mode + '.payments', 'm')} * 3)::BIGINT else 1 end AS np,
-  case when cat = 'one_pay_multi_inv' then 2 + floor({beta(2, 5, mode + '.invoices', 'm')} * 8)::BIGINT else 1 end AS ni FROM c),
+s AS (SELECT *, case when cat like 'multi_pay%' then 2 + floor({beta(1, 5, mode + '.payments', 'm')} * 3)::BIGINT else 1 end AS np,
+  case when cat like '%multi_inv' then 2 + floor({beta(2, 5, mode + '.invoices', 'm')} * 8)::BIGINT else 1 end AS ni FROM c),
 b AS (SELECT *, (sum(np) OVER (ORDER BY m) - np)::BIGINT AS pb, (sum(ni) OVER (ORDER BY m) - ni)::BIGINT AS ib FROM s)"""
 
 
@@ -725,6 +727,15 @@ SELECT o_orderpriority, printf('%.2f ± %.2f', m, se) AS cell FROM s"""
     q["report_error_categories"] = _error_report()
     q["runs_from_names"] = (f"{s} SELECT doc_id, concat_ws('_', 'exp', model, schema_mode, perturbation_mode) AS name, model, "
                             "schema_mode, perturbation_mode FROM scored")
+    by_set = GROUPS.replace("SELECT model,", "SELECT case when lang = 'en' then 'pay_to_inv' else 'other' end AS dataset, model,", 1).replace(
+        "results AS (SELECT model,", "results AS (SELECT dataset, model,")
+    q["runs_from_files"] = (f"{s}, {by_set} SELECT *, concat_ws('_', 'exp-1', model, schema_mode, perturbation_mode) AS run FROM results")
+    q["report_of_dataset"] = (
+        f"{s}, {by_set}, c AS (SELECT model, {SUMS} FROM results WHERE dataset = 'pay_to_inv' AND schema_mode = 'opaque' AND perturbation_mode = 'multi' "
+        f"AND grouping = 'dirty' AND key <> 'one_pay_one_inv' GROUP BY model) "
+        f"SELECT model, {dec(F1, 'f1_score')}, {dec(P, 'precision')}, {dec(R, 'recall')} FROM c")
+    q["generated_many_to_many"] = (f"WITH {_plan('multi', True)} SELECT m AS match_id, ni AS invoices, np AS payments, true AS adds_up FROM b "
+                                   "WHERE cat = 'multi_pay_multi_inv'")
     q["results_from_maps"] = (f"{s} SELECT model, 'match_category' AS grouping, match_category AS key, {COUNTS} FROM scored "
                               "GROUP BY model, match_category")
     q["dense_ids"] = """SELECT l_orderkey, l_linenumber, sum(l_quantity)::BIGINT AS quantity,

@@ -16,8 +16,7 @@ from reckoner.functions.draws import beta, u01, uint
 from reckoner.operators.ranks import dense_id, running_totals_dense
 from reckoner.schema import (MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATION_MODES, PERTURBATIONS, attributes, check_mode)
 
-# Weights of categories and currencies, countries per currency, phrases of memo lines.
-CATEGORY_WEIGHTS = {ONE_ONE: 0.6, MULTI_PAY: 0.2, MULTI_INV: 0.2}
+# Weights of errors and currencies, countries per currency, phrases of memo lines.
 PERTURBATION_WEIGHTS = {p: 0.25 for p in PERTURBATIONS}
 CURRENCY_WEIGHTS = {
     "USD": 89, "EUR": 31, "JPY": 17, "GBP": 13, "CNY": 7, "AUD": 6, "CAD": 6, "CHF": 5,
@@ -49,13 +48,47 @@ NAME_SECOND = ("Foods", "Freight", "Textiles", "Optics", "Timber", "Robotics", "
 NAME_FORM = ("Inc", "LLC", "Group", "Ltd", "and Sons", "PLC")
 
 
+Size = Callable[["GenConfig", str], Column]
+
+
+def one(cfg: "GenConfig", mode: str) -> Column:
+    return F.lit(1).cast("bigint")
+
+
+def some_payments(cfg: "GenConfig", mode: str) -> Column:
+    return F.lit(2) + F.floor(beta(*cfg.payments_beta, cfg.seed, mode + ".payments", "match_id") * F.lit(cfg.max_num_payments - 2))
+
+
+def some_invoices(cfg: "GenConfig", mode: str) -> Column:
+    return F.lit(2) + F.floor(beta(*cfg.invoices_beta, cfg.seed, mode + ".invoices", "match_id") * F.lit(cfg.max_num_invoices - 2))
+
+
+@dataclass(frozen=True)
+class MatchKind:
+    """A kind of match group: its weight and how many payments (at most ``max_num_payments``) and invoices (``max_num_invoices``) it has, as columns over
+    ``match_id``. Everything else follows from the numbers: the invoices' total is split over the payments, and a memo over several invoices lists them."""
+    weight: float
+    payments: Size = one
+    invoices: Size = one
+
+
+# The kinds of matches by name (weights are fixed values). Pass a larger mapping as ``GenConfig.kinds`` to generate further kinds.
+MATCH_KINDS: dict[str, MatchKind] = {
+    ONE_ONE: MatchKind(0.6),
+    MULTI_PAY: MatchKind(0.2, payments=some_payments),
+    MULTI_INV: MatchKind(0.2, invoices=some_invoices),
+}
+CATEGORY_WEIGHTS = {name: kind.weight for name, kind in MATCH_KINDS.items()}
+
+
+# The defaults of sizes and laws.
 @dataclass(frozen=True)
 class GenConfig:
     """Sizes and laws of a dataset; ``*_beta`` are the (alpha, beta) of Beta laws in whole numbers."""
     seed: int = 0
     num_customers: int = 50
     perturbation_probability: float = 0.75
-    category_weights: Mapping[str, float] = field(default_factory=lambda: dict(CATEGORY_WEIGHTS))
+    kinds: Mapping[str, MatchKind] = field(default_factory=lambda: dict(MATCH_KINDS))
     perturbation_weights: Mapping[str, float] = field(default_factory=lambda: dict(PERTURBATION_WEIGHTS))
     currency_weights: Mapping[str, float] = field(default_factory=lambda: dict(CURRENCY_WEIGHTS))
     max_num_payments: int = 5
@@ -159,7 +192,7 @@ def plan_matches(keys: DataFrame, cfg: GenConfig, mode: str) -> DataFrame:
     """Category, planted errors and group sizes of each ``match_id``."""
     check_mode(mode, PERTURBATION_MODES, "perturbation mode")
     s, key = cfg.seed, "match_id"
-    category = draws.weighted(list(cfg.category_weights), list(cfg.category_weights.values()), u01(s, mode + ".category", key))
+    category = draws.weighted(list(cfg.kinds), [k.weight for k in cfg.kinds.values()], u01(s, mode + ".category", key))
     names, weights = list(cfg.perturbation_weights), list(cfg.perturbation_weights.values())
     if mode == "single":
         errors = F.array(draws.weighted(names, weights, u01(s, "single.error", key)))
@@ -167,19 +200,26 @@ def plan_matches(keys: DataFrame, cfg: GenConfig, mode: str) -> DataFrame:
         size = uint(1, len(names), u01(s, "multi.errors", key))
         errors = draws.weighted_subset(names, weights, size, s, "multi.error", key)
     dirty = u01(s, mode + ".dirty", key) < F.lit(cfg.perturbation_probability)
-    payments = F.lit(2) + F.floor(beta(*cfg.payments_beta, s, mode + ".payments", key) * F.lit(cfg.max_num_payments - 2))
-    invoices = F.lit(2) + F.floor(beta(*cfg.invoices_beta, s, mode + ".invoices", key) * F.lit(cfg.max_num_invoices - 2))
+
+    def size(of: Callable[[MatchKind], Size]) -> Column:
+        """The size column of each row's kind; kinds of one need no branch."""
+        out = F
+        for name, kind in cfg.kinds.items():
+            if of(kind) is not one:
+                out = out.when(F.col("match_category") == name, of(kind)(cfg, mode).cast("bigint"))
+        return one(cfg, mode) if out is F else out.otherwise(one(cfg, mode))
+
     planned = keys.select(key).withColumn("match_category", category)
     return planned.withColumns({
         "perturbation_categories": F.when(dirty, errors).otherwise(F.array().cast("array<string>")),
-        "num_payments": F.when(F.col("match_category") == MULTI_PAY, payments).otherwise(F.lit(1).cast("bigint")),
-        "num_invoices": F.when(F.col("match_category") == MULTI_INV, invoices).otherwise(F.lit(1).cast("bigint")),
+        "num_payments": size(lambda kind: kind.payments),
+        "num_invoices": size(lambda kind: kind.invoices),
     })
 
 
 def effective_perturbations() -> Column:
     """Planted errors that can show: a memo of several invoices has no assignment number."""
-    return F.when(F.col("match_category") == MULTI_INV, F.array_remove(
+    return F.when(F.col("num_invoices") > 1, F.array_remove(
         F.col("perturbation_categories"), "perturbed_assignment_number")).otherwise(F.col("perturbation_categories"))
 
 
@@ -300,7 +340,7 @@ def memo_line(c: Context) -> Column:
     several = F.transform("_ids", lambda x: F.when(broken_b, text.break_identifier(
         x["inv_billing_number"], s, c.mode + ".billing_of", key, x["slot"])).otherwise(x["inv_billing_number"]))
     all_b = text.join_ids(several, F.col("memo_id_template"), F.col("memo_id_separator"))
-    is_multi = F.col("match_category") == MULTI_INV
+    is_multi = F.size("_ids") > 1
     text_b = F.when(is_multi, all_b).otherwise(text_b)
     text_a = F.when(is_multi, F.lit("")).otherwise(text_a)
     noise = F.when(F.col("memo_noise"), F.concat(noise_1, F.lit(" "))).otherwise(F.lit(""))

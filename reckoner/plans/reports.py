@@ -29,6 +29,12 @@ def select_runs(df: DataFrame, **dims: str) -> DataFrame:
     return df
 
 
+def of_runs(df: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of the runs in ``runs``, which has some of the dimensions as columns: an equi join, by which Spark prunes the partitions of a written result table
+    while it runs. Name a run once."""
+    return df.join(runs, [c for c in runs.columns if c in df.columns], "left_semi")
+
+
 def order_models(df: DataFrame, models: Sequence[str] = MODEL_ORDER) -> DataFrame:
     return df.orderBy(F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")))
 

@@ -214,6 +214,36 @@ def runs_from_names(spark, sf):
     return tables.runs_from_names(named)
 
 
+RUNS = [(m, s, p) for m in MODELS for s in ("opaque", "multi-table") for p in ("single", "multi")]
+
+
+def result_files(spark: SparkSession, sf: str) -> str:
+    """A folder with the result files of all runs of two datasets: documents in English, and the others."""
+    base = _folder(spark, "runs")
+    dataset = F.when(F.col("lang") == "en", "pay_to_inv").otherwise("other")
+    results = written_table(evaluate.evaluate(scored(spark, sf).withColumn("dataset", dataset), tables.DIMENSIONS), "results")
+    for name in ("pay_to_inv", "other"):
+        for m, s, p in RUNS:
+            tables.write_run(reports.select_runs(results, dataset=name, model=m, schema_mode=s, perturbation_mode=p), base, name, f"exp-1_{m}_{s}_{p}")
+    return base
+
+
+@query
+def runs_from_files(spark, sf):
+    """Results of all runs found in a folder of result files."""
+    return tables.runs_from_files(spark, result_files(spark, sf))
+
+
+@query
+def report_of_dataset(spark, sf):
+    """Report 2 of one dataset, from result files kept as a table that is partitioned by dataset and run."""
+    path = _folder(spark, "results")
+    tables.write_results(tables.runs_from_files(spark, result_files(spark, sf)), path)
+    results = reports.select_runs(tables.load_results(spark, path), dataset="pay_to_inv")
+    out = reports.report_precision_recall(results)
+    return out.select("model", *[ratio(c).alias(c) for c in ("f1_score", "precision", "recall")])
+
+
 @query
 def results_from_maps(spark, sf):
     """Counts per category written as one JSON map per model, and read back as rows."""
@@ -855,6 +885,23 @@ def generated_matches(spark, sf):
     return m.withColumns(lists)
 
 
+@query
+def generated_many_to_many(spark, sf):
+    """Matches with a fourth kind besides: several payments for several invoices. Every order is the key of a match."""
+    keys = ranks.dense_id(bridge.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "match_id")
+    kinds = {**generate.MATCH_KINDS, "multi_pay_multi_inv": generate.MatchKind(0.25, generate.some_payments, generate.some_invoices)}
+    t = generate.generate(keys, keys.count(), generate.GenConfig(seed=SEED, kinds=kinds), "multi")
+    m = t["matches"].where("match_category = 'multi_pay_multi_inv'")
+    members = lambda c, i: pairs.members(m, c, i)
+    inv = members("invoice_ids", "invoice_id").join(t["invoices"].select("invoice_id", "inv_amount"), "invoice_id").groupBy("match_id").agg(
+        F.count(F.lit(1)).alias("invoices"), F.sum("inv_amount").cast(money.MONEY).alias("invoiced"))
+    clean = ~F.array_contains("perturbation_categories", "small_deduction")
+    pay = members("payment_ids", "payment_id").join(t["payments"].select("payment_id", "pay_amount"), "payment_id").groupBy("match_id").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum("pay_amount").cast(money.MONEY).alias("paid"))
+    return m.select("match_id", clean.alias("in_full")).join(inv, "match_id").join(pay, "match_id").select(
+        "match_id", "invoices", "payments", F.when(F.col("in_full"), F.col("invoiced") == F.col("paid")).otherwise(F.col("paid") < F.col("invoiced")).alias("adds_up"))
+
+
 @query
 def generated_invoices(spark, sf):
     return generated(spark, sf, "single")["invoices"]

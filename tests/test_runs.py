@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reckoner import queries
 from reckoner.operators import audit, decide
-from reckoner.plans import execute
+from reckoner.plans import execute, reports
 from reckoner.sources import tables
 from reckoner.streaming import rowwise
 from tests.plans import up_to_join
@@ -109,6 +109,35 @@ def test_foreign_results_and_reports(spark, tmp_path):
     assert len(list((tmp_path / "report").glob("*.csv"))) == 1
 
 
+def test_runs_are_found_from_files_and_pruned_by_dataset(spark, tmp_path):
+    base = tmp_path / "task"
+    counts = {"TP": 1, "FP": 2, "TN": 3, "FN": 4}
+    for dataset, n in (("pay_to_inv", 2), ("two words", 1)):
+        for i in range(n):
+            folder = base / dataset / "experiments" / f"exp-{i}_m{i}_opaque_multi" / "results"
+            folder.mkdir(parents=True)
+            (folder / "confusion.json").write_text(json.dumps(counts, indent=2))
+            (folder / "clean_confusion_by_match_category.json").write_text(json.dumps({"a": counts, "b": {**counts, "TP": 9}}))
+            (folder / "errors.json").write_text("{}")
+            (folder.parent / "confusion.json").write_text("not a result")
+    found = tables.runs_from_files(spark, str(base))
+    rows = sorted(tuple(r) for r in found.collect())
+    assert len(rows) == 9 and rows[0] == ("pay_to_inv", "m0", "opaque", "multi", "exp-0_m0_opaque_multi", "all", "", 1, 2, 3, 4)
+    assert {r[0] for r in rows} == {"pay_to_inv", "two words"} and ("two words", "m0", "opaque", "multi", "exp-0_m0_opaque_multi", "clean", "b", 9, 2, 3, 4) in rows
+    path = str(tmp_path / "table")
+    tables.write_results(found, path)
+    results = tables.load_results(spark, path)
+    one = reports.select_runs(results, dataset="two words")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in plan and one.count() == 3
+    # runs named by a table: partitions are pruned while the query runs
+    wanted = spark.createDataFrame([("pay_to_inv", "m1", 1), ("two words", "m0", 0)], "dataset string, model string, wanted int")
+    tables.write_report(wanted, str(tmp_path / "wanted"))
+    wanted = spark.read.schema(wanted.schema).option("header", "true").csv(str(tmp_path / "wanted")).where("wanted = 1")
+    some = reports.of_runs(results, wanted.select("dataset", "model"))
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString() and {r.model for r in some.collect()} == {"m1"}
+
+
 def test_requests_and_labels_through_json(spark, tmp_path):
     reqs = requests_frame(spark, [request(1), request(2, limit=None)])
     tables.write_requests(reqs, str(tmp_path / "q"))
