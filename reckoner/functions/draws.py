@@ -165,6 +165,44 @@ def permuted(index: Column, n: int | Column, seed: int) -> Column:
     return ((index.cast("decimal(17,0)") * a + F.lit(seed).cast("decimal(17,0)")) % n).cast("bigint")
 
 
+FEISTEL_ROUNDS, WALK = 6, 64
+
+
+def feistel(index: Column, n: Column | int, seed: int, tag: str, *key: Column | str) -> Column:
+    """A keyed permutation of 0..n-1 without constant steps: a Feistel network over the bits of n, each round of which mixes one half of the number with a keyed digest
+    of the other. A number that leaves 0..n-1 is mixed again until it is back (cycle walking); as at least half of all numbers are below n, WALK steps do but for a
+    chance of 2^-WALK, in which case NULL comes. ``key`` columns give each row a permutation of its own."""
+    n = (n if isinstance(n, Column) else F.lit(n)).cast("bigint")
+    # all bits of n - 1, in two halves: the lower has ``low`` bits, the upper one less or as many
+    bits = F.greatest(F.lit(2), F.ceil(F.log2(n.cast("double"))).cast("int"))
+
+    def mixed(x: Column, b: Column) -> Column:
+        """One pass of all rounds; the halves change places, so that their widths do as well."""
+        def round_(state: Column, r: Column) -> Column:
+            wide = F.when(F.pmod(r, F.lit(2)) == 0, state["a"]).otherwise(state["b"])  # bits of the half that is changed
+            digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), r.cast("string"), state["right"].cast("string"), n.cast("string"),
+                                                          *[col(k).cast("string") for k in key])), 1, 13), 16, 10).cast("bigint")
+            return F.struct(state["right"].alias("left"), F.pmod(state["left"].bitwiseXOR(digest), F.pow(F.lit(2.0), wide).cast("bigint")).alias("right"),
+                            state["a"].alias("a"), state["b"].alias("b"))
+
+        a = F.floor(b / F.lit(2)).cast("int")
+        low = F.pow(F.lit(2.0), b - a).cast("bigint")
+        start = F.struct(F.floor(x / low).cast("bigint").alias("left"), F.pmod(x, low).alias("right"), a.alias("a"), (b - a).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(FEISTEL_ROUNDS - 1)), start, round_,
+                           lambda s: s["left"] * F.pow(F.lit(2.0), s["b"]).cast("bigint") + s["right"])
+
+    def walk(x: Column, step: Column) -> Column:
+        return F.when((step == 0) | (x >= n), mixed(x, bits)).otherwise(x)
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), index.cast("bigint"), walk)
+    return F.when(out < n, out)
+
+
+def sample_ranks(n: int | Column, k: int, seed: int, tag: str, *key: Column | str) -> Column:
+    """k different numbers of 0..n-1 (k at most n) in random order, in time proportional to k: where a keyed permutation of each row sends 0..k-1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: feistel(i, n, seed, tag, *key))
+
+
 def unique_value(rank: Column, n: int | Column, digits: int) -> Column:
     """BIGINT of ``digits`` digits, unique per rank in 0..n-1 and skewed to low values.
 

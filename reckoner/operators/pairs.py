@@ -26,7 +26,8 @@ def indexed_members(long: DataFrame, id_col: str, index: str, every: DataFrame |
     The members of a match take one unbroken range of numbers, so 'not in this match' is a range
     test and never a list. The numbered rows are a written table: later steps read it."""
     rows = long if every is None else every.select(id_col).join(long, id_col, "left").select(*long.columns)
-    return dense_id(rows.withColumn("_free", F.col("match_id").isNull()), ["_free", "match_id", id_col], index).drop("_free")
+    numbered = dense_id(rows.withColumn("_free", F.col("match_id").isNull()), ["_free", "match_id", id_col], index).drop("_free")
+    return written_table(numbered, "members")
 
 
 def member_ranges(indexed: DataFrame, index: str, prefix: str) -> DataFrame:
@@ -64,6 +65,11 @@ class PairPlan:
             matches = matches.where(F.col("pairs_before") < limit)
         # one slim row per match, read by both sides of ``rows``: written instead of computed twice
         self.matches = written_table(matches, "match-ranges")
+        self.limited_invoices, self.limited_payments = self.invoices, self.payments
+        if limit is not None:  # members are numbered in match order: those of the first matches are a prefix of the written numbers, and later files are not read
+            ends = self.matches.agg(F.max(F.col("inv_start") + i), F.max(F.col("pay_start") + p)).first()
+            self.limited_invoices = self.invoices.where(F.col("_inv_index") < F.lit(ends[0] or 0))
+            self.limited_payments = self.payments.where(F.col("_pay_index") < F.lit(ends[1] or 0))
 
     def rows(self, *kinds: str) -> DataFrame:
         """Pairs of the given kinds (all without arguments)."""
@@ -85,15 +91,15 @@ class PairPlan:
         blocks = lambda size: F.explode(F.sequence(F.lit(0), block(F.col(size) - F.lit(1))))
         i, j = F.col("_inv_index") - F.col("inv_start"), F.col("_pay_index") - F.col("pay_start")
         # the side that is one block more often than not carries the columns of the match
-        left = (self.invoices.join(sizes.select("match_id", "inv_start", "pay_size"), "match_id")
+        left = (self.limited_invoices.join(sizes.select("match_id", "inv_start", "pay_size"), "match_id")
                 .select("match_id", "invoice_id", i.alias("_i"), block(i).alias("_tile_i"), blocks("pay_size").alias("_tile_j")))
-        right = (self.payments.join(sizes, "match_id")
+        right = (self.limited_payments.join(sizes, "match_id")
                  .select("match_id", "payment_id", j.alias("_j"), block(j).alias("_tile_j"), "pay_size", "pairs_before", *self.carried, blocks("inv_size").alias("_tile_i")))
         return self._made(left.join(right, ["match_id", "_tile_i", "_tile_j"]), "match", F.col("_i") * (F.col("pay_size") + F.lit(1)) + F.lit(1) + F.col("_j"))
 
     def _by_invoice(self) -> DataFrame:
         n = self.payments.agg(F.count(F.lit(1))).scalar()
-        rows = self.invoices.join(self.matches, "match_id").withColumn("_n", n).where(F.col("pay_size") < F.col("_n"))
+        rows = self.limited_invoices.join(self.matches, "match_id").withColumn("_n", n).where(F.col("pay_size") < F.col("_n"))
         drawn = draw_outside_range(F.col("_n"), F.col("pay_start"), F.col("pay_size"), u01(self.seed, "neg_inv", "invoice_id"))
         slot = (F.col("_inv_index") - F.col("inv_start")) * (F.col("pay_size") + F.lit(1))
         rows = rows.select("match_id", "invoice_id", *self.carried, "pairs_before", slot.alias("_slot"), drawn.cast("bigint").alias("_pay_index"))
@@ -101,7 +107,7 @@ class PairPlan:
 
     def _by_payment(self) -> DataFrame:
         n = self.invoices.agg(F.count(F.lit(1))).scalar()
-        rows = self.payments.join(self.matches, "match_id").withColumn("_n", n).where(F.col("inv_size") < F.col("_n"))
+        rows = self.limited_payments.join(self.matches, "match_id").withColumn("_n", n).where(F.col("inv_size") < F.col("_n"))
         drawn = draw_outside_range(F.col("_n"), F.col("inv_start"), F.col("inv_size"), u01(self.seed, "neg_pay", "payment_id"))
         slot = F.col("inv_size") * (F.col("pay_size") + F.lit(1)) + F.col("_pay_index") - F.col("pay_start")
         rows = rows.select("match_id", "payment_id", *self.carried, "pairs_before", slot.alias("_slot"), drawn.cast("bigint").alias("_inv_index"))

@@ -575,6 +575,18 @@ def _permuted(i: str, n: str, shift: int) -> str:
     return f"((({i}) * {_step(n)}::BIGINT + {SEED + shift} % {n}) % {n})"
 
 
+def _feistel(i: str, n: str, bits: str, tag: str, *keys: str) -> str:
+    """Six rounds, walked until the number is below n. States are lists: left, right."""
+    a, b = f"({bits} // 2)", f"({bits} - {bits} // 2)"
+    cast = "".join(f", ({k})::VARCHAR" for k in keys)
+    digest = f"('0x' || substr(md5(concat_ws('|', '{SEED}', '{tag}', r[1]::VARCHAR, s[2]::VARCHAR, ({n})::VARCHAR{cast})), 1, 13))::BIGINT"
+    wide = f"(case when r[1] % 2 = 0 then {a} else {b} end)"
+    rounds = (f"list_reduce([[v // pow(2, {b})::BIGINT, v % pow(2, {b})::BIGINT], [0], [1], [2], [3], [4], [5]], "
+              f"lambda s, r: [s[2], xor(s[1], {digest}) % pow(2, {wide})::BIGINT])")
+    pass_ = f"(list_transform([{rounds}], lambda e: e[1] * pow(2, {b})::BIGINT + e[2]))[1]"
+    return f"list_reduce(list_prepend(({i})::BIGINT, range(0, 65)), lambda v, t: case when t = 0 or v >= ({n}) then {pass_} else v end)"
+
+
 def _minus_expm1(y: str) -> str:
     """1 - exp(y), by its series where y is small."""
     return (f"(case when abs({y}) < 0.001::DOUBLE then -({y} + {y} * {y} / 2 + {y} * {y} * {y} / 6 + {y} * {y} * {y} * {y} / 24) "
@@ -685,6 +697,34 @@ gpay AS (
   FROM shown)"""
 
 
+def _all_views(due: str) -> str:
+    """Rows and digest sums of every view of both modes of the generated dataset."""
+    def digest(columns: Iterable[str]) -> str:
+        text = ", ".join(f"coalesce(({c})::VARCHAR, '')" for c in columns)
+        return f"('0x' || substr(md5(concat_ws('|', {text})), 1, 13))::BIGINT"
+
+    out = []
+    for mode in ("single", "multi"):
+        inv = dict(zip(_INV_SHOWN, ["'001'", "company", "yr", "doc", "item", "asg", "bill", "cid", "cname", "cur", "land", "amount", "d", due.replace("single.due", f"{mode}.due"), "terms"]))
+        matches = ["m", "cat", "array_to_string(list_sort(e), ',')", "array_to_string(range(ib, ib + ni), ',')", "array_to_string(range(pb, pb + np), ',')"]
+        parts = [(s, t, f"SELECT {digest(c)} AS x FROM {f}") for s in ("descriptive", "opaque") for t, f, c in (
+            ("invoices", "ginv2", ["iid", *[inv[c] for c in _IN_VIEW]]), ("payments", "gpay", ["payment_id", *[f"pay_{c}" for c in _PAY_SHOWN]]))]
+        parts += [(s, "matches", f"SELECT {digest(matches)} AS x FROM b") for s in ("descriptive", "opaque", "multi-table")]
+        heads = []
+        for name, shown, key in (("BKPF", MEMBERS[0], _KEY), ("BSEG", MEMBERS[1], _KEY), ("KNA-1", [*MEMBERS[2], "country_key"], ["client", "customer_id"])):
+            by = ", ".join(inv[c] for c in key)
+            parts.append(("multi-table", f"invoices_{name}", f"SELECT {digest(['iid', *[inv[c] for c in shown], 'n_ids'])} AS x FROM (SELECT *, count(*) OVER (PARTITION BY {by}) AS n_ids, "
+                          f"row_number() OVER (PARTITION BY {by} ORDER BY iid) AS k_rank FROM ginv2) WHERE k_rank = 1"))
+            heads.append(f"min(iid) OVER (PARTITION BY {by})")
+        parts.append(("multi-table", "invoices_links", f"SELECT {digest(['iid', 'h0', 'h1', 'h2'])} AS x FROM (SELECT iid, {', '.join(f'{h} AS h{i}' for i, h in enumerate(heads))} FROM ginv2)"))
+        pay = [f"pay_{c}" for c in _PAY_SHOWN]
+        parts.append(("multi-table", "payments_FEBEP", f"SELECT {digest(['min(payment_id)', *pay, 'count(*)'])} AS x FROM gpay GROUP BY {', '.join(pay)}"))
+        parts.append(("multi-table", "payments_links", f"SELECT {digest(['payment_id', 'h'])} AS x FROM (SELECT payment_id, min(payment_id) OVER (PARTITION BY {', '.join(pay)}) AS h FROM gpay)"))
+        each = " UNION ALL ".join(f"SELECT '{mode}' AS perturbation_mode, '{s}' AS schema_mode, '{t}' AS table_name, count(*) AS rows, sum(x)::VARCHAR AS digest FROM ({q})" for s, t, q in parts)
+        out.append(f"SELECT * FROM (WITH {_generated(mode)} {each})")
+    return " UNION ALL ".join(out)
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     s = f"WITH {SCORED} "
@@ -816,7 +856,14 @@ FROM orders GROUP BY ALL"""
     q["fx_amounts"] = (f"{i} SELECT invoice_id, (inv_amount::DECIMAL(24,6) * ({FX.format('inv_currency_code')}))::DECIMAL(15,2) "
                        "AS converted FROM inv")
     q["unique_numbers"] = _unique()
-    q["sap_numbers"] = f"SELECT o_orderkey, {uint(5, 15, u('digits', 'o_orderkey'))}::INT AS digits FROM orders"
+    y = f"(ln(1.0::DOUBLE - {u('sap', 'o_orderkey')}) / pow(10.0::DOUBLE, digits - 5))"
+    q["sap_numbers"] = (f"SELECT o_orderkey, digits, (pow(10.0::DOUBLE, digits - 1)::BIGINT + floor({_minus_expm1(y)} * (pow(10.0::DOUBLE, digits - 1) - 1))::BIGINT)::VARCHAR AS number "
+                        f"FROM (SELECT o_orderkey, {uint(5, 15, u('digits', 'o_orderkey'))}::INT AS digits FROM orders)")
+    bits = "greatest(2, ceil(log2(n::DOUBLE))::INT)"
+    q["permuted_numbers"] = f"""WITH o AS (SELECT *, {bits} AS bits FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)),
+r AS (SELECT *, {_feistel('i', 'n', 'bits', 'permuted')} AS rank FROM o) SELECT o_orderkey, rank, {_unique_value('rank', 'n', 10)} AS number FROM r"""
+    q["sampled_ranks"] = f"""SELECT c_custkey, array_to_string(list_transform(range(0, 50), lambda j: {_feistel('j', '1000', '10', 'ranks', 'c_custkey')}), ',') AS drawn
+FROM customer"""
     q["sampled_without_replacement"] = _sampled()
     taken = "list_sort(list_distinct([o_custkey, (o_custkey * 7) % 100]))"
     drawn = skip(below(f"(SELECT count(*) FROM customer) - len({taken})", u("outside", "o_orderkey")), taken)
@@ -917,6 +964,23 @@ FROM ginv2"""
                          f"yr::INT AS \"GJAHR\", " + ", ".join(f'{k} AS "{v}"' for k, v in renamed.items())
                          + f', {due} AS "ZFBDT" FROM ginv2')
     q["generated_payments"] = f"WITH {_generated('multi')} SELECT * FROM gpay"
+    given = _generated("single").replace("ginv2 AS (", "ginv1 AS (SELECT g.* REPLACE (case when ni = 1 then o.amount else g.amount end AS amount, case when ni = 1 then o.day else d0 end AS d0, "
+                                         "case when ni = 1 then year(o.day) else yr end AS yr) FROM ginv g JOIN (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS m, "
+                                         "o_totalprice::DECIMAL(15,2) AS amount, o_orderdate::DATE AS day FROM orders) o USING (m)),\nginv2 AS (", 1).replace("AS bill FROM ginv)", "AS bill FROM ginv1)", 1)
+    given = given.replace("case when month(d0) = 2 and day(d0) = 29 then d0 - 1 else d0 end", "case when ni > 1 and month(d0) = 2 and day(d0) = 29 then d0 - 1 else d0 end")
+    q["generated_from_orders"] = f"""WITH {given} SELECT iid AS invoice_id, yr::INT AS inv_fiscal_year, amount AS inv_amount, cur AS inv_currency_code, d AS inv_document_date,
+  {due} AS inv_due_date FROM ginv2"""
+    q["generated_payments_of_orders"] = f"""WITH {given} SELECT m AS match_id, count(*) AS payments, sum(pay_amount)::DECIMAL(15,2) AS paid, max(pay_posting_date) AS last_date
+FROM gpay JOIN split ON pid = payment_id GROUP BY m"""
+    q["schema_views_all"] = _all_views(due)
+    q["csv_round_trip_matches"] = f"""WITH {_plan('multi')} SELECT m AS match_id, cat AS match_category, array_to_string(list_sort(e), ',') AS perturbation_categories,
+  array_to_string(range(ib, ib + ni), ',') AS invoice_ids, array_to_string(range(pb, pb + np), ',') AS payment_ids FROM b"""
+    q["report_file"] = (f"SELECT *, (list_position({MODELS}, model) - 1)::BIGINT AS line FROM ({q['report_precision_recall']})")
+    q["both_modes"] = " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_plan(mode)} SELECT '{mode}' AS perturbation_mode, cat AS match_category, len(e)::INT AS errors, count(*) AS n FROM b GROUP BY cat, len(e))"
+        for mode in ("single", "multi"))
+    pay_shown = ", ".join(f'pay_{c} AS "{n}"' for c, n in PAY_OPAQUE.items())
+    q["shown_rows"] = f"{m}, {PAYMENTS} SELECT {pay_shown}, count(*) AS n FROM pay GROUP BY ALL"
     q["csv_round_trip"] = q["view_descriptive"]
     q["csv_round_trip_documents"] = "SELECT doc_id, text, lang FROM documents"
     q["json_round_trip"] = f"""WITH {RESPONSES} SELECT pair_id, model, response_text,

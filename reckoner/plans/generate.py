@@ -15,6 +15,7 @@ from reckoner.functions import draws, money, text
 from reckoner.functions.draws import beta, u01, uint
 from reckoner.operators.ranks import dense_id, running_totals_dense
 from reckoner.schema import (MULTI_INV, MULTI_PAY, ONE_ONE, PERTURBATION_MODES, PERTURBATIONS, attributes, check_mode)
+from reckoner.session import written_table
 
 # Weights of errors and currencies, countries per currency, phrases of memo lines.
 PERTURBATION_WEIGHTS = {p: 0.25 for p in PERTURBATIONS}
@@ -209,7 +210,7 @@ def plan_matches(keys: DataFrame, cfg: GenConfig, mode: str) -> DataFrame:
                 out = out.when(F.col("match_category") == name, of(kind)(cfg, mode).cast("bigint"))
         return one(cfg, mode) if out is F else out.otherwise(one(cfg, mode))
 
-    planned = keys.select(key).withColumn("match_category", category)
+    planned = keys.withColumn("match_category", category)
     return planned.withColumns({
         "perturbation_categories": F.when(dirty, errors).otherwise(F.array().cast("array<string>")),
         "num_payments": size(lambda kind: kind.payments),
@@ -281,6 +282,19 @@ INVOICE_FILLERS: list[Filler] = [
 ]
 
 
+# Fillers for keys that come with an invoice of their own (columns given_amount, given_date): where a match has one invoice, it has that amount and date, whatever
+# the number of its payments; the invoices of a larger match follow the laws.
+def _given(name: str, given: Callable[[], Column]) -> Filler:
+    law = dict(INVOICE_FILLERS)[name]
+    return name, lambda c: F.when((F.col("num_invoices") == 1) & given().isNotNull(), given()).otherwise(law(c))
+
+
+GIVEN_FILLERS: list[Filler] = [
+    _given(name, {"inv_fiscal_year": lambda: F.year("given_date"), "inv_amount": lambda: F.col("given_amount").cast(money.MONEY),
+                  "inv_document_date": lambda: money.format_day(F.to_date("given_date"))}[name])
+    if name in ("inv_fiscal_year", "inv_amount", "inv_document_date") else (name, build) for name, build in INVOICE_FILLERS]
+
+
 def fill(df: DataFrame, fillers: Sequence[Filler], context: Context) -> DataFrame:
     for name, build in fillers:
         df = df.withColumn(name, build(context))
@@ -412,6 +426,11 @@ def generate(keys: DataFrame, n: int, cfg: GenConfig, mode: str, names: DataFram
     }
 
 
+def written(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The base tables of a mode, written once: views and reports read them, the dataset is not computed again for each."""
+    return {name: written_table(df, f"generated-{name}") for name, df in tables.items()}
+
+
 def generate_dataset(spark: SparkSession, n: int, cfg: GenConfig = GenConfig(),
                      names: DataFrame | None = None) -> dict[str, DataFrame]:
     """Both perturbation modes in one table each, with the mode as a column; customers are shared."""

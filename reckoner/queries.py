@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -535,7 +535,8 @@ def unique_numbers(spark, sf):
 def sap_numbers(spark, sf):
     o = bridge.table(spark, sf, "orders")
     digits = draws.uint(5, 15, u01(SEED, "digits", "o_orderkey"))
-    return o.select("o_orderkey", F.length(draws.sap_number(digits, u01(SEED, "sap", "o_orderkey"))).alias("digits"))
+    number = draws.sap_number(digits, u01(SEED, "sap", "o_orderkey"))
+    return o.select("o_orderkey", F.length(number).alias("digits"), number.alias("number"))
 
 
 @query
@@ -546,6 +547,22 @@ def sampled_without_replacement(spark, sf):
         draws.sample_k(97, 5, own, SEED, "sample", "o_orderkey"), ",").alias("drawn"))
 
 
+@query
+def permuted_numbers(spark, sf):
+    """A unique number per order whose steps from one order to the next follow no rule."""
+    o = ranks.dense_id(bridge.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "index")
+    n = o.agg(F.count(F.lit(1))).scalar()
+    return o.withColumn("n", n).withColumn("rank", draws.feistel(F.col("index"), F.col("n"), SEED, "permuted")).select(
+        "o_orderkey", "rank", draws.unique_value(F.col("rank"), F.col("n"), 10).alias("number"))
+
+
+@query
+def sampled_ranks(spark, sf):
+    """Fifty different numbers below a thousand per customer, each customer by a permutation of its own."""
+    c = bridge.table(spark, sf, "customer")
+    return c.select("c_custkey", F.array_join(draws.sample_ranks(1000, 50, SEED, "ranks", "c_custkey"), ",").alias("drawn"))
+
+
 @query
 def shuffled_lists(spark, sf):
     o = bridge.table(spark, sf, "orders")
@@ -915,10 +932,51 @@ def generated_payments(spark, sf):
 @query
 def schema_views(spark, sf):
     """Opaque invoices of the generated dataset, out of all its views."""
-    t = generated(spark, sf, "single")
+    t = generate.written(generated(spark, sf, "single"))
     return views.schema_views(t["invoices"], t["payments"], t["matches"])["opaque", "invoices"]
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A number per row from all its columns as text, in their order."""
+    shown = [F.coalesce(F.array_join(F.col(f"`{f.name}`").cast("array<string>"), ",") if f.dataType.typeName() == "array" else F.col(f"`{f.name}`").cast("string"), F.lit(""))
+             for f in df.schema.fields]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *shown)), 1, 13), 16, 10).cast("bigint")
+
+
+@query
+def schema_views_all(spark, sf):
+    """Every view of both perturbation modes: its rows, and the sum of their digests. The base tables of a mode are written once."""
+    out = []
+    for mode in ("single", "multi"):
+        t = generate.written(generated(spark, sf, mode))
+        for (schema, name), df in views.schema_views(t["invoices"], t["payments"], t["matches"].withColumn(
+                "perturbation_categories", F.sort_array("perturbation_categories"))).items():
+            out.append(df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_digest(df).cast("decimal(38,0)")).alias("digest")).select(
+                F.lit(mode).alias("perturbation_mode"), F.lit(schema).alias("schema_mode"), F.lit(name).alias("table_name"), "rows", F.col("digest").cast("string").alias("digest")))
+    return reduce(DataFrame.union, out)
+
+
+def given_orders(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """A dataset whose matches of one invoice have the amounts and dates of the orders."""
+    o = bridge.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("given_amount"), F.to_date("o_orderdate").alias("given_date"))
+    keys = ranks.dense_id(o, ["o_orderkey"], "match_id")
+    return generate.generate(keys, keys.count(), generate.GenConfig(seed=SEED), "single", invoice_fillers=generate.GIVEN_FILLERS)
+
+
+@query
+def generated_from_orders(spark, sf):
+    """Invoices of a dataset made from the given orders."""
+    return given_orders(spark, sf)["invoices"].select("invoice_id", "inv_fiscal_year", "inv_amount", "inv_currency_code", "inv_document_date", "inv_due_date")
+
+
+@query
+def generated_payments_of_orders(spark, sf):
+    """What the payments of each match made from the given orders add up to."""
+    t = given_orders(spark, sf)
+    paid = pairs.members(t["matches"], "payment_ids", "payment_id").join(t["payments"].select("payment_id", "pay_amount", "pay_posting_date"), "payment_id")
+    return paid.groupBy("match_id").agg(F.count(F.lit(1)).alias("payments"), F.sum("pay_amount").cast(money.MONEY).alias("paid"), F.max("pay_posting_date").alias("last_date"))
+
+
 # ---------------------------------------------------------------- files
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -939,6 +997,41 @@ def csv_round_trip(spark, sf):
     return tables.read_tables(spark, base, "multi", "descriptive", "csv")["invoices"]
 
 
+@query
+def csv_round_trip_matches(spark, sf):
+    """Matches of the generated dataset with their id lists and errors, through CSV and back."""
+    t = generated(spark, sf, "multi")
+    base = _folder(spark, "csv")
+    tables.write_views({("opaque", "invoices"): views.single_table_view(t["invoices"], "invoice", "opaque"), ("opaque", "payments"): views.single_table_view(t["payments"], "payment", "opaque"),
+                        ("opaque", "matches"): views.match_view(t["matches"].withColumn("perturbation_categories", F.sort_array("perturbation_categories")))}, base, "multi", "csv")
+    back = tables.read_tables(spark, base, "multi", "opaque", "csv")["matches"]
+    return back.select("match_id", "match_category", *[F.array_join(c, ",").alias(c) for c in ("perturbation_categories", "invoice_ids", "payment_ids")])
+
+
+@query
+def report_file(spark, sf):
+    """Report 2 as one CSV file, read back: models in their order as line numbers."""
+    path = _folder(spark, "report")
+    tables.write_report(reports.report_precision_recall(evaluate.evaluate(scored(spark, sf))).select(
+        "model", *[ratio(c).alias(c) for c in ("f1_score", "precision", "recall")]), path)
+    back = spark.read.option("header", "true").schema("model string, f1_score decimal(18,10), precision decimal(18,10), recall decimal(18,10)").csv(path)
+    return back.withColumn("line", F.monotonically_increasing_id())  # one file: its lines in order
+
+
+@query
+def both_modes(spark, sf):
+    """Matches of both perturbation modes in one table, by mode, category and number of errors."""
+    both = [generated(spark, sf, mode)["matches"].withColumn("perturbation_mode", F.lit(mode)) for mode in ("single", "multi")]
+    return both[0].unionByName(both[1]).groupBy("perturbation_mode", "match_category", F.size("perturbation_categories").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def shown_rows(spark, sf):
+    """Payments as the opaque view shows them, without their ids, and how often each row occurs."""
+    shown = views.strip_ids(views.single_table_view(bridge.matching(spark, sf).payments, "payment", "opaque"), "payment")
+    return shown.groupBy(*shown.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def csv_round_trip_documents(spark, sf):
     """Whole texts with quotes and line breaks through CSV."""

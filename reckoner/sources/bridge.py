@@ -94,7 +94,7 @@ def payment_members(spark: SparkSession, sf_dir: str, owners: DataFrame) -> Data
     advices = (owners.where("by_advice").select("match_id").distinct()
                .select("match_id", F.lit(0).cast("bigint").alias("line"), F.lit(1).cast("decimal(25,2)").alias("weight")))
     numbered = dense_id(per_line.unionByName(advices), ["match_id", "line"], "_pay_index")
-    return numbered.select("match_id", F.col("_pay_index").alias("payment_id"), "line", "weight", "_pay_index")
+    return written_table(numbered.select("match_id", F.col("_pay_index").alias("payment_id"), "line", "weight", "_pay_index"), "members")
 
 
 @dataclass(frozen=True)
@@ -146,8 +146,9 @@ def match_info(inv: DataFrame, inv_members: DataFrame, pay_members: DataFrame) -
 
 def payments(info: DataFrame, pay_members: DataFrame) -> DataFrame:
     """Payment rows: split totals, planted errors, a memo line, a posting date."""
-    m = split_group_total(
-        pay_members.join(info, "match_id"), "match_id", "total_amount", "weight", "payment_id", "part_amount")
+    totals = pay_members.select("match_id", "payment_id", "weight").join(info.select("match_id", "total_amount"), "match_id")
+    split = split_group_total(totals, "match_id", "total_amount", "weight", "payment_id", "part_amount")
+    m = split.select("match_id", "payment_id", "part_amount").join(info.drop("total_amount"), "match_id")  # texts last
     has = lambda e: F.array_contains("perturbation_categories", e)
     billing = F.when(has("perturbed_billing_number"), break_identifier(
         F.col("inv_billing_number"), SEED, "bill", "payment_id")).otherwise(F.col("inv_billing_number"))

@@ -106,6 +106,37 @@ def test_names_listed_by_the_user_and_added_columns(spark):
         generate.customers_dim(spark, generate.GenConfig(num_customers=41), names)
 
 
+def test_given_invoices_keep_their_amounts_and_dates(spark):
+    keys = spark.range(400).select(F.col("id").alias("match_id"), (F.col("id") * 3 + 7).cast("decimal(15,2)").alias("given_amount"),
+                                   F.when(F.col("id") % 5 != 0, F.date_add(F.lit("2011-02-20").cast("date"), F.col("id").cast("int"))).alias("given_date"))
+    t = generate.generate(keys, 400, generate.GenConfig(seed=3), "single", invoice_fillers=generate.GIVEN_FILLERS)
+    plain = {r.invoice_id: r for r in generate.generate(keys.select("match_id"), 400, generate.GenConfig(seed=3), "single")["invoices"].collect()}
+    inv = {r.invoice_id: r for r in t["invoices"].collect()}
+    given = {r.match_id: r for r in keys.collect()}
+    several = 0
+    for m in t["matches"].collect():
+        for i in m.invoice_ids:
+            if len(m.invoice_ids) > 1:
+                several += 1
+                assert inv[i] == plain[i]
+            else:
+                g = given[m.match_id]
+                assert inv[i].inv_amount == g.given_amount
+                assert inv[i].inv_document_date == (g.given_date.strftime("%Y%m%d") if g.given_date else plain[i].inv_document_date)
+                assert inv[i].inv_due_date >= inv[i].inv_document_date
+    assert several > 50
+
+
+def test_a_kind_that_the_user_adds(spark):
+    kinds = {"many": generate.MatchKind(1.0, generate.some_payments, lambda cfg, mode: F.lit(4).cast("bigint"))}
+    t = generate.generate(spark.range(60).withColumnRenamed("id", "match_id"), 60, generate.GenConfig(seed=3, kinds=kinds, perturbation_probability=0.0), "multi")
+    inv, pay = {r.invoice_id: r for r in t["invoices"].collect()}, {r.payment_id: r for r in t["payments"].collect()}
+    for m in t["matches"].collect():
+        assert m.match_category == "many" and len(m.invoice_ids) == 4 and 2 <= len(m.payment_ids) <= 4
+        assert sum(inv[i].inv_amount for i in m.invoice_ids) == sum(pay[p].pay_amount for p in m.payment_ids)
+        assert all(inv[i].inv_billing_number in pay[p].pay_memo_line for i in m.invoice_ids for p in m.payment_ids)
+
+
 def test_views_through_files(spark, data, tmp_path):
     made = views.schema_views(*(data["multi"][t] for t in ("invoices", "payments", "matches")))
     for fmt in ("csv", "parquet"):

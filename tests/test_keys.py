@@ -43,6 +43,27 @@ def test_permutation_is_one_and_no_shift(spark, n):
             assert not any(abs(a - b) == 1 for a, b in zip(out, out[1:]))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 513, 1000, 20_000])
+def test_keyed_permutation_has_no_constant_step(spark, n):
+    out = [r.p for r in spark.range(n).select("id", draws.feistel(F.col("id"), n, 9, "t").alias("p")).orderBy("id").collect()]
+    assert sorted(out) == list(range(n))
+    if n >= 513:
+        steps = {(b - a) % n for a, b in zip(out, out[1:])}
+        assert len(steps) > 0.5 * n  # the steps of a random permutation: about 63 % of all numbers
+        assert sum(a == i for i, a in enumerate(out)) < 8
+    by_column = [r.p for r in spark.range(n).select("id", draws.feistel(F.col("id"), F.lit(n), 9, "t").alias("p")).orderBy("id").collect()]
+    assert by_column == out
+
+
+def test_samples_by_permutation_are_different_numbers_and_all_equally_likely(spark):
+    rows = [r.s for r in spark.range(4000).select(draws.sample_ranks(40, 10, 3, "s", "id").alias("s")).collect()]
+    assert all(len(set(s)) == 10 and min(s) >= 0 and max(s) < 40 for s in rows)
+    for at in (0, 9):
+        seen = [sum(s[at] == v for s in rows) for v in range(40)]
+        assert sum((x - 100) ** 2 / 100 for x in seen) < 39 + 4.5 * math.sqrt(78) + 6
+    assert sorted(spark.range(1).select(draws.sample_ranks(7, 7, 3, "s", "id").alias("s")).first().s) == list(range(7))
+
+
 @pytest.mark.parametrize("n,p", [(1, 0.3), (16, 0.5), (17, 0.5), (40, 0.9), (300, 0.01), (5000, 0.4), (9, 0.0), (30, 1.0), (0, 0.5)])
 def test_binomial_draws_follow_their_law(spark, n, p):
     rows = 6000

@@ -63,6 +63,14 @@ def test_limit_ends_between_matches(spark):
     assert {tuple(r) for r in limited} <= {tuple(r) for r in rows}
 
 
+def test_a_limit_reads_a_prefix_of_the_members(spark):
+    info, inv_m, pay_m, *_ = match_fixture(spark)
+    im, pm = pairs.indexed_members(inv_m, "invoice_id", "_inv_index"), pairs.indexed_members(pay_m, "payment_id", "_pay_index")
+    plan = pairs.PairPlan(info, im, pm, 3, limit=30).rows("match")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(_inv_index," in plan and "LessThan(_pay_index," in plan
+    assert "LessThan(_inv_index," not in pairs.PairPlan(info, im, pm, 3).rows("match")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_match_with_every_payment_has_no_negative_for_it(spark):
     info = spark.createDataFrame([(1, "c")], "match_id bigint, match_category string")
     inv = spark.createDataFrame([(1, 5)], "match_id bigint, invoice_id bigint")
