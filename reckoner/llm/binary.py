@@ -21,7 +21,8 @@ from reckoner.llm import tokens
 from reckoner.llm.common import partitions, written_table
 
 END_ID = 0
-MAX_BITS = 20  # longest code; a decoder's table has 2^20 entries
+MAX_BITS = 18  # longest code; a decoder's table has 2^18 entries, small enough for a core's cache
+SOME = 65_536  # ids that are encoded at once
 BLOCK = 512  # ids from one checkpoint to the next
 SEGMENT = 1_000_000  # ids after which a segment is closed (at the end of a document)
 SEGMENTS = ("part int, segment long, doc_ids array<long>, n_tokens array<long>, n long, "
@@ -80,20 +81,22 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit stream, and the bit offset of every block."""
-        bits, codes = self.bits[ids], self.codes[ids]
-        ends = np.cumsum(bits, dtype="uint64")
-        starts = ends - bits
+        sizes = self.bits[ids]
+        ends = np.cumsum(sizes, dtype="uint64")
         if not len(ids):
             return b"", np.zeros(0, dtype="int64")
-        word, last = (starts >> np.uint64(6)).astype("int64"), (starts & np.uint64(63)) + bits
-        fits = last <= 64
-        part = np.where(fits, codes << (np.uint64(64) - np.minimum(last, 64)), codes >> (np.maximum(last, 64) - np.uint64(64)))
-        first = np.flatnonzero(np.diff(word, prepend=-1))
         stream = np.zeros(int(ends[-1] >> np.uint64(6)) + 2, dtype="uint64")
-        stream[word[first]] = np.bitwise_or.reduceat(part, first)
-        over = np.flatnonzero(~fits)
-        stream[word[over] + 1] |= codes[over] << (np.uint64(128) - last[over])
-        return stream.astype(">u8").tobytes()[:(int(ends[-1]) + 7) // 8], starts[::BLOCK].astype("int64")
+        for at in range(0, len(ids), SOME):  # in pieces that stay in the cache
+            bits, codes = sizes[at:at + SOME], self.codes[ids[at:at + SOME]]
+            starts = ends[at:at + SOME] - bits
+            word, last = (starts >> np.uint64(6)).astype("int64"), (starts & np.uint64(63)) + bits
+            fits = last <= 64
+            part = np.where(fits, codes << (np.uint64(64) - np.minimum(last, 64)), codes >> (np.maximum(last, 64) - np.uint64(64)))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            stream[word[first]] |= np.bitwise_or.reduceat(part, first)
+            over = np.flatnonzero(~fits)
+            stream[word[over] + 1] |= codes[over] << (np.uint64(128) - last[over])
+        return stream.astype(">u8").tobytes()[:(int(ends[-1]) + 7) // 8], (ends - sizes)[::BLOCK].astype("int64")
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """``n`` ids: all blocks step through the table side by side."""
@@ -108,7 +111,7 @@ class Code:
             now = at[live]
             if not len(now):
                 break
-            shift = (32 - self.top - (now & 7)).astype("uint64")  # top <= 20, so 32 bits hold any code
+            shift = (32 - self.top - (now & 7)).astype("uint64")  # top <= 24, so 32 bits hold any code
             code = ((window[now >> 3] >> shift) & mask).astype("int64")
             out[i, live] = self.symbol[code]
             at[live] += self.used[code]
@@ -117,7 +120,7 @@ class Code:
 
 def token_table(docs: DataFrame, path: str, units: str) -> DataFrame:
     """Ids of all documents with the end id, written in ascending order of (doc_id, text): (part, row, doc_id, ids), NULL doc_id first, NULL text
-    empty. Texts are range-partitioned by doc_id before they are encoded once; ids that fit take two bytes."""
+    empty. Texts are range-partitioned by doc_id (and the first characters, so that rows of one id need not share a task) before they are encoded once; ids that fit take two bytes."""
     def ids_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokens.encoder(path, units).encode
         for frame in frames:
@@ -130,7 +133,8 @@ def token_table(docs: DataFrame, path: str, units: str) -> DataFrame:
 
     spark = docs.sparkSession
     ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-               .repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+               .withColumn("head", F.substring("text", 1, 16))
+               .repartitionByRange(partitions(spark), "doc_id", "head").sortWithinPartitions("doc_id", "text")
                .withColumn("at", F.monotonically_increasing_id())
                .select(F.shiftright("at", 33).cast("int").alias("part"),
                        F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("row"), "doc_id", "text"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reckoner.llm import binary, cover, html, licenses, lines, merkle, mixing, packing, perplexity, simhash, spots, toxicity, vectors
 from reckoner.llm.common import on_workers, table
-from reckoner.session import shared_folder
+from reckoner.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,7 +38,7 @@ def op3_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op10_token_binary(spark: SparkSession, sf: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/reckoner/binary-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "binary")
     binary.write(table(spark, sf, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), "spaces")
     return binary.read(spark, folder)
 

@@ -185,7 +185,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     slim = written_table(docs.select(*own, fp(text).alias("fp")), "fingerprints")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")
     rows = slim.groupBy("fp", "_id", "_digest").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.join(rooted(slim, radius, bucket), "fp").groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"))
+    per_fp = rows.groupBy("fp").agg(F.min(F.struct(order.alias("o"), "n")).alias("first"))  # many copies of a text are one row from here on
+    first = per_fp.join(rooted(slim, radius, bucket), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = written_table(first.select(F.col("first.o._id").alias("_kept"), F.col("first.o._digest").alias("_of"), "first.n"), "kept-documents")
     whole = docs.select(whole_row(docs), *own)
     found = whole.join(kept, whole["_id"].eqNullSafe(kept["_kept"]) & (whole["_digest"] == kept["_of"]))

@@ -13,52 +13,44 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_BYTES = 100_000_000  # about so much a worker keeps of the units it has met; others are encoded anew in each batch
+KEPT_BYTES = 80_000_000  # about so much a worker keeps of the units it has met; others are encoded anew in each batch
 UNIT_BYTES = 150  # of a kept unit besides its ids: text, entry, numbers
 #: Characters that Python counts as white space and Unicode's White_Space property does not (fixed value).
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: A stop or comma that belongs to the characters before it.
-JOINED, MARK = re.compile(r"(?<![^\W_])[.,]"), "\x1f"
-JOINED_OR_RUN = re.compile(r"\s\s|(?<![^\W_])[.,]")
+MARK = "\x1f"
 RUNS = re.compile(r"\s*\S+|\s+").findall
-#: Bytes that decide without a look at the characters: stops and commas, ASCII letters and digits, ASCII white space (fixed values).
-STOPS, WORD, BLANK = (np.isin(np.arange(256), list(x)) for x in (
-    b".,", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"\t\n\v\f\r "))
-#: How the white space beyond ASCII begins or reads in UTF-8 (fixed values).
-WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _OPEN: dict[tuple[str, str], Encoder] = {}
 
 
+@cache
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: is it a letter or digit, is it white space (as the patterns above have it)?"""
+    every = [chr(c) for c in range(0x110000)]
+    return np.fromiter(map(str.isalnum, every), dtype=bool, count=len(every)), np.fromiter(map(str.isspace, every), dtype=bool, count=len(every))
+
+
 def irregular(texts: Sequence[str], runs: bool) -> np.ndarray:
-    """Which texts hold a stop or comma that does not follow a letter or digit, or (``runs``) white space after white space. Bytes decide for most texts; those with
-    other characters in such places are searched by pattern."""
-    raw = [x.encode() for x in texts]
-    data = np.frombuffer(b"a" + b"a".join(raw), dtype="uint8")
-    ends = np.cumsum([len(x) + 1 for x in raw])
-    before, here = data[:-1], data[1:]
-    first = np.zeros(len(data), dtype=bool)  # texts begin after the letter that parts them
+    """Which texts hold a stop or comma that does not follow a letter or digit, or (``runs``) white space after white space."""
+    word, space = kinds()
+    points = np.frombuffer(("a" + "\0".join(texts)).encode("utf-32-le"), dtype="<u4")
+    ends = np.cumsum([len(x) + 1 for x in texts])  # a text ends before the NUL that parts it from the next one
     starts = np.concatenate([[0], ends[:-1]]) + 1
-    first[starts[starts < len(data)]] = True
-    stop = STOPS[here]
-    bad = stop & (first[1:] | ~WORD[before] & (before < 128))
-    unsure = stop & (before >= 128)
+    stops = np.flatnonzero((points == 46) | (points == 44))
+    bad = stops[~word[points[stops - 1]]]  # the NUL before a text is neither, the letter before the first one is
+    if len(texts) and texts[0][:1] in (".", ","):
+        bad = np.append(bad, 1)
     if runs:
-        bad |= BLANK[before] & BLANK[here] & ~first[1:]
-    owner = lambda hits: np.unique(np.searchsorted(ends, np.flatnonzero(hits) + 1, side="left")) if hits.any() else np.zeros(0, dtype="int64")
+        blank = space[points]
+        bad = np.concatenate([bad, np.flatnonzero(blank[1:] & blank[:-1]) + 1])
     out = np.zeros(len(texts), dtype=bool)
-    out[owner(bad)] = True
-    look = set(owner(unsure).tolist())
-    if runs:
-        look.update(i for i, x in enumerate(raw) if any(w in x for w in WIDE_SPACE))
-    pattern = JOINED_OR_RUN if runs else JOINED
-    for i in look:
-        out[i] = out[i] or pattern.search(texts[i]) is not None
+    out[np.searchsorted(starts, bad, side="right") - 1] = True
     return out
 
 
@@ -153,6 +145,8 @@ class Encoder:
         raw = memoryview(pool[at].tobytes())
         units_until = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype("int64")
         cuts = (4 * np.concatenate([[0], until])[units_until]).tolist()
+        del cut, coded
+        pa.default_memory_pool().release_unused()  # a worker lives on; what a batch took goes back
         return [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
@@ -163,7 +157,7 @@ def encoder(path: str, units: str) -> Encoder:
     return _OPEN[path, units]
 
 
-def batches(texts: Sequence[str | None], chars: int = 8_000_000):
+def batches(texts: Sequence[str | None], chars: int = 4_000_000):
     """Slices of ``texts`` with about ``chars`` characters, so that memory follows the longest text."""
     start = size = 0
     for i, x in enumerate(texts):
