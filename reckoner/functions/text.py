@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from reckoner.functions.draws import below, col, exp_drop_length, u01, uint
 
+# Fixed value: how a template writes a variable.
 VARIABLE = r"\{\{([^{}]+)\}\}"
 
 # Legal forms that a broken company name may lose.
