@@ -23,6 +23,7 @@ from reckoner.llm.common import partitions, written_table
 END_ID = 0
 MAX_BITS = 18  # longest code; a decoder's table has 2^18 entries, small enough for a core's cache
 SOME = 65_536  # ids that are encoded at once
+KEPT_BYTES = 140_000_000  # of the units whose ids a worker keeps
 BLOCK = 512  # ids from one checkpoint to the next
 SEGMENT = 1_000_000  # ids after which a segment is closed (at the end of a document)
 SEGMENTS = ("part int, segment long, doc_ids array<long>, n_tokens array<long>, n long, "
@@ -120,16 +121,21 @@ class Code:
 
 def token_table(docs: DataFrame, path: str, units: str) -> DataFrame:
     """Ids of all documents with the end id, written in ascending order of (doc_id, text): (part, row, doc_id, ids), NULL doc_id first, NULL text
-    empty. Texts are range-partitioned by doc_id (and the first characters, so that rows of one id need not share a task) before they are encoded once; ids that fit take two bytes."""
+    empty; rows with part -1 hold the counts of all ids that a task has met. Texts are range-partitioned by doc_id (and the first characters, so that rows of one id need not share a task) before they are encoded once; ids that fit take two bytes."""
     def ids_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(path, units).encode
+        encode, total = tokens.encoder(path, units, KEPT_BYTES).encode, np.zeros(0, dtype="int64")
         for frame in frames:
             texts = frame["text"].tolist()
             for low, high in tokens.batches(texts):
                 ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(END_ID)) for x in encode(texts[low:high])]
+                some = np.bincount(np.concatenate(ids), minlength=len(total))
+                some[:len(total)] += total
+                total = some
                 wide = [bool(x.max() > 0xFFFF) for x in ids]
                 yield frame.iloc[low:high].drop(columns="text").assign(
-                    wide=wide, ids=[x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide)])
+                    wide=wide, ids=[x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide)], counts=None)
+        if len(total):  # what the task has met, in a row of its own
+            yield pd.DataFrame({"part": [-1], "row": [0], "doc_id": [None], "wide": [False], "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
     spark = docs.sparkSession
     ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -138,7 +144,7 @@ def token_table(docs: DataFrame, path: str, units: str) -> DataFrame:
                .withColumn("at", F.monotonically_increasing_id())
                .select(F.shiftright("at", 33).cast("int").alias("part"),
                        F.col("at").bitwiseAND(F.lit(2**33 - 1)).alias("row"), "doc_id", "text"))
-    return written_table(ordered.mapInPandas(ids_of, "part int, row long, doc_id long, wide boolean, ids binary"), "token-ids", "zstd")
+    return written_table(ordered.mapInPandas(ids_of, "part int, row long, doc_id long, wide boolean, ids binary, counts binary"), "token-ids", "zstd")
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
@@ -146,18 +152,15 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 
 
 def id_counts(token_ids: DataFrame) -> DataFrame:
-    """(id, n) over all documents. A task sends a row per id it has met."""
+    """(id, n) over all documents, from the counts that each task has written."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, dtype="int64")
         for frame in frames:
-            for wide in (False, True):
-                some = np.bincount(_ids(b"".join(frame["ids"][frame["wide"] == wide]), wide), minlength=len(total))
-                some[:len(total)] += total
-                total = some
-        found = np.flatnonzero(total)
-        yield pd.DataFrame({"id": found, "n": total[found]})
+            for raw in frame["counts"]:
+                total = np.frombuffer(raw, dtype="<i8")
+                found = np.flatnonzero(total)
+                yield pd.DataFrame({"id": found, "n": total[found]})
 
-    return token_ids.select("wide", "ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return token_ids.where("part < 0").select("counts").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, folder: str, path: str, units: str) -> None:
@@ -185,7 +188,7 @@ def write(docs: DataFrame, folder: str, path: str, units: str) -> None:
         if held:
             yield segment(code, *first, held)
 
-    token_ids.mapInPandas(segments, SEGMENTS).write.option("compression", "none").parquet(f"{folder}/segments")
+    token_ids.where("part >= 0").drop("counts").mapInPandas(segments, SEGMENTS).write.option("compression", "none").parquet(f"{folder}/segments")
 
 
 def segment(code: Code, part: int, row: int, held: list[tuple[int | None, np.ndarray]]) -> pd.DataFrame:

@@ -1,11 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are windows of words that overlap by half, so that any passage of STRIDE + 1 words lies in one of them. The words of the
+Blocks are runs of words that overlap by half, so that any passage as long as a template's span lies in one of them. The words of the
 templates are ordered by their document frequency in the whole corpus, the rarest first. A block that holds a share of at least
 ``threshold`` of a template's words must hold one of the first |T| - needed + 1 of them (prefix filter), at least as many template words as are needed (length
 filter), and enough of both orders must be left at the common word (positional filter). What passes is
-compared exactly. Phrases are templates with threshold 1 whose words must also stand in a row. Templates of fewer than LONG words have threshold 1,
-too: the word a share would let go is the one that tells licenses apart.
+compared exactly, by the best window of the template's span (its length over the threshold, so that a few words may be put in). Phrases are templates with threshold 1 whose
+words must stand in a row. So must those of templates of fewer than LONG words: the word a share would let go is the one that tells licenses apart.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reckoner.llm.common import lower_ascii, words
 
-STRIDE, WIDTH = 32, 64
+STRIDE = 32  # words from one block to the next, at least: a longer template makes it its span
 THRESHOLD = 0.8
 LONG = 10  # words from which a share of a template is enough
 #: Characters between words (fixed value of the data contract).
@@ -35,12 +35,22 @@ class Template:
     def words(self) -> list[str]:
         return self.text.split()
 
+    @property
+    def ordered(self) -> bool:
+        """Must its words stand in a row?"""
+        return self.phrase or len(set(self.words)) < LONG
+
+    def span(self, threshold: float) -> int:
+        """Words of the window that is compared."""
+        return len(self.words) if self.ordered else math.ceil(len(self.words) / threshold - 1e-9)
+
 
 #: Phrases and labels of the data contract.
 PHRASES = (Template("cc-by", "cc by", True), Template("gpl", "general public license", True), Template("reserved", "all rights reserved", True))
 #: The usual notices of well-known licenses, as words.
 NOTICES = (
-    Template("apache-2.0", "under the apache license 2 0"),
+    Template("apache-2.0", "apache license 2 0"),
+    Template("apache-2.0", "apache license version 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("cc-by-nc", "licensed under cc by nc"),
     Template("cc-by-nc", "cc by nc 4 0"),
@@ -60,7 +70,7 @@ NOTICES = (
 def needed(template: Template, threshold: float) -> int:
     """Words of the template that a block must hold."""
     n = len(set(template.words))
-    return n if template.phrase or n < LONG else math.ceil(threshold * n - 1e-9)
+    return n if template.ordered else math.ceil(threshold * n - 1e-9)
 
 
 def _array(values: Sequence[str]) -> Column:
@@ -77,8 +87,7 @@ def scan(docs: DataFrame, templates: Sequence[Template] = (*PHRASES, *NOTICES),
     """A row per template and block that meets it: (doc_id, _digest, label, phrase, share, places). ``places`` are the starts (words from 0) of a phrase
     in its block, each in one block only. doc_id and text are read, other columns never; NULL text has no block; rows with the same doc_id and text
     give the same rows each."""
-    if any(len(t.words) > STRIDE for t in templates):
-        raise ValueError(f"a template has more than {STRIDE} words")
+    stride = max([STRIDE, *[t.span(threshold) for t in templates]])
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_digest"),
                         words(lower_ascii(F.col("text").cast("string")), SEPARATORS).alias("_words"))
     vocabulary = sorted({w for t in templates for w in t.words})
@@ -90,26 +99,28 @@ def scan(docs: DataFrame, templates: Sequence[Template] = (*PHRASES, *NOTICES),
         ranks = sorted({rank[w] for w in t.words})
         need = needed(t, threshold)
         for i, r in enumerate(ranks[:len(ranks) - need + 1]):
-            entries.append((number, t.label, t.phrase, t.words, ranks, need, i, r))
+            entries.append((number, t.label, t.phrase, t.ordered, t.span(threshold), t.words, ranks, need, i, r))
             rare.add(order[r - 1])
-    index = docs.sparkSession.createDataFrame(entries, "template int, label string, phrase boolean, t_words array<string>, t_ranks array<long>, "
+    index = docs.sparkSession.createDataFrame(entries, "template int, label string, phrase boolean, ordered boolean, span int, t_words array<string>, t_ranks array<long>, "
                                                        "need int, t_at int, rank long")
-    starts = F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / STRIDE).cast("int"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / stride).cast("int"))
     blocks = (texts.where(F.arrays_overlap("_words", _array(sorted(rare))))
-              .select("doc_id", "_digest", F.posexplode(F.transform(starts, lambda k: F.slice("_words", k * STRIDE + 1, WIDTH))).alias("_k", "_block"))
+              .select("doc_id", "_digest", F.posexplode(F.transform(starts, lambda k: F.slice("_words", k * stride + 1, 2 * stride))).alias("_k", "_block"))
               .where(F.arrays_overlap("_block", _array(sorted(rare)))))
     ranked = F.array_sort(F.transform(F.array_intersect("_block", _array(order)), lambda w: F.array_position(_array(order), w)))
     left = F.least(F.size("t_ranks") - 1 - F.col("t_at"), F.size("_ranks") - 1 - F.col("_at"))
     pairs = (blocks.withColumn("_ranks", ranked).select("*", F.posexplode("_ranks").alias("_at", "rank"))
              .join(F.broadcast(index), "rank")  # the prefixes of a fixed list of templates
              .where((F.size("_ranks") >= F.col("need")) & (1 + left + F.least("t_at", "_at") >= F.col("need"))))
-    overlap = F.size(F.array_intersect("_ranks", "t_ranks"))
-    at = F.filter(F.sequence(F.lit(0), F.least(F.lit(STRIDE), F.size("_block")) - 1),
-                  lambda i: F.slice("_block", i + 1, F.size("t_words")) == F.col("t_words"))
-    found = pairs.where(overlap >= F.col("need")).select(
-        "doc_id", "_digest", "template", "label", "phrase", (overlap / F.size("t_ranks")).alias("share"),
-        F.when(F.col("phrase"), F.transform(at, lambda i: (i + F.col("_k") * STRIDE).cast("long"))).alias("places"))
-    return found.where(~F.col("phrase") | (F.size("places") > 0))
+    # windows that begin in the first half of their block; those that begin later belong to the next one
+    begins = F.sequence(F.lit(0), F.least(F.lit(stride), F.size("_block")) - 1)
+    at = F.filter(begins, lambda i: F.slice("_block", i + 1, F.size("t_words")) == F.col("t_words"))
+    overlap = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect(F.slice("_block", i + 1, F.col("span")), F.col("t_words")))))
+    held = pairs.where(F.size(F.array_intersect("_ranks", "t_ranks")) >= F.col("need"))
+    met = held.withColumn("_at_words", F.when(F.col("ordered"), at)).withColumn("_overlap", F.when(F.col("ordered"), F.when(F.size("_at_words") > 0, F.col("need")).otherwise(0)).otherwise(overlap))
+    return met.where(F.col("_overlap") >= F.col("need")).select(
+        "doc_id", "_digest", "template", "label", "phrase", (F.col("_overlap") / F.size("t_ranks")).alias("share"),
+        F.when(F.col("phrase"), F.transform("_at_words", lambda i: (i + F.col("_k") * stride).cast("long"))).alias("places"))
 
 
 def labelled(docs: DataFrame, **options) -> DataFrame:

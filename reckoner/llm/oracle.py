@@ -20,9 +20,10 @@ def texts(values) -> str:
 
 
 def _templates() -> str:
-    rows = ", ".join(f"({i}, {text(t.label)}, {'true' if t.phrase else 'false'}, {texts(t.words)}, {texts(sorted(set(t.words)))}, "
-                     f"{licenses.needed(t, licenses.THRESHOLD)})" for i, t in enumerate((*licenses.PHRASES, *licenses.NOTICES)))
-    return f"SELECT * FROM (VALUES {rows}) AS t(number, label, phrase, seq, bag, need)"
+    rows = ", ".join(f"({i}, {text(t.label)}, {'true' if t.phrase else 'false'}, {texts(t.words)}, {texts(sorted(set(t.words)))})"
+                     for i, t in enumerate((*licenses.PHRASES, *licenses.NOTICES)))
+    return f"""SELECT *, phrase OR len(bag) < {licenses.LONG} AS in_row, ceil({licenses.THRESHOLD}::DOUBLE * len(bag) - 1e-9::DOUBLE)::INT AS need,
+  ceil(len(seq) / {licenses.THRESHOLD}::DOUBLE - 1e-9::DOUBLE)::INT AS span FROM (VALUES {rows}) AS t(number, label, phrase, seq, bag)"""
 
 
 LICENSES = f"""
@@ -32,12 +33,11 @@ WITH d AS (
   FROM documents),
 t AS ({_templates()}),
 starts AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
-places AS (SELECT r, label, i, 1.0::DOUBLE AS share FROM starts, t WHERE phrase AND w[i + 1] = seq[1] AND w[i + 1:i + len(seq)] = seq),
-blocks AS (SELECT r, w[{licenses.STRIDE} * k + 1:{licenses.STRIDE} * k + {licenses.WIDTH}] AS b
-           FROM (SELECT r, w, unnest(range((len(w) + {licenses.STRIDE - 1}) // {licenses.STRIDE})) AS k FROM d)),
-notices AS (SELECT r, label, len(list_intersect(bag, b)) AS n, len(bag) AS m, need FROM blocks, t WHERE NOT phrase),
+places AS (SELECT r, label, CASE WHEN phrase THEN i END AS i, 1.0::DOUBLE AS share FROM starts, t WHERE in_row AND w[i + 1] = seq[1] AND w[i + 1:i + len(seq)] = seq),
+likely AS (SELECT r, w, label, bag, need, span FROM d, t WHERE NOT in_row AND len(list_intersect(bag, w)) >= need),
+windows AS (SELECT r, label, len(list_intersect(bag, w[i + 1:i + span])) AS n, len(bag) AS m, need FROM (SELECT *, unnest(range(len(w))) AS i FROM likely)),
 hits AS (SELECT r, label, i, share FROM places
-         UNION ALL SELECT r, label, NULL, n::DOUBLE / m FROM notices WHERE n >= need),
+         UNION ALL SELECT r, label, NULL, n::DOUBLE / m FROM windows WHERE n >= need),
 found AS (SELECT r, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, max(share) AS score,
                  list_sort(list_distinct(list(label) FILTER (WHERE i IS NOT NULL))) AS base,
                  list_sort(list_distinct(list(label))) AS every

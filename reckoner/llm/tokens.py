@@ -150,10 +150,10 @@ class Encoder:
         return [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
-def encoder(path: str, units: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it lives as long as the worker, and keeps KEPT_BYTES at most."""
+def encoder(path: str, units: str, kept_bytes: int = KEPT_BYTES) -> Encoder:
+    """The worker's encoder for a tokenizer file; it lives as long as the worker, and keeps ``kept_bytes`` at most."""
     if (path, units) not in _OPEN:
-        _OPEN[path, units] = Encoder(path, units)
+        _OPEN[path, units] = Encoder(path, units, kept_bytes)
     return _OPEN[path, units]
 
 

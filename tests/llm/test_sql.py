@@ -68,6 +68,31 @@ def test_mix_comes_near_its_targets_and_repeats_rows(docs):
     assert mixing.mixed(docs).count() == rows["copies"].sum()
 
 
+def test_words_of_a_notice_must_stand_together(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    texts = ["The MIT press works under the terms of its own house license.", " ".join(mit.split()[:17]), "By nc and cc, licensed under.", mit,
+             "x " * 40 + mit.replace("hereby", "now hereby") + " y" * 50,  # a word put in
+             " ".join(w + " far away" * 3 for w in mit.split()),  # every word there, but not together
+             "under the mit " + "x " * 70 + "license"]
+    rows = licenses.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(rows)] == ["", "mit", "", "mit", "mit", "", ""]
+
+
+def test_a_template_of_any_length(spark):
+    rng = __import__("random").Random(2)
+    words = [f"t{i}" for i in range(150)]
+    template = licenses.Template("long", " ".join(words))
+    half, most = list(words), list(words)
+    for i in rng.sample(range(150), 60):
+        half[i] = "other"
+    for i in rng.sample(range(150), 25):
+        most[i] = "other"
+    texts = [" ".join(["a"] * 333 + words + ["b"] * 77), " ".join(["a"] * 101 + most), " ".join(half), " ".join(words[:125]), " ".join(words[:110])]
+    rows = licenses.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=(*licenses.PHRASES, template)).collect()
+    assert [r.labels for r in sorted(rows)] == ["long", "long", "", "long", ""]
+    assert [round(r.score, 3) for r in sorted(rows)] == [1.0, round(125 / 150, 3), 0.0, round(125 / 150, 3), 0.0]
+
+
 def test_a_source_at_its_limit_goes_through_no_window(spark):
     rows = [(i, "w " * (5 + i % 7), "a" if i < 60 else "b" if i < 400 else "c") for i in range(600)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
