@@ -108,17 +108,21 @@ def drawn_examples(pool: DataFrame, k: int, seed: int) -> DataFrame:
 EXAMPLES = "array<struct<first_table_row:string,second_table_row:string,ground_truth:string>>"
 
 
+def _with_examples(texts: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFrame:
+    """``texts`` (pair_id, rows_match, two texts) with their ``examples``. What is numbered and drawn are the ids in ``pool``; a drawn row's texts come by its pair_id, so texts are
+    dealt by pair_id for the lookup and for the requests alike."""
+    drawn = drawn_examples(pool, k, seed).join(pool.select("_at", F.col("pair_id").alias("_shown")), "_at").select("pair_id", "o", "_shown")
+    example = F.struct("first_table_row", "second_table_row", text.yes_no(F.col("rows_match")).alias("ground_truth"))
+    lists = (drawn.join(texts.select(F.col("pair_id").alias("_shown"), example.alias("example")), "_shown")
+             .groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("o", "example"))).alias("_e")))  # 2 k examples
+    return texts.join(lists, "pair_id").withColumn("examples", F.transform("_e", lambda s: s["example"])).drop("_e")
+
+
 def attach_examples(texts: DataFrame, k: int, seed: int) -> DataFrame:
-    """Give each row k other rows of either label, in keyed random order, as an array ``examples``. The drawn rows come by an equi join on
-    the number, k times 2 rows per request. For rows whose texts are many times as large as their ids, see ``pair_requests``."""
+    """Give each row k other rows of either label, in keyed random order, as an array ``examples``."""
     if k == 0:
         return texts.withColumn("examples", F.array().cast(EXAMPLES))
-    pool = dense_id(texts, ["rows_match", "pair_id"], "_at")
-    example = F.struct("first_table_row", "second_table_row", text.yes_no(F.col("rows_match")).alias("ground_truth"))
-    lists = (drawn_examples(pool, k, seed).join(pool.select("_at", example.alias("example")), "_at")
-             .groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("o", "example"))).alias("_e")))
-    return (pool.drop("_at").join(lists, "pair_id")
-            .withColumn("examples", F.transform("_e", lambda s: s["example"])).drop("_e"))
+    return _with_examples(texts, dense_id(texts.select("rows_match", "pair_id"), ["rows_match", "pair_id"], "_at"), k, seed)
 
 
 def chat_requests(texts: DataFrame, cfg: RequestConfig) -> DataFrame:
@@ -146,22 +150,12 @@ def build_requests(texts: DataFrame, cfg: RequestConfig) -> DataFrame:
 def pair_requests(pairs: DataFrame, sources: DataFrame, targets: DataFrame, cfg: RequestConfig) -> DataFrame:
     """Requests of (pair_id, rows_match, invoice_id, payment_id) from the row texts (invoice_id, first_table_row) and (payment_id, second_table_row).
 
-    Only ids are numbered, drawn and written; texts are attached last, to the pair and its examples in one join per side."""
-    slim = pairs.select("rows_match", "pair_id", "invoice_id", "payment_id")
-    own = slim.select("pair_id", F.lit(None).cast("double").alias("o"), "rows_match", "invoice_id", "payment_id")
-    if cfg.num_examples:
-        pool = dense_id(slim, ["rows_match", "pair_id"], "_at")
-        shown = drawn_examples(pool, cfg.num_examples, cfg.draw_seed).join(pool.drop("pair_id"), "_at")
-        own = own.unionByName(shown.select("pair_id", "o", "rows_match", "invoice_id", "payment_id"))
-    told = own.join(sources, "invoice_id").join(targets, "payment_id")
-    entry = F.struct("o", "first_table_row", "second_table_row", text.yes_no(F.col("rows_match")).alias("ground_truth"), "rows_match")
-    rows = told.groupBy("pair_id").agg(F.array_sort(F.collect_list(entry)).alias("_all"))  # 2 k examples and the pair, which has no order
-    is_own = lambda e: e["o"].isNull()
-    texts = rows.withColumn("_own", F.filter("_all", is_own)[0]).select(
-        "pair_id", "_own.rows_match", "_own.first_table_row", "_own.second_table_row",
-        F.transform(F.filter("_all", lambda e: ~is_own(e)), lambda e: F.struct(
-            e["first_table_row"].alias("first_table_row"), e["second_table_row"].alias("second_table_row"), e["ground_truth"].alias("ground_truth"))).alias("examples"))
-    return chat_requests(texts, cfg)
+    Only ids are numbered, drawn and written; each pair meets its two texts once, and examples are looked up among the pairs' texts."""
+    pool = dense_id(pairs.select("rows_match", "pair_id", "invoice_id", "payment_id"), ["rows_match", "pair_id"], "_at")
+    told = pool.join(sources, "invoice_id").join(targets, "payment_id").select("pair_id", "rows_match", "first_table_row", "second_table_row")
+    if not cfg.num_examples:
+        return chat_requests(attach_examples(told, 0, cfg.draw_seed), cfg)
+    return chat_requests(_with_examples(told, pool.select("rows_match", "pair_id", "_at"), cfg.num_examples, cfg.draw_seed), cfg)
 
 
 def chat_from_turns(turns: DataFrame, key: str, turn: str, role: str, content: str) -> DataFrame:
