@@ -6,7 +6,7 @@ constants with the operators.
 
 from __future__ import annotations
 
-from reckoner.llm import licenses, lines, mixing, spots
+from reckoner.llm import licenses, lines, mixing, spots, vectors
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -179,4 +179,15 @@ SELECT doc_id, length(x)::BIGINT AS n_chars, sha256(z) AS edited_sha256, own.pri
        {_likeness('own.sigs', 'ed.sigs')} >= {spots.THRESHOLD}::DOUBLE AS similar_edited, {_likeness('own.sigs', 'nx.sigs')} >= {spots.THRESHOLD}::DOUBLE AS similar_next
 FROM e JOIN texts own ON own.t = e.x JOIN texts ed ON ed.t = e.z JOIN texts nx ON nx.t = e.y"""
 
-SQL: dict[str, str] = {"op12_fingerprints": SPOTS, "op11_hard_negatives": HARD, "op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}
+VECTORS = f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM e
+      WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM n a JOIN n b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= {vectors.COSINE}::DOUBLE),
+reached(r, o) AS (SELECT r, r FROM n UNION SELECT reached.r, links.b FROM reached JOIN links ON reached.o = links.a),
+least AS (SELECT reached.r, min(n.vec_id) AS component_id FROM reached JOIN n ON n.r = reached.o GROUP BY reached.r),
+counted AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM e LEFT JOIN least USING (r) LEFT JOIN counted USING (r)"""
+
+SQL: dict[str, str] = {"op6_embedding_near_dedup": VECTORS, "op12_fingerprints": SPOTS, "op11_hard_negatives": HARD, "op13_merkle_manifest": MERKLE, "op2_license_scan": LICENSES, "op3_source_mix": MIX, "op8_quality_rules": LINES}

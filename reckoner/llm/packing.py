@@ -97,14 +97,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "low", "high", "first", "offset"], dtype="int64")
 
 
-def pieces(docs: DataFrame, path: str, units: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, units: str, capacity: int = CAPACITY, with_ids: bool = False, kept_bytes: int = tokens.KEPT_BYTES) -> DataFrame:
     """Token pieces of every document: its ids and an end id, cut every ``capacity`` ids. ``path`` is the tokenizer file,
     ``units`` its cut (see tokens). NULL text is empty, so a document always has a piece; equal ``doc_id``s
-    (or NULL ones) are documents of their own; other columns are not read. ``with_ids`` adds the ids."""
+    (or NULL ones) are documents of their own; other columns are not read. ``with_ids`` adds the ids. A worker keeps
+    ``kept_bytes`` of encoded units."""
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(path, units).encode
+        encode = tokens.encoder(path, units, kept_bytes).encode
         for frame in frames:
             doc_ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
             for low, high in tokens.batches(texts):
@@ -162,9 +163,9 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def pack(docs: DataFrame, path: str, units: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, units: str, capacity: int = CAPACITY, kept_bytes: int = tokens.KEPT_BYTES) -> DataFrame:
     """All documents packed: a row per piece with its place. Texts are encoded once; only sizes and digests are kept."""
-    return assign(written_table(pieces(docs, path, units, capacity), "pieces"), capacity)
+    return assign(written_table(pieces(docs, path, units, capacity, kept_bytes=kept_bytes), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

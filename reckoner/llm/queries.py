@@ -21,7 +21,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), "words")
+    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), "words", kept_bytes=binary.KEPT_BYTES)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

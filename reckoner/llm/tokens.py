@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_BYTES = 80_000_000  # about so much a worker keeps of the units it has met; others are encoded anew in each batch
+KEPT_BYTES = 60_000_000  # about so much a worker keeps of the units it has met; others are encoded anew in each batch
 UNIT_BYTES = 150  # of a kept unit besides its ids: text, entry, numbers
 #: Characters that Python counts as white space and Unicode's White_Space property does not (fixed value).
 ODD_SPACE = re.compile("[\x1c-\x1f]")
