@@ -23,7 +23,8 @@ from reckoner.llm.common import partitions, written_table
 END_ID = 0
 MAX_BITS = 18  # longest code; a decoder's table has 2^18 entries, small enough for a core's cache
 SOME = 65_536  # ids that are encoded at once
-KEPT_BYTES = 140_000_000  # of the units whose ids a worker keeps
+KEPT_BYTES = 120_000_000  # of the units whose ids a worker keeps
+CHARS = 8_000_000  # characters that are encoded at once, about
 BLOCK = 512  # ids from one checkpoint to the next
 SEGMENT = 1_000_000  # ids after which a segment is closed (at the end of a document)
 SEGMENTS = ("part int, segment long, doc_ids array<long>, n_tokens array<long>, n long, "
@@ -126,7 +127,7 @@ def token_table(docs: DataFrame, path: str, units: str) -> DataFrame:
         encode, total = tokens.encoder(path, units, KEPT_BYTES).encode, np.zeros(0, dtype="int64")
         for frame in frames:
             texts = frame["text"].tolist()
-            for low, high in tokens.batches(texts):
+            for low, high in tokens.batches(texts, CHARS):
                 ids = [np.append(np.frombuffer(x, dtype="<u4"), np.uint32(END_ID)) for x in encode(texts[low:high])]
                 some = np.bincount(np.concatenate(ids), minlength=len(total))
                 some[:len(total)] += total

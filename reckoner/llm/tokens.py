@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 KEPT_BYTES = 60_000_000  # about so much a worker keeps of the units it has met; others are encoded anew in each batch
 UNIT_BYTES = 150  # of a kept unit besides its ids: text, entry, numbers
 #: Characters that Python counts as white space and Unicode's White_Space property does not (fixed value).
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 MARK = "\x1f"
 RUNS = re.compile(r"\s*\S+|\s+").findall
 _OPEN: dict[tuple[str, str], Encoder] = {}
@@ -122,7 +122,7 @@ class Encoder:
         texts = [x or "" for x in texts]
         if self.cut is None:
             return self.whole(texts)
-        odd = [i for i, x in enumerate(texts) if ODD_SPACE.search(x)]
+        odd = [i for i, x in enumerate(texts) if any(c in x for c in ODD_SPACE)]
         plain = [x for i, x in enumerate(texts) if i not in set(odd)] if odd else texts
         out = self._encode(plain)
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
