@@ -18,7 +18,9 @@ def bootstrap_f1(counts: DataFrame, keys: Sequence[str], rounds: int = 1000, see
     total = sum((F.col(c) for c in COUNTS), F.lit(0))
     key = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in keys], F.lit(""))
     slim = counts.select(*keys, *COUNTS, total.alias("_n"), key.alias("_key")).where("_n > 0")
-    out = slim.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    # a few groups in one task become groups x rounds in all of them: the number of partitions is given, so that small ones are not put together again
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = slim.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).repartition(n, "_key", "_round")
     left, weight = F.col("_n"), F.col("_n")  # rows still to be drawn, and their outcomes' counts together
     for c in COUNTS[:3]:
         share = F.when(weight > 0, F.col(c) / weight).otherwise(F.lit(0.0))
