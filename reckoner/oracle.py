@@ -430,10 +430,10 @@ CLOSED_SE = ('CASE WHEN 2*"TP" + "FP" + "FN" = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUB
 
 
 def _gamma(shape: str, tag: str, *keys: str) -> str:
-    """A gamma draw: the first accepted of six candidates, else the mean."""
+    """A gamma draw: the first accepted of three candidates, else the mean."""
     d = f"({shape}::DOUBLE - {1.0 / 3.0!r}::DOUBLE)"
     tries = []
-    for t in range(6):
+    for t in range(3):
         z = f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u(f'{tag}.{t}a', *keys)})) * cos({2 * pi!r}::DOUBLE * {u(f'{tag}.{t}b', *keys)}))"
         w = f"(1.0::DOUBLE + {z} / sqrt(9.0::DOUBLE * {d}))"
         v = f"({w} * {w} * {w})"
