@@ -128,3 +128,42 @@ def test_matches_with_an_empty_side_keep_their_negatives(spark):
         (5, 3, "payment_driven"), (6, 3, "payment_driven")]
     assert [(r.invoice_id, r.payment_id) for r in rows if r.kind == "match"] == [(20, 200)]
     assert all(r.payment_id not in (200,) for r in rows if r.kind == "invoice_driven" and r.drawn_for == 2)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 100])
+def test_merged_rows_keep_every_id(spark, df, chunk):
+    """Each id of a key is in one of its lists, whatever their length; the attributes are those of the lowest id."""
+    rows = views.merged_by_key(df, ["k"], "id", chunk).collect()
+    assert sorted((r.k or "", i) for r in rows for i in r.id) == [("", 3), ("", 4), ("a", 1), ("a", 2), ("b", 5)]
+    assert {(r.k, r.v, r.n_ids) for r in rows} == {("a", 10, 2), (None, 30, 2), ("b", 50, 1)}
+    assert all(r.id == sorted(r.id) for r in rows) and len({(r.k, r.part) for r in rows}) == len(rows)
+    assert len(rows) == 3 if chunk > 1 else len(rows) >= 3
+    keys_only = views.merged_by_key(df.select("id", "k"), ["k"], "id", chunk).collect()
+    assert sorted(i for r in keys_only for i in r.id) == [1, 2, 3, 4, 5]
+
+
+def test_merged_rows_of_large_keys_are_dealt(spark):
+    rows = views.merged_by_key(spark.range(1000).select("id", (F.col("id") % 2).alias("k"), F.col("id").alias("v")), ["k"], "id", 20).collect()
+    assert sorted(i for r in rows for i in r.id) == list(range(1000)) and max(len(r.id) for r in rows) < 60
+    assert {(r.k, r.v, r.n_ids) for r in rows} == {(0, 0, 500), (1, 1, 500)} and {r.part for r in rows} == set(range(25))
+
+
+FIRST_RANKS = {  # of the permutation as first built
+    1: [631, 437, 721, 606, 96, 286, 977, 430, 3, 169, 266, 280, 667, 554, 361, 717, 943, 794, 565, 730, 709, 159, 868, 115, 93, 372, 592, 548, 290, 64, 100, 321, 855, 561, 981, 598, 373, 69, 240, 11, 689, 58, 241, 681, 395, 185, 149, 706, 463, 242],
+    None: [49, 778, 831, 770, 127, 77, 646, 926, 16, 931, 911, 44, 638, 551, 736, 295, 357, 440, 800, 864, 227, 756, 859, 709, 771, 541, 266, 87, 336, 532, 705, 893, 899, 738, 317, 742, 348, 388, 953, 550, 657, 976, 698, 587, 752, 861, 788, 642, 969, 331],
+}
+
+
+def test_few_numbers_walk_and_all_are_as_before(spark):
+    """The first numbers of a permutation as they have always been, with a NULL key as well; a walk is taken for the numbers that leave the range only."""
+    rows = spark.createDataFrame([(1,), (None,)], "k long").select("k", draws.sample_ranks(1000, 50, 7, "ranks", "k").alias("s"))
+    got = {r.k: r.s for r in rows.collect()}
+    assert got == FIRST_RANKS and all(len(set(s)) == 50 for s in got.values())
+    steps = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(sequence(0" not in steps and "aggregate([0," not in steps
+
+
+def test_rows_of_one_group_are_spread(spark):
+    from reckoner.session import spread_rows
+
+    assert spread_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() > 1
