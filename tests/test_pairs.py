@@ -260,3 +260,24 @@ def test_draw_laws(spark):
                          draws.permuted(F.col("id"), F.lit(20000), 9).alias("c")).collect()
     assert sorted(r.a for r in ranks_of) == list(range(20000)) and all(r.a == r.c for r in ranks_of)
     assert len({r.b for r in ranks_of}) == 20000 and all(0 <= r.b < big for r in ranks_of)
+
+
+def test_pair_requests_deal_the_texts_once(spark):
+    """The same chats as from rows that carry their texts, and one exchange of the texts by pair_id that both joins read."""
+    pairs_ = spark.range(40).select(F.col("id").alias("pair_id"), (F.col("id") % 3 == 0).alias("rows_match"), (F.col("id") % 7).alias("invoice_id"), (F.col("id") % 5).alias("payment_id"))
+    one = spark.range(7).select(F.col("id").alias("invoice_id"), F.concat(F.lit("invoice "), F.col("id").cast("string")).alias("first_table_row"))
+    two = spark.range(5).select(F.col("id").alias("payment_id"), F.concat(F.lit("payment "), F.col("id").cast("string")).alias("second_table_row"))
+    cfg = requests.RequestConfig(model="m", num_examples=2, draw_seed=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = requests.pair_requests(pairs_, one, two, cfg)
+        got = {r.pair_id: (r.max_tokens, [tuple(m) for m in r.messages]) for r in out.collect()}
+        chats = out.select("pair_id", "messages")
+        chats.collect()
+        plan = chats._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    told = pairs_.join(one, "invoice_id").join(two, "payment_id").select("pair_id", "rows_match", "first_table_row", "second_table_row")
+    want = {r.pair_id: (r.max_tokens, [tuple(m) for m in r.messages]) for r in requests.build_requests(told, cfg).collect()}
+    assert got == want and len(got) == 40
+    assert any("ReusedExchange" in line and "first_table_row" in line and "second_table_row" in line for line in plan.splitlines())
