@@ -1,20 +1,23 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney model of character classes, trained on trusted text.
+"""Quality by perplexity: an interpolated modified Kneser-Ney model of code points, trained on trusted text.
 
-Characters fall into 64 classes, so an n-gram of order 4 is a number of 24 bits and a model has at most 64^4 cells whatever
-the corpus: that bound is what lets it be broadcast. Counts come from all trusted documents: every task adds up what it has read
-and the counts are sharded by n-gram. Discounts, continuation counts and context totals are joins of
-those count tables. A document's perplexity is drawn to the mean of its language by PRIOR characters, so that a few
-words are no evidence, and compared with a quantile of the trusted documents of its language.
+A symbol is a code point, so every letter of every script counts for itself, and the model grows with the text. Documents are dealt to
+batches of about BATCH bytes by their ids. A batch counts its n-grams of order 4 in one pass, those of trusted documents by number and the others as
+asked for; the counts are sharded by n-gram. Discounts, continuation counts and context totals are aggregates and joins of these tables. The probability of each n-gram goes back to the
+batches that hold it, where it is summed over the characters of each document: no task and no driver sees the whole model. A document's perplexity is drawn to the mean
+of its language by PRIOR characters, so that a few words are no evidence, and compared with a quantile of the trusted documents of its language.
+
+``train`` makes the same model over 64 classes of characters as one dense table of at most 64^4 cells, for callers who want a small model in memory; ``judge`` and ``scored`` do not use it.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from reckoner.llm.common import whole_row, written_table
@@ -26,6 +29,8 @@ MIN_TRUSTED = 30  # trusted documents a language needs for a threshold of its ow
 MAX_LANGUAGES = 8_000  # languages with a threshold of their own; ISO 639 has fewer
 BIN = 1_000  # log perplexities are compared in bins of 1 / BIN
 CHUNK = 1_000_000  # characters that are scored at once
+BITS, POINTS = 21, 0x110000  # a code point takes 21 bits, so the three before a character fit a BIGINT; there are POINTS of them
+BATCH = 32 * 2**20  # bytes of text in a batch, about
 
 
 def _classes() -> np.ndarray:
@@ -154,18 +159,136 @@ def train(trusted: DataFrame) -> np.ndarray:
     return dense(levels(trusted))
 
 
-def scorer(docs: DataFrame, model: Levels):
-    """A function from a text column to (loss, n): the negative log-likelihood of the whole text and its characters. What is sent out are the n-grams that occur; a task
-    fills in the others."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+# ---------------------------------------------------------------- scores of code points
+
+def points(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, context, symbol) of all characters in pieces of about CHUNK: the number of the text, the ORDER - 1 symbols before the character as one number, and its own. A symbol is
+    a code point plus one; 0 stands before a text. N-grams reach over the borders of pieces."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, len(text), CHUNK):
+            lead = min(at, ORDER - 1)
+            code = np.frombuffer(text[at - lead:at + CHUNK].encode("utf-32-le", "replace"), dtype="<u4").astype("int64") + 1
+            code = np.concatenate([np.zeros(ORDER - 1 - lead, dtype="int64"), code])
+            held.append((row, code[:-3] << 2 * BITS | code[1:-2] << BITS | code[2:-1], code[3:]))
+            size += len(code) - ORDER + 1
+            if size >= CHUNK:
+                yield _together(held)
+                held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, contexts, symbols = zip(*held)
+    return np.repeat(rows, [len(x) for x in symbols]), np.concatenate(contexts), np.concatenate(symbols)
+
+
+def distinct(contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, context, symbol): which of the different n-grams each one is, and these."""
+    code, context = pd.factorize(contexts)
+    number, gram = pd.factorize(code.astype("int64") << BITS | symbols)
+    return number, context[gram >> BITS], gram & (1 << BITS) - 1
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = dense(shared.value)
-        for series in texts:
-            rows = [(sum(-float(table[p].sum(dtype="float64")) for p in pieces(x or "")), len(x or "")) for x in series]
-            yield pd.DataFrame(rows, columns=["loss", "n"])
 
-    return F.pandas_udf(run, T.StructType([T.StructField("loss", T.DoubleType()), T.StructField("n", T.LongType())]))
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A digest of id and text (NULL: empty)."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def batched(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(batch, key, doc_id, lang, packed): compressed texts (NULL: empty), dealt by doc_id, or by text where that is NULL. ``key`` stands for id and text; ids are text, as pandas
+    has no whole numbers beside NULL. And the number of batches."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(1, -(-size // BATCH))
+
+    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for series in texts:
+            yield pd.Series([packer.compress(x.encode("utf-8", "replace")) for x in series], dtype=object)
+
+    rows = docs.select(dealt(F.coalesce(doc, F.xxhash64(text)), n).alias("batch"), text_key(doc, text).alias("key"), doc.cast("string").alias("doc_id"),
+                       F.col("lang").cast("string").alias("lang"), F.pandas_udf(pack, "binary")(text).alias("packed"))
+    return rows, n
+
+
+def dealt(number: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(n)).cast("int")
+
+
+def unpacked(packed: Iterable[bytes]) -> Iterator[str]:
+    unpacker = zstandard.ZstdDecompressor()
+    return (unpacker.decompress(x).decode() for x in packed)
+
+
+def asked(docs: DataFrame, good: DataFrame, n: int) -> DataFrame:
+    """(batch, context, symbol, n): the different n-grams of each batch of ``docs``, and how often they occur in documents whose ids are in ``good``."""
+    def count(docs: pd.DataFrame, good: pd.DataFrame) -> pd.DataFrame:
+        trusted, found = docs["doc_id"].isin(good["doc_id"]).to_numpy(), []
+        for row, contexts, symbols in points(unpacked(docs["packed"])):
+            number, context, symbol = distinct(contexts, symbols)
+            found.append((context, symbol, np.bincount(number, weights=trusted[row], minlength=len(symbol)).astype("int64")))
+        if not found:
+            return pd.DataFrame({"batch": [], "context": [], "symbol": [], "n": []})
+        contexts, symbols, ns = (np.concatenate(x) for x in zip(*found))
+        number, context, symbol = distinct(contexts, symbols)
+        total = np.zeros(len(symbol), dtype="int64")
+        np.add.at(total, number, ns)
+        return pd.DataFrame({"batch": docs["batch"].iloc[0], "context": context, "symbol": symbol, "n": total})
+
+    ids = good.select(dealt(F.col("_id"), n).alias("batch"), F.col("_id").cast("string").alias("doc_id"))
+    return docs.groupBy("batch").cogroup(ids.groupBy("batch")).applyInPandas(count, "batch int, context long, symbol int, n long")
+
+
+def logarithms(grams: DataFrame) -> DataFrame:
+    """(context, symbol, batches, logp) of ``grams`` (context, symbol, n, batches): natural logarithms of the probabilities. Those with n = 0 are asked for but do not count. Each order is a table
+    of its own, and takes what its contexts leave from the probabilities of the order below."""
+    levels = [grams]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before the shorter n-gram
+        shorter = (F.col("context") % F.lit(2**(BITS * (k - 1)))).alias("context")
+        levels.append(levels[-1].groupBy(shorter, "symbol").agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")))
+    below = None
+    for k, level in enumerate(levels[::-1], start=1):
+        rows = level.crossJoin(F.broadcast(cuts(level))).withColumn("cut", F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("cut1")).when(
+            F.col("n") == 2, F.col("cut2")).otherwise(F.col("cut3"))).drop("cut1", "cut2", "cut3")
+        contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("back"))
+        rows, lower = rows.join(contexts, "context"), F.lit(1.0 / POINTS)
+        if below is not None:
+            rows = rows.withColumn("_shorter", F.col("context") % F.lit(2**(BITS * (k - 2)))).join(
+                below.select(F.col("context").alias("_shorter"), "symbol", F.col("p").alias("_lower")), ["_shorter", "symbol"])
+            lower = F.col("_lower")
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("cut") + F.col("back") * lower) / F.col("total")).otherwise(lower)
+        below = rows.select(*level.columns, p.alias("p"))
+    return below.select("context", "symbol", "batches", F.log(F.greatest("p", F.lit(1e-12))).alias("logp"))
+
+
+def cuts(level: DataFrame) -> DataFrame:
+    """One row: the discounts cut1, cut2, cut3 of n-grams that occur once, twice and more often."""
+    n1, n2, n3, n4 = (F.greatest(F.count(F.when(F.col("n") == k, 1)), F.lit(1)) for k in (1, 2, 3, 4))
+    found = level.agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"))
+    y = F.col("n1") / (F.col("n1") + F.lit(2) * F.col("n2"))
+    return found.select(*[F.least(F.greatest(F.lit(k) - F.lit(k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(k - 0.05)).alias(f"cut{k}")
+                          for k in (1, 2, 3)])
+
+
+def summed(docs: DataFrame, logs: DataFrame) -> DataFrame:
+    """(key, doc_id, lang, score) per document: the negative log-likelihood of the whole text and its characters, from the logarithms of its batch."""
+    def add(docs: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
+        known, number = np.unique(logs["context"].to_numpy(), return_inverse=True)
+        gram = number.astype("int64") << BITS | logs["symbol"].to_numpy()
+        order = np.argsort(gram)
+        gram, logp = gram[order], logs["logp"].to_numpy()[order]
+        loss, n = np.zeros(len(docs)), np.zeros(len(docs), dtype="int64")
+        for row, contexts, symbols in points(unpacked(docs["packed"])):
+            code, context, symbol = distinct(contexts, symbols)
+            of = logp[np.searchsorted(gram, np.searchsorted(known, context) << BITS | symbol)]
+            loss -= np.bincount(row, weights=of[code], minlength=len(docs))
+            n += np.bincount(row, minlength=len(docs))
+        return docs[["key", "doc_id", "lang"]].assign(loss=loss, n=n)
+
+    out = docs.groupBy("batch").cogroup(logs.groupBy("batch")).applyInPandas(add, "key string, doc_id string, lang string, loss double, n long")
+    return out.select("key", F.col("doc_id").cast("long").alias("doc_id"), "lang", F.struct("loss", "n").alias("score"))
 
 
 def log_perplexity(score: Column, mean: Column) -> Column:
@@ -193,10 +316,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1").select("_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Levels, DataFrame]:
-    """The model of the trusted text, that of documents with quality 1 in ``labels``, and the trusted ids. Labels grow with the documents, so they are never broadcast."""
-    good = trusted_ids(labels).hint("merge")  # the same plan at every size
-    return levels(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(good, "_id", "left_semi")), good
+def losses(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, lang, score) of all documents under the model of the trusted text, that of documents with quality 1 in ``labels``, and the trusted ids. Labels grow with the documents,
+    so they are never broadcast. The n-grams and the scores are written tables."""
+    good, (rows, n) = trusted_ids(labels), batched(docs)
+    grams = asked(rows, good, n).groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.collect_list("batch").alias("batches"))
+    logs = logarithms(written_table(grams, "ngrams")).select(F.explode("batches").alias("batch"), "context", "symbol", "logp")
+    return written_table(summed(rows, logs), "scores"), good.hint("merge")  # the same plan at every size
 
 
 def limited(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -213,13 +339,17 @@ def limited(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(row, loss, chars, log_perplexity, threshold) per document: the whole row, and the threshold of its language. NULL and empty texts have the mean of their
-    language. Texts are scored for the thresholds (loss and length are written) and once more as their rows pass."""
-    model, good = fit(docs, labels)
-    score = scorer(docs, model)
-    lang, text = F.col("lang").cast("string"), F.col("text").cast("string")
-    slim = written_table(docs.select(F.col("doc_id").cast("long").alias("_id"), lang.alias("lang"), score(text).alias("score")).join(good, "_id", "left_semi"), "scores")
-    limits = written_table(thresholds(slim, quantile, slack), "thresholds")
-    return limited(docs.select(whole_row(docs), lang.alias("_of"), score(text).alias("score")), limits)
+    language. Each text is scored once; whole rows meet their scores by id and text."""
+    slim, limits = judged(docs, labels, quantile, slack)
+    once = slim.groupBy(F.col("key").alias("_key")).agg(F.any_value("score").alias("score"))
+    rows = docs.select(whole_row(docs)).select("row", F.col("row.lang").cast("string").alias("_of"), text_key(F.col("row.doc_id"), F.col("row.text")).alias("_key"))
+    return limited(rows.join(once.hint("merge"), "_key").drop("_key"), limits)
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float) -> tuple[DataFrame, DataFrame]:
+    """The scores of all documents, see ``losses``, and the thresholds of the languages."""
+    slim, good = losses(docs, labels)
+    return slim, written_table(thresholds(slim.join(good, slim["doc_id"] == good["_id"], "left_semi"), quantile, slack), "thresholds")
 
 
 def accepted() -> Column:
@@ -230,8 +360,7 @@ def accepted() -> Column:
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, n_chars, log_perplexity, perplexity, threshold, kept) per document; repeated rows stay. ``n_chars`` counts the characters of the text. Each text is
     scored once."""
-    model, good = fit(docs, labels)
-    slim = written_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), scorer(docs, model)(F.col("text").cast("string")).alias("score")), "scores")
-    limits = written_table(thresholds(slim.join(good, slim["doc_id"] == good["_id"], "left_semi"), quantile, slack), "thresholds")
+    slim, limits = judged(docs, labels, quantile, slack)
+    slim = slim.drop("key")
     rows = limited(slim.withColumn("_of", F.col("lang")), limits)
     return rows.select("doc_id", "lang", F.col("chars").alias("n_chars"), "log_perplexity", F.exp("log_perplexity").alias("perplexity"), "threshold", accepted().alias("kept"))
