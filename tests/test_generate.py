@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from reckoner.functions import draws
 from reckoner.operators import views
 from reckoner.plans import generate
 from reckoner.session import written_table
@@ -154,3 +155,14 @@ def test_both_modes_in_one_dataset(spark):
     t = generate.generate_dataset(spark, 50)
     assert {r.perturbation_mode: r["count"] for r in t["matches"].groupBy("perturbation_mode").count().collect()} == {
         "single": 50, "multi": 50}
+
+
+def test_weighted_subset_runs_in_generated_code(spark):
+    """The planted errors are drawn once per match: an expression with a lambda falls out of generated code."""
+    names = list("abcd")
+    drawn = draws.weighted_subset(names, [1.0, 2.0, 3.0, 4.0], F.col("id") % 5, 3, "errors", "id")
+    rows = spark.range(200).select("id", drawn.alias("v"), F.array(*[
+        F.struct((-F.log(draws.u01(3, f"errors{i}", "id") + F.lit(2.0**-53)) / F.lit(float(i + 1))).alias("k"), F.lit(n).alias("v")) for i, n in enumerate(names)]).alias("all"))
+    assert "lambda" not in spark.range(2).select(drawn)._jdf.queryExecution().optimizedPlan().toString()
+    for r in rows.collect():
+        assert r.v == [x.v for x in sorted(r["all"], key=lambda x: x.k)][:r.id % 5]
