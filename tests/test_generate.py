@@ -6,10 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from reckoner.functions import draws
+from reckoner.functions import draws, text
 from reckoner.operators import views
 from reckoner.plans import generate
-from reckoner.session import written_table
+from reckoner.session import configure, written_table
 from reckoner.sources import tables
 
 N = 3000
@@ -166,3 +166,34 @@ def test_weighted_subset_runs_in_generated_code(spark):
     assert "lambda" not in spark.range(2).select(drawn)._jdf.queryExecution().optimizedPlan().toString()
     for r in rows.collect():
         assert r.v == [x.v for x in sorted(r["all"], key=lambda x: x.k)][:r.id % 5]
+
+
+def test_wide_stages_are_not_left_uncompiled(spark):
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_one_number_decides_the_kind_of_an_error(spark):
+    df = spark.range(5).select("id", F.lit("INV1234567").alias("s")).select(text.break_identifier("s", 1, "brk", "id"))
+    assert df._jdf.queryExecution().analyzed().toString().count("1|brk.branch") == 1
+
+
+def test_accounts_are_drawn_per_customer_and_company(spark):
+    """The account of a usual company code is looked up; that of a code the customers do not know is computed, with the same law."""
+    cfg = generate.GenConfig(seed=3)
+    keys = spark.range(400).withColumnRenamed("id", "match_id")
+    rows = generate.customers_dim(spark, cfg).withColumn("inv_company_code", F.explode(F.array(F.lit("1000"), F.lit("9000"))))
+    assert rows.where(F.col("_accounts")[F.col("inv_company_code")] != generate.account_number(cfg)).isEmpty()
+    odd = [(n, (lambda c: F.lit("4711")) if n == "inv_company_code" else f) for n, f in generate.INVOICE_FILLERS]
+    t = generate.generate(keys, 400, cfg, "multi", invoice_fillers=odd)
+    made = generate.customers_dim(spark, cfg).withColumn("inv_company_code", F.lit("4711")).select(generate.account_number(cfg).alias("pay_account_number"))
+    assert t["payments"].count() >= 400 and t["payments"].join(made, "pay_account_number", "left_anti").isEmpty()
+
+
+def test_only_matches_of_several_invoices_are_grouped(spark):
+    keys = spark.range(300).withColumnRenamed("id", "match_id")
+    cfg = generate.GenConfig(seed=3)
+    context = generate.Context(cfg, "multi", 300 * cfg.max_num_invoices)
+    plan = generate.running_totals_dense(generate.plan_matches(keys, cfg, "multi"), "match_id", ["num_invoices", "num_payments"])
+    carried = generate._carried(generate.build_invoices(plan, generate.customers_dim(spark, cfg), context))
+    assert "Union" in carried._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.match_id, len(r._ids)) for r in carried.collect()} == {(r.match_id, r.num_invoices) for r in plan.collect()}
