@@ -173,7 +173,7 @@ def test_wide_stages_are_not_left_uncompiled(spark):
 
 
 def test_one_number_decides_the_kind_of_an_error(spark):
-    df = spark.range(5).select("id", F.lit("INV1234567").alias("s")).select(text.break_identifier("s", 1, "brk", "id"))
+    df = spark.range(5).select("id", F.lit("INV1234567").alias("s")).select(text.break_identifier("s", 1, "brk", "id").alias("b"))
     assert df._jdf.queryExecution().analyzed().toString().count("1|brk.branch") == 1
 
 
