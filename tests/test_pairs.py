@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from reckoner import queries
 from reckoner.functions import draws, text
 from reckoner.operators import pairs, perturb, ranks, requests, views
 from reckoner.operators.joined import first_hit, split_group_total
@@ -281,3 +282,29 @@ def test_pair_requests_deal_the_texts_once(spark):
     want = {r.pair_id: (r.max_tokens, [tuple(m) for m in r.messages]) for r in requests.build_requests(told, cfg).collect()}
     assert got == want and len(got) == 40
     assert any("ReusedExchange" in line and "first_table_row" in line and "second_table_row" in line for line in plan.splitlines())
+
+
+def _orders(spark, folder):
+    """Three customers with an order of three lines a year, under the names of the given tables."""
+    keys = [(c * 10 + y, c, f"{1995 + y}-03-01 00:00:00", 100.0 * c + y) for c in (1, 2, 3) for y in range(4)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long, d string, o_totalprice double").selectExpr(
+        "o_orderkey", "o_custkey", "cast(d as timestamp) as o_orderdate", "o_totalprice").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(k[0], n, 10.0 * n) for k in keys for n in (1, 2, 3)], "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(
+        f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(c, f"Customer#{c:09d}", 0) for c in (1, 2, 3)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(0, "NATION_0")], "n_nationkey int, n_name string").write.parquet(f"{folder}/nation.parquet")
+    return str(folder)
+
+
+def test_a_plan_of_pairs_writes_what_it_needs_of_a_match(spark, tmp_path):
+    sf = _orders(spark, tmp_path)
+    whole, slim = bridge.matching(spark, sf), bridge.matching(spark, sf, queries.PLANNED)
+    assert slim.info.columns == list(queries.PLANNED)
+    shown = lambda m: sorted(map(str, queries.plan_of(m).rows().collect()))
+    assert shown(slim) == shown(whole) and len(shown(slim)) > 12
+
+
+def test_the_slimmer_row_is_attached_first(spark, tmp_path):
+    rows = queries.pair_rows(spark, _orders(spark, tmp_path))
+    assert rows.columns[-2:] == ["target", "source"]
+    assert rows.where("source is null or target is null").isEmpty()
