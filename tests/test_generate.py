@@ -197,3 +197,20 @@ def test_only_matches_of_several_invoices_are_grouped(spark):
     carried = generate._carried(generate.build_invoices(plan, generate.customers_dim(spark, cfg), context))
     assert "Union" in carried._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.match_id, len(r._ids)) for r in carried.collect()} == {(r.match_id, r.num_invoices) for r in plan.collect()}
+
+
+def test_shared_fields_of_a_payment_are_made_per_match(spark):
+    """What all payments of a match share is made below the join that multiplies it, not in the last projection."""
+    from reckoner.sources import bridge
+
+    info = spark.createDataFrame(
+        [(1, "10.00", "20240105", "CUS0000007", "Customer#000000007", "USD", "N01", "9000000007", "INV100000000000001", ["perturbed_business_partner"])],
+        "match_id bigint, total_amount string, last_document_date string, inv_customer_id string, inv_customer_name string, inv_currency_code string, "
+        "inv_country_key string, inv_billing_number string, inv_assignment_number string, perturbation_categories array<string>",
+    ).withColumn("total_amount", F.col("total_amount").cast("decimal(15,2)"))
+    members = spark.createDataFrame([(1, 0, 1, 1), (1, 1, 2, 1)], "match_id bigint, payment_id bigint, line bigint, weight int").withColumn(
+        "weight", F.col("weight").cast("decimal(25,2)"))
+    out = bridge.payments(info, members)
+    assert {(r.pay_business_partner, r.pay_account_number) for r in out.collect()} == {("CUST 00007", "N01" + "0000007".rjust(18, "7"))}
+    top = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert not any(c in top for c in ("inv_customer_name", "inv_customer_id", "last_document_date"))
