@@ -1,10 +1,12 @@
 """NULL keys, weights that sum to zero, and permutations."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from reckoner import session
 from reckoner.functions import draws
 from reckoner.operators import bootstrap, confusion, joined, ranks, views
 
@@ -167,3 +169,22 @@ def test_rows_of_one_group_are_spread(spark):
     from reckoner.session import spread_rows
 
     assert spread_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() > 1
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    """Only a running job holds shuffle files, and a DataFrame that runs again makes them again."""
+    session.configure(spark)
+    found = lambda: {n for n in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "shuffle_" in n}
+    before = found()
+    df = spark.range(1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    first = sorted(df.collect())
+    end = time.time() + 20
+    while found() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not found() - before
+    assert sorted(df.collect()) == first and len(first) == 7
+
+
+def test_intermediate_tables_are_written_small(spark):
+    df = ranks.dense_id(spark.range(20), ["id"], "n")
+    assert all(f.endswith(".zstd.parquet") for f in df.inputFiles())
