@@ -309,3 +309,14 @@ def test_the_slimmer_row_is_attached_first(spark, tmp_path):
     rows, other = queries.pair_rows(spark, sf, slim_first=True), queries.pair_rows(spark, sf)
     assert rows.columns[-2:] == ["target", "source"]
     assert sorted(map(str, rows.select(*other.columns).collect())) == sorted(map(str, other.collect()))
+
+
+def test_pairs_are_written_kind_by_kind(spark, tmp_path, monkeypatch):
+    """Each kind is a job of its own, whose shuffle files go before the next begins; together they are all pairs with their rows."""
+    sf, parts, write = _orders(spark, tmp_path), [], queries.tables.write_pairs
+    monkeypatch.setattr(queries.tables, "write_pairs", lambda rows, *a, **k: (parts.append({r.kind for r in rows.select("kind").distinct().collect()}), write(rows, *a, **k)))
+    back = queries.QUERIES["parquet_round_trip"](spark, sf)
+    assert parts == [{k} for k in pairs.KINDS]
+    rows = queries.pair_rows(spark, sf).select("pair_id", "kind", "source.inv_billing_number", "target.pay_amount", F.lit("multi"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert all(f.endswith(".zstd.parquet") for f in back.inputFiles())
