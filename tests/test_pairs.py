@@ -320,3 +320,23 @@ def test_pairs_are_written_kind_by_kind(spark, tmp_path, monkeypatch):
     rows = queries.pair_rows(spark, sf).select("pair_id", "kind", "source.inv_billing_number", "target.pay_amount", F.lit("multi"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     assert all(f.endswith(".zstd.parquet") for f in back.inputFiles())
+
+
+def test_drawn_examples_have_places_and_labels(spark):
+    pool = spark.range(30).select((F.col("id") * 3).alias("pair_id"), (F.col("id") >= 18).alias("rows_match"), F.col("id").alias("_at"))
+    rows = requests.drawn_examples(pool, 2, 5).collect()
+    assert dict(requests.drawn_examples(pool, 2, 5).dtypes)["o"] == "int" and len(rows) == 120
+    for of in {r.pair_id for r in rows}:
+        own = sorted((r for r in rows if r.pair_id == of), key=lambda r: r.o)
+        assert [r.o for r in own] == [0, 1, 2, 3] and {r._own for r in own} == {of // 3} and of // 3 not in {r._at for r in own}
+        assert all(r.label == (r._at >= 18) for r in own) and sum(r.label for r in own) == 2 and len({r._at for r in own}) == 4
+
+
+def test_example_texts_are_dealt_before_they_are_grouped(spark):
+    """One exchange brings the examples to their request: no aggregation sorts them where they are found."""
+    pairs_ = spark.range(40).select(F.col("id").alias("pair_id"), (F.col("id") % 3 == 0).alias("rows_match"), (F.col("id") % 7).alias("invoice_id"), (F.col("id") % 5).alias("payment_id"))
+    one = spark.range(7).select(F.col("id").alias("invoice_id"), F.col("id").cast("string").alias("first_table_row"))
+    two = spark.range(5).select(F.col("id").alias("payment_id"), F.col("id").cast("string").alias("second_table_row"))
+    plan = requests.pair_requests(pairs_, one, two, requests.RequestConfig(model="m"))._jdf.queryExecution().sparkPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "partial_collect_list" in line)
+    assert "REPARTITION_BY_COL" in "".join(plan[at + 1:at + 3])
